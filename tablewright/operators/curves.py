@@ -31,6 +31,55 @@ def sorted_labels(df: DataFrame, name: str, labels: list[str]) -> list[str]:
     return sorted(labels, key=float) if is_numeric(df, name) else sorted(labels)
 
 
+def score_steps(
+    long: DataFrame, cuts: dict[str, list], positives: dict[str, int], negatives: dict[str, int]
+) -> DataFrame:
+    """Running counts of hits and misses per distinct score, best first.
+
+    ``long`` has ``class, hit, score``, one row per prediction and class.
+    """
+    keyed = (
+        long.groupBy("class", "score")
+        .agg(F.sum("hit").alias("pos"), (F.count(F.lit(1)) - F.sum("hit")).alias("neg"))
+        .withColumn("one", F.lit(1).cast("long"))
+    )
+    steps = running_totals(
+        keyed,
+        "score",
+        {"pos_before": "pos", "neg_before": "neg", "index": "one"},
+        cuts,
+        group="class",
+        descending=True,
+        follow={"next_pos": "pos", "next_neg": "neg"},
+    )
+    sizes = {
+        name: F.create_map(*[F.lit(x) for item in table.items() for x in item])[F.col("class")]
+        for name, table in (("positives", positives), ("negatives", negatives))
+    }
+    return steps.withColumns(
+        {**sizes, "tp": F.col("pos_before") + F.col("pos"), "fp": F.col("neg_before") + F.col("neg")}
+    )
+
+
+def step_areas(steps: DataFrame) -> DataFrame:
+    """Unrounded areas per class; classes with one side only have none."""
+    trapezoid = F.col("neg") * (F.col("pos_before") + F.col("pos") / 2)
+    gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
+    summed = steps.groupBy("class").agg(
+        F.sum(trapezoid).alias("area"),
+        F.sum(gain).alias("gain"),
+        F.max("positives").alias("p"),
+        F.max("negatives").alias("n"),
+    )
+    return summed.where((F.col("p") > 0) & (F.col("n") > 0)).select(
+        "class",
+        (F.col("area") / F.col("p") / F.col("n")).alias("roc_auc"),
+        (F.col("gain") / F.col("p")).alias("average_precision"),
+        (F.col("p") / (F.col("p") + F.col("n"))).alias("prevalence"),
+        (F.col("p") + F.col("n")).cast("long").alias("n"),
+    )
+
+
 @dataclass(frozen=True)
 class Curves:
     """Curves of a prediction table: one for a binary target, one per class otherwise."""
@@ -108,32 +157,18 @@ class Curves:
         long = (
             df.where(col("y_true").isNotNull()).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
         )
-        keyed = long.groupBy("class", "score").agg(
-            F.sum("hit").alias("pos"), (F.count(F.lit(1)) - F.sum("hit")).alias("neg")
-        ).withColumn("one", F.lit(1).cast("long"))
-        cuts = {
-            label: cut_points(
-                df.select(as_double(df, name).alias("score")), "score", facts["distinct"][name], self.per_bucket
-            )
-            for label, name in self.scored.items()
-        }
-        steps = running_totals(
-            keyed,
-            "score",
-            {"pos_before": "pos", "neg_before": "neg", "index": "one"},
+        cuts = {label: self._cuts(label) for label in self.scored}
+        return score_steps(
+            long,
             cuts,
-            group="class",
-            descending=True,
-            follow={"next_pos": "pos", "next_neg": "neg"},
+            {c: facts["sizes"][c] for c in self.scored},
+            {c: facts["total"] - facts["sizes"][c] for c in self.scored},
         )
-        sizes = F.create_map(*[F.lit(x) for c in self.scored for x in (c, facts["sizes"][c])])
-        return steps.withColumns(
-            {
-                "positives": sizes[F.col("class")],
-                "negatives": F.lit(facts["total"]) - sizes[F.col("class")],
-                "tp": F.col("pos_before") + F.col("pos"),
-                "fp": F.col("neg_before") + F.col("neg"),
-            }
+
+    def _cuts(self, label: str) -> list:
+        df, name = self.predictions, self.scored[label]
+        return cut_points(
+            df.select(as_double(df, name).alias("score")), "score", self._facts["distinct"][name], self.per_bucket
         )
 
     def areas(self) -> DataFrame:
@@ -142,22 +177,7 @@ class Curves:
         The ROC area is the trapezoid sum, ties counting half; average precision is the
         step sum of precision over gains in recall.
         """
-        trapezoid = F.col("neg") * (F.col("pos_before") + F.col("pos") / 2)
-        gain = F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))
-        total = self._facts["total"]
-        summed = self._steps.groupBy("class").agg(
-            F.sum(trapezoid).alias("area"),
-            F.sum(gain).alias("gain"),
-            F.max("positives").alias("p"),
-            F.max("negatives").alias("n"),
-        )
-        return summed.where((F.col("p") > 0) & (F.col("n") > 0)).select(
-            "class",
-            (F.col("area") / F.col("p") / F.col("n")).alias("roc_auc"),
-            (F.col("gain") / F.col("p")).alias("average_precision"),
-            (F.col("p") / F.lit(total)).alias("prevalence"),
-            F.lit(total).cast("long").alias("n"),
-        )
+        return step_areas(self._steps)
 
     def summary(self) -> DataFrame:
         return self.areas().select(
@@ -208,15 +228,7 @@ class Curves:
         straight = inner & (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
         corners = self._steps.where(~F.coalesce(straight, F.lit(False))).select("class", "score", "tp", "fp", "positives", "negatives")
         keyed = corners.withColumn("one", F.lit(1).cast("long"))
-        cuts = {
-            label: cut_points(
-                self.predictions.select(as_double(self.predictions, name).alias("score")),
-                "score",
-                self._facts["distinct"][name],
-                self.per_bucket,
-            )
-            for label, name in self.scored.items()
-        }
+        cuts = {label: self._cuts(label) for label in self.scored}
         numbered = running_totals(keyed, "score", {"i": "one"}, cuts, group="class", descending=True)
         points = numbered.select(
             "class",

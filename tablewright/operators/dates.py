@@ -71,7 +71,7 @@ class DatetimeEncoder:
             added=added,
             dropped=tuple(names) if self.drop_original else (),
             rows=tuple((n, ",".join(parts)) for n in names),
-            schema="column string, components string",
+            schema="column_name string, components string",
         )
         parsed = {n: values[n] for n in names if isinstance(dtype(train, n), STRING_TYPES)}
         fitted = FittedDates(step, parsed)

@@ -29,25 +29,25 @@ IMBALANCE_RATIO = 3
 MAX_CLASSES = 20
 
 NUMERIC_SCHEMA = (
-    "column string, count long, mean double, median double, std double, min double, max double, "
+    "column_name string, count long, mean double, median double, std double, min double, max double, "
     "skewness double, kurtosis double, q25 double, q50 double, q75 double"
 )
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(column, value, count)`` of non-missing values, all columns in one shuffle.
+    """``(column_name, value, count)`` of non-missing values, all columns in one shuffle.
 
     Counts are combined before the shuffle, so a value that fills a column sends one row
     per task.
     """
     pairs = F.array(
-        *[F.struct(F.lit(name).alias("column"), as_text(df, name).alias("value")) for name in names]
+        *[F.struct(F.lit(name).alias("column_name"), as_text(df, name).alias("value")) for name in names]
     )
     return (
         df.select(F.explode(pairs).alias("cell"))
-        .select("cell.column", "cell.value")
+        .select("cell.column_name", "cell.value")
         .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        .groupBy("column_name", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )
 
@@ -91,14 +91,14 @@ class DistributionReport:
                 (name, s["count"], s["mean"], q50, s["std"], s["min"], s["max"], skew, kurt, q25, q50, q75)
             )
         raw = local_frame(self.df.sparkSession, rows, NUMERIC_SCHEMA)
-        places = [F.round(c, 4).alias(c) if c not in ("column", "count") else F.col(c) for c in raw.columns]
+        places = [F.round(c, 4).alias(c) if c not in ("column_name", "count") else F.col(c) for c in raw.columns]
         return raw.select(*places).withColumn("skew_flag", skew_flag(F.col("skewness")))
 
     def histogram(self) -> DataFrame:
         """Ten equal-width bins per column; every bin is listed, empty ones with 0."""
         if not self.numeric_names:
             return local_frame(
-                self.df.sparkSession, [], "column string, bin long, lo double, hi double, count long"
+                self.df.sparkSession, [], "column_name string, bin long, lo double, hi double, count long"
             )
         edges, cells, grid = {}, [], []
         for name in self.numeric_names:
@@ -109,17 +109,17 @@ class DistributionReport:
             edges[name] = [float(e) for e in np.linspace(lo, hi, BINS + 1)]
             value = measured(self.df, name)
             inner = bucket_of(value, edges[name][1:-1])
-            cells.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("column"), inner.alias("bin"))))
+            cells.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("column_name"), inner.alias("bin"))))
             grid += [(name, i, edges[name][i], edges[name][i + 1]) for i in range(BINS)]
         counted = (
             self.df.select(F.explode(F.array(*cells)).alias("cell"))
             .where("cell is not null")
-            .groupBy("cell.column", "cell.bin")
+            .groupBy("cell.column_name", "cell.bin")
             .count()
         )
-        bins = local_frame(self.df.sparkSession, grid, "column string, bin long, lo double, hi double")
-        return bins.join(counted, ["column", "bin"], "left").select(
-            "column",
+        bins = local_frame(self.df.sparkSession, grid, "column_name string, bin long, lo double, hi double")
+        return bins.join(counted, ["column_name", "bin"], "left").select(
+            "column_name",
             "bin",
             F.round("lo", 4).alias("lo"),
             F.round("hi", 4).alias("hi"),
@@ -131,12 +131,12 @@ class DistributionReport:
 
     def categorical(self) -> DataFrame:
         """Non-null count and number of distinct values of every non-numeric column."""
-        grouped = self._other_counts().groupBy("column").agg(
+        grouped = self._other_counts().groupBy("column_name").agg(
             F.sum("count").alias("count"), F.count(F.lit(1)).alias("cardinality")
         )
-        names = local_frame(self.df.sparkSession, [(n,) for n in self.other_names], "column string")
-        return names.join(grouped, "column", "left").select(
-            "column",
+        names = local_frame(self.df.sparkSession, [(n,) for n in self.other_names], "column_name string")
+        return names.join(grouped, "column_name", "left").select(
+            "column_name",
             F.coalesce("count", F.lit(0)).alias("count"),
             F.coalesce("cardinality", F.lit(0)).alias("cardinality"),
             (F.coalesce("cardinality", F.lit(0)) > HIGH_CARDINALITY).alias("high_cardinality"),
@@ -148,10 +148,10 @@ class DistributionReport:
         Spark limits each task to its own first ``k`` rows per column ahead of the shuffle
         (rank filter on a window), so a column of unique values does not gather in one task.
         """
-        order = Window.partitionBy("column").orderBy(F.col("count").desc(), "value")
+        order = Window.partitionBy("column_name").orderBy(F.col("count").desc(), "value")
         ranked = self._other_counts().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select(
-            "column",
+            "column_name",
             F.col("rank").cast("long").alias("rank"),
             "value",
             "count",
@@ -179,7 +179,7 @@ class DistributionReport:
 
     def target_distribution(self) -> DataFrame:
         only = DistributionReport(self.df, [self.target], [], self.target)
-        return only.numeric().select(F.col("column").alias("target"), "mean", "median", "std", "min", "max")
+        return only.numeric().select(F.col("column_name").alias("target"), "mean", "median", "std", "min", "max")
 
     def target_imbalance(self) -> DataFrame:
         """Largest over smallest class share, flagged above three."""
@@ -203,23 +203,23 @@ class DistributionReport:
         )
 
     def flags(self) -> DataFrame:
-        """``(column, type, value)`` for skew, cardinality and class imbalance."""
+        """``(column_name, type, value)`` for skew, cardinality and class imbalance."""
         found = self.numeric().where("skew_flag is not null").select(
-            "column", F.lit("skewed").alias("type"), F.col("skewness").alias("value")
+            "column_name", F.lit("skewed").alias("type"), F.col("skewness").alias("value")
         )
         if self.other_names:
             found = found.unionByName(
                 self.categorical()
                 .where("high_cardinality")
                 .select(
-                    "column", F.lit("high_cardinality").alias("type"), F.col("cardinality").cast("double").alias("value")
+                    "column_name", F.lit("high_cardinality").alias("type"), F.col("cardinality").cast("double").alias("value")
                 )
             )
         if self.target and self.target_is_classes():
             found = found.unionByName(
                 self.target_imbalance()
                 .where("imbalanced")
-                .select(F.lit(self.target).alias("column"), F.lit("class_imbalance").alias("type"), F.col("ratio").alias("value"))
+                .select(F.lit(self.target).alias("column_name"), F.lit("class_imbalance").alias("type"), F.col("ratio").alias("value"))
             )
         return found
 

@@ -71,7 +71,7 @@ def _read_categories(train: DataFrame, names: list[str], limit: int) -> dict[str
     """Sorted categories of columns that are known to have few; one job for all."""
     if not names:
         return {}
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")) for n in names])
+    cells = F.array(*[F.struct(F.lit(n).alias("column_name"), col(n).cast("string").alias("value")) for n in names])
     rows = (
         train.select(F.explode(cells).alias("cell"))
         .select("cell.*")
@@ -82,7 +82,7 @@ def _read_categories(train: DataFrame, names: list[str], limit: int) -> dict[str
     )
     found: dict[str, list[str]] = {n: [] for n in names}
     for row in rows:
-        found[row["column"]].append(row["value"])
+        found[row["column_name"]].append(row["value"])
     return {n: sorted(values) for n, values in found.items()}
 
 
@@ -126,18 +126,18 @@ class FittedEncoder(Fitted):
                 continue
             found = self.unseen(frame).limit(1).collect()
             if found:
-                raise ValueError(f"category {found[0]['value']!r} of column {found[0]['column']!r} in {part} is not in train")
+                raise ValueError(f"category {found[0]['value']!r} of column {found[0]['column_name']!r} in {part} is not in train")
 
     def unseen(self, df: DataFrame) -> DataFrame:
-        """``(column, value)`` of every category of ``df`` that train does not have."""
-        out = df.sparkSession.createDataFrame([], "column string, value string")
+        """``(column_name, value)`` of every category of ``df`` that train does not have."""
+        out = df.sparkSession.createDataFrame([], "column_name string, value string")
         small = [n for n in self.names if n in self.small and n in df.columns]
         if small:
             cells = F.array(
                 *[
                     F.when(
                         ~col(n).cast("string").isin(*self.small[n]),
-                        F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("value")),
+                        F.struct(F.lit(n).alias("column_name"), col(n).cast("string").alias("value")),
                     )
                     for n in small
                 ]
@@ -148,15 +148,15 @@ class FittedEncoder(Fitted):
             if name in self.large and name in df.columns:
                 values = df.select(col(name).cast("string").alias("value")).where("value is not null").distinct()
                 fresh = values.join(self.large[name], "value", "left_anti")
-                out = out.unionByName(fresh.select(F.lit(name).alias("column"), "value"))
+                out = out.unionByName(fresh.select(F.lit(name).alias("column_name"), "value"))
         return out
 
     def dictionary(self, spark) -> DataFrame:
-        """``(column, value, code)`` of every encoded column."""
+        """``(column_name, value, code)`` of every encoded column."""
         rows = [(n, v, i) for n, values in self.small.items() for i, v in enumerate(values)]
-        out = spark.createDataFrame(rows, "column string, value string, code long")
+        out = spark.createDataFrame(rows, "column_name string, value string, code long")
         for name, table in self.large.items():
-            out = out.unionByName(table.select(F.lit(name).alias("column"), "value", "code"))
+            out = out.unionByName(table.select(F.lit(name).alias("column_name"), "value", "code"))
         return out
 
     def _literal_code(self, name: str) -> Column:

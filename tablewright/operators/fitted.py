@@ -17,7 +17,7 @@ class Fitted:
         raise NotImplementedError
 
     def apply(self, splits: Splits) -> Splits:
-        return splits.each(self.transform)
+        return splits.project(self.transform)
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class Projection(Fitted):
     added: dict[str, Column] = field(default_factory=dict)
     dropped: tuple[str, ...] = ()
     rows: tuple = ()
-    schema: str = "column string, note string"
+    schema: str = "column_name string, note string"
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = [

@@ -74,7 +74,7 @@ class Imputer:
         return Projection(
             replaced=replaced,
             rows=tuple((n, self.strategy, str(v)) for n, v in fills.items()),
-            schema="column string, strategy string, fill string",
+            schema="column_name string, strategy string, fill string",
         )
 
     def _mean(self, train, names, facts):

@@ -57,5 +57,5 @@ class Interactions:
             }[self.operation]()
             rows.append((name, "double", "continuous", "feature"))
         return Projection(
-            added=added, rows=tuple(rows), schema="column string, dtype string, semantic_type string, role string"
+            added=added, rows=tuple(rows), schema="column_name string, dtype string, semantic_type string, role string"
         )

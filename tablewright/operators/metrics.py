@@ -8,10 +8,19 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, is_numeric, measured
+from tablewright.functions.columns import as_double, col, is_numeric, measured
+from tablewright.functions.ranking import cut_points
 from tablewright.functions.stats import local_frame
 from tablewright.operators.confusion import label_scores, pair_counts, ratio
-from tablewright.operators.curves import Curves, probability_columns
+from tablewright.operators.curves import MAX_CLASSES as MAX_CURVES
+from tablewright.operators.curves import (
+    PROB_PREFIX,
+    label_text,
+    probability_columns,
+    score_steps,
+    sorted_labels,
+    step_areas,
+)
 from tablewright.splits import PARTS, Splits
 
 ACCURACY_GAP = 0.05
@@ -21,22 +30,20 @@ MAX_CLASSES = 20
 
 
 def _usable(splits: Splits) -> Splits:
-    """Parts that hold predictions; an absent or empty part is left out."""
-    kept = {
-        name: frame
-        for name, frame in splits.items()
-        if {"y_true", "y_pred"} <= set(frame.columns) and not frame.isEmpty()
-    }
-    if not kept:
-        raise ValueError("no part holds a prediction table with y_true and y_pred")
-    if "train" in kept:
-        return Splits(**kept)
-    return Splits(kept.pop("train", None), **kept)
+    """Parts with the two label columns; an empty part simply has no rows in the reports."""
+    if splits.source is not None:
+        held = splits if {"y_true", "y_pred"} <= set(splits.source.columns) else None
+    else:
+        kept = {name: df for name, df in splits.items() if {"y_true", "y_pred"} <= set(df.columns)}
+        held = Splits(**{"train": None, **kept}) if kept else None
+    if held is None or held.tagged().isEmpty():
+        raise ValueError("no part holds predictions with y_true and y_pred")
+    return held
 
 
 def _tagged(splits: Splits) -> DataFrame:
     """Labels of all parts in one table; probability columns are not needed for the counts."""
-    return splits.each(lambda df: df.select("y_true", "y_pred")).tagged()
+    return splits.project(lambda df: df.select(*[c for c in df.columns if c in ("split", "y_true", "y_pred")])).tagged()
 
 
 def _paired(table: DataFrame) -> DataFrame:
@@ -51,6 +58,66 @@ def _paired(table: DataFrame) -> DataFrame:
     )
 
 
+def split_areas(splits: Splits) -> DataFrame:
+    """``(split, auc)``: the positive class's ROC area, or the mean over three or more classes.
+
+    A split without probabilities, with one class, or with a class lacking its column has none.
+    """
+    df = splits.tagged()
+    probs = probability_columns(df)
+    empty = local_frame(df.sparkSession, [], "split string, auc double")
+    if not probs:
+        return empty
+    groups = (
+        df.where(F.col("y_true").isNotNull())
+        .groupBy("split", label_text(df, "y_true").alias("label"))
+        .agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(col(p)).alias(f"d{i}") for i, p in enumerate(probs)])
+        .limit(len(PARTS) * MAX_CURVES + 1)
+        .collect()
+    )
+    if len(groups) > len(PARTS) * MAX_CURVES:
+        return empty
+    cells, cuts, positives, negatives = [], {}, {}, {}
+    for part in sorted({g["split"] for g in groups}):
+        mine = [g for g in groups if g["split"] == part]
+        labels = sorted_labels(df, "y_true", [g["label"] for g in mine])
+        named = {c: f"{PROB_PREFIX}{c}" for c in labels}
+        if len(labels) == 2:
+            last = named[labels[1]]
+            named = {labels[1]: last if last in probs else sorted(probs)[-1]}
+        if len(labels) < 2 or any(p not in probs for p in named.values()):
+            continue
+        sizes = {g["label"]: g["n"] for g in mine}
+        for label, prob in named.items():
+            key = f"{part}|{label}"
+            at = probs.index(prob)
+            score = as_double(df, prob)
+            positives[key], negatives[key] = sizes[label], sum(sizes.values()) - sizes[label]
+            cuts[key] = cut_points(
+                df.where(F.col("split") == part).select(score.alias("score")), "score", sum(g[f"d{at}"] for g in mine)
+            )
+            cells.append(
+                F.when(
+                    F.col("split") == part,
+                    F.struct(
+                        F.lit(key).alias("class"),
+                        (label_text(df, "y_true") == F.lit(label)).cast("long").alias("hit"),
+                        score.alias("score"),
+                    ),
+                )
+            )
+    if not cells:
+        return empty
+    long = (
+        df.where(F.col("y_true").isNotNull())
+        .select(F.explode(F.array(*cells)).alias("cell"))
+        .where("cell is not null")
+        .select("cell.*")
+    )
+    areas = step_areas(score_steps(long, cuts, positives, negatives))
+    return areas.groupBy(F.split("class", "[|]")[0].alias("split")).agg(F.avg("roc_auc").alias("auc"))
+
+
 @dataclass(frozen=True)
 class ClassificationReport:
     splits: Splits
@@ -64,22 +131,8 @@ class ClassificationReport:
             "split", "label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support"
         )
 
-    def _auc(self, df: DataFrame) -> float | None:
-        """Area of the positive class, or the mean over classes when each has a score column."""
-        found = Curves(df)
-        try:
-            labels = found.labels
-        except ValueError:
-            return None
-        if found.task == "multiclass" and len(found.scored) < len(labels):
-            return None
-        return found.areas().agg(F.avg("roc_auc")).first()[0]
-
     def metrics(self) -> DataFrame:
-        """One row per split, all from one table of label pair counts (plus score curves)."""
-        areas = [
-            (name, self._auc(df)) for name, df in self.splits.items() if probability_columns(df)
-        ]
+        """One row per split: label scores from one table of pair counts, areas from one of scores."""
         summed = self._scores.groupBy("split").agg(
             F.round(ratio(F.sum("tp"), F.sum("support")), 6).alias("accuracy"),
             F.round(F.avg("f1"), 6).alias("f1_macro"),
@@ -87,8 +140,7 @@ class ClassificationReport:
             F.round(F.avg("recall"), 6).alias("recall_macro"),
             F.sum("support").alias("support"),
         )
-        auc = local_frame(summed.sparkSession, areas, "split string, auc double")
-        return summed.join(auc, "split", "left").withColumn("auc", F.round("auc", 6))
+        return summed.join(split_areas(self.splits), "split", "left").withColumn("auc", F.round("auc", 6))
 
     def flags(self) -> DataFrame:
         """Overfitting: train accuracy more than 0.05 above validation."""

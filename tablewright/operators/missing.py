@@ -34,20 +34,20 @@ class MissingReport:
         """Only columns with a gap, worst first."""
         total = self._counts["rows"]
         rows = [(name, self._counts["col", name], total) for name in self.df.columns if self._counts["col", name]]
-        table = local_frame(self.df.sparkSession, rows, "column string, missing_count long, total long")
+        table = local_frame(self.df.sparkSession, rows, "column_name string, missing_count long, total long")
         scored = table.withColumn("missing_pct", F.round(F.col("missing_count") / F.col("total"), 4))
         scored = scored.withColumn("severity", severity(F.col("missing_pct")))
         flag = F.when(F.col("severity") == "high", "critical_missing").when(
             F.col("severity") == "medium", "high_missing"
         )
         return scored.select(
-            "column",
+            "column_name",
             "missing_count",
             "missing_pct",
             "severity",
             (F.col("total") - F.col("missing_count")).alias("present_count"),
             flag.alias("flag"),
-        ).orderBy(F.col("missing_pct").desc(), "column")
+        ).orderBy(F.col("missing_pct").desc(), "column_name")
 
     def summary(self) -> DataFrame:
         found, width = self._counts, len(self.df.columns)
@@ -67,7 +67,7 @@ class MissingReport:
         )
 
     def flags(self) -> DataFrame:
-        return self.columns().where("flag is not null").select("column", F.col("flag").alias("type"), "missing_pct")
+        return self.columns().where("flag is not null").select("column_name", F.col("flag").alias("type"), "missing_pct")
 
 
 def missing_values(df: DataFrame) -> MissingReport:

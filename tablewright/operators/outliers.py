@@ -18,7 +18,7 @@ EXTREME_IQRS = 5
 EXTREMES = 5
 
 COLUMN_SCHEMA = (
-    "column string, q1 double, q3 double, iqr double, lower double, upper double, mean double, std double, "
+    "column_name string, q1 double, q3 double, iqr double, lower double, upper double, mean double, std double, "
     "z_max double, outlier_count long, total long, min_value double, max_value double"
 )
 
@@ -101,7 +101,7 @@ class OutlierReport:
         )
         furthest = F.greatest("above", "below")
         return scored.select(
-            "column",
+            "column_name",
             *[F.round(c, 4).alias(c) for c in ("q1", "q3", "iqr")],
             F.round("lower", 4).alias("lower_fence"),
             F.round("upper", 4).alias("upper_fence"),
@@ -113,7 +113,7 @@ class OutlierReport:
             (F.col("outlier_pct") >= HIGH_RATE).alias("high_outlier_rate"),
             F.coalesce((F.col("outlier_count") > 0) & (furthest > EXTREME_IQRS), F.lit(False)).alias("extreme_outlier"),
             F.round(furthest, 1).alias("max_iqrs"),
-        ).orderBy(F.col("outlier_pct").desc(), "column")
+        ).orderBy(F.col("outlier_pct").desc(), "column_name")
 
     def extremes(self, k: int = EXTREMES) -> DataFrame:
         """The ``k`` outliers per column furthest from the median.
@@ -124,7 +124,7 @@ class OutlierReport:
             F.when(
                 self.mask(name),
                 F.struct(
-                    F.lit(name).alias("column"),
+                    F.lit(name).alias("column_name"),
                     measured(self.df, name).alias("value"),
                     F.abs(measured(self.df, name) - fact["median"]).alias("distance"),
                 ),
@@ -132,15 +132,15 @@ class OutlierReport:
             for name, fact in self._facts.items()
         ]
         if not cells:
-            return local_frame(self.df.sparkSession, [], "column string, rank long, value double")
-        order = Window.partitionBy("column").orderBy(F.col("distance").desc(), "value")
+            return local_frame(self.df.sparkSession, [], "column_name string, rank long, value double")
+        order = Window.partitionBy("column_name").orderBy(F.col("distance").desc(), "value")
         return (
             self.df.select(F.explode(F.array(*cells)).alias("cell"))
             .where("cell is not null")
             .select("cell.*")
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k)
-            .select("column", F.col("rank").cast("long").alias("rank"), "value")
+            .select("column_name", F.col("rank").cast("long").alias("rank"), "value")
         )
 
     def summary(self) -> DataFrame:
@@ -155,10 +155,10 @@ class OutlierReport:
     def flags(self) -> DataFrame:
         table = self.columns()
         rate = table.where("high_outlier_rate").select(
-            "column", F.lit("high_outlier_rate").alias("type"), F.col("outlier_pct").alias("value")
+            "column_name", F.lit("high_outlier_rate").alias("type"), F.col("outlier_pct").alias("value")
         )
         far = table.where("extreme_outlier").select(
-            "column", F.lit("extreme_outlier").alias("type"), F.col("max_iqrs").alias("value")
+            "column_name", F.lit("extreme_outlier").alias("type"), F.col("max_iqrs").alias("value")
         )
         return rate.unionByName(far)
 

@@ -53,7 +53,7 @@ class Scaler:
             rows.append((name, self.method, shift, spread))
             replaced[name] = (values[name] - F.lit(shift)) / F.lit(spread)
         return Projection(
-            replaced=replaced, rows=tuple(rows), schema="column string, method string, shift double, spread double"
+            replaced=replaced, rows=tuple(rows), schema="column_name string, method string, shift double, spread double"
         )
 
     def _parameters(self, train, values):

@@ -33,7 +33,7 @@ CAST_THRESHOLD = 0.9
 NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[Ii]nf(inity)?|[Nn]a[Nn])\s*$"
 
 CATALOG_SCHEMA = (
-    "position int, column string, dtype string, kind string, rows long, present long, "
+    "position int, column_name string, dtype string, kind string, rows long, present long, "
     "min_value double, max_value double"
 )
 
@@ -63,7 +63,7 @@ def has_word(name: Column, words: tuple[str, ...]) -> Column:
 
 def _classified(profile: DataFrame) -> DataFrame:
     """Ordered rules, first hit wins; each gives (semantic_type, role, confidence)."""
-    name = F.lower(F.trim("column"))
+    name = F.lower(F.trim("column_name"))
     unique, ratio, kind = F.col("unique_count"), F.col("raw_ratio"), F.col("kind")
     two_valued = (kind == "boolean") | (unique == 2)
     named_target = has_word(name, TARGET_WORDS)
@@ -92,7 +92,7 @@ def _classified(profile: DataFrame) -> DataFrame:
 
 
 def _reasoning() -> Column:
-    head = F.concat(F.col("column"), F.lit(" ("), F.col("dtype"), F.lit("): "))
+    head = F.concat(F.col("column_name"), F.lit(" ("), F.col("dtype"), F.lit("): "))
     unique = F.concat(F.col("unique_count").cast("string"), F.lit(" distinct"))
     listing = F.concat(F.lit("["), F.concat_ws(", ", F.coalesce("all_values", "samples")), F.lit("]"))
     semantic = F.col("semantic_type")
@@ -116,7 +116,7 @@ def _reasoning() -> Column:
 
 
 def distinct_values(df: DataFrame) -> DataFrame:
-    """``(column, value, sort_key)``: each distinct value of each column once."""
+    """``(column_name, value, sort_key)``: each distinct value of each column once."""
     cells = []
     for field in df.schema.fields:
         number = (
@@ -124,7 +124,7 @@ def distinct_values(df: DataFrame) -> DataFrame:
         )
         cells.append(
             F.struct(
-                F.lit(field.name).alias("column"),
+                F.lit(field.name).alias("column_name"),
                 as_text(df, field.name).alias("value"),
                 number.alias("sort_key"),
             )
@@ -133,7 +133,7 @@ def distinct_values(df: DataFrame) -> DataFrame:
         df.select(F.explode(F.array(*cells)).alias("cell"))
         .select("cell.*")
         .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        .groupBy("column_name", "value")
         .agg(F.min("sort_key").alias("sort_key"))
     )
 
@@ -162,18 +162,18 @@ def profile(df: DataFrame) -> DataFrame:
         ],
         CATALOG_SCHEMA,
     )
-    order = Window.partitionBy("column").orderBy("sort_key", "value")
+    order = Window.partitionBy("column_name").orderBy("sort_key", "value")
     values = distinct_values(df)
-    uniques = values.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    uniques = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
     # At most LISTED_VALUES rows per column reach the list; each task pre-limits its own.
     first = (
         values.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= LISTED_VALUES)
-        .groupBy("column")
+        .groupBy("column_name")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("firsts"))
-        .select("column", F.col("firsts.value").alias("firsts"))
+        .select("column_name", F.col("firsts.value").alias("firsts"))
     )
-    joined = catalog.join(uniques, "column", "left").join(first, "column", "left")
+    joined = catalog.join(uniques, "column_name", "left").join(first, "column_name", "left")
     unique = F.coalesce("unique_count", F.lit(0))
     base = joined.withColumns(
         {
@@ -194,7 +194,7 @@ def profile(df: DataFrame) -> DataFrame:
         _classified(base)
         .withColumn("reasoning", _reasoning())
         .select(
-            "position", "column", "dtype", "semantic_type", "role", "confidence", "nullable", "unique_count",
+            "position", "column_name", "dtype", "semantic_type", "role", "confidence", "nullable", "unique_count",
             "unique_ratio", "null_pct", "min_value", "max_value", "samples", "all_values", "reasoning",
         )
     )
@@ -202,12 +202,12 @@ def profile(df: DataFrame) -> DataFrame:
 
 def profile_rows(profile_df: DataFrame) -> list:
     """A profile has one row per column of the table, so it is read whole."""
-    return sorted(profile_df.select("position", "column", "dtype", "semantic_type", "role").collect())
+    return sorted(profile_df.select("position", "column_name", "dtype", "semantic_type", "role").collect())
 
 
 def drop_by_role(df: DataFrame, profile_df: DataFrame) -> DataFrame:
     """Remove columns whose role is ignore or identifier."""
-    out = [r["column"] for r in profile_rows(profile_df) if r["role"] in DROPPED_ROLES]
+    out = [r["column_name"] for r in profile_rows(profile_df) if r["role"] in DROPPED_ROLES]
     return df.select(*[col(c) for c in df.columns if c not in out])
 
 
@@ -222,12 +222,12 @@ def cast_by_profile(df: DataFrame, profile_df: DataFrame) -> tuple[DataFrame, Da
 
     The input is never rewritten: after editing a profile, apply it to the source again.
     """
-    rows = [r for r in profile_rows(profile_df) if r["column"] in df.columns]
+    rows = [r for r in profile_rows(profile_df) if r["column_name"] in df.columns]
     texts = {f.name for f in df.schema.fields if isinstance(f.dataType, STRING_TYPES)}
-    dropped = [r["column"] for r in rows if r["role"] in DROPPED_ROLES]
+    dropped = [r["column_name"] for r in rows if r["role"] in DROPPED_ROLES]
     tried = [
-        r["column"] for r in rows
-        if r["column"] not in dropped and r["column"] in texts and r["semantic_type"] in ("continuous", "binary")
+        r["column_name"] for r in rows
+        if r["column_name"] not in dropped and r["column_name"] in texts and r["semantic_type"] in ("continuous", "binary")
     ]
     aggregates: dict = {}
     for name in tried:
@@ -238,7 +238,7 @@ def cast_by_profile(df: DataFrame, profile_df: DataFrame) -> tuple[DataFrame, Da
 
     status, casts = [], []
     for r in rows:
-        name = r["column"]
+        name = r["column_name"]
         if name in dropped:
             status.append((name, "dropped", None, None, f"role is {r['role']}"))
         elif name not in texts:
@@ -256,6 +256,6 @@ def cast_by_profile(df: DataFrame, profile_df: DataFrame) -> tuple[DataFrame, Da
         as_number(df, c).alias(c) if c in casts else col(c) for c in df.columns if c not in dropped
     ]
     table = local_frame(
-        df.sparkSession, status, "column string, status string, to string, success_rate double, reason string"
+        df.sparkSession, status, "column_name string, status string, to string, success_rate double, reason string"
     ).withColumn("success_rate", F.round("success_rate", 4))
     return df.select(*kept), table

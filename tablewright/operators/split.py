@@ -13,18 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import (
-    FLOAT_TYPES,
-    as_text,
-    col,
-    dtype,
-    parse_columns,
-    require_target,
-    resolve_columns,
-)
-from tablewright.functions.hashing import HASH_BITS, key_hash, unit_interval
+from tablewright.functions.columns import FLOAT_TYPES, as_text, col, dtype, require_target, resolve_columns
+from tablewright.functions.hashing import key_hash, unit_interval
 from tablewright.functions.stats import local_frame
-from tablewright.splits import PARTS, Splits
+from tablewright.splits import Splits
 
 #: Rows of one class that may be ranked by one task when looking for its cut.
 ROWS_PER_RANKING = 1_000_000
@@ -40,9 +32,7 @@ class Assignment:
     tagged: DataFrame
 
     def splits(self) -> Splits:
-        return Splits(
-            **{part: self.tagged.where(F.col("split") == part).drop("split") for part in PARTS}
-        )
+        return Splits.of(self.tagged)
 
 
 def _key(df: DataFrame, key: str | Sequence[str] | None) -> list[str]:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.correlation import CorrelationReport
@@ -32,18 +32,18 @@ def correlation_section(report: CorrelationReport) -> DataFrame:
 
 
 def distribution_section(report: DistributionReport) -> DataFrame:
-    return report.numeric().select("column", "skewness", "kurtosis", "mean", "std")
+    return report.numeric().select("column_name", "skewness", "kurtosis", "mean", "std")
 
 
 def missing_section(report: MissingReport) -> DataFrame:
-    return report.columns().select("column", "missing_pct", "severity")
+    return report.columns().select("column_name", "missing_pct", "severity")
 
 
 def outlier_section(report: OutlierReport) -> DataFrame:
     return (
         report.columns()
         .where(F.col("outlier_count") > 0)
-        .select("column", F.lit(report.method).alias("method"), "outlier_pct", "z_max", "upper_fence")
+        .select("column_name", F.lit(report.method).alias("method"), "outlier_pct", "z_max", "upper_fence")
     )
 
 
@@ -57,20 +57,27 @@ class Suggestions:
     missing: DataFrame | None = None
     outliers: DataFrame | None = None
 
+    def __post_init__(self):
+        # One line per column or pair of columns: read once, not once per rule.
+        for name in ("profile", "correlation", "distribution", "missing", "outliers"):
+            frame = getattr(self, name)
+            if frame is not None:
+                object.__setattr__(self, name, frame.sparkSession.createDataFrame(frame.collect(), frame.schema))
+
     def target(self) -> DataFrame:
         """The first column with the target role."""
-        return self.profile.where(F.col("role") == "target").orderBy("position").limit(1).select("column")
+        return self.profile.where(F.col("role") == "target").orderBy("position").limit(1).select("column_name")
 
     def _continuous(self) -> DataFrame:
         return self.profile.where(
             (F.col("semantic_type") == "continuous") & ~F.col("role").isin("identifier", "target")
-        ).select("position", "column")
+        ).select("position", "column_name")
 
     def outlier_columns(self) -> DataFrame:
-        return self._continuous().select("column")
+        return self._continuous().select("column_name")
 
     def scale_columns(self) -> DataFrame:
-        return self._continuous().select("column")
+        return self._continuous().select("column_name")
 
     def log_columns(self) -> DataFrame:
         """Continuous columns that are skewed or rich in outliers; all of them if none is."""
@@ -78,23 +85,23 @@ class Suggestions:
         reasons = None
         if self.distribution is not None:
             reasons = self.distribution.where(F.abs("skewness") > STRONG_SKEW).select(
-                "column", F.lit("skewed").alias("reason")
+                "column_name", F.lit("skewed").alias("reason")
             )
         if self.outliers is not None:
             rich = self.outliers.where(F.col("outlier_pct") > OUTLIER_SHARE).select(
-                "column", F.lit("outliers").alias("reason")
+                "column_name", F.lit("outliers").alias("reason")
             )
             reasons = rich if reasons is None else reasons.unionByName(rich)
-        fallback = names.select("column", F.lit("fallback").alias("reason"))
+        fallback = names.select("column_name", F.lit("fallback").alias("reason"))
         if reasons is None:
             return fallback
-        merged = reasons.groupBy("column").agg(F.array_join(F.sort_array(F.collect_set("reason")), "+").alias("reason"))
-        hits = names.join(merged, "column").select("column", "reason")
-        scored = names.join(hits, "column", "left").withColumn(
-            "any_hit", F.max(F.col("reason").isNotNull()).over(_everything())
+        merged = reasons.groupBy("column_name").agg(F.array_join(F.sort_array(F.collect_set("reason")), "+").alias("reason"))
+        hits = names.join(merged, "column_name").select("column_name", "reason")
+        scored = names.join(hits, "column_name", "left").withColumn(
+            "any_hit", F.max(F.col("reason").isNotNull()).over(Window.partitionBy(F.lit(0)))
         )
         return scored.where(F.col("reason").isNotNull() | ~F.col("any_hit")).select(
-            "column", F.coalesce("reason", F.lit("fallback")).alias("reason")
+            "column_name", F.coalesce("reason", F.lit("fallback")).alias("reason")
         )
 
     def interaction_pairs(self) -> DataFrame:
@@ -103,15 +110,15 @@ class Suggestions:
         )
 
     def datetime_column(self) -> DataFrame:
-        return self.profile.where(F.col("semantic_type") == "datetime").orderBy("position").limit(1).select("column")
+        return self.profile.where(F.col("semantic_type") == "datetime").orderBy("position").limit(1).select("column_name")
 
     def drop_columns(self) -> DataFrame:
-        return self.profile.where(F.col("role") == "identifier").select("column")
+        return self.profile.where(F.col("role") == "identifier").select("column_name")
 
     def impute_constant(self) -> DataFrame:
         """Heavily incomplete columns; their presence suggests filling with the constant 0."""
         return self.missing.where(F.col("missing_pct") > MISSING_SHARE).select(
-            "column", F.lit("constant").alias("strategy"), F.lit("0").alias("constant_value")
+            "column_name", F.lit("constant").alias("strategy"), F.lit("0").alias("constant_value")
         )
 
     def selector(self) -> DataFrame:
@@ -126,7 +133,7 @@ class Suggestions:
         return self.profile.where(
             F.col("semantic_type").isin("categorical", "ordinal", "binary")
             & ~F.col("role").isin("target", "identifier")
-        ).select("column")
+        ).select("column_name")
 
     def table(self) -> DataFrame:
         """All column rules as ``(rule, column, reason)``."""
@@ -144,21 +151,14 @@ class Suggestions:
         frames = []
         for rule, frame in rules.items():
             reason = F.col("reason") if "reason" in frame.columns else F.lit("profile")
-            frames.append(frame.select(F.lit(rule).alias("rule"), "column", reason.alias("reason")))
+            frames.append(frame.select(F.lit(rule).alias("rule"), "column_name", reason.alias("reason")))
         if self.correlation is not None:
             frames.append(
                 self.interaction_pairs().select(
-                    F.lit("interaction").alias("rule"), F.concat_ws(":", "a", "b").alias("column"), F.lit("correlated").alias("reason")
+                    F.lit("interaction").alias("rule"), F.concat_ws(":", "a", "b").alias("column_name"), F.lit("correlated").alias("reason")
                 )
             )
         out = frames[0]
         for frame in frames[1:]:
             out = out.unionByName(frame)
         return out
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    # Only ever applied to a table with one row per column of the data.
-    return Window.partitionBy(F.lit(0))

@@ -56,22 +56,28 @@ class TrainedModel:
     # --- prediction ---
 
     def predict(self, df: DataFrame, target: str | None = None) -> DataFrame:
-        """``y_true, y_pred`` and, for classes, ``y_prob_<class>`` in label order."""
+        """``y_true, y_pred`` and, for classes, ``y_prob_<class>`` in label order.
+
+        A ``split`` column that is not a feature is passed on.
+        """
+        target = target or self.target
+        kept = ["split"] if "split" in df.columns and "split" not in (*self.features, target) else []
         out = self.pipeline.transform(df)
-        y_true = col(target or self.target).alias("y_true")
+        y_true = col(target).alias("y_true")
         if self.task == "regression":
-            return out.select(y_true, F.col("prediction").alias("y_pred"))
+            return out.select(*kept, y_true, F.col("prediction").alias("y_pred"))
         probs = self._probabilities()
-        held = out.select(y_true, probs.alias("p"), self._winner(probs).alias("k"))
+        held = out.select(*kept, y_true, probs.alias("p"), self._winner(probs).alias("k"))
         labels = F.array(*[F.lit(c) for c in self.classes])
         return held.select(
+            *kept,
             "y_true",
             F.element_at(labels, F.col("k") + 1).cast(self.class_type).alias("y_pred"),
             *[F.col("p")[i].alias(f"{PROB_PREFIX}{c}") for i, c in enumerate(self.classes)],
         )
 
     def predictions(self, splits: Splits) -> Splits:
-        return splits.each(self.predict)
+        return splits.project(self.predict)
 
     def _boosters(self) -> list:
         return [s for s in self.pipeline.stages if s.hasParam("probabilityCol") and s.getProbabilityCol() != "probability"]
@@ -446,10 +452,9 @@ def _boost(work, held, index, settings, n_estimators, patience):
         work, held = one_class(work), None if held is None else one_class(held)
 
         def fit(rounds):
-            return GBTClassifier(
-                featuresCol=FEATURES, labelCol=LABEL, maxIter=rounds, rawPredictionCol=f"_raw{index}",
-                probabilityCol=f"_prob{index}", predictionCol=f"_pred{index}", **settings,
-            ).fit(work)
+            booster = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=rounds, **settings)
+            booster.setRawPredictionCol(f"_raw{index}").setProbabilityCol(f"_prob{index}")
+            return booster.setPredictionCol(f"_pred{index}").fit(work)
 
         def losses(model, df):
             # MLlib's loss is 2 log(1 + exp(-2yF)): twice the log loss.

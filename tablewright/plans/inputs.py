@@ -85,8 +85,8 @@ def part_sql(key: list[str]) -> str:
 
 def split_table(spark: SparkSession, sf_dir: str, name: str, key: list[str], exprs: list[str]) -> Splits:
     """Hold-out parts of a table, then a projection of each."""
-    parts = random_split(table(spark, sf_dir, name), TEST_SIZE, VAL_SIZE, SEED, key).splits()
-    return parts.each(lambda df: df.selectExpr(*exprs))
+    tagged = random_split(table(spark, sf_dir, name), TEST_SIZE, VAL_SIZE, SEED, key).tagged
+    return Splits.of(tagged.selectExpr("split", *exprs))
 
 
 def split_sql(name: str, key: list[str], exprs: list[str]) -> str:

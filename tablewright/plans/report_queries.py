@@ -154,7 +154,7 @@ def numeric_sql(source: str, names: list[str]) -> str:
             "q25": f"quantile_cont({v}, 0.25)", "q50": f"quantile_cont({v}, 0.5)", "q75": f"quantile_cont({v}, 0.75)",
         }
         cols = ", ".join(f"round({e}, 4) + 0.0 AS {n}" for n, e in shape.items())
-        return f"SELECT '{c}' AS column, count({c})::BIGINT AS count, {cols} FROM {source}"
+        return f"SELECT '{c}' AS column_name, count({c})::BIGINT AS count, {cols} FROM {source}"
 
     return union_sql([one(c) for c in names])
 
@@ -189,7 +189,7 @@ def histogram_sql(source: str, names: list[str]) -> str:
         bins AS (SELECT i AS bin, i * ((mx - mn) / 10.0::DOUBLE) + mn AS lo,
                         CASE WHEN i = 9 THEN mx ELSE (i + 1) * ((mx - mn) / 10.0::DOUBLE) + mn END AS hi
                  FROM ends, range(10) AS r(i))
-        SELECT '{c}' AS column, bin::BIGINT AS bin, round(lo, 4) + 0.0 AS lo, round(hi, 4) + 0.0 AS hi,
+        SELECT '{c}' AS column_name, bin::BIGINT AS bin, round(lo, 4) + 0.0 AS lo, round(hi, 4) + 0.0 AS hi,
                (SELECT count(*) FROM {source} WHERE {v} >= lo AND ({v} < hi OR (bin = 9 AND {v} <= hi)))::BIGINT AS count
         FROM bins)"""
 
@@ -209,7 +209,7 @@ def _(spark, sf):
 def counts_sql(source: str, names: list[str]) -> str:
     return union_sql(
         [
-            f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, count(*)::BIGINT AS count FROM {source} "
+            f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*)::BIGINT AS count FROM {source} "
             f"WHERE {c} IS NOT NULL GROUP BY ALL"
             for c in names
         ]
@@ -222,8 +222,8 @@ PART_TEXTS = ["p_name", "p_brand", "p_type"]
 
 @query(
     "distribution_categorical",
-    f"SELECT column, sum(count)::BIGINT AS count, count(*)::BIGINT AS cardinality, count(*) > 20 AS high_cardinality "
-    f"FROM ({counts_sql('part', PART_TEXTS)}) GROUP BY column",
+    f"SELECT column_name, sum(count)::BIGINT AS count, count(*)::BIGINT AS cardinality, count(*) > 20 AS high_cardinality "
+    f"FROM ({counts_sql('part', PART_TEXTS)}) GROUP BY column_name",
 )
 def _(spark, sf):
     return distribution(table(spark, sf, "part")).categorical()
@@ -231,8 +231,8 @@ def _(spark, sf):
 
 def top_sql(source: str, names: list[str]) -> str:
     return (
-        f"SELECT column, rank, value, count, round(count / (SELECT count(*) FROM {source})::DOUBLE, 4) AS pct FROM ("
-        f"SELECT *, row_number() OVER (PARTITION BY column ORDER BY count DESC, value)::BIGINT AS rank "
+        f"SELECT column_name, rank, value, count, round(count / (SELECT count(*) FROM {source})::DOUBLE, 4) AS pct FROM ("
+        f"SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY count DESC, value)::BIGINT AS rank "
         f"FROM ({counts_sql(source, names)})) WHERE rank <= 10"
     )
 
@@ -268,7 +268,7 @@ def _(spark, sf):
 
 @query(
     "distribution_target_regression",
-    f"SELECT column AS target, mean, median, std, min, max FROM ({numeric_sql('orders', ['o_totalprice'])})",
+    f"SELECT column_name AS target, mean, median, std, min, max FROM ({numeric_sql('orders', ['o_totalprice'])})",
 )
 def _(spark, sf):
     report = distribution(table(spark, sf, "orders"), target="o_totalprice")
@@ -288,10 +288,10 @@ def _(spark, sf):
 
 @query(
     "distribution_flags",
-    f"""SELECT column, 'skewed' AS type, skewness AS value
+    f"""SELECT column_name, 'skewed' AS type, skewness AS value
     FROM ({profiled_sql('events', ['event_id', 'user_id', 'value'])}) WHERE skew_flag IS NOT NULL
-    UNION ALL SELECT column, 'high_cardinality' AS type, count(*)::DOUBLE AS value
-    FROM ({counts_sql('events', ['ts', 'event_type', 'props'])}) GROUP BY column HAVING count(*) > 20""",
+    UNION ALL SELECT column_name, 'high_cardinality' AS type, count(*)::DOUBLE AS value
+    FROM ({counts_sql('events', ['ts', 'event_type', 'props'])}) GROUP BY column_name HAVING count(*) > 20""",
 )
 def _(spark, sf):
     return distribution(table(spark, sf, "events")).flags()
@@ -303,11 +303,11 @@ def _(spark, sf):
 def gaps_per_column(source: str, names: list[str]) -> str:
     counted = union_sql(
         [
-            f"SELECT '{c}' AS column, count(*) FILTER ({c} IS NULL) AS missing_count, count(*) AS total FROM {source}"
+            f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing_count, count(*) AS total FROM {source}"
             for c in names
         ]
     )
-    return f"""SELECT column, missing_count::BIGINT AS missing_count, missing_pct,
+    return f"""SELECT column_name, missing_count::BIGINT AS missing_count, missing_pct,
         CASE WHEN missing_pct > 0.3 THEN 'high' WHEN missing_pct >= 0.05 THEN 'medium' ELSE 'low' END AS severity,
         (total - missing_count)::BIGINT AS present_count,
         CASE WHEN missing_pct > 0.3 THEN 'critical_missing' WHEN missing_pct >= 0.05 THEN 'high_missing' END AS flag
@@ -321,7 +321,7 @@ def _(spark, sf):
 
 @query(
     "missing_flags",
-    f"SELECT column, flag AS type, missing_pct FROM ({gaps_per_column(GAP_SQL, GAP_COLUMNS)}) WHERE flag IS NOT NULL",
+    f"SELECT column_name, flag AS type, missing_pct FROM ({gaps_per_column(GAP_SQL, GAP_COLUMNS)}) WHERE flag IS NOT NULL",
 )
 def _(spark, sf):
     return missing_values(project(spark, sf, "lineitem", GAPS)).flags()
@@ -366,7 +366,7 @@ def outlier_sql(source: str, names: list[str], method: str) -> str:
     def one(c: str) -> str:
         far = "greatest(0, (mx - q3) / (q3 - q1), (q1 - mn) / (q3 - q1))"
         iqrs = f"CASE WHEN q3 > q1 THEN {far} END" if quart else "NULL::DOUBLE"
-        return f"""SELECT '{c}' AS column, {shown('q1', quart)} AS q1, {shown('q3', quart)} AS q3,
+        return f"""SELECT '{c}' AS column_name, {shown('q1', quart)} AS q1, {shown('q3', quart)} AS q3,
             {shown('q3 - q1', quart)} AS iqr, {shown('q1 - 1.5 * (q3 - q1)', quart)} AS lower_fence,
             {shown('q3 + 1.5 * (q3 - q1)', quart)} AS upper_fence, {shown('mean', zed)} AS mean, {shown('std', zed)} AS std,
             {shown('greatest(mx - mean, mean - mn) / std', zed)} AS z_max, k::BIGINT AS outlier_count,
@@ -390,7 +390,7 @@ for _method in ("iqr", "zscore", "both"):
     "outliers_extremes",
     union_sql(
         [
-            f"""SELECT '{c}' AS column, rank, value FROM (
+            f"""SELECT '{c}' AS column_name, rank, value FROM (
             SELECT row_number() OVER (ORDER BY abs({c} - med) DESC, {c})::BIGINT AS rank, {c} AS value
             FROM {EVENT_SQL}, {outlier_facts(EVENT_SQL, c)} WHERE {mask_sql(c, 'both')}) WHERE rank <= 5"""
             for c in OUTLIER_NAMES
@@ -414,8 +414,8 @@ def _(spark, sf):
 @query(
     "outliers_flags",
     f"""WITH t AS ({outlier_sql(EVENT_SQL, OUTLIER_NAMES, 'iqr')})
-    SELECT column, 'high_outlier_rate' AS type, outlier_pct AS value FROM t WHERE high_outlier_rate
-    UNION ALL SELECT column, 'extreme_outlier' AS type, max_iqrs AS value FROM t WHERE extreme_outlier""",
+    SELECT column_name, 'high_outlier_rate' AS type, outlier_pct AS value FROM t WHERE high_outlier_rate
+    UNION ALL SELECT column_name, 'extreme_outlier' AS type, max_iqrs AS value FROM t WHERE extreme_outlier""",
 )
 def _(spark, sf):
     return outliers(project(spark, sf, "events", EVENT_VALUES), "iqr").flags()
@@ -454,18 +454,18 @@ def profile_sql(source: str, types: dict[str, tuple[str, str]]) -> str:
     def one(i: int, c: str) -> str:
         kind = types[c][1]
         ends = (f"min({c})::DOUBLE", f"max({c})::DOUBLE") if kind == "numeric" else ("NULL::DOUBLE",) * 2
-        return f"""SELECT {i} AS position, '{c}' AS column, '{types[c][0].replace("varchar(20)", "string")}' AS dtype, '{kind}' AS kind,
+        return f"""SELECT {i} AS position, '{c}' AS column_name, '{types[c][0].replace("varchar(20)", "string")}' AS dtype, '{kind}' AS kind,
             count(*) AS n, count({c}) AS present, count(DISTINCT {c}) AS u, {ends[0]} AS min_value, {ends[1]} AS max_value FROM {source}"""
 
     facts = union_sql([one(i, c) for i, c in enumerate(types)])
-    target = r"regexp_matches(column, '(^|[_\s\-])(target|label|y|default|survived|churn|class|outcome|response)($|[_\s\-])')"
-    ident = r"regexp_matches(column, '(^|[_\s\-])(id|index)($|[_\s\-])')"
+    target = r"regexp_matches(column_name, '(^|[_\s\-])(target|label|y|default|survived|churn|class|outcome|response)($|[_\s\-])')"
+    ident = r"regexp_matches(column_name, '(^|[_\s\-])(id|index)($|[_\s\-])')"
     ratio = "u / n::DOUBLE"
     rules = [
         (f"{ident} AND {ratio} > 0.9", "identifier", "identifier", 0.85),
         (f"{target} AND (kind = 'boolean' OR u = 2)", "binary", "target", 0.7),
         (target, "target", "target", 0.85),
-        ("kind = 'datetime' OR column LIKE '%date%' OR column LIKE '%time%'", "datetime", "metadata", 0.9),
+        ("kind = 'datetime' OR column_name LIKE '%date%' OR column_name LIKE '%time%'", "datetime", "metadata", 0.9),
         ("kind = 'boolean' OR u = 2", "binary", "feature", 0.85),
         (f"kind = 'string' AND {ratio} > 0.9", "identifier", "identifier", 0.75),
         ("kind = 'string'", "categorical", "feature", 0.8),
@@ -475,14 +475,14 @@ def profile_sql(source: str, types: dict[str, tuple[str, str]]) -> str:
     def case(at: int, last: str) -> str:
         return "CASE " + " ".join(f"WHEN {r[0]} THEN '{r[at]}'" for r in rules) + f" ELSE '{last}' END"
 
-    return f"""SELECT position, column, dtype, {case(1, 'continuous')} AS semantic_type, {case(2, 'feature')} AS role,
+    return f"""SELECT position, column_name, dtype, {case(1, 'continuous')} AS semantic_type, {case(2, 'feature')} AS role,
         CAST({case(3, '0.8')} AS DOUBLE) AS confidence, present < n AS nullable, u::BIGINT AS unique_count,
         round({ratio}, 4) AS unique_ratio, round((n - present) / n::DOUBLE, 4) AS null_pct, min_value, max_value
         FROM ({facts})"""
 
 
 PROFILE_COLUMNS = [
-    "position", "column", "dtype", "semantic_type", "role", "confidence", "nullable", "unique_count",
+    "position", "column_name", "dtype", "semantic_type", "role", "confidence", "nullable", "unique_count",
     "unique_ratio", "null_pct", "min_value", "max_value",
 ]
 MIXED_PROFILE = profile_sql(MIXED_SQL, MIXED_TYPES)
@@ -498,7 +498,7 @@ def samples_sql(source: str, columns: dict[str, str]) -> str:
     for c, sort in columns.items():
         values = f"SELECT DISTINCT {c} AS v FROM {source} WHERE {c} IS NOT NULL ORDER BY {sort.format('v')} LIMIT 20"
         blocks.append(
-            f"SELECT '{c}' AS column, array_to_string(list(CAST(v AS VARCHAR) ORDER BY {sort.format('v')})[1:5], ',') AS samples, "
+            f"SELECT '{c}' AS column_name, array_to_string(list(CAST(v AS VARCHAR) ORDER BY {sort.format('v')})[1:5], ',') AS samples, "
             f"CASE WHEN (SELECT count(DISTINCT {c}) FROM {source}) <= 20 "
             f"THEN array_to_string(list(CAST(v AS VARCHAR) ORDER BY {sort.format('v')}), ',') END AS all_values FROM ({values})"
         )
@@ -511,21 +511,21 @@ def samples_sql(source: str, columns: dict[str, str]) -> str:
 )
 def _(spark, sf):
     df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-    return profile(df).selectExpr("column", "array_join(samples, ',') AS samples", "array_join(all_values, ',') AS all_values")
+    return profile(df).selectExpr("column_name", "array_join(samples, ',') AS samples", "array_join(all_values, ',') AS all_values")
 
 
 @query(
     "profile_reasoning",
-    """SELECT 'l_returnflag' AS column, 'l_returnflag (string): ' || count(DISTINCT l_returnflag) || ' distinct ['
+    """SELECT 'l_returnflag' AS column_name, 'l_returnflag (string): ' || count(DISTINCT l_returnflag) || ' distinct ['
         || string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) || '] -> categorical feature' AS reasoning FROM lineitem
-    UNION ALL SELECT 'l_quantity' AS column, 'l_quantity (double): ' || count(DISTINCT l_quantity) || ' distinct, range '
+    UNION ALL SELECT 'l_quantity' AS column_name, 'l_quantity (double): ' || count(DISTINCT l_quantity) || ' distinct, range '
         || CAST(min(l_quantity) AS VARCHAR) || ' to ' || CAST(max(l_quantity) AS VARCHAR) || ' -> continuous feature' AS reasoning FROM lineitem
-    UNION ALL SELECT 'l_linestatus' AS column, 'l_linestatus (string): two values ['
+    UNION ALL SELECT 'l_linestatus' AS column_name, 'l_linestatus (string): two values ['
         || string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) || '] -> binary feature' AS reasoning FROM lineitem""",
 )
 def _(spark, sf):
     df = table(spark, sf, "lineitem").select("l_returnflag", "l_quantity", "l_linestatus")
-    return profile(df).select("column", "reasoning")
+    return profile(df).select("column_name", "reasoning")
 
 
 CAST_INPUT = [
@@ -541,13 +541,13 @@ CAST_SQL = subquery("orders", CAST_INPUT)
 
 def edited_profile(spark, df):
     """A profile whose two text columns were marked continuous by hand."""
-    edited = "CASE WHEN column IN ('customer', 'broken') THEN 'continuous' ELSE semantic_type END"
-    return profile(df).selectExpr("position", "column", "dtype", f"{edited} AS semantic_type", "role")
+    edited = "CASE WHEN column_name IN ('customer', 'broken') THEN 'continuous' ELSE semantic_type END"
+    return profile(df).selectExpr("position", "column_name", "dtype", f"{edited} AS semantic_type", "role")
 
 
 @query(
     "cast_status",
-    f"""SELECT 'order_id' AS column, 'dropped' AS status, NULL AS "to", NULL::DOUBLE AS success_rate
+    f"""SELECT 'order_id' AS column_name, 'dropped' AS status, NULL AS "to", NULL::DOUBLE AS success_rate
     UNION ALL SELECT 'response_text', 'skipped', NULL, NULL UNION ALL SELECT 'status', 'skipped', NULL, NULL
     UNION ALL SELECT 'total', 'skipped', NULL, NULL
     UNION ALL SELECT 'customer', CASE WHEN r >= 0.9 THEN 'cast' ELSE 'failed' END, CASE WHEN r >= 0.9 THEN 'double' END, round(r, 4)
@@ -586,20 +586,20 @@ MIXED_NUMBERS = [c for c, t in MIXED_TYPES.items() if t[1] == "numeric"]
     f"""WITH p AS ({MIXED_PROFILE}),
     d AS ({numeric_sql(MIXED_SQL, MIXED_NUMBERS)}),
     o AS ({outlier_sql(MIXED_SQL, MIXED_NUMBERS, 'both')}),
-    hit AS (SELECT column, string_agg(reason, '+' ORDER BY reason) AS reason FROM (
-        SELECT column, 'skewed' AS reason FROM d WHERE abs(skewness) > 1
-        UNION ALL SELECT column, 'outliers' FROM o WHERE outlier_pct > 0.05) GROUP BY column),
-    lg AS (SELECT column, reason FROM p JOIN hit USING (column) WHERE {CONTINUOUS})
-    SELECT 'target' AS rule, column, 'profile' AS reason FROM (SELECT * FROM p WHERE role = 'target' ORDER BY position LIMIT 1)
-    UNION ALL SELECT 'outlier_detection', column, 'profile' FROM p WHERE {CONTINUOUS}
-    UNION ALL SELECT 'scale', column, 'profile' FROM p WHERE {CONTINUOUS}
-    UNION ALL SELECT 'log', column, reason FROM lg
-    UNION ALL SELECT 'log', column, 'fallback' FROM p WHERE {CONTINUOUS} AND NOT EXISTS (SELECT 1 FROM lg)
-    UNION ALL SELECT 'datetime', column, 'profile' FROM (SELECT * FROM p WHERE semantic_type = 'datetime' ORDER BY position LIMIT 1)
-    UNION ALL SELECT 'drop', column, 'profile' FROM p WHERE role = 'identifier'
-    UNION ALL SELECT 'encode', column, 'profile' FROM p
+    hit AS (SELECT column_name, string_agg(reason, '+' ORDER BY reason) AS reason FROM (
+        SELECT column_name, 'skewed' AS reason FROM d WHERE abs(skewness) > 1
+        UNION ALL SELECT column_name, 'outliers' FROM o WHERE outlier_pct > 0.05) GROUP BY column_name),
+    lg AS (SELECT column_name, reason FROM p JOIN hit USING (column_name) WHERE {CONTINUOUS})
+    SELECT 'target' AS rule, column_name, 'profile' AS reason FROM (SELECT * FROM p WHERE role = 'target' ORDER BY position LIMIT 1)
+    UNION ALL SELECT 'outlier_detection', column_name, 'profile' FROM p WHERE {CONTINUOUS}
+    UNION ALL SELECT 'scale', column_name, 'profile' FROM p WHERE {CONTINUOUS}
+    UNION ALL SELECT 'log', column_name, reason FROM lg
+    UNION ALL SELECT 'log', column_name, 'fallback' FROM p WHERE {CONTINUOUS} AND NOT EXISTS (SELECT 1 FROM lg)
+    UNION ALL SELECT 'datetime', column_name, 'profile' FROM (SELECT * FROM p WHERE semantic_type = 'datetime' ORDER BY position LIMIT 1)
+    UNION ALL SELECT 'drop', column_name, 'profile' FROM p WHERE role = 'identifier'
+    UNION ALL SELECT 'encode', column_name, 'profile' FROM p
         WHERE semantic_type IN ('categorical', 'ordinal', 'binary') AND role NOT IN ('target', 'identifier')
-    UNION ALL SELECT 'impute_constant', column, 'profile' FROM ({gaps_per_column(MIXED_SQL, ['disc'])}) WHERE missing_pct > 0.3""",
+    UNION ALL SELECT 'impute_constant', column_name, 'profile' FROM ({gaps_per_column(MIXED_SQL, ['disc'])}) WHERE missing_pct > 0.3""",
 )
 def _(spark, sf):
     df = project(spark, sf, "lineitem", MIXED)
@@ -614,9 +614,9 @@ def _(spark, sf):
 @query(
     "suggest_log_by_skew",
     f"""WITH d AS ({numeric_sql(EVENT_SQL, OUTLIER_NAMES)}), o AS ({outlier_sql(EVENT_SQL, OUTLIER_NAMES, 'both')}),
-    hit AS (SELECT column, 'skewed' AS reason FROM d WHERE abs(skewness) > 1
-        UNION ALL SELECT column, 'outliers' FROM o WHERE outlier_pct > 0.05)
-    SELECT column, string_agg(reason, '+' ORDER BY reason) AS reason FROM hit GROUP BY column""",
+    hit AS (SELECT column_name, 'skewed' AS reason FROM d WHERE abs(skewness) > 1
+        UNION ALL SELECT column_name, 'outliers' FROM o WHERE outlier_pct > 0.05)
+    SELECT column_name, string_agg(reason, '+' ORDER BY reason) AS reason FROM hit GROUP BY column_name""",
 )
 def _(spark, sf):
     df = project(spark, sf, "events", EVENT_VALUES)
@@ -636,7 +636,7 @@ def _(spark, sf):
 
 @query(
     "suggest_impute_constant",
-    f"SELECT column, 'constant' AS strategy, '0' AS constant_value FROM ({gaps_per_column(GAP_SQL, GAP_COLUMNS)}) WHERE missing_pct > 0.3",
+    f"SELECT column_name, 'constant' AS strategy, '0' AS constant_value FROM ({gaps_per_column(GAP_SQL, GAP_COLUMNS)}) WHERE missing_pct > 0.3",
 )
 def _(spark, sf):
     df = project(spark, sf, "lineitem", GAPS)
@@ -651,7 +651,7 @@ def _(spark, sf):
 
 @query(
     "suggest_outlier_section",
-    f"SELECT column, 'both' AS method, outlier_pct, z_max, upper_fence FROM ({outlier_sql(EVENT_SQL, OUTLIER_NAMES, 'both')}) WHERE outlier_count > 0",
+    f"SELECT column_name, 'both' AS method, outlier_pct, z_max, upper_fence FROM ({outlier_sql(EVENT_SQL, OUTLIER_NAMES, 'both')}) WHERE outlier_count > 0",
 )
 def _(spark, sf):
     return outlier_section(outliers(project(spark, sf, "events", EVENT_VALUES)))

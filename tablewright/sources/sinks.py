@@ -43,7 +43,7 @@ class Preview:
         return local_frame(
             self.df.sparkSession,
             [(i, f.name, f.dataType.simpleString(), total) for i, f in enumerate(self.df.schema.fields)],
-            "position long, column string, dtype string, total_rows long",
+            "position long, column_name string, dtype string, total_rows long",
         )
 
 
