@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,12 +15,17 @@ HASH_BITS = 60
 HASH_RANGE = 1 << HASH_BITS
 
 
-def key_hash(df: DataFrame, key: Sequence[str], seed: int) -> Column:
-    """60-bit integer from the MD5 of ``key1|key2|...:seed``; equal in any engine."""
+def key_digits(df: DataFrame, key: Sequence[str], seed: int) -> Column:
+    """First 15 hexadecimal digits of the MD5 of ``key1|key2|...:seed``; equal in any engine."""
     parts = [F.coalesce(as_text(df, name), F.lit("\\N")) for name in key]
-    text = F.concat(F.concat_ws("|", *parts), F.lit(f":{seed}"))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.substring(F.md5(F.concat(F.concat_ws("|", *parts), F.lit(f":{seed}"))), 1, 15)
+
+
+def key_hash(df: DataFrame, key: Sequence[str], seed: int) -> Column:
+    """The same digits as a 60-bit integer."""
+    return F.conv(key_digits(df, key, seed), 16, 10).cast("long")
 
 
-def unit_interval(hashed: Column) -> Column:
-    return hashed / F.lit(float(HASH_RANGE))
+def digits_below(share: float) -> str:
+    """Digits that a given share of all keys sorts before; fixed width, so text order is number order."""
+    return format(math.ceil(share * HASH_RANGE), "015x")

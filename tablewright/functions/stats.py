@@ -10,13 +10,15 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.functions.ranking import bucket_of
+
 #: Aggregates per job. Wider ones spill out of the code generator's method limit.
 AGGREGATES_PER_JOB = 400
-#: Up to this many values per column the built-in exact percentile is used. Its state
-#: is one map of the distinct values in one task, so larger columns are narrowed first.
-DIRECT_QUANTILE_ROWS = 1_000_000
-#: A bracket with at most this many distinct values is read out and cumulated.
-BRACKET_DISTINCT = 20_000
+#: Up to this many values per column the built-in exact percentile is used. Its state is
+#: one map of all distinct values in one task, so larger columns are narrowed first.
+DIRECT_QUANTILE_ROWS = 50_000
+#: A value range holding at most this many rows is read out and cumulated.
+READABLE_ROWS = 5_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -58,6 +60,11 @@ def local_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A finished copy of a report with one line per column, pair, class or split."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def sample_skewness(n: int, g1: float | None, std: float | None) -> float | None:
     """Adjusted Fisher-Pearson skewness from the population form."""
     if n < 3 or std is None:
@@ -96,16 +103,19 @@ def shape_moments() -> dict[str, Callable[[Column], Column]]:
 
 @dataclass
 class _Bracket:
-    """Closed value range known to hold the order statistics ``first`` and ``second``."""
+    """Closed value range known to hold the order statistics ``first`` and ``second``.
+
+    ``lo`` and ``hi`` are None while the range is the whole column.
+    """
 
     column: str
     first: int
     second: int
     weight: float
-    lo: float
-    hi: float
-    below: int
     inside: int
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0
     slack: float = 4.0 / SKETCH_ACCURACY
     readable: bool = False
     answer: tuple[float, float] | None = None
@@ -117,33 +127,24 @@ def quantiles(
     probs: Sequence[float] | dict[str, Sequence[float]],
     counts: dict[str, int],
     direct_rows: int | None = None,
-    bracket_distinct: int | None = None,
+    readable_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of non-null doubles.
 
     ``counts`` are the non-null counts per column, which every caller already has from its
-    moments pass. Small columns take one ``percentile`` job. Larger ones are narrowed with
-    mergeable sketches: each round shrinks the value range around a rank by some thousand
-    times using map-side aggregates only, until few enough distinct values remain to be
-    counted exactly. No round shuffles rows or holds a column in one task.
+    moments pass. Small columns take one ``percentile`` job. Larger ones are narrowed: a
+    round takes one mergeable sketch per column, then counts exactly what lies between the
+    sketched points, which shrinks the range around each rank by about a thousand times.
+    Once few rows are left in a range they are counted by value and read. All counting is
+    combined map-side: no round shuffles rows or holds a column in one task.
     """
     direct_rows = DIRECT_QUANTILE_ROWS if direct_rows is None else direct_rows
-    bracket_distinct = BRACKET_DISTINCT if bracket_distinct is None else bracket_distinct
+    readable_rows = READABLE_ROWS if readable_rows is None else readable_rows
     wanted = probs if isinstance(probs, dict) else {name: list(probs) for name in values}
     result = {name: [None] * len(wanted[name]) for name in values if counts[name] == 0}
     small = [name for name in values if 0 < counts[name] <= direct_rows]
     large = [name for name in values if counts[name] > direct_rows]
-
-    # Columns share a job while their values together stay near the size of one full column.
-    chunks: list[list[str]] = []
-    load = 0
-    for name in small:
-        if not chunks or load + counts[name] > 4 * direct_rows:
-            chunks.append([])
-            load = 0
-        chunks[-1].append(name)
-        load += counts[name]
-    for names in chunks:
+    for names in batched(small, 20):
         row = df.agg(
             *[
                 F.percentile(values[name], F.array(*[F.lit(float(p)) for p in wanted[name]])).alias(f"q{i}")
@@ -151,115 +152,137 @@ def quantiles(
             ]
         ).first()
         result.update({name: list(found) for name, found in zip(names, row)})
-
-    if large:
-        result.update(_narrowed_quantiles(df, values, wanted, counts, large, bracket_distinct))
+    for names in batched(large, 50):
+        result.update(_narrowed_quantiles(df, {n: values[n] for n in names}, wanted, counts, readable_rows))
     return result
 
 
-def _narrowed_quantiles(df, values, wanted, counts, names, bracket_distinct):
-    limits = column_stats(df, {n: values[n] for n in names}, {"min": F.min, "max": F.max})
+def _narrowed_quantiles(df, values, wanted, counts, readable_rows):
     brackets: dict[str, list[_Bracket]] = {}
-    for name in names:
-        n, ends = counts[name], limits[name]
-        brackets[name] = []
+    for name in values:
+        n, brackets[name] = counts[name], []
         for prob in wanted[name]:
             first = math.floor(prob * (n - 1))
-            brackets[name].append(
-                _Bracket(
-                    name, first, min(first + 1, n - 1), prob * (n - 1) - first,
-                    ends["min"], ends["max"], 0, n,
-                )
-            )
+            brackets[name].append(_Bracket(name, first, min(first + 1, n - 1), prob * (n - 1) - first, n))
     every = [b for held in brackets.values() for b in held]
     while pending := [b for b in every if b.answer is None and not b.readable]:
-        for chunk in batched(pending, 40):
-            _shrink(df, values, chunk, bracket_distinct)
-    for chunk in batched([b for b in every if b.answer is None], 40):
-        _read_out(df, values, chunk)
+        _shrink(df, values, pending, readable_rows)
+    if rest := [b for b in every if b.answer is None]:
+        _read_out(df, values, rest)
     return {
         name: [b.answer[0] + (b.answer[1] - b.answer[0]) * b.weight for b in held]
         for name, held in brackets.items()
     }
 
 
-def _shrink(df: DataFrame, values: dict[str, Column], brackets: Sequence[_Bracket], enough: int) -> None:
-    """One round: sketch inside each bracket, then count exactly what the guesses enclose."""
-    guesses = []
-    for i, b in enumerate(brackets):
-        span = max(b.inside - 1, 1)
-        low = max(0.0, (b.first - b.below) / span - b.slack)
-        high = min(1.0, (b.second - b.below) / span + b.slack)
-        value = values[b.column]
-        guesses.append(
-            F.percentile_approx(
-                F.when(value.between(b.lo, b.hi), value), [low, high], SKETCH_ACCURACY
-            ).alias(f"g{i}")
-        )
-    ends = df.agg(*guesses).first()
-
-    exprs = []
-    for i, b in enumerate(brackets):
-        value, (lo, hi) = values[b.column], ends[i]
-        held = F.when(value.between(lo, hi), value)
-        exprs += [
-            F.count(F.when(value < lo, 1)).alias(f"below{i}"),
-            F.count(held).alias(f"inside{i}"),
-            F.approx_count_distinct(held).alias(f"distinct{i}"),
-            F.count(F.when(value == lo, 1)).alias(f"at_lo{i}"),
-            F.count(F.when(value == hi, 1)).alias(f"at_hi{i}"),
-            F.min(F.when((value > lo) & (value <= hi), value)).alias(f"after_lo{i}"),
-            F.max(F.when((value < hi) & (value >= lo), value)).alias(f"before_hi{i}"),
-        ]
-    row = df.agg(*exprs).first()
-    for i, b in enumerate(brackets):
-        below, inside = row[f"below{i}"], row[f"inside{i}"]
-        if not (below <= b.first and b.second < below + inside):
-            b.slack *= 8
-            continue
-        b.lo, b.hi, b.below, b.inside = ends[i][0], ends[i][1], below, inside
-        b.readable = row[f"distinct{i}"] <= enough
-        if not b.readable:
-            _strip_ends(b, row[f"at_lo{i}"], row[f"at_hi{i}"], row[f"after_lo{i}"], row[f"before_hi{i}"])
-
-
-def _strip_ends(b: _Bracket, at_lo: int, at_hi: int, after_lo: float, before_hi: float) -> None:
-    """Cut the two end values off, so that a value held by very many rows cannot stall a bracket."""
-    low_end = b.below + at_lo
-    high_start = b.below + b.inside - at_hi
-    if b.second < low_end:
-        b.answer = (b.lo, b.lo)
-    elif b.first >= high_start:
-        b.answer = (b.hi, b.hi)
-    elif b.first < low_end:
-        b.answer = (b.lo, after_lo)
-    elif b.second >= high_start:
-        b.answer = (before_hi, b.hi)
-    else:
-        b.lo, b.hi = after_lo, before_hi
-        b.below, b.inside = low_end, high_start - low_end
+def _shrink(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket], readable_rows: int) -> None:
+    """One round: sketch inside the brackets, then count between the sketched points."""
+    shared: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        shared.setdefault((b.column, b.lo, b.hi), []).append(b)
+    sketches = []
+    for i, ((name, lo, hi), held) in enumerate(shared.items()):
+        value = values[name] if lo is None else F.when(values[name].between(lo, hi), values[name])
+        at = []
+        for b in held:
+            span = max(b.inside - 1, 1)
+            at.append(max(0.0, min(1.0, (b.first - b.below) / span - b.slack)))
+            at.append(max(0.0, min(1.0, (b.second - b.below) / span + b.slack)))
+        sketches.append(F.percentile_approx(value, at, SKETCH_ACCURACY).alias(f"g{i}"))
+    points = df.agg(*sketches).first()
+    ends = {}
+    for found, held in zip(points, shared.values()):
+        for j, b in enumerate(held):
+            ends[id(b)] = (found[2 * j], found[2 * j + 1])
+    names = list({b.column for b in brackets})
+    cuts = {name: sorted({e for b in brackets if b.column == name for e in ends[id(b)]}) for name in names}
+    bands = _band_counts(df, {name: values[name] for name in names}, cuts)
+    for b in brackets:
+        _adopt(b, *ends[id(b)], cuts[b.column], bands[b.column], readable_rows)
+
+
+def _band_counts(df: DataFrame, values: dict[str, Column], cuts: dict[str, list[float]]) -> dict[str, dict]:
+    """``{column: {band: (count, min, max)}}``; band 2i is the values between two cuts,
+    band 2i + 1 the rows equal to cut i."""
+    cells = []
+    for i, (name, value) in enumerate(values.items()):
+        at = bucket_of(value, cuts[name])
+        band = F.when(value.isin(*cuts[name]), 2 * at - 1).otherwise(2 * at)
+        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("id"), band.alias("band"), value.alias("v"))))
+    rows = (
+        df.select(F.explode(F.array(*cells)).alias("cell"))
+        .where("cell is not null")
+        .groupBy("cell.id", "cell.band")
+        .agg(F.count(F.lit(1)), F.min("cell.v"), F.max("cell.v"))
+        .collect()
+    )
+    found: dict[str, dict] = {name: {} for name in values}
+    names = list(values)
+    for i, band, n, least, most in rows:
+        found[names[i]][band] = (n, least, most)
+    return found
 
 
-def _read_out(df: DataFrame, values: dict[str, Column], brackets: Sequence[_Bracket]) -> None:
-    """Count the few distinct values left in every bracket and pick the wanted ranks."""
-    tagged = F.array(
-        *[
-            F.when(
-                values[b.column].between(b.lo, b.hi),
-                F.struct(F.lit(i).alias("id"), values[b.column].alias("v")),
-            )
-            for i, b in enumerate(brackets)
-        ]
-    )
-    grouped = (
-        df.select(F.explode(tagged).alias("t")).where("t is not null").groupBy("t.id", "t.v").count().collect()
+def _adopt(b: _Bracket, lo: float, hi: float, cuts: list[float], bands: dict, readable_rows: int) -> None:
+    """Settle the two ranks, or move to the range strictly between ``lo`` and ``hi``.
+
+    The end values themselves are always split off, so that a value held by very many rows
+    cannot stall a bracket.
+    """
+    at_lo, at_hi = 2 * cuts.index(lo) + 1, 2 * cuts.index(hi) + 1
+    below = sum(held[0] for band, held in bands.items() if band < at_lo)
+    low_end = below + bands[at_lo][0]
+    high_start = sum(held[0] for band, held in bands.items() if band < at_hi)
+    high_end = high_start + bands[at_hi][0]
+    if b.first < below or b.second >= high_end:
+        b.slack *= 8
+        return
+    inner = [held for band, held in bands.items() if at_lo < band < at_hi]
+
+    def settled(rank: int) -> float | None:
+        if rank < low_end:
+            return lo
+        return hi if rank >= high_start else None
+
+    first, second = settled(b.first), settled(b.second)
+    if first is None and second is None:
+        b.lo, b.hi = min(held[1] for held in inner), max(held[2] for held in inner)
+        b.below, b.inside = low_end, high_start - low_end
+        b.readable = b.inside <= readable_rows
+        if b.lo == b.hi:
+            b.answer = (b.lo, b.hi)
+        return
+    if first is None:
+        first = max(held[2] for held in inner)
+    if second is None:
+        second = min(held[1] for held in inner)
+    b.answer = (first, second)
+
+
+def _read_out(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
+    """Count the few rows left in every bracket by value and pick the wanted ranks."""
+    names = list({b.column for b in brackets})
+    cells, wanted = [], F.lit(False)
+    for i, name in enumerate(names):
+        held = F.lit(False)
+        for lo, hi in {(b.lo, b.hi) for b in brackets if b.column == name}:
+            held = held | values[name].between(lo, hi)
+        wanted = wanted | F.coalesce(held, F.lit(False))
+        cells.append(F.when(held, F.struct(F.lit(i).alias("id"), values[name].alias("v"))))
+    rows = (
+        df.where(wanted)
+        .select(F.explode(F.array(*cells)).alias("cell"))
+        .where("cell is not null")
+        .groupBy("cell.id", "cell.v")
+        .count()
+        .collect()
     )
-    tables: dict[int, list[tuple[float, int]]] = {}
-    for r in grouped:
-        tables.setdefault(r["id"], []).append((r["v"], r["count"]))
-    for i, b in enumerate(brackets):
+    tables: dict[str, list[tuple[float, int]]] = {name: [] for name in names}
+    for i, value, held in rows:
+        tables[names[i]].append((value, held))
+    for b in brackets:
         picks, seen = [], b.below
-        for value, held in sorted(tables[i]):
+        for value, held in sorted(v for v in tables[b.column] if b.lo <= v[0] <= b.hi):
             seen += held
-            picks += [value for rank in (b.first, b.second)[len(picks):] if rank < seen]
+            picks += [value for rank in (b.first, b.second)[len(picks) :] if rank < seen]
         b.answer = (picks[0], picks[1])

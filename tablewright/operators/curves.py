@@ -213,11 +213,10 @@ class Curves:
 
     def _spread(self, points: DataFrame, x: str, y: str) -> DataFrame:
         """At most ``MAX_POINTS`` evenly spaced points per class, first and last included."""
-        sizes = {r["class"]: r["n"] for r in points.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}
-        rows = [(c, i) for c, n in sizes.items() for i in thinned(n)]
-        wanted = local_frame(self.predictions.sparkSession, rows, "class string, i long")
+        sizes = points.groupBy("class").agg(F.count(F.lit(1)).alias("total"))
         return (
-            points.join(F.broadcast(wanted), ["class", "i"])
+            points.join(sizes, "class")
+            .where(is_kept(F.col("i"), F.col("total")))
             .select("class", "i", F.round(x, 6).alias(x), F.round(y, 6).alias(y))
             .orderBy("class", "i")
         )
@@ -258,12 +257,15 @@ class Curves:
         return self._spread(points.unionByName(last), "recall", "precision")
 
 
-def thinned(n: int, keep: int = MAX_POINTS) -> list[int]:
-    """Evenly spaced positions out of ``n``, ends included."""
-    if n <= keep:
-        return list(range(n))
-    step = (n - 1) / (keep - 1)
-    return sorted({int(i * step) for i in range(keep - 1)} | {n - 1})
+def is_kept(i: Column, total: Column, keep: int = MAX_POINTS) -> Column:
+    """True for the positions floor(j * step), 0 <= j < keep - 1, and for the last one."""
+    step = (total - 1) / F.lit(float(keep - 1))
+    near = F.floor(i / step)
+
+    def on_grid(j: Column) -> Column:
+        return (j < keep - 1) & (F.floor(j * step) == i)
+
+    return (total <= keep) | (i == total - 1) | on_grid(near) | on_grid(near + 1)
 
 
 def curves(predictions: DataFrame) -> Curves:

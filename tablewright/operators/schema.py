@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from tablewright.functions.columns import (
     DATETIME_TYPES,
+    FLOAT_TYPES,
+    INTEGER_TYPES,
     NUMERIC_TYPES,
     OPAQUE_TYPES,
     STRING_TYPES,
@@ -116,25 +118,33 @@ def _reasoning() -> Column:
 
 
 def distinct_values(df: DataFrame) -> DataFrame:
-    """``(column_name, value, sort_key)``: each distinct value of each column once."""
+    """``(column_name, value, sort_key)``: each distinct value of each column once.
+
+    Numbers are grouped as numbers and printed only once per distinct value.
+    """
     cells = []
-    for field in df.schema.fields:
-        number = (
-            measured(df, field.name) if isinstance(field.dataType, NUMERIC_TYPES) else F.lit(None).cast("double")
-        )
-        cells.append(
-            F.struct(
-                F.lit(field.name).alias("column_name"),
-                as_text(df, field.name).alias("value"),
-                number.alias("sort_key"),
-            )
-        )
+    for i, field in enumerate(df.schema.fields):
+        whole, real, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
+        if isinstance(field.dataType, INTEGER_TYPES):
+            whole = col(field.name).cast("long")
+        elif isinstance(field.dataType, FLOAT_TYPES):
+            real = measured(df, field.name) + F.lit(0.0)
+        else:
+            text = as_text(df, field.name)
+        cells.append(F.struct(F.lit(i).alias("id"), whole.alias("whole"), real.alias("real"), text.alias("text")))
+    names = F.array(*[F.lit(c) for c in df.columns])
+    numeric = F.array(*[F.lit(isinstance(f.dataType, NUMERIC_TYPES)) for f in df.schema.fields])
+    sort_text = F.when(numeric[F.col("id")], F.col("text").try_cast("double"))
     return (
         df.select(F.explode(F.array(*cells)).alias("cell"))
         .select("cell.*")
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.min("sort_key").alias("sort_key"))
+        .where("whole is not null or real is not null or text is not null")
+        .distinct()
+        .select(
+            names[F.col("id")].alias("column_name"),
+            F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")).alias("value"),
+            F.coalesce(F.col("whole").cast("double"), F.col("real"), sort_text).alias("sort_key"),
+        )
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import FLOAT_TYPES, as_text, col, dtype, require_target, resolve_columns
-from tablewright.functions.hashing import key_hash, unit_interval
+from tablewright.functions.hashing import digits_below, key_digits, key_hash
 from tablewright.functions.stats import local_frame
 from tablewright.splits import Splits
 
@@ -67,11 +67,15 @@ def random_split(
         return _by_class(df, stratify, val_size, test_size, seed, _key(df, key))
     if order_by:
         return _sequential(df, order_by, test_size, val_size)
-    hashed = key_hash(df, _key(df, key), seed)
     if not exact:
-        u = unit_interval(hashed)
-        part = F.when(u < test_size, "test").when(u < test_size + val_size, "val").otherwise("train")
+        digits = key_digits(df, _key(df, key), seed)
+        part = (
+            F.when(digits < digits_below(test_size), "test")
+            .when(digits < digits_below(test_size + val_size), "val")
+            .otherwise("train")
+        )
         return Assignment(df.withColumn("split", part))
+    hashed = key_hash(df, _key(df, key), seed)
     n_test, n_val = exact_sizes(df.count(), test_size, val_size)
     counts = local_frame(
         df.sparkSession, [("", n_test, n_test + n_val)], "_class string, cut_test long, cut_val long"

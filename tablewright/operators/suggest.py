@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.stats import settled
 from tablewright.operators.correlation import CorrelationReport
 from tablewright.operators.distribution import DistributionReport
 from tablewright.operators.missing import MissingReport
@@ -62,7 +63,7 @@ class Suggestions:
         for name in ("profile", "correlation", "distribution", "missing", "outliers"):
             frame = getattr(self, name)
             if frame is not None:
-                object.__setattr__(self, name, frame.sparkSession.createDataFrame(frame.collect(), frame.schema))
+                object.__setattr__(self, name, settled(frame))
 
     def target(self) -> DataFrame:
         """The first column with the target role."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -204,6 +205,24 @@ class _Prepared:
     def assembled(self, df: DataFrame) -> DataFrame:
         return self.assembler.transform(df).select(self.label(df).alias(LABEL), FEATURES)
 
+    def fit(self, estimator, work: DataFrame | None = None):
+        """Fit on persisted rows: MLlib reads its input several times."""
+        with persisted(self.assembled(self.train) if work is None else work) as held:
+            return estimator.fit(held)
+
+
+@contextmanager
+def persisted(df: DataFrame):
+    """Keep rows for the passes of one fit, on at least as many partitions as there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
 
 def _literal_type(class_type: str) -> str:
     return class_type if class_type in ("string", "boolean") else "double" if class_type in ("float", "double") else "bigint"
@@ -284,7 +303,7 @@ def decision_tree(
             log.warning("criterion %s is not available for regression; using squared_error", criterion)
             criterion = "squared_error"
         estimator = DecisionTreeRegressor(impurity="variance", **common)
-    model = estimator.fit(ready.assembled(train))
+    model = ready.fit(estimator)
     params = {"max_depth": max_depth, "min_samples_split": min_samples_split, "criterion": criterion}
     return _trained("decision_tree", ready, [model], params)
 
@@ -302,7 +321,7 @@ def random_forest(
         featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators, maxDepth=_depth(max_depth),
         minInstancesPerNode=_leaf_rows(min_samples_split), seed=SEED,
     )
-    model = estimator.fit(ready.assembled(train))
+    model = ready.fit(estimator)
     params = {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_split": min_samples_split}
     return _trained("random_forest", ready, [model], params)
 
@@ -325,7 +344,8 @@ def linear_regression(
     estimator = LinearRegression(
         featuresCol=features, labelCol=LABEL, solver=solver, regParam=0.0, fitIntercept=fit_intercept, standardization=False
     )
-    stages.append(estimator.fit(work))
+    # The normal equations take a single pass, so there is nothing to keep.
+    stages.append(estimator.fit(work) if solver == "normal" else ready.fit(estimator, work))
     return _trained("linear_regression", ready, stages, {"fit_intercept": fit_intercept, "normalize": normalize})
 
 
@@ -343,7 +363,7 @@ def logistic_regression(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=max_iter, standardization=False,
         regParam=0.0 if free else 1.0 / (C * ready.rows), elasticNetParam=1.0 if penalty == "l1" else 0.0,
     )
-    model = estimator.fit(ready.assembled(train))
+    model = ready.fit(estimator)
     return _trained("logistic_regression", ready, [model], {"C": C, "max_iter": max_iter, "penalty": penalty})
 
 
@@ -396,20 +416,15 @@ def gradient_boosting(
         minInstancesPerNode=max(1, int(min_child_weight)), minInfoGain=gamma,
     )
     stop = early_stopping_rounds if val is not None and early_stopping_rounds > 0 and not val.isEmpty() else 0
-    work = ready.assembled(train).persist(StorageLevel.MEMORY_AND_DISK)
-    held = ready.assembled(val).persist(StorageLevel.MEMORY_AND_DISK) if stop else None
-    try:
-        stages, history, rounds = [], [], []
+    stages, history, rounds = [], [], []
+    keep_val = persisted(ready.assembled(val)) if stop else nullcontext()
+    with persisted(ready.assembled(train)) as work, keep_val as held:
         for index, label in _boosted_labels(ready):
             model, found, used = _boost(work, held, index, settings, n_estimators, stop)
             stages.append(model)
             history += [(label, *row) for row in found]
             if stop:
                 rounds.append(used - 1)
-    finally:
-        work.unpersist()
-        if held is not None:
-            held.unpersist()
     params = dict(
         learning_rate=learning_rate, n_estimators=n_estimators, max_depth=max_depth, subsample=subsample,
         early_stopping_rounds=early_stopping_rounds, colsample=colsample, min_child_weight=min_child_weight, gamma=gamma,

@@ -147,7 +147,12 @@ def _(spark, sf):
     return Encoder("one_hot", "priority").fit(parts.train).apply(parts).tagged()
 
 
-@query("encode_one_hot_sparse")
+@query(
+    "encode_one_hot_sparse",
+    f"""SELECT o_orderkey, '(' || (SELECT count(*) FROM {code_sql('cust')}) || ',' ||
+    CASE WHEN code IS NULL THEN '[],[]' ELSE '[' || code || '],[1.0]' END || ')' AS cust_onehot
+    FROM {CATEGORY_SQL} s LEFT JOIN {code_sql('cust')} m ON s.cust = m.v WHERE split = 'test'""",
+)
 def _(spark, sf):
     """Too many categories for a column each: one sparse vector column."""
     parts = split_table(spark, sf, "orders", ORDER_KEY, CATEGORIES)
@@ -273,6 +278,20 @@ def _(spark, sf):
     )
 
 
+#: Log-likelihood of every exponent on a grid of hundredths.
+LIKELIHOOD = f"""(SELECT lam, -count(*) / 2.0::DOUBLE * ln(var_pop(t)) + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS fit FROM (
+    SELECT lam, x, CASE WHEN x >= 0 THEN CASE WHEN lam = 0 THEN ln(1 + x) ELSE ((1 + x) ** lam - 1) / lam END
+        ELSE CASE WHEN lam = 2 THEN -ln(1 - x) ELSE -((1 - x) ** (2 - lam) - 1) / (2 - lam) END END AS t
+    FROM (SELECT small AS x FROM {BALANCE_SQL}), (SELECT i / 100.0::DOUBLE AS lam FROM range(-100, 301) r(i))) GROUP BY lam)"""
+
+
+@query("log_yeo_johnson_exponent", f"SELECT 'small' AS column_name, round(max_by(lam, fit), 2) AS exponent FROM {LIKELIHOOD}")
+def _(spark, sf):
+    df = project(spark, sf, "customer", BALANCES)
+    fitted = LogTransform("yeo_johnson", "small").fit(df)
+    return fitted.info(spark).where("status = 'transformed'").select("column_name", F.round("exponent", 2).alias("exponent"))
+
+
 @query("log_yeo_johnson")
 def _(spark, sf):
     df = project(spark, sf, "customer", BALANCES)

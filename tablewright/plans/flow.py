@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from tablewright.operators.metrics import classification_metrics, regression_metrics
@@ -17,6 +18,7 @@ class Outcome:
     splits: Splits
     steps: list
     model: TrainedModel
+    kept: list
 
     def predictions(self) -> Splits:
         return self.model.predictions(self.splits)
@@ -25,6 +27,11 @@ class Outcome:
         report = classification_metrics if self.model.task == "classification" else regression_metrics
         return report(self.predictions()).metrics()
 
+    def release(self) -> None:
+        """Give back the rows kept since ``run``."""
+        for frame in self.kept:
+            frame.unpersist()
+
 
 def prepare(splits: Splits, steps: Sequence) -> tuple[Splits, list]:
     """Fit every step on the training part as left by the step before, apply it to all parts."""
@@ -37,9 +44,24 @@ def prepare(splits: Splits, steps: Sequence) -> tuple[Splits, list]:
 
 
 def run(
-    splits: Splits, steps: Sequence, train: Callable[..., TrainedModel], target: str, use_val: bool = False, **params
+    splits: Splits,
+    steps: Sequence,
+    train: Callable[..., TrainedModel],
+    target: str,
+    use_val: bool = False,
+    keep: StorageLevel | None = StorageLevel.MEMORY_AND_DISK,
+    **params,
 ) -> Outcome:
+    """Prepare, train, and hand back everything needed to judge the model.
+
+    The steps and the model read the input several times, so its selected columns are kept
+    until ``release``; pass ``keep=None`` where reading again is cheaper than keeping.
+    """
+    kept = []
+    if keep is not None and splits.source is not None:
+        kept.append(splits.source.persist(keep))
+        splits = Splits.of(kept[0])
     ready, fitted = prepare(splits, steps)
     if use_val:
         params["val"] = ready.val
-    return Outcome(ready, fitted, train(ready.train, target, **params))
+    return Outcome(ready, fitted, train(ready.train, target, **params), kept)

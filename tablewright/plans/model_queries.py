@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.stats import settled
 from tablewright.operators.comparison import compare_models
 from tablewright.operators.dates import DatetimeEncoder
 from tablewright.operators.encode import Encoder
@@ -168,7 +169,12 @@ def _(spark, sf):
     return target_distribution(splits(spark, sf, THREE).train, "y")
 
 
-@query("training_info")
+@query(
+    "training_info",
+    f"""SELECT * FROM (VALUES ('model_type', 'linear_regression'), ('task', 'regression'), ('target', 'y'), ('features', 'qty,disc'),
+    ('param.fit_intercept', 'True'), ('param.normalize', 'False')) AS t(name, value)
+    UNION ALL SELECT 'intercept', CAST(round(my - b1 * mx - b2 * mz, 6) + 0.0 AS VARCHAR) FROM {OLS}""",
+)
 def _(spark, sf):
     return linear_regression(splits(spark, sf, NUMBER).train, "y").info(spark)
 
@@ -189,14 +195,31 @@ def _(spark, sf):
     return feature_importance(linear_regression(splits(spark, sf, NUMBER).train, "y")).features(spark)
 
 
-@query("feature_importance_top")
+LARGER = "round(greatest(abs(b1), abs(b2)) / (abs(b1) + abs(b2)), 6)"
+LARGER_NAME = "CASE WHEN abs(b1) >= abs(b2) THEN 'qty' ELSE 'disc' END"
+
+
+@query(
+    "feature_importance_top",
+    f"""SELECT {LARGER_NAME} AS feature, 1::BIGINT AS rank, {LARGER} AS importance FROM {OLS}
+    UNION ALL SELECT 'other', 2, round(least(abs(b1), abs(b2)) / (abs(b1) + abs(b2)), 6) FROM {OLS}""",
+)
+def _(spark, sf):
+    return feature_importance(linear_regression(splits(spark, sf, NUMBER).train, "y")).top(spark, 1)
+
+
+@query(
+    "feature_importance_flags",
+    f"""SELECT 'dominant_feature' AS type, {LARGER_NAME} AS feature, {LARGER} AS value FROM {OLS} WHERE {LARGER} > 0.5
+    UNION ALL SELECT 'scaling', NULL, NULL""",
+)
 def _(spark, sf):
-    return feature_importance(random_forest(splits(spark, sf, YES_NO).train, "y", 10, 5)).top(spark, 2)
+    return feature_importance(linear_regression(splits(spark, sf, NUMBER).train, "y")).flags(spark)
 
 
-@query("feature_importance_flags")
+@query("feature_importance_forest")
 def _(spark, sf):
-    return feature_importance(logistic_regression(splits(spark, sf, YES_NO).train, "y")).flags(spark)
+    return feature_importance(random_forest(splits(spark, sf, YES_NO).train, "y", 10, 5)).features(spark)
 
 
 @query("model_comparison")
@@ -241,7 +264,10 @@ def whole_job(spark, sf):
         DatetimeEncoder("shipped", "year,month,weekday"),
         Scaler("StandardScaler", "qty,price,disc", target="y"),
     ]
-    return run(parts, steps, logistic_regression, "y", max_iter=50).metrics()
+    outcome = run(parts, steps, logistic_regression, "y", max_iter=50)
+    metrics = settled(outcome.metrics())
+    outcome.release()
+    return metrics
 
 
 @query("whole_job")
