@@ -153,7 +153,10 @@ def quantiles(
         ).first()
         result.update({name: list(found) for name, found in zip(names, row)})
     for names in batched(large, 50):
-        result.update(_narrowed_quantiles(df, {n: values[n] for n in names}, wanted, counts, readable_rows))
+        # As plain columns: each value is compared many times but should be computed once.
+        work = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
+        plain = {n: F.col(f"v{i}") for i, n in enumerate(names)}
+        result.update(_narrowed_quantiles(work, plain, wanted, counts, readable_rows))
     return result
 
 
@@ -204,13 +207,15 @@ def _shrink(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket],
 def _band_counts(df: DataFrame, values: dict[str, Column], cuts: dict[str, list[float]]) -> dict[str, dict]:
     """``{column: {band: (count, min, max)}}``; band 2i is the values between two cuts,
     band 2i + 1 the rows equal to cut i."""
-    cells = []
+    placed, cells = {}, []
     for i, (name, value) in enumerate(values.items()):
-        at = bucket_of(value, cuts[name])
+        placed[f"at{i}"] = F.when(value.isNotNull(), bucket_of(value, cuts[name]))
+        at = F.col(f"at{i}")
         band = F.when(value.isin(*cuts[name]), 2 * at - 1).otherwise(2 * at)
-        cells.append(F.when(value.isNotNull(), F.struct(F.lit(i).alias("id"), band.alias("band"), value.alias("v"))))
+        cells.append(F.when(at.isNotNull(), F.struct(F.lit(i).alias("id"), band.alias("band"), value.alias("v"))))
     rows = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
+        df.withColumns(placed)
+        .select(F.explode(F.array(*cells)).alias("cell"))
         .where("cell is not null")
         .groupBy("cell.id", "cell.band")
         .agg(F.count(F.lit(1)), F.min("cell.v"), F.max("cell.v"))
@@ -259,18 +264,30 @@ def _adopt(b: _Bracket, lo: float, hi: float, cuts: list[float], bands: dict, re
     b.answer = (first, second)
 
 
+def _merged(ranges: set[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Overlapping ranges joined, in order."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _read_out(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket]) -> None:
     """Count the few rows left in every bracket by value and pick the wanted ranks."""
     names = list({b.column for b in brackets})
-    cells, wanted = [], F.lit(False)
+    held, cells = {}, []
     for i, name in enumerate(names):
-        held = F.lit(False)
-        for lo, hi in {(b.lo, b.hi) for b in brackets if b.column == name}:
-            held = held | values[name].between(lo, hi)
-        wanted = wanted | F.coalesce(held, F.lit(False))
-        cells.append(F.when(held, F.struct(F.lit(i).alias("id"), values[name].alias("v"))))
+        ranges = _merged({(b.lo, b.hi) for b in brackets if b.column == name})
+        at = bucket_of(values[name], [lo for lo, _ in ranges])
+        end = F.try_element_at(F.array(*[F.lit(hi) for _, hi in ranges]), F.greatest(at, F.lit(1)))
+        held[f"in{i}"] = F.coalesce((values[name] >= ranges[0][0]) & (values[name] <= end), F.lit(False))
+        cells.append(F.when(F.col(f"in{i}"), F.struct(F.lit(i).alias("id"), values[name].alias("v"))))
     rows = (
-        df.where(wanted)
+        df.withColumns(held)
+        .where(F.greatest(F.lit(False), *[F.col(c) for c in held]))
         .select(F.explode(F.array(*cells)).alias("cell"))
         .where("cell is not null")
         .groupBy("cell.id", "cell.v")

@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, log, numeric_columns, require_distinct_names, resolve_columns
+from tablewright.functions.keep import persisted
 from tablewright.functions.stats import collect_aggregates, column_stats
 from tablewright.operators.fitted import Projection
 
@@ -53,8 +53,8 @@ def fit_exponents(df: DataFrame, values: dict[str, Column]) -> dict[str, float]:
     the last three gives the peak. A handful of passes, whatever the number of rows.
     """
     names = list(values)
-    work = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    narrow = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
+    with persisted(narrow) as work:
         cols = {n: F.col(f"v{i}") for i, n in enumerate(names)}
         facts = column_stats(
             work,
@@ -87,8 +87,6 @@ def fit_exponents(df: DataFrame, values: dict[str, Column]) -> dict[str, float]:
                     peak[n] = _vertex(grids[n], scores, best)
                     settled[n] += 1
         return {n: peak.get(n, 1.0) for n in names}
-    finally:
-        work.unpersist()
 
 
 def _vertex(grid: list[float], scores: list[float], best: int) -> float:

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, numeric_columns, require_distinct_names, require_target
+from tablewright.functions.keep import persisted
 from tablewright.functions.ranking import bucket_of
-from tablewright.functions.stats import column_stats, local_frame, quantiles
+from tablewright.functions.stats import column_stats, local_frame, quantiles, settled
 from tablewright.operators.fitted import Projection
 
 METHODS = ("variance_threshold", "correlation_with_target", "mutual_information")
@@ -74,7 +75,13 @@ class FeatureSelector:
         return local_frame(train.sparkSession, rows, "feature string, score double")
 
     def _mutual_information(self, train: DataFrame, values: dict[str, Column]) -> DataFrame:
-        return mutual_information(train, values, as_double(train, self.target))
+        if not values:
+            return local_frame(train.sparkSession, [], "feature string, score double")
+        # Read five times, so the numeric columns are kept for the duration.
+        narrow = train.select(*[value.alias(f"f{i}") for i, value in enumerate(values.values())], as_double(train, self.target).alias("t"))
+        with persisted(narrow) as held:
+            plain = {name: F.col(f"f{i}") for i, name in enumerate(values)}
+            return settled(mutual_information(held, plain, F.col("t")))
 
 
 def _finite(value: Column) -> Column:
@@ -98,19 +105,24 @@ def mutual_information(df: DataFrame, values: dict[str, Column], target: Column)
         probs["x", n] = probs["y", n] = inner
         counts["x", n] = counts["y", n] = size
     edges = quantiles(df, pairs, probs, counts)
-    cells, unscored = [], []
+    cells, unscored, placed = [], [], {}
     for n, size in sizes.items():
         if size < 2:
             unscored.append((n, None if size == 0 else 0.0))
             continue
-        xb = bucket_of(values[n], sorted(set(edges["x", n])))
-        yb = bucket_of(target, sorted(set(edges["y", n])))
-        cells.append(F.when(both[n], F.struct(F.lit(n).alias("feature"), xb.alias("xb"), yb.alias("yb"))))
+        at = len(cells)
+        placed[f"x{at}"], placed[f"y{at}"] = pairs["x", n], pairs["y", n]
+        xb = bucket_of(F.col(f"x{at}"), sorted(set(edges["x", n])))
+        yb = bucket_of(F.col(f"y{at}"), sorted(set(edges["y", n])))
+        cells.append(
+            F.when(F.col(f"x{at}").isNotNull(), F.struct(F.lit(n).alias("feature"), xb.alias("xb"), yb.alias("yb")))
+        )
     fixed = local_frame(df.sparkSession, unscored, "feature string, score double")
     if not cells:
         return fixed
     joint = (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
+        df.select(*[value.alias(name) for name, value in placed.items()])
+        .select(F.explode(F.array(*cells)).alias("cell"))
         .where("cell is not null")
         .groupBy("cell.feature", "cell.xb", "cell.yb")
         .count()

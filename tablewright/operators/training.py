@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 import math
-from contextlib import contextmanager, nullcontext
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -23,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import NUMERIC_TYPES, col, dtype, log, missing, require_target
+from tablewright.functions.keep import persisted
 from tablewright.functions.stats import local_frame
 from tablewright.operators.curves import PROB_PREFIX
 from tablewright.operators.tasks import detect_task
@@ -211,19 +211,6 @@ class _Prepared:
             return estimator.fit(held)
 
 
-@contextmanager
-def persisted(df: DataFrame):
-    """Keep rows for the passes of one fit, on at least as many partitions as there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    held = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield held
-    finally:
-        held.unpersist()
-
-
 def _literal_type(class_type: str) -> str:
     return class_type if class_type in ("string", "boolean") else "double" if class_type in ("float", "double") else "bigint"
 

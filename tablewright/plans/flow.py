@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from tablewright.functions.keep import keep as keep_rows
 from tablewright.operators.metrics import classification_metrics, regression_metrics
 from tablewright.operators.training import TrainedModel
 from tablewright.splits import Splits
@@ -59,7 +60,7 @@ def run(
     """
     kept = []
     if keep is not None and splits.source is not None:
-        kept.append(splits.source.persist(keep))
+        kept.append(keep_rows(splits.source, keep))
         splits = Splits.of(kept[0])
     ready, fitted = prepare(splits, steps)
     if use_val:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.keep import persisted
 from tablewright.functions.stats import settled
 from tablewright.operators.comparison import compare_models
 from tablewright.operators.dates import DatetimeEncoder
@@ -26,6 +27,7 @@ from tablewright.plans.flow import run
 from tablewright.plans.inputs import LINE_KEY, part_sql, split_sql, split_table
 from tablewright.plans.registry import query
 from tablewright.session import scratch_dir
+from tablewright.splits import Splits
 
 #: A learnable yes/no target over line items.
 YES_NO = [
@@ -47,8 +49,14 @@ def splits(spark, sf, exprs):
     return split_table(spark, sf, "lineitem", LINE_KEY, exprs)
 
 
+def fitted_and_scored(spark, sf, exprs, train):
+    """Train on the training part, then size and quality of the predictions of every part."""
+    with persisted(splits(spark, sf, exprs).tagged()) as tagged:
+        parts = Splits.of(tagged)
+        return settled(scored(train(parts.train), parts))
+
+
 def scored(model, parts):
-    """Size and quality of the predictions of every part."""
     tagged = model.predictions(parts).tagged()
     if model.task == "regression":
         return tagged.groupBy("split").agg(
@@ -63,44 +71,37 @@ def scored(model, parts):
 
 @query("decision_tree")
 def _(spark, sf):
-    parts = splits(spark, sf, YES_NO)
-    return scored(decision_tree(parts.train, "y"), parts)
+    return fitted_and_scored(spark, sf, YES_NO, lambda train: decision_tree(train, "y"))
 
 
 @query("decision_tree_regression")
 def _(spark, sf):
-    parts = splits(spark, sf, NUMBER)
-    return scored(decision_tree(parts.train, "y", max_depth=6, criterion="squared_error"), parts)
+    return fitted_and_scored(spark, sf, NUMBER, lambda train: decision_tree(train, "y", max_depth=6, criterion="squared_error"))
 
 
 @query("random_forest")
 def _(spark, sf):
-    parts = splits(spark, sf, THREE)
-    return scored(random_forest(parts.train, "y", n_estimators=20, max_depth=6), parts)
+    return fitted_and_scored(spark, sf, THREE, lambda train: random_forest(train, "y", n_estimators=20, max_depth=6))
 
 
 @query("logistic_regression")
 def _(spark, sf):
-    parts = splits(spark, sf, YES_NO)
-    return scored(logistic_regression(parts.train, "y"), parts)
+    return fitted_and_scored(spark, sf, YES_NO, lambda train: logistic_regression(train, "y"))
 
 
 @query("logistic_regression_classes")
 def _(spark, sf):
-    parts = splits(spark, sf, THREE)
-    return scored(logistic_regression(parts.train, "y", max_iter=200), parts)
+    return fitted_and_scored(spark, sf, THREE, lambda train: logistic_regression(train, "y", max_iter=200))
 
 
 @query("gradient_boosting")
 def _(spark, sf):
-    parts = splits(spark, sf, YES_NO)
-    return scored(gradient_boosting(parts.train, "y", n_estimators=10, max_depth=4), parts)
+    return fitted_and_scored(spark, sf, YES_NO, lambda train: gradient_boosting(train, "y", n_estimators=10, max_depth=4))
 
 
 @query("gradient_boosting_classes")
 def _(spark, sf):
-    parts = splits(spark, sf, THREE)
-    return scored(gradient_boosting(parts.train, "y", n_estimators=5, max_depth=4), parts)
+    return fitted_and_scored(spark, sf, THREE, lambda train: gradient_boosting(train, "y", n_estimators=5, max_depth=4))
 
 
 @query("xgboost_history")
@@ -224,12 +225,13 @@ def _(spark, sf):
 
 @query("model_comparison")
 def _(spark, sf):
-    parts = splits(spark, sf, YES_NO)
-    models = {
-        "tree": decision_tree(parts.train, "y", max_depth=5),
-        "logistic": logistic_regression(parts.train, "y"),
-    }
-    return compare_models(models, parts.test).table()
+    with persisted(splits(spark, sf, YES_NO).tagged()) as tagged:
+        parts = Splits.of(tagged)
+        models = {
+            "tree": decision_tree(parts.train, "y", max_depth=5),
+            "logistic": logistic_regression(parts.train, "y"),
+        }
+        return settled(compare_models(models, parts.test).table())
 
 
 @query("model_save_load", f"SELECT count(*)::BIGINT AS rows, count(*)::BIGINT AS same FROM {split_sql('lineitem', LINE_KEY, NUMBER)} WHERE split = 'test'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from tablewright.functions.keep import persisted
 from tablewright.operators.correlation import correlation
 from tablewright.operators.distribution import distribution
 from tablewright.operators.missing import missing_values
@@ -602,13 +603,13 @@ MIXED_NUMBERS = [c for c, t in MIXED_TYPES.items() if t[1] == "numeric"]
     UNION ALL SELECT 'impute_constant', column_name, 'profile' FROM ({gaps_per_column(MIXED_SQL, ['disc'])}) WHERE missing_pct > 0.3""",
 )
 def _(spark, sf):
-    df = project(spark, sf, "lineitem", MIXED)
-    return Suggestions(
-        profile(df),
-        distribution=distribution_section(distribution(df)),
-        missing=missing_section(missing_values(df)),
-        outliers=outlier_section(outliers(df)),
-    ).table()
+    with persisted(project(spark, sf, "lineitem", MIXED)) as df:
+        return Suggestions(
+            profile(df),
+            distribution=distribution_section(distribution(df)),
+            missing=missing_section(missing_values(df)),
+            outliers=outlier_section(outliers(df)),
+        ).table()
 
 
 @query(

@@ -24,8 +24,3 @@ def spark():
     yield session
     session.stop()
 
-
-def rows(df, *order):
-    """Collected rows as tuples, sorted."""
-    found = [tuple(r) for r in df.collect()]
-    return sorted(found, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r)) if not order else found
