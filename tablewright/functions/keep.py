@@ -6,6 +6,19 @@ from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a look-up table of a few numbers each that is sent to every task (some 30 MB).
+BROADCAST_ROWS = 500_000
+
+
+def lookup(table: DataFrame, rows: int) -> DataFrame:
+    """A look-up table for a join, broadcast when its counted size allows it.
+
+    Spark cannot foresee the size of an aggregate, and would shuffle the large side of the
+    join before it finds out.
+    """
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
 def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
@@ -15,9 +28,11 @@ def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> D
     that scans as one task is spread first.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df.persist(level)
+    held = df.persist(level)
+    if held.rdd.getNumPartitions() < cores:
+        held.unpersist()
+        held = df.repartition(cores).persist(level)
+    return held
 
 
 @contextmanager

@@ -13,6 +13,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.functions.keep import lookup
+
 #: Keys one task may order by itself. More keys are cut into several buckets.
 KEYS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 2_000
@@ -106,7 +108,8 @@ def running_totals(
         *[F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_off_{name}") for name in totals],
         *[F.lead(f"_first_{name}").over(over).alias(f"_next_{name}") for name in follow],
     )
-    joined = ranked.join(offsets, [*groups, "_bucket"])
+    n_groups = len(cuts) if isinstance(cuts, dict) else 1
+    joined = ranked.join(lookup(offsets, n_groups * MAX_BUCKETS), [*groups, "_bucket"])
     shifted = {name: F.col(name) + F.col(f"_off_{name}") for name in totals}
     shifted |= {name: F.coalesce(F.col(name), F.col(f"_next_{name}")) for name in follow}
     extra = ["_bucket", *[f"_off_{n}" for n in totals], *[f"_next_{n}" for n in follow]]

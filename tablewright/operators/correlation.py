@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import measured, numeric_columns, resolve_columns
+from tablewright.functions.keep import lookup
 from tablewright.functions.ranking import average_ranks
 from tablewright.functions.stats import collect_aggregates, column_stats, local_frame
 
@@ -196,15 +197,14 @@ def spearman_pairs(
 def _ranked_pearson(work, names, pairs, facts, per_bucket):
     """Replace each column by its rank through an equi-join on the value, then correlate.
 
-    The value table is small for columns with few values (Spark broadcasts it when its
-    measured size allows); for the others the shuffle join on the value is split by AQE
-    where one value holds very many rows.
+    The rank table of a column with few values is broadcast; for the others the shuffle
+    join on the value is split by AQE where one value holds very many rows.
     """
     ranked = work.select(*[F.col(f"`{n}`").alias(f"_v{i}") for i, n in enumerate(names)])
     base = ranked
     for i, name in enumerate(names):
         ranks = average_ranks(base, str(i), F.col(f"_v{i}"), facts[name]["distinct"], per_bucket)
-        ranked = ranked.join(ranks, F.col(f"_v{i}") == F.col(f"_key_{i}")).drop(f"_v{i}", f"_key_{i}")
+        ranked = ranked.join(lookup(ranks, facts[name]["distinct"]), F.col(f"_v{i}") == F.col(f"_key_{i}")).drop(f"_v{i}", f"_key_{i}")
     aggregates = {}
     index = {name: i for i, name in enumerate(names)}
     for a, b in pairs:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, as_text, col, dtype, is_numeric
+from tablewright.functions.keep import lookup
 from tablewright.functions.ranking import cut_points, running_totals
 from tablewright.functions.stats import local_frame
 
@@ -215,7 +216,7 @@ class Curves:
         """At most ``MAX_POINTS`` evenly spaced points per class, first and last included."""
         sizes = points.groupBy("class").agg(F.count(F.lit(1)).alias("total"))
         return (
-            points.join(sizes, "class")
+            points.join(lookup(sizes, len(self.scored)), "class")
             .where(is_kept(F.col("i"), F.col("total")))
             .select("class", "i", F.round(x, 6).alias(x), F.round(y, 6).alias(y))
             .orderBy("class", "i")
@@ -245,7 +246,7 @@ class Curves:
     def pr(self) -> DataFrame:
         """Curve points from full recall down to (0, 1)."""
         counted = self._steps.groupBy("class").agg(F.count(F.lit(1)).alias("steps"))
-        points = self._steps.join(counted, "class").select(
+        points = self._steps.join(lookup(counted, len(self.scored)), "class").select(
             "class",
             (F.col("steps") - 1 - F.col("index")).alias("i"),
             (F.col("tp") / F.col("positives")).alias("recall"),

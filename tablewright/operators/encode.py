@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_distinct_names, resolve_columns, string_columns
+from tablewright.functions.keep import lookup
 from tablewright.functions.ranking import cut_points, running_totals
 from tablewright.functions.stats import column_stats
 from tablewright.operators.fitted import Fitted
@@ -19,7 +20,7 @@ METHODS = ("label", "ordinal", "one_hot")
 UNKNOWN = ("encode_as_unknown", "error")
 #: Dictionaries up to this size become a literal in the projection; larger ones a join.
 LITERAL_CATEGORIES = 1_000
-#: Nulls are spread over this many join keys, none of which exists in a dictionary.
+#: Nulls are spread over this many join keys.
 NULL_SALTS = 256
 
 
@@ -47,7 +48,11 @@ class Encoder:
         names = resolve_columns(train, self.columns) or string_columns(train)
         names = [name for name in names if name != self.target]
         facts = (
-            column_stats(train, {n: col(n) for n in names}, {"present": F.count, "distinct": F.approx_count_distinct})
+            column_stats(
+                train,
+                {n: col(n).cast("string") for n in names},
+                {"present": F.count, "distinct": F.approx_count_distinct, "longest": lambda c: F.max(F.octet_length(c))},
+            )
             if names
             else {}
         )
@@ -57,13 +62,20 @@ class Encoder:
         for name, found in _read_categories(train, likely, self.literal_categories).items():
             if len(found) <= self.literal_categories:
                 small[name] = found
-        large = {n: _dictionary(train, n, facts[n]["distinct"]) for n in names if n not in small}
+        # Sized as if every category were as long as the longest, in units of 32 bytes.
+        large = {
+            n: Dictionary(
+                _dictionary(train, n, facts[n]["distinct"]), facts[n]["distinct"] * (1 + facts[n]["longest"] // 32)
+            )
+            for n in names
+            if n not in small
+        }
         hot = {}
         if self.method == "one_hot":
             for name, table in large.items():
                 hot[name] = OneHotEncoder(
                     inputCol="_code", outputCol=f"{name}_onehot", dropLast=True, handleInvalid="keep"
-                ).fit(table.select(F.col("code").cast("double").alias("_code")))
+                ).fit(table.table.select(F.col("code").cast("double").alias("_code")))
         return FittedEncoder(self.method, self.handle_unknown, tuple(names), small, large, hot)
 
 
@@ -94,13 +106,21 @@ def _dictionary(train: DataFrame, name: str, n_distinct: int, per_bucket: int |
     return running_totals(keyed, "value", {"code": "one"}, cuts).select("value", F.col("code").cast("long").alias("code"))
 
 
+@dataclass(frozen=True)
+class Dictionary:
+    """``(value, code)`` of one column and an upper estimate of its size."""
+
+    table: DataFrame
+    size: int
+
+
 @dataclass(frozen=True)
 class FittedEncoder(Fitted):
     method: str
     handle_unknown: str
     names: tuple[str, ...]
     small: dict[str, list[str]]
-    large: dict[str, DataFrame]
+    large: dict[str, Dictionary]
     hot: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -147,7 +167,7 @@ class FittedEncoder(Fitted):
         for name in self.names:
             if name in self.large and name in df.columns:
                 values = df.select(col(name).cast("string").alias("value")).where("value is not null").distinct()
-                fresh = values.join(self.large[name], "value", "left_anti")
+                fresh = values.join(lookup(self.large[name].table, self.large[name].size), "value", "left_anti")
                 out = out.unionByName(fresh.select(F.lit(name).alias("column_name"), "value"))
         return out
 
@@ -156,7 +176,7 @@ class FittedEncoder(Fitted):
         rows = [(n, v, i) for n, values in self.small.items() for i, v in enumerate(values)]
         out = spark.createDataFrame(rows, "column_name string, value string, code long")
         for name, table in self.large.items():
-            out = out.unionByName(table.select(F.lit(name).alias("column_name"), "value", "code"))
+            out = out.unionByName(table.table.select(F.lit(name).alias("column_name"), "value", "code"))
         return out
 
     def _literal_code(self, name: str) -> Column:
@@ -166,16 +186,17 @@ class FittedEncoder(Fitted):
         return F.coalesce(known, F.lit(-1)).cast("long")
 
     def _joined_code(self, df: DataFrame, name: str, out: str) -> DataFrame:
-        """Left join on the value; nulls carry a salt so that they do not meet in one task."""
+        """Left join on the value; nulls get one of many stand-in keys so that they do not
+        meet in one task, and -1 whatever the join finds."""
         text = col(name).cast("string")
-        salt = F.when(text.isNull(), F.lit(1) + F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(NULL_SALTS))).otherwise(F.lit(0))
-        table = self.large[name].select(F.col("value").alias("_value"), F.lit(0).cast("long").alias("_salt"), F.col("code").alias("_code"))
-        joined = df.withColumns({"_text": text, "_at": salt.cast("long")}).join(
-            table, (F.col("_text") == F.col("_value")) & (F.col("_at") == F.col("_salt")), "left"
-        )
-        return joined.withColumn(out, F.coalesce("_code", F.lit(-1)).cast("long")).drop(
-            "_text", "_at", "_value", "_salt", "_code"
+        spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(NULL_SALTS))
+        key = F.coalesce(text, F.concat(F.lit("\0null "), spread.cast("string")))
+        table = self.large[name].table.select(F.col("value").alias("_value"), F.col("code").alias("_found"))
+        joined = df.withColumns({"_key": key, "_null": text.isNull()}).join(
+            lookup(table, self.large[name].size), F.col("_key") == F.col("_value"), "left"
         )
+        code = F.when(~F.col("_null"), F.col("_found"))
+        return joined.withColumn(out, F.coalesce(code, F.lit(-1)).cast("long")).drop("_key", "_null", "_value", "_found")
 
     def _one_hot(self, df: DataFrame, names: list[str]) -> DataFrame:
         added = {

@@ -47,11 +47,10 @@ class Imputer:
         require_distinct_names(train)
         listed = resolve_columns(train, self.columns)
         names = [c for c in (listed or train.columns) if c != self.target]
-        facts = column_stats(
-            train,
-            {name: col(name) for name in names},
-            {"present": F.count, "rows": lambda _: F.count(F.lit(1)), "distinct": F.approx_count_distinct},
-        )
+        measures = {"present": F.count, "rows": lambda _: F.count(F.lit(1))}
+        if self.strategy == "mode":
+            measures["distinct"] = F.approx_count_distinct
+        facts = column_stats(train, {name: col(name) for name in names}, measures)
         if not listed:
             names = [n for n in names if facts[n]["present"] < facts[n]["rows"]]
         usable = []

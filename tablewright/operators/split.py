@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import FLOAT_TYPES, as_text, col, dtype, require_target, resolve_columns
 from tablewright.functions.hashing import digits_below, key_digits, key_hash
+from tablewright.functions.keep import lookup
 from tablewright.functions.stats import local_frame
 from tablewright.splits import Splits
 
@@ -141,10 +142,11 @@ def _cut(
     """Place rows by comparing their code with two thresholds of their class.
 
     Only (class, code) pairs are looked at to find the thresholds; the rows themselves meet
-    a table of one line per class, which Spark broadcasts when it is small.
+    a table of one line per class, which is broadcast unless there are very many classes.
     """
     codes = df.select(label.alias("_class"), code.alias("_code"))
-    thresholds = class_thresholds(codes, cuts)
+    sizes = class_sizes(codes)
+    thresholds = lookup(class_thresholds(codes, cuts, sizes), sizes.classes)
     placed = (
         F.when(F.col("_code") <= F.col("t_test"), parts[0])
         .when(F.col("_code") <= F.col("t_val"), parts[1])
@@ -159,7 +161,20 @@ def _cut(
     return Assignment(tagged)
 
 
-def class_thresholds(codes: DataFrame, cuts: DataFrame, per_ranking: int | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class ClassSizes:
+    classes: int
+    largest: int
+
+
+def class_sizes(codes: DataFrame) -> ClassSizes:
+    found = codes.groupBy("_class").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    return ClassSizes(found[0], found[1] or 0)
+
+
+def class_thresholds(
+    codes: DataFrame, cuts: DataFrame, sizes: ClassSizes, per_ranking: int | None = None
+) -> DataFrame:
     """``(_class, t_test, t_val)``: codes of the rows at two positions of each class.
 
     A position of 0 has no threshold (null). Classes small enough for one task are ranked
@@ -177,20 +192,19 @@ def class_thresholds(codes: DataFrame, cuts: DataFrame, per_ranking: int | None
             )
         ).alias("w"),
     ).select("_class", "w.which", "w.rank").where("rank > 0")
-    largest = codes.groupBy("_class").count().agg(F.max("count")).first()[0] or 0
-    if largest <= per_ranking:
+    if sizes.largest <= per_ranking:
         order = Window.partitionBy("_class").orderBy("_code")
         ranked = codes.select("_class", "_code", F.row_number().over(order).cast("long").alias("rank"))
-        found = wanted.join(ranked, ["_class", "rank"])
+        found = ranked.join(lookup(wanted, 2 * sizes.classes), ["_class", "rank"])
     else:
-        found = _radix_selection(codes, wanted)
+        found = _radix_selection(codes, wanted, sizes.classes)
     return found.groupBy("_class").agg(
         F.max(F.when(F.col("which") == "t_test", F.col("_code"))).alias("t_test"),
         F.max(F.when(F.col("which") == "t_val", F.col("_code"))).alias("t_val"),
     )
 
 
-def _radix_selection(codes: DataFrame, wanted: DataFrame) -> DataFrame:
+def _radix_selection(codes: DataFrame, wanted: DataFrame, classes: int) -> DataFrame:
     """Code at each wanted (class, rank), without ordering rows."""
     low = codes.agg(F.min("_code"), F.max("_code")).first()
     shift_by, span = low[0], low[1] - low[0]
@@ -204,7 +218,7 @@ def _radix_selection(codes: DataFrame, wanted: DataFrame) -> DataFrame:
         open_groups = state.select("_class", "prefix").distinct()
         counted = (
             work.withColumn("prefix", F.shiftright("_code", rest + step))
-            .join(open_groups, ["_class", "prefix"])
+            .join(lookup(open_groups, 2 * classes), ["_class", "prefix"])
             .groupBy("_class", "prefix", F.shiftright("_code", rest).alias("next"))
             .count()
         )

@@ -272,3 +272,14 @@ def test_mutual_information_brute_force(spark):
     df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
     found = mutual_information(df, {"x": F.col("x")}, F.col("y")).first()["score"]
     assert found == pytest.approx(expected, rel=1e-9)
+
+
+def test_nulls_are_spread_before_a_shuffled_join(spark, monkeypatch):
+    monkeypatch.setattr("tablewright.functions.keep.BROADCAST_ROWS", 0)
+    df = spark.createDataFrame([(i, None if i % 3 else f"v{i % 5}") for i in range(300)], "i int, s string")
+    step = Encoder("label", literal_categories=0).fit(df)
+    joined = step._joined_code(df, "s", "s")
+    found = {(r["s"] is None, r["code"]) for r in df.join(joined.withColumnRenamed("s", "code"), "i").collect()}
+    assert found == {(True, -1), *[(False, k) for k in range(5)]}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "(_key#" in plan

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators.split import (
+    class_sizes,
     class_thresholds,
     exact_sizes,
     random_split,
@@ -79,8 +80,10 @@ def test_thresholds_by_bits_equal_thresholds_by_rank(spark):
     cuts = df.groupBy("_class").count().select(
         "_class", F.floor(F.col("count") * 0.2).alias("cut_test"), F.floor(F.col("count") * 0.5).alias("cut_val")
     )
-    a = sorted(map(tuple, class_thresholds(df, cuts).collect()))
-    b = sorted(map(tuple, class_thresholds(df, cuts, per_ranking=10).collect()))
+    found = class_sizes(df)
+    assert (found.classes, found.largest) == (8, 1000)
+    a = sorted(map(tuple, class_thresholds(df, cuts, found).collect()))
+    b = sorted(map(tuple, class_thresholds(df, cuts, found, per_ranking=10).collect()))
     assert a == b and len(a) == 8
 
 
