@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.ranking import bucket_of
 
-#: Aggregates per job. Wider ones spill out of the code generator's method limit.
-AGGREGATES_PER_JOB = 400
+#: Aggregates per job: the methods generated for wider ones grow too long for the JIT
+#: compiler. A job reads only its own columns, so narrow jobs read no more in total.
+AGGREGATES_PER_JOB = 64
+#: Columns whose cells are exploded and counted by one job, for the same reason.
+COLUMNS_PER_JOB = 10
 #: Up to this many values per column the built-in exact percentile is used. Its state is
 #: one map of all distinct values in one task, so larger columns are narrowed first.
 DIRECT_QUANTILE_ROWS = 50_000
@@ -152,7 +155,7 @@ def quantiles(
             ]
         ).first()
         result.update({name: list(found) for name, found in zip(names, row)})
-    for names in batched(large, 50):
+    for names in batched(large, COLUMNS_PER_JOB):
         # As plain columns: each value is compared many times but should be computed once.
         work = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
         plain = {n: F.col(f"v{i}") for i, n in enumerate(names)}

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tablewright.functions.ranking import average_ranks
 from tablewright.functions.stats import collect_aggregates, column_stats, local_frame
 
 HIGH = 0.8
+#: With more complete columns than this, pairs come from one matrix product.
+GRAM_COLUMNS = 12
 PAIR_SCHEMA = "method string, a string, b string, r double, abs_r double, high boolean"
 METHODS = ("pearson", "spearman", "both")
 
@@ -140,12 +144,17 @@ def pearson_pairs(
     """
     solid = {name for name in values if _is_complete(facts[name])}
     result: dict[tuple[str, str], float | None] = {}
-    aggregates: dict = {}
+    aggregates: dict[tuple, Column] = {}
     centred = {name: values[name] - F.lit(facts[name]["mean"]) for name in solid if not _is_constant(facts[name])}
     live = [pair for pair in pairs if not (_is_constant(facts[pair[0]]) or _is_constant(facts[pair[1]]))]
     dense = [pair for pair in live if pair[0] in solid and pair[1] in solid]
     gappy = [pair for pair in live if pair not in set(dense)]
-    for name in {name for pair in dense for name in pair}:
+    names = sorted({name for pair in dense for name in pair})
+    if len(names) > GRAM_COLUMNS:
+        gram = _matrix(df, values, names)
+        result.update({(a, b): float(gram[names.index(a)][names.index(b)]) for a, b in dense})
+        dense, names = [], []
+    for name in names:
         aggregates[("s", name)] = F.sum(centred[name])
         aggregates[("ss", name)] = F.sum(centred[name] * centred[name])
     for a, b in dense:
@@ -157,6 +166,8 @@ def pearson_pairs(
         )
     found = collect_aggregates(df, aggregates) if aggregates else {}
     for a, b in pairs:
+        if (a, b) in result:
+            continue
         if (a, b) in gappy:
             result[a, b] = found["r", a, b]
         elif ("sp", a, b) in found:
@@ -171,6 +182,13 @@ def pearson_pairs(
     return result
 
 
+def _matrix(df: DataFrame, values: dict[str, Column], names: list[str]):
+    """All pairs of many complete columns at once, from MLlib's one-pass matrix product."""
+    plain = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
+    vectors = VectorAssembler(inputCols=plain.columns, outputCol="v").transform(plain).select("v")
+    return Correlation.corr(vectors, "v").first()[0].toArray()
+
+
 def spearman_pairs(
     df: DataFrame,
     values: dict[str, Column],

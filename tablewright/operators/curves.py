@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, as_text, col, dtype, is_numeric
+from tablewright.functions.columns import as_double, as_text, col, is_numeric
 from tablewright.functions.keep import lookup
 from tablewright.functions.ranking import cut_points, running_totals
 from tablewright.functions.stats import local_frame

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import as_text, measured, numeric_columns, parse_columns
 from tablewright.functions.ranking import bucket_of
 from tablewright.functions.stats import (
+    COLUMNS_PER_JOB,
+    batched,
     column_stats,
     local_frame,
     quantiles,
@@ -35,21 +37,24 @@ NUMERIC_SCHEMA = (
 
 
 def value_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``(column_name, value, count)`` of non-missing values, all columns in one shuffle.
+    """``(column_name, value, count)`` of non-missing values, some columns per pass.
 
     Counts are combined before the shuffle, so a value that fills a column sends one row
     per task.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(name).alias("column_name"), as_text(df, name).alias("value")) for name in names]
-    )
-    return (
-        df.select(F.explode(pairs).alias("cell"))
-        .select("cell.column_name", "cell.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    frames = []
+    for chunk in batched(names, COLUMNS_PER_JOB):
+        pairs = F.array(
+            *[F.struct(F.lit(name).alias("column_name"), as_text(df, name).alias("value")) for name in chunk]
+        )
+        frames.append(
+            df.select(F.explode(pairs).alias("cell"))
+            .select("cell.column_name", "cell.value")
+            .where(F.col("value").isNotNull())
+            .groupBy("column_name", "value")
+            .agg(F.count(F.lit(1)).alias("count"))
+        )
+    return reduce(DataFrame.unionByName, frames)
 
 
 def skew_flag(skewness: Column) -> Column:
@@ -111,11 +116,15 @@ class DistributionReport:
             inner = bucket_of(value, edges[name][1:-1])
             cells.append(F.when(value.isNotNull(), F.struct(F.lit(name).alias("column_name"), inner.alias("bin"))))
             grid += [(name, i, edges[name][i], edges[name][i + 1]) for i in range(BINS)]
-        counted = (
-            self.df.select(F.explode(F.array(*cells)).alias("cell"))
-            .where("cell is not null")
-            .groupBy("cell.column_name", "cell.bin")
-            .count()
+        counted = reduce(
+            DataFrame.unionByName,
+            [
+                self.df.select(F.explode(F.array(*chunk)).alias("cell"))
+                .where("cell is not null")
+                .groupBy("cell.column_name", "cell.bin")
+                .count()
+                for chunk in batched(cells, COLUMNS_PER_JOB)
+            ],
         )
         bins = local_frame(self.df.sparkSession, grid, "column_name string, bin long, lo double, hi double")
         return bins.join(counted, ["column_name", "bin"], "left").select(
@@ -127,6 +136,8 @@ class DistributionReport:
         )
 
     def _other_counts(self) -> DataFrame:
+        if not self.other_names:
+            return local_frame(self.df.sparkSession, [], "column_name string, value string, count long")
         return value_counts(self.df, self.other_names)
 
     def categorical(self) -> DataFrame:

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import measured, numeric_columns, resolve_columns
-from tablewright.functions.stats import collect_aggregates, column_stats, local_frame, moments, quantiles
+from tablewright.functions.stats import (
+    COLUMNS_PER_JOB,
+    batched,
+    collect_aggregates,
+    column_stats,
+    local_frame,
+    moments,
+    quantiles,
+)
 
 METHODS = ("iqr", "zscore", "both")
 HIGH_RATE = 0.01
@@ -134,11 +142,15 @@ class OutlierReport:
         if not cells:
             return local_frame(self.df.sparkSession, [], "column_name string, rank long, value double")
         order = Window.partitionBy("column_name").orderBy(F.col("distance").desc(), "value")
+        found = reduce(
+            DataFrame.unionByName,
+            [
+                self.df.select(F.explode(F.array(*chunk)).alias("cell")).where("cell is not null").select("cell.*")
+                for chunk in batched(cells, COLUMNS_PER_JOB)
+            ],
+        )
         return (
-            self.df.select(F.explode(F.array(*cells)).alias("cell"))
-            .where("cell is not null")
-            .select("cell.*")
-            .withColumn("rank", F.row_number().over(order))
+            found.withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k)
             .select("column_name", F.col("rank").cast("long").alias("rank"), "value")
         )

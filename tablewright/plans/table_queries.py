@@ -10,7 +10,7 @@ from tablewright.operators.drop import ColumnDropper
 from tablewright.operators.metrics import prediction_summary
 from tablewright.operators.missing import missing_values
 from tablewright.operators.scale import Scaler
-from tablewright.plans.inputs import BINARY, GAP_COLUMNS, GAPS, project, subquery, table
+from tablewright.plans.inputs import GAP_COLUMNS, GAPS, project, subquery, table
 from tablewright.plans.registry import query
 from tablewright.plans.report_queries import GAP_SQL, gaps_per_column
 from tablewright.session import scratch_dir
