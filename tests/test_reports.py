@@ -171,3 +171,17 @@ def test_suggestions_without_reports(spark):
     assert [r["reason"] for r in found.log_columns().collect()] == ["fallback", "fallback"]
     assert found.interaction_pairs().first()["r"] == 1.0
     assert found.selector().count() == 1
+
+
+def test_correlation_of_many_columns(spark, monkeypatch):
+    monkeypatch.setattr("tablewright.operators.correlation.GRAM_COLUMNS", 3)
+    r = np.random.default_rng(5)
+    frame = pd.DataFrame(r.normal(size=(200, 5)), columns=list("abcde"))
+    frame["e"] = frame.a * 2 - frame.b
+    frame["flat"] = 1.5
+    expected = frame.corr()
+    for (_, a, b), value in pair_map(correlation(spark.createDataFrame(frame))).items():
+        if "flat" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(expected.loc[a, b], abs=1e-6)
