@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, warc
+from tablewright.llm import bpe, exact_dedup, language_id, token_counts, warc
 from tablewright.llm.common import importable
 from tablewright.plans.inputs import table
 from tablewright.plans.registry import Query, Runner
@@ -44,3 +44,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = exact_dedup.exact_duplicates(docs)
     return found.select("doc_id", "keep_id", "group_size", "kept", exact_dedup.full_hash("text").alias("text_sha256"))
+
+
+@query("op3_bpe_chunks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with chunk reuse and decoded again."""
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact histogram of encoded lengths with its running sums, one row per context limit that makes a difference."""
+    return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
