@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, token_counts, warc
+from tablewright.llm import bpe, exact_dedup, language_id, lm_scoring, token_counts, topk, warc
 from tablewright.llm.common import importable
 from tablewright.plans.inputs import table
 from tablewright.plans.registry import Query, Runner
@@ -61,3 +61,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact histogram of encoded lengths with its running sums, one row per context limit that makes a difference."""
     return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents")))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents")).select(*columns)
+
+
+@query(
+    "op4_topk_products",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[]) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+      (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_of_embeddings(table(spark, sf_dir, "embeddings"))
