@@ -24,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import stored
 
-STRATUM_ROWS = 8192
+#: Most rows of a stratum; smaller tables get smaller strata, one per core, of LEAST_ROWS at least.
+STRATUM_ROWS = 65_536
+LEAST_ROWS = 2048
 QUERY_BLOCK = 256
 RUN_ROWS = 1024
 HEAD_ROWS = 2048
@@ -39,13 +41,18 @@ _EXACT = float(1 << 53)
 LONG_MIN, LONG_MAX = -(1 << 63), (1 << 63) - 1
 
 
+def _whole(x: Column) -> Column:
+    """floor(256 x) as a double; from 2**53 on every double is whole, while floor() would end at the largest long."""
+    y = x * 256
+    return F.when(F.abs(y) < F.lit(_EXACT), F.floor(y).cast("double")).otherwise(y)
+
+
 def whole_vectors(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
     """id and floor(256 x) of the rows that take part, and the vector's length."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     good = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).filter(F.col("id").isNotNull() & F.col("x").isNotNull())
-    rows = rows.filter(good).select("id", F.transform("x", lambda v: F.floor(v * 256).cast("double")).alias("v"))
-    # floor() of a huge double saturates as a long; such components are kept as they are (whole anyway)
+    rows = rows.filter(good).select("id", F.transform("x", _whole).alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, v: a + v * v)))
 
 
@@ -108,16 +115,24 @@ class Side:
         return out
 
 
-def products(queries: Side, candidates: Side, q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of the pairs (q[i], c[i])."""
-    width = queries.whole.shape[1]
-    if queries.largest * candidates.largest * max(width, 1) < _EXACT:
+def _lowered(scores: np.ndarray) -> np.ndarray:
+    """Scores as doubles that are not above them."""
+    out = scores.astype(np.float64)
+    return np.where(np.abs(out) < _EXACT, out, out - np.abs(out) * 2.0**-50)
+
+
+def products(queries: Side, candidates: Side, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Exact inner products of the pairs of rows."""
+    q, c = pairs
+    if queries.largest * candidates.largest * max(queries.whole.shape[1], 1) < _EXACT:
+        if len(q) > 0.1 * len(queries.ids) * len(candidates.ids):
+            return (queries.whole @ candidates.whole.T)[q, c].astype(np.int64)
         out = np.empty(len(q), np.int64)
         for a in range(0, len(q), 65_536):
             z = slice(a, a + 65_536)
             out[z] = np.einsum("ij,ij->i", queries.whole[q[z]], candidates.whole[c[z]]).astype(np.int64)
         return out
-    exact = [sum(int(x) * int(y) for x, y in zip(queries.whole[i], candidates.whole[j], strict=True)) for i, j in zip(q, c, strict=True)]
+    exact = (sum(int(x) * int(y) for x, y in zip(queries.whole[i], candidates.whole[j], strict=True)) for i, j in zip(q, c, strict=True))
     return np.array([min(max(x, LONG_MIN), LONG_MAX) for x in exact], np.int64)
 
 
@@ -139,17 +154,17 @@ def search(queries: Side, candidates: Side, k: int, least: np.ndarray) -> tuple[
         row = active[row]
         other = queries.ids[row] != run.ids[col]
         row, col = row[other], col[other]
-        score = products(queries, run, row, col)
+        score = products(queries, run, (row, col))
         good = score >= bar[row]
         best_q = np.concatenate([best_q, row[good]])
         best_id = np.concatenate([best_id, run.ids[col[good]]])
         best_s = np.concatenate([best_s, score[good]])
-        order = np.lexsort((best_id, -best_s.astype(np.float64) if len(best_s) == 0 else ~best_s, best_q))
+        order = np.lexsort((best_id, ~best_s, best_q))
         best_q, best_id, best_s = best_q[order], best_id[order], best_s[order]
         first = np.searchsorted(best_q, np.arange(n), side="left")
         rank = np.arange(len(best_q)) - first[best_q]
         kth = rank == k - 1
-        bar[best_q[kth]] = np.maximum(bar[best_q[kth]], best_s[kth].astype(np.float64))
+        bar[best_q[kth]] = np.maximum(bar[best_q[kth]], _lowered(best_s[kth]))
         keep = rank < k
         best_q, best_id, best_s = best_q[keep], best_id[keep], best_s[keep]
     return best_q, best_id, best_s
@@ -165,10 +180,8 @@ def _search_strata(rotation: Rotation, head, k: int):
         least = np.full(len(queries.ids), -np.inf)
         if len(top.ids) > k:  # one of them may be the query itself
             q, c = np.divmod(np.arange(len(queries.ids) * len(top.ids)), len(top.ids))
-            scores = products(queries, top, q, c).reshape(len(queries.ids), -1)
-            least = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)].astype(np.float64)
-            # whole numbers beyond 2**53 are rounded in a double: lower the bar by a few units there
-            least -= np.abs(least) * 2.0**-50
+            scores = products(queries, top, (q, c)).reshape(len(queries.ids), -1)
+            least = _lowered(np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)])
         q, ids, scores = search(queries, candidates, k, least)
         return pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(ids), pa.array(scores)], names)
 
@@ -196,7 +209,7 @@ def _search_strata(rotation: Rotation, head, k: int):
     return run
 
 
-def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", stratum_rows: int = STRATUM_ROWS) -> DataFrame:
+def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k largest inner products over all candidates but its own id."""
     spark = candidates.sparkSession
     rows = stored(whole_vectors(candidates, id_col, vector), "topk-vectors")
@@ -208,10 +221,11 @@ def top_products(queries: DataFrame, candidates: DataFrame, k: int = 5, id_col:
     for i, v in zip(longest["id"].to_pylist(), longest["v"].to_pylist(), strict=True):
         by_id.setdefault(i, (i, v))
     head = spark.sparkContext.broadcast(list(by_id.values()))
-    strata = max(1, -(-rows.count() // stratum_rows))
+    n = rows.count()
+    strata = max(1, -(-n // STRATUM_ROWS), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
     # lengths are spread evenly: neighbours in a random order of rows
     dealt = rows.withColumns({"stratum": F.pmod(F.xxhash64("id", "v"), F.lit(strata)).cast("int"), "is_query": F.lit(False)})
-    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(strata - 1))).cast("int").alias("stratum"), F.lit(True).alias("is_query"), "id", "v", F.lit(0.0).alias("norm"))
+    copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(strata - 1))).alias("stratum"), F.lit(True).alias("is_query"), "id", "v", F.lit(0.0).alias("norm"))
     both = dealt.select("stratum", "is_query", "id", "v", "norm").unionByName(copies)
     sorted_rows = both.repartition(strata, "stratum").sortWithinPartitions("stratum", "is_query", F.desc("norm"), "id")
     found = sorted_rows.select("stratum", "is_query", "id", "v").mapInArrow(_search_strata(rotation, head, k), "query_id long, vec_id long, score long")
