@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, lm_scoring, pii, token_counts, topk, warc
+from tablewright.llm import bpe, exact_dedup, language_id, lm_scoring, mixing, pii, token_counts, topk, warc
 from tablewright.llm.common import importable
 from tablewright.plans.inputs import table
 from tablewright.plans.registry import Query, Runner
@@ -86,3 +86,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", *(f"n_{k}" for k in pii.KINDS), "base_sha256", "spans"]
     return pii.personal_data(table(spark, sf_dir, "documents")).select(*columns)
+
+
+@query("op5_soft_mixing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
