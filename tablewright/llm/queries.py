@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, lm_scoring, mixing, pii, token_counts, topk, warc
+from tablewright.llm import bpe, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, token_counts, topk, warc
 from tablewright.llm.common import importable
 from tablewright.plans.inputs import table
 from tablewright.plans.registry import Query, Runner
@@ -91,3 +91,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_soft_mixing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_ngram_join")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
