@@ -2,7 +2,7 @@
 
 A rolling hash over 16 characters cuts each text where the hash falls on a mark, so equal passages give equal chunks in any
 document. Documents that begin alike are brought to the same task (Spark's rebalance splits groups that grow too large), and
-each task encodes a chunk once: later documents take its ids from a cache of bounded size.
+each worker encodes a chunk once: later documents take its ids from a cache of bounded size.
 
 Joins are repaired. A cut may fall inside a word, so the first and last ids of a chunk are not trusted: the stretch between
 the last trusted position of the left chunk and the first trusted one of the right chunk is encoded again. A position is
@@ -14,7 +14,7 @@ Ids agree with the ``tokenizers`` library on the given file, ``add_special_token
 below U+0250 are encoded by the faster ``tiktoken`` on the same vocabulary; others by ``tokenizers`` itself.
 
 Rules: null text counts as empty and has no ids. Repeated rows are encoded like any other. Extra columns are not returned.
-The tokenizer's file must be on every worker. ``CACHE_BYTES`` bounds the cache of a task.
+The tokenizer's file must be on every worker. ``CACHE_BYTES`` bounds the cache of a worker.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -114,11 +115,17 @@ def cut_positions(texts: list[str], bits: int = CUT_BITS) -> list[list[int]]:
     return found
 
 
+@cache
+def tokenizer_of(path: str) -> ByteTokenizer:
+    """One tokenizer per file and worker process, whatever the number of its tasks."""
+    return ByteTokenizer(path)
+
+
 class ChunkEncoder:
     """Encodes texts chunk by chunk; equal chunks are encoded once while they stay in the cache."""
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        self.tokenizer = ByteTokenizer(path)
+        self.tokenizer = tokenizer_of(path)
         self.limit = cache_bytes // 2
         self.young: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
@@ -199,12 +206,18 @@ class ChunkEncoder:
             yield self.encode(text, cuts)
 
 
+@cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder, with its cache, per file and worker process."""
+    return ChunkEncoder(path)
+
+
 Row = Callable[[ByteTokenizer, array], dict]
 
 
 def _encode_batches(path: str, row: Row, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path)
+        encoder = encoder_of(path)
         for batch in pieces(batches, "text", 1 << 20):
             rows = [row(encoder.tokenizer, ids) for ids in encoder.encode_all(text_column(batch, "text").to_pylist())]
             columns = [pa.array([r[name] for r in rows], schema.field(name).type) for name in schema.names]
@@ -235,7 +248,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids: str = "ids", path: s
     """``id_col`` and ``text`` of every row of ids; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in batches:
             texts = [None if x is None else tokenizer.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.bpe import DEFAULT_FILE, ByteTokenizer
+from tablewright.llm.bpe import DEFAULT_FILE, tokenizer_of
 from tablewright.llm.common import pieces, text_column
 
 #: Lengths in one block of the running sums.
@@ -30,7 +30,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", path: str = DEFAULT_FIL
     """n_tokens of every row, with no special tokens added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = ByteTokenizer(path)
+        tokenizer = tokenizer_of(path)
         for batch in pieces(batches, "text"):
             counts = [len(tokenizer.encode(x)) for x in text_column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["n_tokens"])
