@@ -21,13 +21,15 @@ import hashlib
 import math
 import random
 import re
+from array import array
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import byte_view, pieces, text_column
@@ -122,6 +124,7 @@ class Segment:
     last: int
     kind: int
     features: list[str] = field(default_factory=list)
+    score: float = 0.0
 
 
 def _side(c: str) -> str:
@@ -151,16 +154,40 @@ def _features(kind: int, span: str, left: str, right: str) -> list[str]:
     return [f"{kind}:{t}" for t in told]
 
 
-def lattice(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> tuple[list[int], list[Segment]]:
-    """Token borders of a window and its candidate segments, none of which touches a ``taken`` span."""
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def lattice(
+    text: str, start: int, end: int, taken: tuple[list[int], list[int]] = ((), ()), weights: dict[str, float] | None = None
+) -> tuple[list[int], list[Segment]]:
+    """Token borders of a window and its candidate segments, none of which touches a ``taken`` span.
+
+    With ``weights`` segments are scored at once; those below the margin can never be chosen and are left out.
+    """
     borders = [start + m.start() for m in _TOKEN.finditer(text[start:end])] + [end]
     at = {b: i for i, b in enumerate(borders)}
     found: dict[tuple[int, int, int], Segment] = {}
 
     def add(kind: int, a: int, b: int) -> None:
-        if a not in at or b not in at or at[b] - at[a] > MAX_TOKENS or any(a < e and s < b for s, e in taken):
+        if a not in at or b not in at or at[b] - at[a] > MAX_TOKENS:
             return
-        found.setdefault((kind, a, b), Segment(at[a], at[b], kind, _features(kind, text[a:b], text[max(0, a - 24) : a], text[b : b + 1])))
+        before = bisect_left(taken[0], b) - 1  # the last taken span that starts before the end
+        if before >= 0 and taken[1][before] > a:
+            return
+        told = _features(kind, text[a:b], text[max(0, a - 24) : a], text[b : b + 1])
+        if weights is None:
+            found.setdefault((kind, a, b), Segment(at[a], at[b], kind, told))
+        elif (score := sum(weights.get(f, 0.0) for f in told)) >= MARGIN:
+            found.setdefault((kind, a, b), Segment(at[a], at[b], kind, score=score))
 
     for m in _WRITTEN.finditer(text, start, end):
         add(0, m.start(), m.end())
@@ -218,25 +245,35 @@ class SemiMarkov:
         return ends
 
     def best(self, n: int, segments: list[Segment]) -> list[Segment]:
-        """The segments of the best segmentation that beat leaving their tokens out by the margin."""
-        ends = self._edges(n, segments)
-        score = [[-math.inf] * _LABELS for _ in range(n + 1)]
-        back: list[list] = [[None] * _LABELS for _ in range(n + 1)]
-        score[0][_OUT] = 0.0
+        """The segments of the best segmentation; ``segments`` are scored and beat leaving their tokens out by the margin."""
+        if not segments:
+            return []
+        by_end: dict[int, list[int]] = defaultdict(list)
+        for k, s in enumerate(segments):
+            by_end[s.last].append(k)
+        # one row of types per token border, in flat arrays: a window may be long
+        score = array("d", [-math.inf]) * ((n + 1) * _LABELS)
+        came = array("l", [-1]) * ((n + 1) * _LABELS)  # segment * types + type before
+        score[_OUT] = 0.0
+
+        def arrive(i: int, j: int, y: int, own: float, k: int) -> None:
+            for before in range(_LABELS):
+                s = score[i * _LABELS + before] + self.moves[before][y] + own
+                if s > score[j * _LABELS + y]:
+                    score[j * _LABELS + y], came[j * _LABELS + y] = s, k * _LABELS + before
+
         for j in range(1, n + 1):
-            for i, y, own, segment in ends[j]:
-                if segment is not None and own < MARGIN:
-                    continue
-                for before in range(_LABELS):
-                    s = score[i][before] + self.moves[before][y] + own
-                    if s > score[j][y]:
-                        score[j][y], back[j][y] = s, (i, before, segment)
-        found, j, y = [], n, max(range(_LABELS), key=lambda k: score[n][k])
+            arrive(j - 1, j, _OUT, 0.0, len(segments))
+            for k in by_end.get(j, ()):
+                arrive(segments[k].first, j, segments[k].kind, segments[k].score, k)
+        found, j, y = [], n, max(range(_LABELS), key=lambda t: score[n * _LABELS + t])
         while j > 0:
-            i, before, segment = back[j][y]
-            if segment is not None:
-                found.append(segment)
-            j, y = i, before
+            k, y = divmod(came[j * _LABELS + y], _LABELS)
+            if k < len(segments):
+                found.append(segments[k])
+                j = segments[k].first
+            else:
+                j -= 1
         return found[::-1]
 
     def gradient(self, n: int, segments: list[Segment], truth: set[tuple[int, int, int]]) -> tuple[dict[str, float], list[list[float]]]:
@@ -300,7 +337,7 @@ class SemiMarkov:
 
 def _window(text: str, start: int, end: int, truth: list[tuple[int, int, int]]) -> tuple[int, list[Segment], set] | None:
     """A training window; true spans must be candidates, others that touch them are wrong."""
-    borders, segments = lattice(text, start, end, [])
+    borders, segments = lattice(text, start, end)
     at = {b: i for i, b in enumerate(borders)}
     known = {(s.kind, s.first, s.last) for s in segments}
     true, upto = set(), 0
@@ -373,10 +410,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs
 def added_spans(model: SemiMarkov, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the field beside the base spans."""
     found = []
-    taken = sorted((s, e) for _, s, e in base)
+    taken = _merged([(s, e) for _, s, e in base])
     for start, end in windows(text):
-        near = [(s, e) for s, e in taken if s < end and start < e] if taken else []
-        borders, segments = lattice(text, start, end, near)
+        borders, segments = lattice(text, start, end, taken, model.weights)
         if segments:
             found += [(s.kind, borders[s.first], borders[s.last]) for s in model.best(len(borders) - 1, segments)]
     return found
@@ -424,9 +460,13 @@ def find(docs: DataFrame, model: SemiMarkov, id_col: str = "doc_id", text: str =
     return plain.mapInArrow(run, f"id {id_type}, base {spans}, added {spans}").withColumnRenamed("id", id_col)
 
 
-def _listed(spans):
+def _of_kind(spans: str | Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
+def _listed(spans: Column) -> Column:
     """The spans as kind:start:end, by kind in the fixed order, then start."""
-    of_kind = [F.filter(spans, lambda s, k=k: s["kind"] == k) for k in KINDS]
+    of_kind = [_of_kind(spans, k) for k in KINDS]
     ordered = F.concat(*(F.sort_array(F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))) for a in of_kind))
     return F.concat_ws(",", F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
@@ -434,7 +474,7 @@ def _listed(spans):
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, counts of base spans per kind, the digest of the base spans, and all spans as text."""
     found = find(docs, fit(docs, id_col, text), id_col, text)
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS}
+    counts = {f"n_{k}": F.size(_of_kind("base", k)).cast("long") for k in KINDS}
     digest = F.sha2(_listed(F.col("base")), 256)
     return found.withColumns({**counts, "base_sha256": digest, "spans": _listed(F.concat("base", "added"))}).drop("base", "added")
 

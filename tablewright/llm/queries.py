@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tablewright.llm import bpe, exact_dedup, language_id, lm_scoring, mixing, ngram_join, pii, token_counts, topk, warc
 from tablewright.llm.common import importable

@@ -82,7 +82,7 @@ def truncated_totals(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
     ]
     totals = histogram.agg(*sums)
     pairs = F.explode(F.array(*(F.struct(F.lit(int(x)).alias("context_limit"), F.col(f"limit_{i}").alias("tokens")) for i, x in enumerate(limits))))
-    totals = totals.select(pairs.alias("x")).select(F.col("x.context_limit").cast("long"), F.coalesce("x.tokens", F.lit(0)).alias("tokens"))
+    totals = totals.select(pairs.alias("x")).select(F.col("x.context_limit").cast("long").alias("context_limit"), F.coalesce("x.tokens", F.lit(0)).alias("tokens"))
     return asked.join(totals, "context_limit")
 
 
