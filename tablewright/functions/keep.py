@@ -8,6 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.session import scratch_dir
+
 #: Rows of a look-up table of a few numbers each that is sent to every task (some 30 MB).
 BROADCAST_ROWS = 500_000
 
@@ -21,6 +23,13 @@ def lookup(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write to the shared scratch folder and read again: computed once, and nothing is kept on an executor."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist, on at least as many partitions as there are cores.
 

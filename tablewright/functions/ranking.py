@@ -43,6 +43,30 @@ def cut_points(keys: DataFrame, key: str, n_keys: int, per_bucket: int | None =
     return picks
 
 
+def grouped_cut_points(
+    keys: DataFrame, group: str, key: str, n_keys: dict[Any, int], per_bucket: int | None = None
+) -> dict[Any, list[Any]]:
+    """Cut points of every group's keys, from one job for all groups that need any."""
+    per_bucket = KEYS_PER_BUCKET if per_bucket is None else per_bucket
+    buckets = {g: min(MAX_BUCKETS, -(-n // per_bucket)) for g, n in n_keys.items()}
+    cuts: dict[Any, list[Any]] = {g: [] for g in n_keys}
+    large = {g: max(1, n_keys[g] // (b * SAMPLED_KEYS_PER_BUCKET)) for g, b in buckets.items() if b > 1}
+    if not large:
+        return cuts
+    modulus = F.lit(1)
+    for m in set(large.values()):
+        modulus = F.when(F.col(group).isin([g for g in large if large[g] == m]), m).otherwise(modulus)
+    sample = keys.where(F.col(group).isin(list(large)) & F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), modulus) == 0))
+    found: dict[Any, list[Any]] = {g: [] for g in large}
+    for g, value in sample.select(group, key).distinct().collect():
+        found[g].append(value)
+    for g, values in found.items():
+        values.sort()
+        if values:
+            cuts[g] = sorted({values[int(len(values) / buckets[g] * i)] for i in range(1, buckets[g])})
+    return cuts
+
+
 def bucket_of(key: Column, cuts: Sequence[Any]) -> Column:
     """Number of cut points at or below ``key``, found by a balanced tree of comparisons."""
 

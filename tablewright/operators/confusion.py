@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tablewright.functions.columns import as_text
 from tablewright.functions.stats import local_frame
 
-#: Up to this many labels the matrix is dense; beyond it only non-zero cells are listed.
-DENSE_LABELS = 1_000
+#: How a missing label is written.
+NO_LABEL = "None"
 IMBALANCE = 3
 LOW_RECALL = 0.5
 
@@ -24,9 +24,8 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def pair_counts(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """``(keys, y_true, y_pred, count)``: every classification metric derives from this."""
-    return df.groupBy(
-        *keys, as_text(df, "y_true").alias("y_true"), as_text(df, "y_pred").alias("y_pred")
-    ).agg(F.count(F.lit(1)).alias("count"))
+    labels = [F.coalesce(as_text(df, c), F.lit(NO_LABEL)).alias(c) for c in ("y_true", "y_pred")]
+    return df.groupBy(*keys, *labels).agg(F.count(F.lit(1)).alias("count"))
 
 
 def label_scores(counts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -69,30 +68,20 @@ class ConfusionReport:
     def _counts(self) -> DataFrame:
         return pair_counts(self.predictions)
 
-    @cached_property
-    def labels(self) -> list[str] | None:
-        """All labels sorted as text, or None when there are too many for a dense matrix."""
-        c = self._counts
-        found = (
-            c.select(F.explode(F.array("y_true", "y_pred")).alias("label"))
-            .distinct()
-            .limit(DENSE_LABELS + 1)
-            .collect()
-        )
-        return None if len(found) > DENSE_LABELS else sorted(r["label"] for r in found)
+    @property
+    def labels(self) -> DataFrame:
+        """All labels as text, in one column ``label``."""
+        return self._counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
 
-    def cells(self) -> DataFrame:
-        """``(y_true, y_pred, count, row_share)``."""
+    def cells(self, dense: bool = True) -> DataFrame:
+        """``(y_true, y_pred, count, row_share)``; ``dense`` lists the cells without a row too, labels x labels in all."""
         schema = "y_true string, y_pred string, count long, row_share double"
         if self.absent:
             return local_frame(self.predictions.sparkSession, [], schema)
         counts = self._counts
-        if self.labels is not None:
-            grid = [(t, p) for t in self.labels for p in self.labels]
-            dense = local_frame(self.predictions.sparkSession, grid, "y_true string, y_pred string")
-            counts = dense.join(counts, ["y_true", "y_pred"], "left").withColumn(
-                "count", F.coalesce("count", F.lit(0))
-            )
+        if dense:
+            grid = self.labels.select(F.col("label").alias("y_true")).join(self.labels.select(F.col("label").alias("y_pred")))
+            counts = grid.join(counts, ["y_true", "y_pred"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
         sums = counts.groupBy("y_true").agg(F.sum("count").alias("row_sum"))
         return counts.join(sums, "y_true").select(
             "y_true", "y_pred", "count", F.round(ratio(F.col("count"), F.col("row_sum")), 4).alias("row_share")

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, as_text, col, is_numeric
 from tablewright.functions.keep import lookup
-from tablewright.functions.ranking import cut_points, running_totals
+from tablewright.functions.ranking import grouped_cut_points, running_totals
 from tablewright.functions.stats import local_frame
 
 MAX_POINTS = 200
 PROB_PREFIX = "y_prob_"
-#: More classes than this are not one curve each but an error in the label column.
-MAX_CLASSES = 1_000
 
 
 def probability_columns(df: DataFrame) -> list[str]:
@@ -53,12 +51,10 @@ def score_steps(
         descending=True,
         follow={"next_pos": "pos", "next_neg": "neg"},
     )
-    sizes = {
-        name: F.create_map(*[F.lit(x) for item in table.items() for x in item])[F.col("class")]
-        for name, table in (("positives", positives), ("negatives", negatives))
-    }
-    return steps.withColumns(
-        {**sizes, "tp": F.col("pos_before") + F.col("pos"), "fp": F.col("neg_before") + F.col("neg")}
+    rows = [(c, positives[c], negatives[c]) for c in positives]
+    sizes = local_frame(long.sparkSession, rows, "class string, positives long, negatives long")
+    return steps.join(lookup(sizes, len(rows)), "class").withColumns(
+        {"tp": F.col("pos_before") + F.col("pos"), "fp": F.col("neg_before") + F.col("neg")}
     )
 
 
@@ -97,18 +93,12 @@ class Curves:
         probs = probability_columns(df)
         if not probs:
             raise ValueError("curves need probabilities in y_prob_<class> columns, not only predicted labels")
-        rows = (
-            df.groupBy(label_text(df, "y_true").alias("label"))
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                *[F.approx_count_distinct(col(p)).alias(f"d{i}") for i, p in enumerate(probs)],
-            )
-            .limit(MAX_CLASSES + 1)
-            .collect()
-        )
-        rows = [r for r in rows if r["label"] is not None]
-        if len(rows) > MAX_CLASSES:
-            raise ValueError(f"y_true has more than {MAX_CLASSES} labels; curves are for classes")
+        # One line per class; there is a probability column for each, so they are a few at most.
+        counted = df.where(col("y_true").isNotNull()).groupBy(label_text(df, "y_true").alias("label"))
+        rows = counted.agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.approx_count_distinct(col(p)).alias(f"d{i}") for i, p in enumerate(probs)],
+        ).collect()
         labels = sorted_labels(df, "y_true", [r["label"] for r in rows])
         if len(labels) < 2:
             raise ValueError(f"curves need at least 2 classes, found {labels}")
@@ -158,19 +148,21 @@ class Curves:
         long = (
             df.where(col("y_true").isNotNull()).select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
         )
-        cuts = {label: self._cuts(label) for label in self.scored}
         return score_steps(
             long,
-            cuts,
+            self._cuts,
             {c: facts["sizes"][c] for c in self.scored},
             {c: facts["total"] - facts["sizes"][c] for c in self.scored},
         )
 
-    def _cuts(self, label: str) -> list:
-        df, name = self.predictions, self.scored[label]
-        return cut_points(
-            df.select(as_double(df, name).alias("score")), "score", self._facts["distinct"][name], self.per_bucket
-        )
+    @cached_property
+    def _cuts(self) -> dict[str, list]:
+        """Cut points of the scores of every class, from one job."""
+        df, names = self.predictions, self.scored
+        cells = [F.struct(F.lit(c).alias("class"), as_double(df, name).alias("score")) for c, name in names.items()]
+        long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+        distinct = {c: self._facts["distinct"][name] for c, name in names.items()}
+        return grouped_cut_points(long, "class", "score", distinct, self.per_bucket)
 
     def areas(self) -> DataFrame:
         """Unrounded ``(class, roc_auc, average_precision, prevalence, n)``.
@@ -228,8 +220,7 @@ class Curves:
         straight = inner & (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
         corners = self._steps.where(~F.coalesce(straight, F.lit(False))).select("class", "score", "tp", "fp", "positives", "negatives")
         keyed = corners.withColumn("one", F.lit(1).cast("long"))
-        cuts = {label: self._cuts(label) for label in self.scored}
-        numbered = running_totals(keyed, "score", {"i": "one"}, cuts, group="class", descending=True)
+        numbered = running_totals(keyed, "score", {"i": "one"}, self._cuts, group="class", descending=True)
         points = numbered.select(
             "class",
             (F.col("i") + 1).alias("i"),

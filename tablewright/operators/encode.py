@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col, require_distinct_names, resolve_columns, string_columns
-from tablewright.functions.keep import lookup
+from tablewright.functions.keep import lookup, persisted, stored
 from tablewright.functions.ranking import cut_points, running_totals
 from tablewright.functions.stats import column_stats
 from tablewright.operators.fitted import Fitted
@@ -18,8 +18,11 @@ from tablewright.splits import Splits
 
 METHODS = ("label", "ordinal", "one_hot")
 UNKNOWN = ("encode_as_unknown", "error")
-#: Dictionaries up to this size become a literal in the projection; larger ones a join.
+#: Categories of a column that are read by the driver; larger dictionaries stay a table.
 LITERAL_CATEGORIES = 1_000
+#: Dictionaries up to this size become a literal in the projection, which is searched from the front; larger ones a join.
+LITERAL_CODES = 48
+OUTPUTS = ("columns", "vector")
 #: Nulls are spread over this many join keys.
 NULL_SALTS = 256
 
@@ -28,9 +31,9 @@ NULL_SALTS = 256
 class Encoder:
     """``label`` and ``ordinal`` number the sorted categories from 0 and give unseen ones -1.
 
-    ``one_hot`` adds a 0/1 column per category. A column with more than
-    ``LITERAL_CATEGORIES`` categories is encoded through a join; one-hot then gives one
-    sparse vector column ``<column>_onehot`` in place of that many columns.
+    ``one_hot`` adds a 0/1 column per category, or with ``output="vector"`` one sparse vector column
+    ``<column>_onehot`` per column. As columns, more than ``LITERAL_CATEGORIES`` categories of one
+    column are refused. Large dictionaries are written once by ``fit`` and joined.
     """
 
     method: str = "label"
@@ -38,12 +41,15 @@ class Encoder:
     target: str | None = None
     handle_unknown: str = "encode_as_unknown"
     literal_categories: int = LITERAL_CATEGORIES
+    output: str = "columns"
 
     def fit(self, train: DataFrame) -> FittedEncoder:
         if self.method not in METHODS:
             raise ValueError(f"unknown method {self.method!r}; choose one of {METHODS}")
         if self.handle_unknown not in UNKNOWN:
             raise ValueError(f"unknown handle_unknown {self.handle_unknown!r}; choose one of {UNKNOWN}")
+        if self.output not in OUTPUTS:
+            raise ValueError(f"unknown output {self.output!r}; choose one of {OUTPUTS}")
         require_distinct_names(train)
         names = resolve_columns(train, self.columns) or string_columns(train)
         names = [name for name in names if name != self.target]
@@ -59,13 +65,16 @@ class Encoder:
         names = [n for n in names if facts[n]["present"]]
         small = {}
         likely = [n for n in names if facts[n]["distinct"] <= 2 * self.literal_categories]
-        for name, found in _read_categories(train, likely, self.literal_categories).items():
-            if len(found) <= self.literal_categories:
-                small[name] = found
+        hot_vector = self.method == "one_hot" and self.output == "vector"
+        if not hot_vector:
+            small = _read_categories(train, likely, self.literal_categories)
+        if self.method == "one_hot" and not hot_vector and (many := [n for n in names if n not in small]):
+            raise ValueError(f"columns {many} have more than {self.literal_categories} categories; use output='vector'")
         # Sized as if every category were as long as the longest, in units of 32 bytes.
         large = {
             n: Dictionary(
-                _dictionary(train, n, facts[n]["distinct"]), facts[n]["distinct"] * (1 + facts[n]["longest"] // 32)
+                stored(_dictionary(train, n, facts[n]["distinct"]), "dictionary"),
+                facts[n]["distinct"] * (1 + facts[n]["longest"] // 32),
             )
             for n in names
             if n not in small
@@ -80,19 +89,15 @@ class Encoder:
 
 
 def _read_categories(train: DataFrame, names: list[str], limit: int) -> dict[str, list[str]]:
-    """Sorted categories of columns that are known to have few; one job for all."""
+    """Sorted categories of those columns that have at most ``limit``, by exact count."""
     if not names:
         return {}
     cells = F.array(*[F.struct(F.lit(n).alias("column_name"), col(n).cast("string").alias("value")) for n in names])
-    rows = (
-        train.select(F.explode(cells).alias("cell"))
-        .select("cell.*")
-        .where("value is not null")
-        .distinct()
-        .limit(len(names) * (4 * limit + 1))
-        .collect()
-    )
-    found: dict[str, list[str]] = {n: [] for n in names}
+    values = train.select(F.explode(cells).alias("cell")).select("cell.*").where("value is not null").distinct()
+    with persisted(values) as held:
+        few = [r["column_name"] for r in held.groupBy("column_name").count().where(F.col("count") <= limit).collect()]
+        rows = held.where(F.col("column_name").isin(few)).collect() if few else []
+    found: dict[str, list[str]] = {n: [] for n in few}
     for row in rows:
         found[row["column_name"]].append(row["value"])
     return {n: sorted(values) for n, values in found.items()}
@@ -127,10 +132,10 @@ class FittedEncoder(Fitted):
         names = [n for n in self.names if n in df.columns]
         if self.method == "one_hot":
             return self._one_hot(df, names)
-        codes = {n: self._literal_code(n) for n in names if n in self.small}
+        codes = {n: self._literal_code(n) for n in names if len(self.small.get(n, ())) <= LITERAL_CODES and n in self.small}
         out = df.select(*[codes[c].alias(c) if c in codes else col(c) for c in df.columns])
         for name in names:
-            if name in self.large:
+            if name not in codes:
                 out = self._joined_code(out, name, name)
         return out.select(*[col(c) for c in df.columns])
 
@@ -179,6 +184,12 @@ class FittedEncoder(Fitted):
             out = out.unionByName(table.table.select(F.lit(name).alias("column_name"), "value", "code"))
         return out
 
+    def _table(self, spark: SparkSession, name: str) -> Dictionary:
+        if name in self.large:
+            return self.large[name]
+        rows = [(v, i) for i, v in enumerate(self.small[name])]
+        return Dictionary(spark.createDataFrame(rows, "value string, code long"), len(rows))
+
     def _literal_code(self, name: str) -> Column:
         pairs = [F.lit(x) for i, v in enumerate(self.small[name]) for x in (v, i)]
         code = F.try_element_at(F.create_map(*pairs), F.coalesce(col(name).cast("string"), F.lit("")))
@@ -191,9 +202,10 @@ class FittedEncoder(Fitted):
         text = col(name).cast("string")
         spread = F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(NULL_SALTS))
         key = F.coalesce(text, F.concat(F.lit("\0null "), spread.cast("string")))
-        table = self.large[name].table.select(F.col("value").alias("_value"), F.col("code").alias("_found"))
+        held = self._table(df.sparkSession, name)
+        table = held.table.select(F.col("value").alias("_value"), F.col("code").alias("_found"))
         joined = df.withColumns({"_key": key, "_null": text.isNull()}).join(
-            lookup(table, self.large[name].size), F.col("_key") == F.col("_value"), "left"
+            lookup(table, held.size), F.col("_key") == F.col("_value"), "left"
         )
         code = F.when(~F.col("_null"), F.col("_found"))
         return joined.withColumn(out, F.coalesce(code, F.lit(-1)).cast("long")).drop("_key", "_null", "_value", "_found")

@@ -15,6 +15,7 @@ from tablewright.functions.columns import (
     dtype,
     is_numeric,
     log,
+    measured,
     require_distinct_names,
     resolve_columns,
 )
@@ -81,9 +82,11 @@ class Imputer:
         return {n: found[n]["mean"] for n in names}
 
     def _median(self, train, names, facts):
-        values = {n: as_double(train, n) for n in names}
-        cuts = quantiles(train, values, [0.5], {n: facts[n]["present"] for n in names})
-        return {n: cuts[n][0] for n in names}
+        """NaN has no rank: the median is that of the numbers."""
+        values = {n: measured(train, n) for n in names}
+        counts = {n: f["n"] for n, f in column_stats(train, values, {"n": F.count}).items()} if names else {}
+        cuts = quantiles(train, values, [0.5], counts)
+        return {n: cuts[n][0] for n in names if cuts[n][0] is not None}
 
     def _mode(self, train, names, facts):
         """Most frequent value, the smallest of equals.

@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, col, is_numeric, measured
-from tablewright.functions.ranking import cut_points
+from tablewright.functions.ranking import grouped_cut_points
 from tablewright.functions.stats import local_frame
 from tablewright.operators.confusion import label_scores, pair_counts, ratio
-from tablewright.operators.curves import MAX_CLASSES as MAX_CURVES
 from tablewright.operators.curves import (
     PROB_PREFIX,
     label_text,
@@ -72,12 +71,9 @@ def split_areas(splits: Splits) -> DataFrame:
         df.where(F.col("y_true").isNotNull())
         .groupBy("split", label_text(df, "y_true").alias("label"))
         .agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(col(p)).alias(f"d{i}") for i, p in enumerate(probs)])
-        .limit(len(PARTS) * MAX_CURVES + 1)
-        .collect()
+        .collect()  # one line per part and class
     )
-    if len(groups) > len(PARTS) * MAX_CURVES:
-        return empty
-    cells, cuts, positives, negatives = [], {}, {}, {}
+    cells, distinct, positives, negatives = [], {}, {}, {}
     for part in sorted({g["split"] for g in groups}):
         mine = [g for g in groups if g["split"] == part]
         labels = sorted_labels(df, "y_true", [g["label"] for g in mine])
@@ -93,9 +89,7 @@ def split_areas(splits: Splits) -> DataFrame:
             at = probs.index(prob)
             score = as_double(df, prob)
             positives[key], negatives[key] = sizes[label], sum(sizes.values()) - sizes[label]
-            cuts[key] = cut_points(
-                df.where(F.col("split") == part).select(score.alias("score")), "score", sum(g[f"d{at}"] for g in mine)
-            )
+            distinct[key] = sum(g[f"d{at}"] for g in mine)
             cells.append(
                 F.when(
                     F.col("split") == part,
@@ -114,6 +108,7 @@ def split_areas(splits: Splits) -> DataFrame:
         .where("cell is not null")
         .select("cell.*")
     )
+    cuts = grouped_cut_points(long, "class", "score", distinct)
     areas = step_areas(score_steps(long, cuts, positives, negatives))
     return areas.groupBy(F.split("class", "[|]")[0].alias("split")).agg(F.avg("roc_auc").alias("auc"))
 

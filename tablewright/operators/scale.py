@@ -12,6 +12,7 @@ from tablewright.functions.columns import (
     as_double,
     is_numeric,
     log,
+    measured,
     numeric_columns,
     require_distinct_names,
     resolve_columns,
@@ -65,6 +66,7 @@ class Scaler:
         if self.method == "MinMaxScaler":
             found = column_stats(train, values, {"min": F.min, "max": F.max})
             return {n: (f["min"], None if f["min"] is None else f["max"] - f["min"]) for n, f in found.items()}
-        counts = {n: f["n"] for n, f in column_stats(train, values, {"n": F.count}).items()}
-        cuts = quantiles(train, values, [0.25, 0.5, 0.75], counts)
+        ranked = {n: measured(train, n) for n in values}  # NaN has no rank
+        counts = {n: f["n"] for n, f in column_stats(train, ranked, {"n": F.count}).items()}
+        cuts = quantiles(train, ranked, [0.25, 0.5, 0.75], counts)
         return {n: (q[1], None if q[1] is None else q[2] - q[0]) for n, q in cuts.items()}

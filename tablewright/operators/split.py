@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import FLOAT_TYPES, as_text, col, dtype, require_target, resolve_columns
 from tablewright.functions.hashing import digits_below, key_digits, key_hash
-from tablewright.functions.keep import lookup
+from tablewright.functions.keep import lookup, stored
 from tablewright.functions.stats import local_frame
 from tablewright.splits import Splits
 
@@ -24,6 +24,8 @@ ROWS_PER_RANKING = 1_000_000
 #: Bits resolved per counting round beyond that size: at most 4096 counters per class.
 RADIX_BITS = 12
 MIN_CLASS_ROWS = 3
+#: Too small classes that an error message names.
+LISTED_CLASSES = 20
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ def random_split(
     By default each row is placed by its own hash: no shuffle, shares correct on average.
     ``exact`` gives exact sizes, ``stratify`` exact shares per class, and ``order_by``
     splits by the order of an integer, date or timestamp column instead of at random.
-    Identical keys share a part; without ``key`` the whole row is the key.
+    Identical keys share a part, but for the keys at the cuts of an ``exact`` split; without ``key`` the whole row is the key.
     """
     _check_sizes(test_size, val_size)
     if stratify:
@@ -81,7 +83,7 @@ def random_split(
     counts = local_frame(
         df.sparkSession, [("", n_test, n_test + n_val)], "_class string, cut_test long, cut_val long"
     )
-    return _cut(df, F.lit(""), hashed, counts)
+    return _cut(df, F.lit(""), hashed, counts, exact=True)
 
 
 def exact_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int]:
@@ -93,10 +95,12 @@ def exact_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int]:
 
 
 def _sequential(df: DataFrame, order_by: str, test_size: float, val_size: float) -> Assignment:
-    """First rows to train, then validation, last rows to test, in the order of a column."""
+    """First rows to train, then validation, last rows to test, in the order of a column; rows without a value are last."""
     n = df.count()
     n_test, n_val = exact_sizes(n, test_size, val_size)
     position = _order_code(df, order_by)
+    last = df.agg(F.max(position)).first()[0]
+    position = F.coalesce(position, F.lit(0 if last is None else last + 1).cast("long"))  # rows without a value come last
     counts = local_frame(
         df.sparkSession,
         [("", n - n_test - n_val, n - n_test)],
@@ -138,11 +142,14 @@ def _cut(
     code: Column,
     cuts: DataFrame,
     parts: tuple[str, str, str] = ("test", "val", "train"),
+    exact: bool = False,
 ) -> Assignment:
     """Place rows by comparing their code with two thresholds of their class.
 
     Only (class, code) pairs are looked at to find the thresholds; the rows themselves meet
     a table of one line per class, which is broadcast unless there are very many classes.
+    With ``exact``, rows that share the code at a threshold are numbered, so that just as many of them as needed go to
+    each side; only these rows are shuffled.
     """
     codes = df.select(label.alias("_class"), code.alias("_code"))
     sizes = class_sizes(codes)
@@ -152,13 +159,22 @@ def _cut(
         .when(F.col("_code") <= F.col("t_val"), parts[1])
         .otherwise(parts[2])
     )
-    tagged = (
-        df.withColumns({"_class": label, "_code": code})
-        .join(thresholds, "_class", "left")
-        .withColumn("split", placed)
-        .select(*[col(c) for c in df.columns], "split")
-    )
-    return Assignment(tagged)
+    rows = df.withColumns({"_class": label, "_code": code}).join(thresholds, "_class", "left")
+    names = [*[col(c) for c in df.columns], "split"]
+    if not exact:
+        return Assignment(rows.withColumn("split", placed).select(*names))
+    wanted = cuts.first()
+    edges = thresholds.first() or {"t_test": None, "t_val": None}
+    below = codes.agg(
+        F.count_if(F.col("_code") < F.lit(edges["t_test"])).alias("t_test"),
+        F.count_if(F.col("_code") < F.lit(edges["t_val"])).alias("t_val"),
+    ).first()
+    tie = F.coalesce(F.col("_code") == F.col("t_test"), F.lit(False)) | F.coalesce(F.col("_code") == F.col("t_val"), F.lit(False))
+    order = Window.partitionBy("_code").orderBy(F.xxhash64(*[col(c) for c in df.columns]))
+    place = F.row_number().over(order) + F.when(F.col("_code") == F.col("t_test"), below["t_test"]).otherwise(below["t_val"])
+    by_place = F.when(F.col("_place") <= wanted["cut_test"], parts[0]).when(F.col("_place") <= wanted["cut_val"], parts[1]).otherwise(parts[2])
+    tied = rows.where(tie).withColumn("_place", place).withColumn("split", by_place)
+    return Assignment(rows.where(~tie).withColumn("split", placed).select(*names).unionByName(tied.select(*names)))
 
 
 @dataclass(frozen=True)
@@ -232,8 +248,8 @@ def _radix_selection(codes: DataFrame, wanted: DataFrame, classes: int) -> DataF
             .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
             .select("_class", "which", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix"))
         )
-        # One line per class and cut; kept so that later rounds do not repeat earlier ones.
-        state = state.persist()
+        # One line per class and cut; written so that later rounds do not repeat earlier ones.
+        state = stored(state, "split-cuts")
         done += step
     return state.select("_class", "which", (F.col("prefix") + F.lit(shift_by)).alias("_code"))
 
@@ -266,7 +282,9 @@ def check_stratified(df, target, train_ratio=0.7, val_ratio=0.15, test_ratio=0.1
         broken = df.where(col(target).isNotNull() & (col(target) != F.floor(col(target)))).limit(1).count()
         if broken:
             raise ValueError(f"target {target!r} is continuous; bin it before a stratified split")
-    few = small_classes(df, target).limit(20).collect()
-    if few:
-        listed = {row["label"]: row["count"] for row in few}
-        raise ValueError(f"every class needs at least {MIN_CLASS_ROWS} rows, but found {listed}")
+    few = small_classes(df, target)
+    shown = few.orderBy("label").limit(LISTED_CLASSES + 1).collect()
+    if shown:
+        listed = {row["label"]: row["count"] for row in shown[:LISTED_CLASSES]}
+        more = f" and {few.count() - LISTED_CLASSES} more" if len(shown) > LISTED_CLASSES else ""
+        raise ValueError(f"every class needs at least {MIN_CLASS_ROWS} rows, but found {listed}{more}")

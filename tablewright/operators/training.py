@@ -32,9 +32,13 @@ from tablewright.splits import Splits
 SEED = 42
 #: Spark's own limits: deepest tree, and features of the exact least-squares solver.
 MAX_DEPTH = 30
+#: Cut points tried per feature by default: every value of a feature with up to so many.
+MAX_BINS = 256
 NORMAL_SOLVER_FEATURES = 4096
 #: Probability vectors are as long as this at most.
 MAX_CLASSES = 1_000
+#: The iterative solver goes on until it agrees with the exact one.
+LBFGS_ROUNDS, LBFGS_TOLERANCE = 5_000, 1e-12
 LABEL, FEATURES = "_label", "_features"
 
 
@@ -255,8 +259,8 @@ def _trained(kind: str, ready: _Prepared, stages: list, params: dict, **extra) -
 
 def _depth(max_depth: int) -> int:
     if max_depth > MAX_DEPTH:
-        log.warning("trees are at most %d deep; max_depth %d is lowered", MAX_DEPTH, max_depth)
-    return min(max_depth, MAX_DEPTH)
+        raise ValueError(f"trees are at most {MAX_DEPTH} deep here, not {max_depth}")
+    return max_depth
 
 
 def _leaf_rows(min_samples_split: int) -> int:
@@ -274,11 +278,13 @@ def decision_tree(
     min_samples_split: int = 2,
     criterion: str = "gini",
     task_rule: str = "tree",
+    max_bins: int = MAX_BINS,
 ) -> TrainedModel:
+    """One tree; ``max_bins`` bounds the cut points tried per feature."""
     ready = _prepare(train, target, rule=task_rule)
     common = dict(
         featuresCol=FEATURES, labelCol=LABEL, maxDepth=_depth(max_depth),
-        minInstancesPerNode=_leaf_rows(min_samples_split), seed=SEED,
+        minInstancesPerNode=_leaf_rows(min_samples_split), seed=SEED, maxBins=max_bins,
     )
     if ready.task == "classification":
         if criterion not in ("gini", "entropy"):
@@ -286,8 +292,10 @@ def decision_tree(
             criterion = "gini"
         estimator = DecisionTreeClassifier(impurity=criterion, **common)
     else:
+        if criterion == "absolute_error":
+            raise ValueError("there is no absolute_error criterion here; use squared_error")
         if criterion != "squared_error":
-            log.warning("criterion %s is not available for regression; using squared_error", criterion)
+            log.warning("criterion %s is not for numbers; using squared_error", criterion)
             criterion = "squared_error"
         estimator = DecisionTreeRegressor(impurity="variance", **common)
     model = ready.fit(estimator)
@@ -301,12 +309,13 @@ def random_forest(
     n_estimators: int = 100,
     max_depth: int = 10,
     min_samples_split: int = 2,
+    max_bins: int = MAX_BINS,
 ) -> TrainedModel:
     ready = _prepare(train, target)
     kind = RandomForestClassifier if ready.task == "classification" else RandomForestRegressor
     estimator = kind(
         featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators, maxDepth=_depth(max_depth),
-        minInstancesPerNode=_leaf_rows(min_samples_split), seed=SEED,
+        minInstancesPerNode=_leaf_rows(min_samples_split), seed=SEED, maxBins=max_bins,
     )
     model = ready.fit(estimator)
     params = {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_split": min_samples_split}
@@ -329,7 +338,8 @@ def linear_regression(
         work = scaler.transform(work)
     solver = "normal" if len(ready.features) <= NORMAL_SOLVER_FEATURES else "l-bfgs"
     estimator = LinearRegression(
-        featuresCol=features, labelCol=LABEL, solver=solver, regParam=0.0, fitIntercept=fit_intercept, standardization=False
+        featuresCol=features, labelCol=LABEL, solver=solver, regParam=0.0, fitIntercept=fit_intercept, standardization=False,
+        maxIter=LBFGS_ROUNDS, tol=LBFGS_TOLERANCE,
     )
     # The normal equations take a single pass, so there is nothing to keep.
     stages.append(estimator.fit(work) if solver == "normal" else ready.fit(estimator, work))
@@ -382,6 +392,7 @@ def gradient_boosting(
     gamma: float = 0.0,
     reg_alpha: float = 0.0,
     reg_lambda: float = 1.0,
+    max_bins: int = MAX_BINS,
     kind: str = "gradient_boosting",
 ) -> TrainedModel:
     """Boosted trees; several classes get one booster each, probabilities scaled to sum to one.
@@ -400,7 +411,7 @@ def gradient_boosting(
     settings = dict(
         stepSize=learning_rate, maxDepth=_depth(max_depth), subsamplingRate=subsample, seed=SEED,
         featureSubsetStrategy="all" if colsample >= 1.0 else str(colsample),
-        minInstancesPerNode=max(1, int(min_child_weight)), minInfoGain=gamma,
+        minInstancesPerNode=max(1, int(min_child_weight)), minInfoGain=gamma, maxBins=max_bins,
     )
     stop = early_stopping_rounds if val is not None and early_stopping_rounds > 0 and not val.isEmpty() else 0
     stages, history, rounds = [], [], []

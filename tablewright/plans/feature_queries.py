@@ -154,9 +154,9 @@ def _(spark, sf):
     FROM {CATEGORY_SQL} s LEFT JOIN {code_sql('cust')} m ON s.cust = m.v WHERE split = 'test'""",
 )
 def _(spark, sf):
-    """Too many categories for a column each: one sparse vector column."""
+    """One sparse vector column in place of a column per category."""
     parts = split_table(spark, sf, "orders", ORDER_KEY, CATEGORIES)
-    out = Encoder("one_hot", "cust", literal_categories=4).fit(parts.train).transform(parts.test)
+    out = Encoder("one_hot", "cust", output="vector").fit(parts.train).transform(parts.test)
     return out.select("o_orderkey", F.expr("cast(cust_onehot as string)").alias("cust_onehot"))
 
 

@@ -63,6 +63,31 @@ def _(spark, sf):
     return random_split(df, 0.2, 0.1, order_by="o_orderkey").tagged.select("o_orderkey", "split")
 
 
+@query(
+    "split_sequential_nulls",
+    """SELECT o_orderkey, CASE WHEN pos <= n - nt - nv THEN 'train' WHEN pos <= n - nt THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT *, ceil((n - nt) * (0.1::DOUBLE / 0.8::DOUBLE)) AS nv FROM (SELECT *, ceil(n * 0.2::DOUBLE) AS nt
+    FROM (SELECT *, row_number() OVER (ORDER BY placed NULLS LAST) AS pos, count(*) OVER () AS n
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey END AS placed FROM orders))))""",
+)
+def _(spark, sf):
+    """Rows without a value come last."""
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 10 > 0 THEN o_orderkey END AS placed")
+    return random_split(df, 0.2, 0.1, order_by="placed").tagged.select("o_orderkey", "split")
+
+
+@query(
+    "split_exact_duplicates",
+    """SELECT 'test' AS split, nt::BIGINT AS rows FROM (SELECT ceil(count(*) * 0.2::DOUBLE) AS nt FROM lineitem)
+    UNION ALL SELECT 'val', ceil((n - nt) * (0.1::DOUBLE / 0.8::DOUBLE))::BIGINT FROM (SELECT count(*) AS n, ceil(count(*) * 0.2::DOUBLE) AS nt FROM lineitem)
+    UNION ALL SELECT 'train', (n - nt - ceil((n - nt) * (0.1::DOUBLE / 0.8::DOUBLE)))::BIGINT FROM (SELECT count(*) AS n, ceil(count(*) * 0.2::DOUBLE) AS nt FROM lineitem)""",
+)
+def _(spark, sf):
+    """Exact sizes although only a few rows differ."""
+    df = table(spark, sf, "lineitem").select("l_returnflag", "l_linenumber")
+    return random_split(df, 0.2, 0.1, exact=True).tagged.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+
+
 def by_class_sql(name: str, key: list[str], label: str, test: float, val: float) -> str:
     ranked = (
         f"SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY {hash_sql(key)}) AS pos, "

@@ -27,6 +27,14 @@ def _(spark, sf):
     return read_csv(spark, path)
 
 
+@query("csv_read_quoted", "SELECT doc_id, text, source FROM documents")
+def _(spark, sf):
+    """Texts with separators, quotes and line breaks, written and read back."""
+    path = scratch_dir(spark, "csv")
+    write_csv(table(spark, sf, "documents").select("doc_id", "text", "source"), path)
+    return read_csv(spark, path, schema="doc_id long, text string, source string", multiline=True)
+
+
 @query(
     "csv_read_schema",
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +25,15 @@ def read_csv(
     separator: str = ",",
     header: bool = True,
     schema: T.StructType | str | None = None,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV with inferred types; a given ``schema`` saves the pass that infers them.
 
-    Without a header the columns are called "0", "1", ...
+    Quoted values may hold separators and doubled quotes. ``multiline`` also allows line breaks in them; a file is then
+    read by one task, so it is off unless asked for. Without a header the columns are called "0", "1", ...
     """
     reader = spark.read.option("sep", separator).option("header", header)
+    reader = reader.option("quote", '"').option("escape", '"').option("multiLine", multiline)
     if schema is not None:
         return reader.schema(schema).csv(_require(path))
     df = reader.option("inferSchema", True).csv(_require(path))
@@ -59,7 +62,6 @@ def read_excel(
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = schema.fieldNames()
-    numbers = {f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)}
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -76,10 +78,17 @@ def read_excel(
         .select("path", "content")
     )
     cells = files.mapInPandas(parse, text)
-    typed = [
-        F.when(col(f.name) != "", col(f.name)).try_cast("double").cast(f.dataType).alias(f.name)
-        if f.name in numbers and isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))
-        else col(f.name).try_cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ]
-    return cells.select(*typed)
+    return cells.select(*[_typed_cell(f).alias(f.name) for f in schema.fields])
+
+
+def _typed_cell(field: T.StructField) -> Column:
+    """The text of a cell as the wanted type; days and times are stored as days since the end of 1899."""
+    text = F.when(col(field.name) != "", col(field.name))
+    if isinstance(field.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        return text.try_cast("double").cast(field.dataType)
+    if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        days = text.try_cast("double")
+        midnight = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(days).cast("int")).cast("timestamp_ntz")
+        moment = midnight + F.make_dt_interval(secs=F.round((days - F.floor(days)) * 86_400, 3).cast("decimal(18,6)"))
+        return F.when(days.isNotNull(), moment.cast(field.dataType)).otherwise(text.try_cast(field.dataType))
+    return col(field.name).try_cast(field.dataType)

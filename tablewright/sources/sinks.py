@@ -18,7 +18,9 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = True, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("sep", separator).option("header", header).csv(path)
+    """Values with separators, quotes or line breaks are quoted, quotes in them doubled."""
+    writer = df.write.mode(mode).option("sep", separator).option("header", header)
+    writer.option("quote", '"').option("escape", '"').csv(path)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:

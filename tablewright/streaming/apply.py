@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tablewright.operators.fitted import Fitted
-from tablewright.session import scratch_dir
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -30,9 +29,9 @@ def write_available(
 ) -> StreamingQuery:
     """Process what is there, exactly once, and stop; run again for what arrives later.
 
-    Pass the same ``checkpoint`` every time: it holds which files are done.
+    The checkpoint holds which files are done. By default it lies below the output, so that the next call goes on from it.
     """
-    checkpoint = checkpoint or scratch_dir(stream.sparkSession, "stream")
+    checkpoint = checkpoint or f"{path.rstrip('/')}/_checkpoint"
     return (
         stream.writeStream.format(fmt)
         .option("checkpointLocation", checkpoint)

@@ -47,7 +47,7 @@ def test_curves_do_not_depend_on_buckets(spark):
     true = [int(r.random() < 0.5) for _ in range(1500)]
     df = scored(spark, true, [r.choice([0.5, r.random()]) for _ in true])
     whole, split = Curves(df), Curves(df.repartition(6), per_bucket=40)
-    assert len(split._cuts("1")) > 5
+    assert len(split._cuts["1"]) > 5
     for table in ("summary", "roc", "pr"):
         assert getattr(whole, table)().collect() == getattr(split, table)().collect()
     assert whole.roc().count() == 200
@@ -90,12 +90,6 @@ def test_confusion_fixture(spark):
     assert report.summary().first()["accuracy"] == 1.0 and report.flags().count() == 0
 
 
-def test_confusion_of_many_labels_lists_what_occurs(spark, monkeypatch):
-    monkeypatch.setattr("tablewright.operators.confusion.DENSE_LABELS", 3)
-    report = confusion(pairs(spark, range(10), range(10)))
-    assert report.cells().count() == 10 and report.per_class().count() == 10
-
-
 def test_confusion_without_columns(spark):
     report = confusion(spark.range(3))
     assert report.cells().count() == 0 and report.summary().first()["total_samples"] == 3
@@ -165,3 +159,34 @@ def test_comparison_rules(spark):
     numbers = {n: pairs(spark, noise.tolist(), (noise * k).tolist(), "double") for n, k in (("x", 0.9), ("y", 0.5))}
     top = {r["metric"]: r["model"] for r in compare_predictions(numbers).table().where("is_best").collect()}
     assert set(top.values()) == {"x"} and set(top) == {"mse", "rmse", "mae", "r2"}
+
+
+def test_a_missing_label_is_written_out(spark):
+    df = spark.createDataFrame([(1, 1), (None, 1), (1, None), (None, None)], "y_true int, y_pred int")
+    report = confusion(df)
+    cells = {(r["y_true"], r["y_pred"]): r["count"] for r in report.cells().collect()}
+    assert cells == {("1", "1"): 1, ("None", "1"): 1, ("1", "None"): 1, ("None", "None"): 1}
+    assert {r["label"]: r["support"] for r in report.per_class().collect()} == {"1": 2, "None": 2}
+
+
+def test_dense_and_sparse_cells(spark):
+    df = pairs(spark, range(40), [0] * 40)
+    assert confusion(df).cells().count() == 1600
+    sparse = confusion(df).cells(dense=False)
+    assert sparse.count() == 40
+    assert sorted(map(tuple, confusion(df).cells().where("count > 0").collect())) == sorted(map(tuple, sparse.collect()))
+
+
+def many_classes(spark, n, rows):
+    cells = [(f"c{i % n:03d}" if i % 7 else None, *[((i * 31 + j * 17) % 97) / 97 for j in range(n)]) for i in range(rows)]
+    names = ", ".join(["y_true string", *[f"y_prob_c{j:03d} double" for j in range(n)]])
+    return spark.createDataFrame(cells, names)
+
+
+def test_many_classes_in_small_buckets(spark):
+    """Missing labels do not cost a class, and cut points change nothing."""
+    df = many_classes(spark, 40, 600)
+    whole, cut = Curves(df), Curves(df, per_bucket=10)
+    assert len(whole.labels) == 40
+    areas = [{r["class"]: (r["roc_auc"], r["average_precision"]) for r in x.areas().collect()} for x in (whole, cut)]
+    assert len(areas[0]) == 40 and all(areas[0][c] == pytest.approx(areas[1][c]) for c in areas[0])

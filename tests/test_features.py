@@ -109,10 +109,44 @@ def test_one_hot(spark):
 
 def test_one_hot_of_many_categories(spark):
     parts = encode_parts(spark)
-    out = Encoder("one_hot", "color", literal_categories=0).fit(parts.train).transform(parts.val)
+    out = Encoder("one_hot", "color", output="vector").fit(parts.train).transform(parts.val)
     assert [r["color_onehot"].toArray().tolist() for r in out.orderBy("size").collect()] == [[0, 0, 1], [0, 0, 0]]
 
 
+def test_output_of_one_hot_does_not_switch(spark):
+    df = spark.createDataFrame([(f"k{i}",) for i in range(60)], "k string")
+    with pytest.raises(ValueError, match="output='vector'"):
+        Encoder("one_hot", "k", literal_categories=59).fit(df)
+    assert len(Encoder("one_hot", "k", literal_categories=60).fit(df).transform(df).columns) == 60
+    assert Encoder("one_hot", "k", output="vector").fit(df).transform(df).columns == ["k_onehot"]
+
+
+@pytest.mark.parametrize("size", [40, 300])
+def test_codes_by_literal_and_by_join(spark, size):
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(size)] + [(None,)], "k string")
+    step = Encoder("label", "k").fit(df)
+    found = step.transform(spark.createDataFrame([("k007",), ("new",), (None,)], "k string")).collect()
+    assert sorted(r["k"] for r in found) == [-1, -1, 7]
+
+
+def test_large_dictionary_is_fitted_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("b",), ("c",)], "k string").write.parquet(path)
+    step = Encoder("label", "k", literal_categories=0).fit(spark.read.parquet(path))
+    spark.createDataFrame([("a",), ("b",), ("c",)], "k string").write.mode("overwrite").parquet(path)
+    assert sorted(r["k"] for r in step.transform(spark.createDataFrame([("b",), ("a",)], "k string")).collect()) == [-1, 0]
+
+
+@pytest.mark.parametrize("direct", [0, 50_000])
+def test_nan_has_no_rank(spark, monkeypatch, direct):
+    monkeypatch.setattr("tablewright.functions.stats.DIRECT_QUANTILE_ROWS", direct)
+    df = spark.createDataFrame([(float(i),) for i in range(1, 10)] + [(float("nan"),)] * 3 + [(None,)], "x double")
+    filled = Imputer("median", columns="x").fit(df)
+    assert filled.rows[0][2] == "5.0"
+    name, _, shift, spread = Scaler("RobustScaler", "x").fit(df).rows[0]
+    assert (name, shift, spread) == ("x", 5.0, 4.0)
+
+
 def test_dictionary_in_buckets(spark):
     df = spark.createDataFrame([(f"k{i % 900:04d}",) for i in range(3000)], "k string")
     found = {r["value"]: r["code"] for r in _dictionary(df, "k", 900, per_bucket=50).collect()}

@@ -132,9 +132,20 @@ def test_bad_training_tables(spark, classes):
 
 
 def test_tree_settings(line, caplog):
-    model = decision_tree(line.train, "target", max_depth=50, criterion="gini")
+    model = decision_tree(line.train, "target", criterion="gini")
     assert model.task == "regression" and model.params["criterion"] == "squared_error"
-    assert "at most 30 deep" in caplog.text and "using squared_error" in caplog.text
+    assert "using squared_error" in caplog.text
+    with pytest.raises(ValueError, match="at most 30 deep"):
+        decision_tree(line.train, "target", max_depth=31)
+    with pytest.raises(ValueError, match="absolute_error"):
+        decision_tree(line.train, "target", criterion="absolute_error")
+
+
+def test_bins_tell_many_values_apart(spark):
+    df = spark.createDataFrame([(float(i), int(i in (50, 51))) for i in range(120)], "x double, y int")
+    tree = decision_tree(df, "y", max_depth=10)
+    hits = tree.predict(df).where("y_true = y_pred").count()
+    assert hits == 120 and decision_tree(df, "y", max_depth=10, max_bins=32).predict(df).where("y_true = y_pred").count() < 120
 
 
 def test_importance(spark, line, classes):

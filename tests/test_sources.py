@@ -30,6 +30,20 @@ def test_csv(spark, tmp_path):
         read_csv(spark, "")
 
 
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_text('id,text,day\n1,"say ""hi"", ok",2024-01-01\n2,"two\nlines",2024-01-02\n')
+    rows = read_csv(spark, str(path), multiline=True).collect()
+    assert [r["text"] for r in rows] == ['say "hi", ok', "two\nlines"] and str(rows[0]["day"]) == "2024-01-01"
+    one = tmp_path / "one.csv"
+    one.write_text('id,text,day\n1,"say ""hi"", ok",2024-01-01\n')
+    assert read_csv(spark, str(one)).first()["text"] == 'say "hi", ok'
+    odd = [(1, 'a "quoted" word'), (2, "x,y"), (3, "line\nbreak"), (4, '"'), (5, "back\\slash"), (6, None)]
+    write_csv(spark.createDataFrame(odd, "id int, text string"), str(tmp_path / "o"))
+    back = read_csv(spark, str(tmp_path / "o"), schema="id int, text string", multiline=True)
+    assert sorted(map(tuple, back.collect())) == odd
+
+
 def test_parquet_columns(spark, tmp_path):
     write_parquet(spark.createDataFrame([(1, 4, 7), (2, 5, 8)], "a int, b int, c int"), str(tmp_path / "t"))
     assert read_parquet(spark, str(tmp_path / "t"), "a, c").columns == ["a", "c"]
@@ -80,6 +94,13 @@ def test_excel(spark, tmp_path):
         read_excel(spark, str(tmp_path), "zip string").collect()
 
 
+def test_excel_days_and_times(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", {"s": [("day", "moment"), (45123, 45123.75), (None, None), ("2024-02-03", "2024-02-03 04:05:06")]})
+    rows = read_excel(spark, str(tmp_path), "day date, moment timestamp").collect()
+    assert [str(r["day"]) for r in rows] == ["2023-07-16", "None", "2024-02-03"]
+    assert [str(r["moment"]) for r in rows] == ["2023-07-16 18:00:00", "None", "2024-02-03 04:05:06"]
+
+
 def test_excel_skipped_rows(spark, tmp_path):
     workbook(tmp_path / "a.xlsx", {"s": [("title",), ("name", "age"), ("Alice", 30)]}, skip=2)
     df = read_excel(spark, str(tmp_path), "age long", header_row=1, skip_rows=2)

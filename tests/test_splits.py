@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators.split import (
+    check_stratified,
     class_sizes,
     class_thresholds,
     exact_sizes,
@@ -116,3 +117,26 @@ def test_splits_holder(spark):
     assert sizes(doubled) == (200, 10)
     tagged = random_split(df).tagged
     assert Splits.of(tagged).project(lambda f: f.drop("feature2")).train.columns == ["feature1", "target"]
+
+
+@pytest.mark.parametrize("per_ranking", [10, 1_000_000])
+def test_rows_without_a_value_are_last(spark, monkeypatch, per_ranking):
+    monkeypatch.setattr("tablewright.operators.split.ROWS_PER_RANKING", per_ranking)
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i) for i in range(1000)], "id int, at int")
+    tagged = random_split(df, 0.2, 0.1, order_by="at").tagged
+    assert {r["split"]: r["count"] for r in tagged.groupBy("split").count().collect()} == {"train": 700, "val": 100, "test": 200}
+    assert tagged.where("at is null and split <> 'test'").count() == 0
+
+
+@pytest.mark.parametrize("per_ranking", [10, 1_000_000])
+def test_exact_sizes_with_equal_rows(spark, monkeypatch, per_ranking):
+    monkeypatch.setattr("tablewright.operators.split.ROWS_PER_RANKING", per_ranking)
+    df = spark.createDataFrame([(i % 3,) for i in range(1000)], "x int")
+    tagged = random_split(df, 0.2, 0.1, exact=True).tagged
+    assert {r["split"]: r["count"] for r in tagged.groupBy("split").count().collect()} == {"train": 700, "val": 100, "test": 200}
+
+
+def test_all_small_classes_are_counted(spark):
+    df = spark.createDataFrame([(f"c{i:02d}",) for i in range(30)], "y string")
+    with pytest.raises(ValueError, match="and 10 more"):
+        check_stratified(df, "y")
