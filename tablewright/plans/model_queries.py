@@ -45,6 +45,20 @@ NUMBER = [
 ]
 
 
+#: A class that one cut decides, and a number that few cuts give exactly: every part is predicted without an error.
+STEP = ["l_quantity AS qty", "l_discount AS disc", "CAST(l_quantity > 25 AS INT) AS y"]
+TWICE = ["l_quantity AS qty", "l_discount AS disc", "l_quantity * 2 AS y"]
+
+
+def no_error_sql(exprs: list[str], scores: str) -> str:
+    return f"SELECT split, count(*)::BIGINT AS rows, {scores} FROM {split_sql('lineitem', LINE_KEY, exprs)} GROUP BY split"
+
+
+ALL_RIGHT = no_error_sql(STEP, "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS prob_sum")
+ONLY_QTY = """SELECT 1::BIGINT AS rank, 'qty' AS feature, 1.0::DOUBLE AS importance, 1.0::DOUBLE AS raw_importance
+    UNION ALL SELECT 2, 'disc', 0.0, 0.0 WHERE EXISTS (SELECT 1 FROM lineitem)"""
+
+
 def splits(spark, sf, exprs):
     return split_table(spark, sf, "lineitem", LINE_KEY, exprs)
 
@@ -69,17 +83,22 @@ def scored(model, parts):
     )
 
 
-@query("decision_tree")
+@query("decision_tree", ALL_RIGHT)
+def _(spark, sf):
+    return fitted_and_scored(spark, sf, STEP, lambda train: decision_tree(train, "y"))
+
+
+@query("decision_tree_regression", no_error_sql(TWICE, "0.0::DOUBLE AS mae"))
 def _(spark, sf):
-    return fitted_and_scored(spark, sf, YES_NO, lambda train: decision_tree(train, "y"))
+    return fitted_and_scored(spark, sf, TWICE, lambda train: decision_tree(train, "y", criterion="squared_error"))
 
 
-@query("decision_tree_regression")
+@query("random_forest", ALL_RIGHT)
 def _(spark, sf):
-    return fitted_and_scored(spark, sf, NUMBER, lambda train: decision_tree(train, "y", max_depth=6, criterion="squared_error"))
+    return fitted_and_scored(spark, sf, STEP, lambda train: random_forest(train, "y"))
 
 
-@query("random_forest")
+@query("random_forest_classes")
 def _(spark, sf):
     return fitted_and_scored(spark, sf, THREE, lambda train: random_forest(train, "y", n_estimators=20, max_depth=6))
 
@@ -180,9 +199,9 @@ def _(spark, sf):
     return linear_regression(splits(spark, sf, NUMBER).train, "y").info(spark)
 
 
-@query("feature_importance_tree")
+@query("feature_importance_tree", ONLY_QTY)
 def _(spark, sf):
-    return feature_importance(decision_tree(splits(spark, sf, YES_NO).train, "y", max_depth=5)).features(spark)
+    return feature_importance(decision_tree(splits(spark, sf, STEP).train, "y")).features(spark)
 
 
 @query(
@@ -218,9 +237,9 @@ def _(spark, sf):
     return feature_importance(linear_regression(splits(spark, sf, NUMBER).train, "y")).flags(spark)
 
 
-@query("feature_importance_forest")
+@query("feature_importance_forest", ONLY_QTY)
 def _(spark, sf):
-    return feature_importance(random_forest(splits(spark, sf, YES_NO).train, "y", 10, 5)).features(spark)
+    return feature_importance(random_forest(splits(spark, sf, STEP).train, "y")).features(spark)
 
 
 @query("model_comparison")
