@@ -198,7 +198,7 @@ def build_filter(words: DataFrame, pairs: DataFrame, max_bits: int = MAX_BITS) -
             break
         entries += by_level[q]
         cutoff = 1 << (q - 1)
-    blocks = max(1, min(max_bits, BITS_PER_ENTRY * (needed + entries)) // BLOCK_BITS)
+    blocks = max(1, min(max_bits // BLOCK_BITS, -(-BITS_PER_ENTRY * (needed + entries) // BLOCK_BITS)))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # entries of a partition may belong to several blocks: bits are set block by block

@@ -77,8 +77,15 @@ def test_scores_against_exact_counts(spark, documents):
 
 
 def test_pairs_that_do_not_fit_back_off(spark, documents):
-    small = lm.fit(documents, max_bits=3 * lm.BLOCK_BITS, parts=16)
-    assert small.filter.blocks <= 3 and small.least_pair > 2
+    level = lm.F.floor(lm.F.log2("n")) + 1
+    words = lm.count_ngrams(documents, "text", False, 1, 16)
+    room = (words.agg(lm.F.sum(level)).first()[0] + 50) * lm.BITS_PER_ENTRY  # for 50 levels of pairs
+    pairs = lm.count_ngrams(documents, "text", True, lm.MIN_PAIR_COUNT, 16)
+    bloom, least = lm.build_filter(words, pairs, room)
+    assert least > 2 and bloom.blocks == 1
+    assert pairs.filter(lm.F.col("n") >= least).agg(lm.F.sum(level)).first()[0] <= 50
+    small = lm.fit(documents, max_bits=lm.BLOCK_BITS, parts=16)
+    assert small.filter.blocks == 1
     assert all(r.score < 0 for r in lm.score(documents, small).collect())
 
 
