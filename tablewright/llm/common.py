@@ -61,6 +61,11 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that Arrow holds in reserve back to the system; a worker process lives on after its task."""
+    pa.default_memory_pool().release_unused()
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``size`` bytes of text, or one row if that is longer."""
     for batch in batches:
@@ -71,3 +76,4 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) ->
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    release()

@@ -12,10 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tablewright.llm.common import release
+
 #: Parts by default: about 40 MB each for 5 thousand million keys.
 PARTS = 1024
 #: Keys a task holds before it hands them on.
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
 SCHEMA = "part int, size int, block binary"
 ARROW_SCHEMA = pa.schema([("part", pa.int32()), ("size", pa.int32()), ("block", pa.binary())])
 
@@ -40,7 +42,7 @@ def blocks(columns: list[np.ndarray], parts: int) -> pa.RecordBatch | None:
     )
 
 
-def unpack(sizes: list[int], bodies: list[bytes], kinds: list[np.dtype]) -> list[np.ndarray]:
+def unpack(sizes: list[int], bodies: list[pa.Buffer], kinds: list[np.dtype]) -> list[np.ndarray]:
     """The columns of several blocks, one after the other."""
     found: list[list[np.ndarray]] = [[] for _ in kinds]
     for size, body in zip(sizes, bodies, strict=True):
@@ -57,14 +59,15 @@ def by_part(packed: DataFrame, work: Callable[[int, list[np.ndarray]], Iterator[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, sizes, bodies = None, [], []
         for batch in batches:
-            for p, size, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for p, size, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if p != part and bodies:
                     yield from work(part, unpack(sizes, bodies, kinds))
                     sizes, bodies = [], []
                 part = p
                 sizes.append(size)
-                bodies.append(body)
+                bodies.append(body.as_buffer())  # no copy
         if bodies:
             yield from work(part, unpack(sizes, bodies, kinds))
+        release()
 
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
