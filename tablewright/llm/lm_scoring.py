@@ -3,13 +3,17 @@
 Training counts every word and every word pair of the training documents exactly. Counts are quantised on a logarithmic
 scale: an n-gram with count c has level 1 + floor(log2 c), and is put into a Bloom filter once for each level up to its own.
 A count is read back by probing level 1, 2, ... until a probe fails. The filter is built in blocks of 64 KB, each by the
-task that holds the n-grams of its hash range, and broadcast. Probabilities interpolate the pair's relative frequency with
-the smoothed word frequency, both from probes alone.
+task that holds the n-grams of its hash range. Probabilities interpolate the pair's relative frequency with the smoothed
+word frequency, both from probes alone.
 
-Bounds: the filter has ``BITS_PER_ENTRY`` bits per entry and at most ``MAX_BITS`` bits (64 MB), which is what is broadcast.
-Words are all entered. Pairs are entered from ``MIN_PAIR_COUNT`` on; if they do not fit, the smallest larger count that fits
-is taken, from the exact histogram of counts, and rarer pairs back off to words. If even the words alone do not fit, they
-are entered all the same and false probes get more frequent; raise ``max_bits`` with the memory of the workers.
+The query fits with ``fit_whole``: every word and every pair is entered, pairs seen once included, and the filter has at least
+``BITS_PER_ENTRY`` bits per entry at any size. It is cut into at most ``packed.PARTS`` slices of the hash range and stays
+distributed: texts ask each slice for their distinct n-grams, the levels found go back to the texts. Only what a task holds is
+bounded (one slice, or one piece of text), and all shuffled data grows in line with the texts.
+
+``fit`` makes one filter of at most ``max_bits`` bits that is broadcast, for callers who want that bound: words are all entered,
+pairs from ``MIN_PAIR_COUNT`` on; if they do not fit, the smallest larger count that fits is taken, from the exact histogram of
+counts, and rarer pairs back off to words.
 
 The base score is exact: the counts of the ``FREQUENT`` most frequent words are broadcast (16 MB at most), those of all
 others are joined by shuffle.
@@ -22,6 +26,7 @@ no training rows N and V are 0 and scores follow from the formula as far as it i
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm import packed
-from tablewright.llm.common import doc_bucket, pieces, stored, text_column
+from tablewright.llm.common import doc_bucket, pieces, release, stored, text_column
 from tablewright.llm.textops import mix, word_hashes
 
 BLOCK_BITS = 1 << 19
@@ -40,6 +45,14 @@ BITS_PER_ENTRY = 10
 MAX_BITS = 1 << 29
 PROBES = 4
 MIN_PAIR_COUNT = 2
+#: Blocks of a slice, while there are fewer slices than ``packed.PARTS``.
+SLICE_BLOCKS = 2
+#: Keys probed at once.
+PROBED_KEYS = 1 << 19
+#: Bytes of text that ask the slices together.
+ASKING_TEXT = 8 << 20
+#: Low bits of a key that a sliced filter does not use: 44 bits tell n-grams apart far better than the probes do.
+SHORT = np.uint64(20)
 FREQUENT = 1 << 20
 PAIR_WEIGHT = 0.6
 END = np.uint64(0x5851F42D4C957F2D)
@@ -47,6 +60,7 @@ BEGIN = np.uint64(0x14057B7EF767814F)
 _PAIR = np.uint64(0xD1342543DE82EF95)
 _LEVEL = 0x9E3779B97F4A7C15
 KINDS = [np.dtype(np.uint64), np.dtype(np.uint32)]
+LEVEL_KINDS = [np.dtype(np.uint64), np.dtype(np.uint8)]
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,22 +97,26 @@ LEVEL_COUNT = np.array([0.0] + [(2.0 ** (q - 1) + 2.0**q - 1) / 2 for q in range
 
 
 class LogFrequencyFilter:
-    """Blocks of bits; all probes of one entry fall into the block of its n-gram."""
+    """Blocks of bits; all probes of one entry fall into the block of its n-gram.
+
+    A slice of a larger filter holds its blocks from ``first`` on, out of ``blocks`` in all.
+    """
 
-    def __init__(self, bits: np.ndarray):
+    def __init__(self, bits: np.ndarray, blocks: int | None = None, first: int = 0):
         self.bits = bits  # blocks x bytes
-        self.blocks = len(bits)
+        self.blocks = blocks or len(bits)
+        self.first = first
 
     def probe(self, keys: np.ndarray, level: int) -> np.ndarray:
-        block = packed.part_of(keys, self.blocks).astype(np.int64)
+        block = packed.part_of(keys, self.blocks).astype(np.int64) - self.first
         hit = np.ones(len(keys), bool)
         flat = self.bits.reshape(-1)
         for at in bit_positions(keys, level):
             hit &= (flat[block * (BLOCK_BITS // 8) + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
         return hit
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each n-gram, 0 if it is not held."""
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, 0 if it is not held."""
         found = np.zeros(len(keys), np.int64)
         left = np.arange(len(keys))
         for level in range(1, len(LEVEL_COUNT)):
@@ -106,7 +124,11 @@ class LogFrequencyFilter:
             if len(left) == 0:
                 break
             found[left] = level
-        return LEVEL_COUNT[found]
+        return found
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The quantised count of each n-gram, 0 if it is not held."""
+        return LEVEL_COUNT[self.held(keys)]
 
 
 def bit_positions(keys: np.ndarray, level: int) -> Iterator[np.ndarray]:
@@ -228,10 +250,75 @@ def build_filter(words: DataFrame, pairs: DataFrame, max_bits: int = MAX_BITS) -
     return LogFrequencyFilter(bits), cutoff
 
 
+@dataclass
+class SlicedFilter:
+    """A filter of any size, as rows of a slice of the hash range and the bits of its blocks; slices without entries have no row."""
+
+    rows: DataFrame
+    slices: int
+    blocks: int
+
+
+def _level_table(part: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """All keys of a part and their levels, packed in one row, with the number of filter entries they make."""
+    keys, counts = _summed(*columns)
+    level = levels(counts).astype(np.uint8)
+    body = keys.tobytes() + level.tobytes()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([len(keys)], pa.int64()), pa.array([int(level.sum())], pa.int64()), pa.array([body], pa.binary())], ["size", "entries", "block"]
+    )
+
+
+def pair_levels(train: DataFrame, text: str, parts: int) -> DataFrame:
+    """Every word pair and its level, packed; written to the shared folder."""
+    plain = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = plain.mapInArrow(_count_pieces(parts, True), packed.SCHEMA)
+    return stored(packed.by_part(found, _level_table, KINDS, "size long, entries long, block binary"), "lm-levels")
+
+
+def build_slices(words: DataFrame, pairs: DataFrame, parts: int = packed.PARTS) -> SlicedFilter:
+    """The filter of all words and of all pairs (of ``pair_levels``), sized by their entries."""
+    level = (F.floor(F.log2(F.col("n"))) + 1).cast("long")
+    entries = (words.agg(F.sum(level)).first()[0] or 0) + (pairs.agg(F.sum("entries")).first()[0] or 0)
+    blocks = max(1, -(-BITS_PER_ENTRY * entries // BLOCK_BITS))
+    slices = min(parts, -(-blocks // SLICE_BLOCKS))
+    each = -(-blocks // slices)
+
+    def pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, counts = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
+            order = np.argsort(keys)
+            found = packed.blocks([keys[order] >> SHORT << SHORT, levels(counts[order]).astype(np.uint8)], slices)
+            if found is not None:
+                yield found
+
+    def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys, level = packed.unpack([size], [body.as_buffer()], LEVEL_KINDS)
+                found = packed.blocks([keys >> SHORT << SHORT, level], slices)
+                if found is not None:
+                    yield found
+
+    def fill(part: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, level = columns
+        block = packed.part_of(keys, slices * each) - part * each
+        order = np.argsort(block, kind="stable")
+        keys, level, block = keys[order], level[order], block[order]
+        bits = np.zeros((each, BLOCK_BITS // 8), np.uint8)
+        for b in np.unique(block).tolist():
+            a, z = np.searchsorted(block, [b, b + 1])
+            bits[b] = fill_block(keys[a:z], level[a:z])
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
+
+    both = words.select("key", "n").mapInArrow(pack_words, packed.SCHEMA).unionByName(pairs.select("size", "block").mapInArrow(pack_pairs, packed.SCHEMA))
+    return SlicedFilter(stored(packed.by_part(both, fill, LEVEL_KINDS, "slice int, bits binary"), "lm-filter"), slices, slices * each)
+
+
 @dataclass
 class Model:
     words: DataFrame
-    filter: LogFrequencyFilter
+    filter: LogFrequencyFilter | SlicedFilter
     tokens: int
     kinds: int
     texts: int
@@ -239,13 +326,24 @@ class Model:
 
 
 def fit(train: DataFrame, text: str = "text", max_bits: int = MAX_BITS, parts: int = packed.PARTS) -> Model:
-    """Count the training texts and build the filter."""
+    """Count the training texts and build a filter of at most ``max_bits``."""
     words = count_ngrams(train, text, False, 1, parts)
     pairs = count_ngrams(train, text, True, MIN_PAIR_COUNT, parts)
+    bloom, least = build_filter(words, pairs, max_bits)
+    return Model(words, bloom, *_totals(words), least)
+
+
+def fit_whole(train: DataFrame, text: str = "text", parts: int = packed.PARTS) -> Model:
+    """Count the training texts and build a filter of all words and pairs, as large as they need."""
+    words = count_ngrams(train, text, False, 1, parts)
+    return Model(words, build_slices(words, pair_levels(train, text, parts), parts), *_totals(words), 1)
+
+
+def _totals(words: DataFrame) -> tuple[int, int, int]:
+    """Tokens, kinds of tokens, and texts."""
     told = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ends = words.filter(F.col("key") == int(END.view(np.int64))).agg(F.sum("n")).first()[0] or 0
-    bloom, least = build_filter(words, pairs, max_bits)
-    return Model(words, bloom, told["n"] or 0, told["v"], ends, least)
+    return told["n"] or 0, told["v"], ends
 
 
 def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -270,19 +368,144 @@ def _least_step(kinds: dict[int, int], frequent: int) -> int:
 def log_probabilities(bloom: LogFrequencyFilter, tokens: np.ndarray, offsets: np.ndarray, n_tokens: int, kinds: int, texts: int) -> np.ndarray:
     """log10 of the interpolated probability of each token."""
     distinct, inverse = np.unique(tokens, return_inverse=True)
-    held = bloom.counts(distinct)
-    word = (held[inverse] + 0.5) / (n_tokens + 0.5 * (kinds + 1))
-    before = histories(tokens, offsets)
-    context = np.empty(len(tokens))
-    context[1:] = held[inverse][:-1]
+    pair = bloom.counts(pair_keys(histories(tokens, offsets), tokens))
+    return _interpolated(bloom.counts(distinct)[inverse], pair, offsets, n_tokens, kinds, texts)
+
+
+def _interpolated(held: np.ndarray, pair: np.ndarray, offsets: np.ndarray, n_tokens: int, kinds: int, texts: int) -> np.ndarray:
+    """The same from the counts of each token and of the pair it ends."""
+    word = (held + 0.5) / (n_tokens + 0.5 * (kinds + 1))
+    context = np.empty(len(held))
+    context[1:] = held[:-1]
     context[offsets[:-1]] = texts
-    pair = bloom.counts(pair_keys(before, tokens))
     known = context > 0
     share = np.where(known, np.minimum(pair / np.maximum(context, 1), 1.0), 0.0)
     return np.log10(np.where(known, PAIR_WEIGHT * share + (1 - PAIR_WEIGHT) * word, word))
 
 
-_SCORED = pa.schema([(n, t) for n, t in (("row", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum", pa.float64()), ("score", pa.float64()))])
+def _pack_texts(tokens: np.ndarray, offsets: np.ndarray) -> bytes:
+    """The tokens of a piece of text: sizes, offsets, distinct tokens, and the place of each token among these."""
+    distinct, places = np.unique(tokens, return_inverse=True)
+    kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
+    sizes = np.array([len(offsets), len(distinct), len(tokens)], np.int64)
+    return zlib.compress(b"".join(x.tobytes() for x in (sizes, offsets.astype(np.int64), distinct, places.astype(kind))), 1)
+
+
+def _unpack_texts(body: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and offsets."""
+    body = zlib.decompress(body)
+    rows, kinds, size = np.frombuffer(body, np.int64, 3).tolist()
+    offsets = np.frombuffer(body, np.int64, rows, 24)
+    distinct = np.frombuffer(body, np.uint64, kinds, 24 + 8 * rows)
+    places = np.frombuffer(body, np.uint16 if kinds <= 1 << 16 else np.uint32, size, 24 + 8 * (rows + kinds))
+    return distinct[places], offsets
+
+
+def _asked(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all tokens and of the pairs they end, and the place of each token's, then of each pair's, among them."""
+    keys = np.concatenate([tokens, pair_keys(histories(tokens, offsets), tokens)]) >> SHORT << SHORT
+    return np.unique(keys, return_inverse=True)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their gaps, if these fit 32 bits."""
+    keys = keys >> SHORT
+    gaps = np.diff(keys)
+    if gaps.max(initial=0) < 1 << 32:
+        return b"\1" + keys[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+    return b"\0" + keys.tobytes()
+
+
+def _unpack_keys(body: bytes) -> np.ndarray:
+    if body[0]:
+        first, gaps = np.frombuffer(body, np.uint64, 1, 1), np.frombuffer(body, np.uint32, -1, 9)
+        return np.cumsum(np.concatenate([first, gaps.astype(np.uint64)]), dtype=np.uint64) << SHORT
+    return np.frombuffer(body, np.uint64, -1, 1) << SHORT
+
+
+def _probe_slices(texts: DataFrame, bloom: SlicedFilter, n_tokens: int, kinds: int, ends: int) -> DataFrame:
+    """row and score of all rows of ``texts`` (first row, packed tokens of a piece), by asking each slice once per piece."""
+    slices, blocks = bloom.slices, bloom.blocks
+    each = blocks // slices
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens, offsets = _unpack_texts(body.as_buffer())
+                keys, _ = _asked(tokens, offsets)
+                part = packed.part_of(keys, slices)
+                first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                bodies = pa.array([_pack_keys(x) for x in np.split(keys, first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.full(len(first), chunk)), bodies], ["slice", "chunk", "body"])
+        release()
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part_filter = None, None
+        chunks: list[int] = []
+        asked: list[np.ndarray] = []
+
+        def told() -> pa.RecordBatch:
+            keys = np.concatenate(asked)
+            level = part_filter.held(keys) if part_filter is not None else np.zeros(len(keys), np.int64)
+            bodies = np.split(level.astype(np.uint8), np.cumsum([len(x) for x in asked])[:-1])
+            out = [pa.array(chunks, pa.int64()), pa.array([now] * len(chunks), pa.int32()), pa.array([x.tobytes() for x in bodies], pa.binary())]
+            chunks.clear()
+            asked.clear()
+            return pa.RecordBatch.from_arrays(out, ["chunk", "slice", "body"])
+
+        size = 0
+        for batch in batches:
+            for part, chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if chunks and (part != now or size > PROBED_KEYS):
+                    yield told()
+                    size = 0
+                if part != now:
+                    now, part_filter = part, None
+                if chunk < 0:  # the slice itself comes first
+                    bits = np.frombuffer(body.as_buffer(), np.uint8).reshape(each, BLOCK_BITS // 8)
+                    part_filter = LogFrequencyFilter(bits, blocks, part * each)
+                else:
+                    chunks.append(chunk)
+                    asked.append(_unpack_keys(body.as_py()))
+                    size += len(asked[-1])
+        if chunks:
+            yield told()
+        release()
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, texts, got = None, None, []
+
+        def summed() -> pa.RecordBatch:
+            tokens, offsets = _unpack_texts(texts)
+            keys, places = _asked(tokens, offsets)
+            level = np.concatenate([np.frombuffer(x, np.uint8) for x in got])
+            if len(level) != len(keys):
+                raise ValueError(f"{len(level)} levels for {len(keys)} n-grams")
+            count = LEVEL_COUNT[level][places]
+            logs = _interpolated(count[: len(tokens)], count[len(tokens) :], offsets, n_tokens, kinds, ends)
+            rows = np.arange(now, now + len(offsets) - 1)
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.add.reduceat(logs, offsets[:-1]))], ["row", "score"])
+
+        for batch in batches:
+            for chunk, part, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if part < 0:  # the texts come before their levels
+                    if got:
+                        yield summed()
+                    now, texts, got = chunk, body.as_buffer(), []
+                else:
+                    got.append(body.as_buffer())
+        if got:
+            yield summed()
+        release()
+
+    asked = texts.mapInArrow(ask, "slice int, chunk long, body binary")
+    held = bloom.rows.select("slice", F.lit(-1).cast("long").alias("chunk"), F.col("bits").alias("body"))
+    told = held.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(answer, "chunk long, slice int, body binary")
+    own = texts.select(F.col("row").alias("chunk"), F.lit(-1).alias("slice"), F.col("texts").alias("body"))
+    return own.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(combine, "row long, score double")
+
+
+_SCORED = pa.schema([(n, t) for n, t in (("row", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("sum", pa.float64()), ("score", pa.float64()), ("texts", pa.binary()))])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -293,31 +516,35 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
     top = model.words.filter(step >= least).toArrow()
     keys, values = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((model.filter.bits, keys[order], values[order]))
+    sliced = isinstance(model.filter, SlicedFilter)
+    shared = spark.sparkContext.broadcast((None if sliced else model.filter.bits, keys[order], values[order]))
     n_tokens, kinds, texts = model.tokens, model.kinds, model.texts
     defined = n_tokens > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, keys, values = shared.value
-        bloom = LogFrequencyFilter(bits)
+        bloom = None if sliced else LogFrequencyFilter(bits)
         row = TaskContext.get().partitionId() << 40
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text", ASKING_TEXT if sliced else 1 << 20):
             tokens, offsets = tokens_of(text_column(batch, "text"))
             n = np.diff(offsets)
             count = _look_up(keys, values, tokens)
             sure = count > 0
             logs = np.where(sure, np.log10(np.maximum(count, 0) + 0.5), 0.0)
             begins = offsets[:-1]
-            if defined:
+            if defined and not sliced:
                 likely = np.add.reduceat(log_probabilities(bloom, tokens, offsets, n_tokens, kinds, texts), begins)
             else:
                 likely = np.full(len(n), np.nan)
             rows = np.arange(row, row + len(n))
             row += len(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), batch.column("id"), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.add.reduceat(sure.astype(np.int64), begins)), pa.array(np.add.reduceat(logs, begins)), pa.array(likely)],
+                [pa.array(rows), batch.column("id"), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(np.add.reduceat(sure.astype(np.int64), begins)), pa.array(np.add.reduceat(logs, begins)), pa.array(likely), pa.nulls(len(n), pa.binary())],
                 schema=_SCORED,
             )
+            if defined and sliced:
+                whole = pa.array([_pack_texts(tokens, offsets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:1]), *(pa.nulls(1, t) for t in _SCORED.types[1:-1]), whole], schema=_SCORED)
             rare = np.flatnonzero(~sure)
             if len(rare):
                 owner = np.repeat(np.arange(len(n)), n)[rare]
@@ -327,13 +554,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
                 times = np.diff(np.r_[first, len(key)])
                 none = pa.nulls(len(first), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[owner[first]]), none, pa.array(key[first].view(np.int64)), pa.array(times), none, none.cast(pa.float64()), none.cast(pa.float64())],
+                    [pa.array(rows[owner[first]]), none, pa.array(key[first].view(np.int64)), pa.array(times), none, none.cast(pa.float64()), none.cast(pa.float64()), pa.nulls(len(first), pa.binary())],
                     schema=_SCORED,
                 )
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # written once: both kinds of rows come from the same run of each task
-    told = "row long, id long, key long, n_tokens long, n_known long, sum double, score double"
+    # written once: all kinds of rows come from the same run of each task
+    told = "row long, id long, key long, n_tokens long, n_known long, sum double, score double, texts binary"
     found = stored(plain.mapInArrow(run, told), "lm-scored")
     rare_words = model.words.filter(step < least).withColumnRenamed("n", "c")
     rare = found.filter("key IS NOT NULL").select("row", "key", F.col("n_tokens").alias("times"))
@@ -341,7 +568,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("more"),
     )
-    whole = found.filter("key IS NULL").join(rare, "row", "left")
+    whole = found.filter("key IS NULL AND n_tokens IS NOT NULL").drop("texts").join(rare, "row", "left")
+    if defined and sliced:
+        texts = found.filter("key IS NULL AND n_tokens IS NULL").select("row", "texts")
+        whole = whole.drop("score").join(_probe_slices(texts, model.filter, n_tokens, kinds, model.texts), "row", "left")
     unit = math.log10(n_tokens + 0.5 * (kinds + 1))
     base = F.col("sum") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(unit)
     return whole.select(
@@ -361,6 +591,6 @@ def held_out(id_col: str = "doc_id"):
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Every document scored by what the documents that are not held out say."""
-    model = fit(docs.filter(doc_bucket("doc_id", 5) != 1))
+    model = fit_whole(docs.filter(doc_bucket("doc_id", 5) != 1))
     found = score(docs, model)
     return found.withColumn("held_out", held_out())

@@ -98,3 +98,42 @@ def test_odd_rows(odd_docs):
     nothing = lm.score(odd_docs, lm.fit(odd_docs.limit(0))).collect()
     assert len(nothing) == len(rows) and {r.score for r in nothing} == {None} and {r.train_tokens for r in nothing} == {0}
     assert lm.score_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_whole_filter_holds_pairs_seen_once(spark, documents, monkeypatch):
+    """All pairs count at any size: the filter grows with its entries, over several slices, and is asked slice by slice."""
+    monkeypatch.setattr(lm, "BITS_PER_ENTRY", 400)  # so that a small table needs many blocks
+    monkeypatch.setattr(lm, "MAX_BITS", lm.BLOCK_BITS)
+    train = documents.filter(lm.doc_bucket("doc_id", 5) != 1)
+    model = lm.fit_whole(train, parts=16)
+    level = lm.F.floor(lm.F.log2("n")) + 1
+    entries = sum(lm.count_ngrams(train, "text", p, 1, 16).agg(lm.F.sum(level)).first()[0] for p in (False, True))
+    assert model.least_pair == 1 and model.filter.slices == 16 and model.filter.blocks * lm.BLOCK_BITS >= lm.BITS_PER_ENTRY * entries > lm.MAX_BITS
+    words, pairs = Counter(), Counter()
+    learned = [r.text for r in train.collect()]
+    for t in learned:
+        own = tokens(t)
+        words.update(own)
+        pairs.update(zip(["<s>", *own[:-1]], own, strict=True))
+    n, v = sum(words.values()), len(words)
+    stands = lambda c: lm.LEVEL_COUNT[c.bit_length()]
+    near = 0
+    found = {r.doc_id: r.score for r in lm.score(documents, model).collect()}
+    for r in documents.collect():
+        own, total = tokens(r.text), 0.0
+        for before, t in zip(["<s>", *own[:-1]], own, strict=True):
+            p = (stands(words[t]) + 0.5) / (n + 0.5 * (v + 1))
+            context = len(learned) if before == "<s>" else stands(words[before])
+            share = min(stands(pairs[(before, t)]) / context, 1) if context else 0
+            total += math.log10(lm.PAIR_WEIGHT * share + (1 - lm.PAIR_WEIGHT) * p if context else p)
+        near += abs(found[r.doc_id] - total) < 0.02 * abs(total) + 0.5
+    assert near > 0.95 * len(found)
+
+
+def test_query_learns_from_pairs_seen_once(spark):
+    """A pair seen once in training makes a text more likely than one of the same words in an order not seen."""
+    once = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:3]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [(once[0], "red fox runs"), (once[1], "blue whale sings"), (once[2], "old owl sleeps"), (held[0], "red fox"), (held[1], "red whale")]
+    found = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[held[0]] > found[held[1]] + 0.3
