@@ -11,7 +11,7 @@ the sum of the scaled g: the steps are summed first and projected once. g is sca
 of the posteriors of documents whose rate is positive; if that does not bring the targets nearer, by 1 / S_j. Each round is
 one aggregate over a narrow table (tokens, posteriors); only a few sums per domain reach the driver.
 
-Rates become whole copies by a hash of the id: floor(rate), and one more for a share of the documents that is its fraction.
+Rates become whole copies by a hash of id and text: floor(rate), and one more for a share of the documents that is its fraction.
 
 Bounds: about ``LABELLED_DOCS`` labelled documents are used for fitting (chosen by a hash of the id, all if fewer), and
 ``INDICATORS`` words per domain. Everything else covers all rows.
@@ -195,9 +195,10 @@ def fit_rates(rows: DataFrame, targets: Mapping[str, float] = TARGETS, budget: f
     return Fit(push.tolist(), wanted.tolist(), reached.tolist(), done)
 
 
-def copies_of(rate: Column, id_col: str) -> Column:
-    """Whole copies whose expected number is the rate."""
-    chance = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("copies")), F.lit(1_000_000)) / 1e6
+def copies_of(rate: Column, id_col: str, text: str = "text") -> Column:
+    """Whole copies whose expected number is the rate; different texts draw apart even if they share an id or have none."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text)]
+    chance = F.pmod(F.xxhash64(*own, F.lit("copies")), F.lit(1_000_000)) / 1e6
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
@@ -211,7 +212,7 @@ def rated(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 def mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", targets: Mapping[str, float] = TARGETS, budget: float | None = None) -> DataFrame:
     """Every document as often as its copies say, with the columns of ``docs``."""
     rows = rated(docs, labels, id_col, text, targets, budget)
-    times = F.array_repeat(F.lit(0), copies_of(F.col(RATE), id_col))
+    times = F.array_repeat(F.lit(0), copies_of(F.col(RATE), id_col, text))
     return rows.withColumn("__mix_copy", F.explode(times)).select(*docs.columns)
 
 

@@ -76,3 +76,9 @@ def test_odd_rows(spark, odd_docs):
     rows = mixing.rated(odd_docs, labels)
     times = rows.select("doc_id", mixing.copies_of(F.col(mixing.RATE), "doc_id").alias("c")).filter("doc_id = 5").collect()
     assert len(times) == 2 and times[0].c == times[1].c
+
+
+def test_texts_of_one_id_draw_apart(spark):
+    rows = spark.createDataFrame([(i, f"text {k}", 0.5) for i in (None, 4) for k in range(400)], "doc_id long, text string, rate double")
+    found = rows.withColumn("c", mixing.copies_of(F.col("rate"), "doc_id")).groupBy("doc_id").agg(F.sum("c").alias("c")).collect()
+    assert len(found) == 2 and all(140 < r.c < 260 for r in found)
