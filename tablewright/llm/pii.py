@@ -2,8 +2,8 @@
 
 Base spans come from fixed patterns with checks (``base_spans``). The field looks for what the patterns miss, such as
 written-out addresses and numbers with other separators. It reads the surroundings of digits, at-signs and written-out
-"at" and "dot"; candidate segments there are scored as wholes (digit groups, checksum, separators, brackets, neighbours, cue
-words), and dynamic programming over segments of at most ``MAX_TOKENS`` tokens picks boundaries and types together, with a
+"at" and "dot", and written-out addresses in full; candidate segments there are scored as wholes (digit groups, checksum, separators, brackets, neighbours, cue
+words), and dynamic programming over segments (numbers of at most ``MAX_TOKENS`` tokens) picks boundaries and types together, with a
 weight for each pair of neighbouring types. Base spans stay; a segment that touches one is no candidate. A segment is added
 if it beats leaving its tokens out by ``MARGIN`` (log odds).
 
@@ -95,6 +95,10 @@ _DOT = r"(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )"
 _WRITTEN = re.compile(
     rf"[A-Za-z0-9][A-Za-z0-9._%+-]{{0,63}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.IGNORECASE
 )
+#: What follows the local part of an address; every match of ``_WRITTEN`` has one of these in it.
+_AFTER_LOCAL = re.compile(rf"{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.IGNORECASE)
+_AT_MARK = re.compile(r"@| ?[\[({] ?at ?[\])}]| at(?= )", re.IGNORECASE)
+_LONGEST_LOCAL = 64
 _CUES = {
     "mail": 0, "email": 0, "contact": 0, "write": 0, "ip": 1, "address": 1, "server": 1, "host": 1, "card": 2, "visa": 2,
     "mastercard": 2, "account": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3,
@@ -102,18 +106,33 @@ _CUES = {
 _SEPARATORS = frozenset(" -./()_")
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Bounds of whatever may be a written-out address: both parts in full, as long as the pattern allows."""
+    for m in _AT_MARK.finditer(text):
+        at = m.start() - 1 if m[0] == "@" and text[m.start() - 1 : m.start()] == " " else m.start()
+        tail = _AFTER_LOCAL.match(text, at)
+        if tail is None:
+            continue
+        start = at
+        while start > max(0, at - _LONGEST_LOCAL) and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at:
+            yield start, tail.end()
+
+
 def windows(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around triggers, joined where they meet."""
+    """Stretches of text around triggers and over written-out addresses, joined where they meet."""
+    near = [(max(0, m.start() - AROUND), min(m.end() + AROUND, len(text))) for m in _TRIGGER.finditer(text)]
     start = end = None
-    for m in _TRIGGER.finditer(text):
-        if end is not None and m.start() - AROUND <= end:
-            end = m.end() + AROUND
+    for a, b in sorted([*near, *_addresses(text)]):
+        if end is not None and a <= end:
+            end = max(end, b)
             continue
         if end is not None:
-            yield start, min(end, len(text))
-        start, end = max(0, m.start() - AROUND), m.end() + AROUND
+            yield start, end
+        start, end = a, b
     if end is not None:
-        yield start, min(end, len(text))
+        yield start, end
 
 
 @dataclass
@@ -178,7 +197,7 @@ def lattice(
     found: dict[tuple[int, int, int], Segment] = {}
 
     def add(kind: int, a: int, b: int) -> None:
-        if a not in at or b not in at or at[b] - at[a] > MAX_TOKENS:
+        if a not in at or b not in at or (kind and at[b] - at[a] > MAX_TOKENS):  # addresses are bounded by their pattern
             return
         before = bisect_left(taken[0], b) - 1  # the last taken span that starts before the end
         if before >= 0 and taken[1][before] > a:
@@ -425,7 +444,7 @@ def told(spans: list[tuple[int, int, int]]) -> str:
 
 _MAY_HOLD = np.zeros(256, bool)
 _MAY_HOLD[[*range(0x30, 0x3A), 0x40]] = True
-_WORDED = re.compile(rb"[\[({] ?at ?[\])}]| dot ", re.IGNORECASE)
+_WORDED = re.compile(rb"[\[({] ?at ?[\])}]| dot | at (?=[A-Za-z0-9-]{1,63}(?:\.| ?[\[({] ?dot))", re.IGNORECASE)
 
 
 def _with_triggers(column: pa.Array) -> np.ndarray:

@@ -148,3 +148,33 @@ def test_query_columns(odd_docs, documents):
         for i, t in texts:
             assert i is None or {f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in by_patterns(t)} <= told[i]
     assert pii.personal_data(documents.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "address",
+    [
+        "firstname.lastname at department-of-physics dot example dot edu",
+        "name (at) department-of-physics (dot) stanford (dot) edu",
+        "name at department-of-physics (dot) stanford (dot) edu",
+        "n" * 64 + " at " + "d" * 63 + " dot com",
+        "n" * 64 + " (at) " + " (dot) ".join("abcdef"[i] * 63 for i in range(5)) + " (dot) org",
+        "n" * 64 + " @ " + "d" * 63 + ".example.com",
+    ],
+)
+def test_addresses_up_to_the_bounds_of_the_pattern(model, address):
+    """Windows hold the whole address, and it is a candidate as a whole, also where all else is out of a trigger's reach."""
+    lead = "we wrote many words about this and that, then "
+    text = lead + address + " , and so on with words and more words until the end of it"
+    whole = (len(lead), len(lead) + len(address))
+    around = [w for w in pii.windows(text) if w[0] <= whole[0] and w[1] >= whole[1]]
+    assert len(around) == 1
+    borders, segments = pii.lattice(text, *around[0])
+    assert whole in [(borders[s.first], borders[s.last]) for s in segments if s.kind == 0]
+    column = pii.pa.array([text, "nothing here"], pii.pa.large_string())
+    assert pii._with_triggers(column).tolist() == [0]
+
+
+def test_long_addresses_are_added_whole(model):
+    for address in ("firstname.lastname at department-of-physics dot example dot edu", "name (at) department-of-physics (dot) stanford (dot) edu"):
+        text = f"please write to {address} | thanks"
+        assert (0, 16, 16 + len(address)) in pii.added_spans(model, text, pii.base_spans(text))
