@@ -10,7 +10,7 @@ TABLES = ("documents", "embeddings", "pages", "labels")
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, q in LLM_QUERIES.items() if q.sql])
