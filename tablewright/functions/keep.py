@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.session import scratch_dir
+from tablewright.session import remove_folder, scratch_dir
 
 #: Rows of a look-up table of a few numbers each that is sent to every task (some 30 MB).
 BROADCAST_ROWS = 500_000
@@ -30,6 +30,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def stored_while(df: DataFrame, label: str):
+    """A table written to the shared scratch folder, and removed from it at the end of the block.
+
+    Like ``keep`` it is spread first if it has fewer partitions than there are cores.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_folder(df.sparkSession, path)
+
+
 def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist, on at least as many partitions as there are cores.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -11,9 +12,9 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.column_ranks import rank_correlations
 from tablewright.functions.columns import measured, numeric_columns, resolve_columns
-from tablewright.functions.keep import lookup
-from tablewright.functions.ranking import average_ranks
+from tablewright.functions.products import masked_products, pair_moments
 from tablewright.functions.stats import collect_aggregates, column_stats, local_frame
 
 HIGH = 0.8
@@ -139,8 +140,9 @@ def pearson_pairs(
     """Pearson r per pair.
 
     Complete columns share plain sums of centred products (one product per pair and one
-    square per column). Pairs with gaps need their own moments, from ``regr_*``, which skip
-    a row when either side is missing; unlike ``corr`` they do not fail on a constant.
+    square per column). Pairs with gaps need their own moments over the rows they share; one
+    pass of masked products gives them all, and a second one, around the pair's own means, those
+    whose values barely spread there. A column that holds an infinite value has no correlation.
     """
     solid = {name for name in values if _is_complete(facts[name])}
     result: dict[tuple[str, str], float | None] = {}
@@ -159,18 +161,12 @@ def pearson_pairs(
         aggregates[("ss", name)] = F.sum(centred[name] * centred[name])
     for a, b in dense:
         aggregates[("sp", a, b)] = F.sum(centred[a] * centred[b])
-    for a, b in gappy:
-        x, y = values[a], values[b]
-        aggregates[("r", a, b)] = F.try_divide(
-            F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-        )
+    result.update(_gappy_pairs(df, values, gappy, facts))
     found = collect_aggregates(df, aggregates) if aggregates else {}
     for a, b in pairs:
         if (a, b) in result:
             continue
-        if (a, b) in gappy:
-            result[a, b] = found["r", a, b]
-        elif ("sp", a, b) in found:
+        if ("sp", a, b) in found:
             n = facts[a]["rows"]
             sxy = found["sp", a, b] - found["s", a] * found["s", b] / n
             sxx = found["ss", a] - found["s", a] ** 2 / n
@@ -182,6 +178,34 @@ def pearson_pairs(
     return result
 
 
+def _gappy_pairs(df, values, pairs, facts) -> dict[tuple[str, str], float | None]:
+    finite = {n for pair in pairs for n in pair if math.isfinite(facts[n]["min"]) and math.isfinite(facts[n]["max"])}
+    result: dict[tuple[str, str], float | None] = {pair: None for pair in pairs}
+    pairs = [pair for pair in pairs if pair[0] in finite and pair[1] in finite]
+    if not pairs:
+        return result
+    names = list(dict.fromkeys(name for pair in pairs for name in pair))
+    at = {name: i for i, name in enumerate(names)}
+    held = {name: values[name] for name in names}
+    sums = masked_products(df, held, [facts[name]["mean"] for name in names])
+    moments, doubtful = {}, []
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        if sums.n[i, j] > 0 and sums.doubtful(i, j):
+            doubtful.append((i, j))
+        moments[i, j] = sums.moments(i, j)
+    if doubtful:
+        middle = [facts[name]["mean"] for name in names]
+        centres = [(middle[i] + sums.s[i, j] / sums.n[i, j], middle[j] + sums.s[j, i] / sums.n[i, j]) for i, j in doubtful]
+        for pair, (sxx, syy, sxy, constant) in pair_moments(df, held, doubtful, centres).items():
+            moments[pair] = (0.0, 0.0, 0.0) if constant else (sxx, syy, sxy)
+    for a, b in pairs:
+        sxx, syy, sxy = moments[at[a], at[b]]
+        spread = sxx * syy
+        result[a, b] = float(max(-1.0, min(1.0, sxy / spread**0.5))) if spread > 0 else None
+    return result
+
+
 def _matrix(df: DataFrame, values: dict[str, Column], names: list[str]):
     """All pairs of many complete columns at once, from MLlib's one-pass matrix product."""
     plain = df.select(*[values[n].alias(f"v{i}") for i, n in enumerate(names)])
@@ -197,35 +221,4 @@ def spearman_pairs(
     per_bucket: int | None = None,
 ) -> dict[tuple[str, str], float | None]:
     """Pearson r of average ranks, ranked among the rows complete for the pair."""
-    solid = [name for name in values if _is_complete(facts[name])]
-    result = {}
-    dense = [(a, b) for a, b in pairs if a in solid and b in solid]
-    if dense:
-        needed = [name for name in solid if any(name in pair for pair in dense)]
-        result.update(_ranked_pearson(df.select(*[values[n].alias(n) for n in needed]), needed, dense, facts, per_bucket))
-    for a, b in pairs:
-        if (a, b) not in result:
-            both = df.select(values[a].alias(a), values[b].alias(b)).where(
-                values[a].isNotNull() & values[b].isNotNull()
-            )
-            result.update(_ranked_pearson(both, [a, b], [(a, b)], facts, per_bucket))
-    return {pair: result[pair] for pair in pairs}
-
-
-def _ranked_pearson(work, names, pairs, facts, per_bucket):
-    """Replace each column by its rank through an equi-join on the value, then correlate.
-
-    The rank table of a column with few values is broadcast; for the others the shuffle
-    join on the value is split by AQE where one value holds very many rows.
-    """
-    ranked = work.select(*[F.col(f"`{n}`").alias(f"_v{i}") for i, n in enumerate(names)])
-    base = ranked
-    for i, name in enumerate(names):
-        ranks = average_ranks(base, str(i), F.col(f"_v{i}"), facts[name]["distinct"], per_bucket)
-        ranked = ranked.join(lookup(ranks, facts[name]["distinct"]), F.col(f"_v{i}") == F.col(f"_key_{i}")).drop(f"_v{i}", f"_key_{i}")
-    aggregates = {}
-    index = {name: i for i, name in enumerate(names)}
-    for a, b in pairs:
-        x, y = F.col(f"_rank_{index[a]}"), F.col(f"_rank_{index[b]}")
-        aggregates[a, b] = F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
-    return collect_aggregates(ranked, aggregates)
+    return rank_correlations(df, values, pairs, facts, per_bucket, None if per_bucket is None else 0)

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.functions import ranking, stats
+from tablewright.functions.column_ranks import (
+    Ranked,
+    _Blocks,
+    _count_bands,
+    _Plan,
+    _points,
+    _products_by_exchange,
+    rank_correlations,
+)
 from tablewright.functions.columns import parse_columns, require_distinct_names, resolve_columns
+from tablewright.functions.products import plain_columns
 from tablewright.operators.correlation import correlation, spearman_pairs
 
 
@@ -119,3 +130,50 @@ def test_column_lists(spark):
         resolve_columns(df, "z", "error")
     with pytest.raises(ValueError, match="only by case"):
         require_distinct_names(spark.createDataFrame([(1, 2)], "a int, A int"))
+
+
+def spearman_case(seed, rows):
+    r = np.random.default_rng(seed)
+    frame = pd.DataFrame({"hot": np.where(r.random(rows) < 0.4, 7.0, r.normal(size=rows)), "few": r.integers(0, 5, rows).astype(float)})
+    frame["wide"] = frame.hot * 2 + r.normal(size=rows)
+    frame["same"] = np.where(r.random(rows) < 0.3, np.nan, r.normal(size=rows))
+    frame["twin"] = np.where(frame.same.isna(), np.nan, frame.same.round(1) + frame.few)
+    frame["gap"] = np.where(r.random(rows) < 0.5, np.nan, -frame.wide + r.normal(size=rows) * 3)
+    frame["flat"] = 1.5
+    return frame
+
+
+@pytest.mark.parametrize("per_band, tabled", [(None, None), (10, 0), (10, 40), (200, 0)])
+def test_rank_correlations_match_pandas(spark, per_band, tabled):
+    frame = spearman_case(3, 1200)
+    df = spark.createDataFrame(frame).repartition(5)
+    values = {n: F.when(~F.isnan(n), F.col(n)) for n in frame}
+    facts = {n: {"rows": len(frame), "count": int(frame[n].notna().sum()), "distinct": frame[n].nunique()} for n in frame}
+    pairs = list(combinations(frame, 2))
+    found = rank_correlations(df, values, pairs, facts, per_band, tabled)
+    expected = frame.corr("spearman")
+    for a, b in pairs:
+        if "flat" in (a, b):
+            assert found[a, b] is None
+        else:
+            assert found[a, b] == pytest.approx(expected.loc[a, b], abs=1e-12)
+
+
+def test_rank_correlations_move_rows_twice(spark):
+    """Two exchanges of cells for all columns together, and a value that fills a third of its column is not sorted."""
+    frame = spearman_case(4, 3000)[["hot", "wide"]]
+    df = spark.createDataFrame(frame)
+    plan = _Plan([Ranked(0, -1), Ranked(1, -1)], 2, _points(plain_columns(df, {n: F.col(n) for n in frame}), 3000, [9999] * 2, 100, 0))
+    work = plain_columns(df, {n: F.col(n) for n in frame})
+    plan.settle(_count_bands(work, plan))
+    lines = _products_by_exchange(work, plan, _Blocks([(0, 1)], [-1, -1], plan.ranked))
+    told = lines._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange hashpartitioning") == 2
+    at = int(np.searchsorted(plan.points[0], 7.0))
+    assert plan.points[0][at] == 7.0 and not np.isnan(plan.known[0][2 * at + 1])
+
+
+def test_rank_correlations_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1.0)], "a double, b double")
+    facts = {"a": {"rows": 1, "count": 0, "distinct": 0}, "b": {"rows": 1, "count": 1, "distinct": 1}}
+    assert rank_correlations(df, {"a": F.col("a"), "b": F.col("b")}, [("a", "b")], facts) == {("a", "b"): None}

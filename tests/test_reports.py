@@ -1,9 +1,12 @@
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.operators.correlation import correlation
+from tablewright.functions.columns import measured
+from tablewright.operators.correlation import correlation, pearson_pairs
 from tablewright.operators.distribution import distribution
 from tablewright.operators.missing import missing_values
 from tablewright.operators.outliers import outliers
@@ -185,3 +188,42 @@ def test_correlation_of_many_columns(spark, monkeypatch):
             assert value is None
         else:
             assert value == pytest.approx(expected.loc[a, b], abs=1e-6)
+
+
+def test_correlation_of_many_columns_with_gaps(spark):
+    """200 columns, each with gaps of its own or one of a few shared patterns, in a fixed number of jobs."""
+    r = np.random.default_rng(8)
+    base = r.normal(size=(400, 12))
+    values = base @ r.normal(size=(12, 200)) + r.normal(size=(400, 200))
+    frame = pd.DataFrame(values, columns=[f"c{i}" for i in range(200)])
+    for i in range(200):
+        if i % 4:
+            frame.loc[r.random(400) < 0.2 if i % 4 == 1 else np.arange(400) % (2 + i % 4) == 0, f"c{i}"] = np.nan
+    df = spark.createDataFrame(frame).repartition(4)
+    values = {n: measured(df, n) for n in frame}
+    facts = {n: {"rows": 400, "count": int(c.count()), "mean": float(c.mean()), "min": float(c.min()), "max": float(c.max())} for n, c in frame.items()}
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("gaps", "gaps")
+    found = pearson_pairs(df, values, list(combinations(frame, 2)), facts)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("gaps")) <= 8 and len(found) == 19_900
+    expected = frame.corr()
+    assert max(abs(v - expected.loc[a, b]) for (a, b), v in found.items()) < 1e-9
+
+
+def test_pairs_that_share_a_constant(spark):
+    """Constant only where the other column has values; nearly constant there; nothing shared."""
+    rows = [(1e6, 1.0, None), (1e6, 2.0, None), (1e6, 3.5, None), (-5.0, None, 1.0), (7.0, None, 3.0), (0.1, None, 9.0)]
+    near = [(x, y, z, (1e6 + i * 1e-4) if i < 3 else float(i)) for i, (x, y, z) in enumerate(rows)]
+    found = pair_map(correlation(spark.createDataFrame(near, "a double, b double, c double, d double"), "both"))
+    assert found["pearson", "a", "b"] is None and found["spearman", "a", "b"] is None
+    assert found["pearson", "b", "c"] is None and found["spearman", "b", "c"] is None
+    assert found["pearson", "b", "d"] == pytest.approx(np.corrcoef([1, 2, 3.5], [0, 1, 2])[0, 1], abs=1e-5)
+
+
+def test_infinite_values_have_no_pearson(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (float("inf"), 3.0, 2.0), (2.0, None, 4.0), (3.0, 1.0, 7.0)], "a double, b double, c double")
+    found = pair_map(correlation(df, "both"))
+    assert found["pearson", "a", "b"] is None
+    assert found["pearson", "b", "c"] == pytest.approx(np.corrcoef([2, 3, 1], [1, 2, 7])[0, 1], abs=1e-6)
+    assert found["spearman", "a", "c"] == pytest.approx(0.4)
