@@ -37,14 +37,19 @@ def stored_while(df: DataFrame, label: str):
     Like ``keep`` it is spread first if it has fewer partitions than there are cores.
     """
     path = scratch_dir(df.sparkSession, label)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    (df.repartition(cores) if df.rdd.getNumPartitions() < cores else df).write.parquet(path)
+    spread(df).write.parquet(path)
     try:
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
         remove_folder(df.sparkSession, path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows on at least as many partitions as there are cores; a scan that has them already is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
     """Persist, on at least as many partitions as there are cores.
 

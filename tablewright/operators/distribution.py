@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_text, measured, numeric_columns, parse_columns
 from tablewright.functions.ranking import bucket_of
+from tablewright.functions.sketches import approx_quantiles, approx_top_values, distinct_counts, distinct_sketches
 from tablewright.functions.stats import (
     COLUMNS_PER_JOB,
     batched,
@@ -70,6 +71,7 @@ class DistributionReport:
     numeric_names: list[str]
     other_names: list[str]
     target: str | None
+    approx: bool = False
 
     @cached_property
     def _stats(self) -> dict[str, dict]:
@@ -86,7 +88,11 @@ class DistributionReport:
         """One row per numeric column, from two passes: moments, then quantiles."""
         stats = self._stats
         values = {name: measured(self.df, name) for name in self.numeric_names}
-        cuts = quantiles(self.df, values, [0.25, 0.5, 0.75], {n: stats[n]["count"] for n in values})
+        probs = [0.25, 0.5, 0.75]
+        if self.approx:
+            cuts = approx_quantiles(self.df, values, probs)
+        else:
+            cuts = quantiles(self.df, values, probs, {n: stats[n]["count"] for n in values})
         rows = []
         for name in self.numeric_names:
             s, (q25, q50, q75) = stats[name], cuts[name]
@@ -142,9 +148,15 @@ class DistributionReport:
 
     def categorical(self) -> DataFrame:
         """Non-null count and number of distinct values of every non-numeric column."""
-        grouped = self._other_counts().groupBy("column_name").agg(
-            F.sum("count").alias("count"), F.count(F.lit(1)).alias("cardinality")
-        )
+        if self.approx and self.other_names:
+            present = column_stats(self.df, {n: as_text(self.df, n) for n in self.other_names}, {"n": F.count})
+            counts = local_frame(self.df.sparkSession, [(n, present[n]["n"]) for n in self.other_names], "column_name string, count long")
+            estimates = distinct_counts(distinct_sketches(self.df, self.other_names))
+            grouped = counts.join(estimates.withColumnRenamed("unique_count", "cardinality"), "column_name")
+        else:
+            grouped = self._other_counts().groupBy("column_name").agg(
+                F.sum("count").alias("count"), F.count(F.lit(1)).alias("cardinality")
+            )
         names = local_frame(self.df.sparkSession, [(n,) for n in self.other_names], "column_name string")
         return names.join(grouped, "column_name", "left").select(
             "column_name",
@@ -158,9 +170,11 @@ class DistributionReport:
 
         Spark limits each task to its own first ``k`` rows per column ahead of the shuffle
         (rank filter on a window), so a column of unique values does not gather in one task.
+        With ``approx`` a sketch per task replaces the shuffle of values.
         """
         order = Window.partitionBy("column_name").orderBy(F.col("count").desc(), "value")
-        ranked = self._other_counts().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        counted = approx_top_values(self.df, self.other_names, k) if self.approx and self.other_names else self._other_counts()
+        ranked = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select(
             "column_name",
             F.col("rank").cast("long").alias("rank"),
@@ -236,13 +250,17 @@ class DistributionReport:
 
 
 def distribution(
-    df: DataFrame, target: str | None = None, columns: str | Sequence[str] | None = None
+    df: DataFrame, target: str | None = None, columns: str | Sequence[str] | None = None, approx: bool = False
 ) -> DistributionReport:
-    """Profile the listed columns (plus the target) or the whole table."""
+    """Profile the listed columns (plus the target) or the whole table.
+
+    With ``approx`` quantiles, cardinalities and top values are estimated by mergeable sketches; their errors are stated in
+    ``functions/sketches.py``.
+    """
     listed = parse_columns(columns)
     if listed:
         keep = set(listed) | ({target} if target else set())
         df = df.select(*[f"`{c}`" for c in df.columns if c in keep])
     numeric = numeric_columns(df)
     other = [name for name in df.columns if name not in numeric]
-    return DistributionReport(df, numeric, other, target if target in df.columns else None)
+    return DistributionReport(df, numeric, other, target if target in df.columns else None, approx)

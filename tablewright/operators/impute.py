@@ -19,6 +19,7 @@ from tablewright.functions.columns import (
     require_distinct_names,
     resolve_columns,
 )
+from tablewright.functions.sketches import approx_quantiles
 from tablewright.functions.stats import column_stats, quantiles
 from tablewright.operators.fitted import Projection
 
@@ -32,13 +33,15 @@ class Imputer:
     """Fills null only; NaN is a value here.
 
     Without ``columns``, those with a null in train are filled. Means, medians and numeric
-    constants turn an integer column into doubles, like the statistic itself.
+    constants turn an integer column into doubles, like the statistic itself. With ``approx``
+    the median comes from one mergeable sketch per column, within 0.3 % of the middle rank.
     """
 
     strategy: str = "mean"
     constant: str | float | None = None
     columns: str | Sequence[str] | None = None
     target: str | None = None
+    approx: bool = False
 
     def fit(self, train: DataFrame) -> Projection:
         if self.strategy not in STRATEGIES:
@@ -84,6 +87,9 @@ class Imputer:
     def _median(self, train, names, facts):
         """NaN has no rank: the median is that of the numbers."""
         values = {n: measured(train, n) for n in names}
+        if self.approx:
+            cuts = approx_quantiles(train, values, [0.5])
+            return {n: cuts[n][0] for n in names if cuts[n][0] is not None}
         counts = {n: f["n"] for n, f in column_stats(train, values, {"n": F.count}).items()} if names else {}
         cuts = quantiles(train, values, [0.5], counts)
         return {n: cuts[n][0] for n in names if cuts[n][0] is not None}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +23,10 @@ from tablewright.functions.columns import (
     measured,
     missing,
 )
+from tablewright.functions.keep import spread
+from tablewright.functions.sketches import distinct_counts, distinct_sketches
 from tablewright.functions.stats import collect_aggregates, local_frame
+from tablewright.session import importable
 
 # The words a column name is searched for.
 TARGET_WORDS = ("target", "label", "y", "default", "survived", "churn", "class", "outcome", "response")
@@ -117,42 +123,96 @@ def _reasoning() -> Column:
     return F.concat(head, detail, F.lit(" -> "), semantic, F.lit(" "), F.col("role"))
 
 
-def distinct_values(df: DataFrame) -> DataFrame:
-    """``(column_name, value, sort_key)``: each distinct value of each column once.
-
-    Numbers are grouped as numbers and printed only once per distinct value.
-    """
+def _cells(df: DataFrame) -> DataFrame:
+    """Every column as what its values sort and print by: whole numbers, reals, or text."""
     cells = []
     for i, field in enumerate(df.schema.fields):
-        whole, real, text = (F.lit(None).cast(t) for t in ("long", "double", "string"))
         if isinstance(field.dataType, INTEGER_TYPES):
-            whole = col(field.name).cast("long")
+            cell = col(field.name).cast("long")
         elif isinstance(field.dataType, FLOAT_TYPES):
-            real = measured(df, field.name) + F.lit(0.0)
+            cell = measured(df, field.name) + F.lit(0.0)
         else:
-            text = as_text(df, field.name)
-        cells.append(F.struct(F.lit(i).alias("id"), whole.alias("whole"), real.alias("real"), text.alias("text")))
+            cell = as_text(df, field.name)
+        cells.append(cell.alias(f"c{i}"))
+    return df.select(*cells)
+
+
+def unique_counts(df: DataFrame) -> DataFrame:
+    """``(column_name, unique_count)``: exact but for collisions of 128-bit hashes.
+
+    A cell is sent as its column and two 64-bit hashes, combined before the shuffle; the length of texts does not matter.
+    """
+    cells = _cells(df)
+    hashes = [
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("id"), F.xxhash64(c).alias("h"), F.xxhash64(F.lit(i + 1), c).alias("g")))
+        for i, c in enumerate(cells.columns)
+    ]
     names = F.array(*[F.lit(c) for c in df.columns])
-    numeric = F.array(*[F.lit(isinstance(f.dataType, NUMERIC_TYPES)) for f in df.schema.fields])
-    sort_text = F.when(numeric[F.col("id")], F.col("text").try_cast("double"))
-    return (
-        df.select(F.explode(F.array(*cells)).alias("cell"))
-        .select("cell.*")
-        .where("whole is not null or real is not null or text is not null")
-        .distinct()
-        .select(
-            names[F.col("id")].alias("column_name"),
-            F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")).alias("value"),
-            F.coalesce(F.col("whole").cast("double"), F.col("real"), sort_text).alias("sort_key"),
-        )
+    single = cells.select(F.explode(F.array(*hashes)).alias("cell")).where("cell is not null").select("cell.*").distinct()
+    return single.groupBy("id").agg(F.count(F.lit(1)).alias("unique_count")).select(names[F.col("id")].alias("column_name"), "unique_count")
+
+
+def smallest_values(df: DataFrame, limit: int) -> DataFrame:
+    """``(column_name, value, rank)``: the ``limit`` smallest distinct values of each column.
+
+    A mergeable aggregate: each task keeps its own ``limit`` smallest per column, and only those are sent on.
+    """
+    importable(df.sparkSession)
+    cells = _cells(df)
+    decimals = [isinstance(f.dataType, T.DecimalType) for f in df.schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array | None] = [None] * len(decimals)
+        for batch in batches:
+            for i, decimal in enumerate(decimals):
+                values = pc.drop_null(batch.column(i))
+                if len(values):
+                    held[i] = smallest(values, held[i], limit, decimal)
+        ids, whole, real, text = [], [], [], []
+        for i, values in enumerate(held):
+            for value in [] if values is None else values.to_pylist():
+                ids.append(i)
+                whole.append(value if isinstance(value, int) else None)
+                real.append(value if isinstance(value, float) else None)
+                text.append(value if isinstance(value, str) else None)
+        columns = [pa.array(ids, pa.int32()), pa.array(whole, pa.int64()), pa.array(real, pa.float64()), pa.array(text, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "whole", "real", "text"])
+
+    firsts = cells.mapInArrow(run, "id int, whole long, real double, text string").distinct()
+    names = F.array(*[F.lit(c) for c in df.columns])
+    is_decimal = F.array(*[F.lit(d) for d in decimals])
+    told = firsts.select(
+        names[F.col("id")].alias("column_name"),
+        F.coalesce(F.col("whole").cast("string"), F.col("real").cast("string"), F.col("text")).alias("value"),
+        "whole",
+        F.coalesce("real", F.when(is_decimal[F.col("id")], F.col("text").try_cast("double"))).alias("number"),
     )
+    order = Window.partitionBy("column_name").orderBy("whole", "number", "value")
+    return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("column_name", "value", "rank")
+
+
+def smallest(values: pa.Array, before: pa.Array | None, limit: int, decimal: bool = False) -> pa.Array:
+    """The ``limit`` smallest distinct values of an Arrow array and those found before; decimals come as text."""
+    if before is not None and len(before) == limit and not decimal:
+        values = values.filter(pc.less(values, before[-1]))
+        if not len(values):
+            return before
+    single = pc.unique(values if before is None else pa.concat_arrays([before, values]))
+    if decimal:
+        keyed = pa.table({"n": pc.cast(single, pa.float64()), "v": single})
+        order = pc.sort_indices(keyed, sort_keys=[("n", "ascending"), ("v", "ascending")])
+    else:
+        order = pc.sort_indices(single)
+    return single.take(order[:limit])
 
 
-def profile(df: DataFrame) -> DataFrame:
+def profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: counts, samples, semantic type, role and the reason for them.
 
-    Samples are the smallest values. Two passes: one wide aggregate for counts and ranges,
-    one grouped count for distinct values, combined before its shuffle.
+    Samples are the smallest values. Three passes: one wide aggregate for counts and ranges, one grouped count of hashes for
+    distinct values, one of bounded lists for samples. With ``approx`` distinct values are estimated by mergeable sketches
+    (``functions/sketches.py``, standard error 0.8 %), so nothing of the size of the data is shuffled; counts up to
+    ``LISTED_VALUES`` are exact all the same.
     """
     aggregates: dict = {"rows": F.count(F.lit(1))}
     for field in df.schema.fields:
@@ -172,17 +232,18 @@ def profile(df: DataFrame) -> DataFrame:
         ],
         CATALOG_SCHEMA,
     )
-    order = Window.partitionBy("column_name").orderBy("sort_key", "value")
-    values = distinct_values(df)
-    uniques = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("unique_count"))
-    # At most LISTED_VALUES rows per column reach the list; each task pre-limits its own.
-    first = (
-        values.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= LISTED_VALUES)
-        .groupBy("column_name")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("firsts"))
-        .select("column_name", F.col("firsts.value").alias("firsts"))
+    df = spread(df)
+    # At most LISTED_VALUES values per column, and one more to know whether that is all.
+    listed = smallest_values(df, LISTED_VALUES + 1)
+    first = listed.groupBy("column_name").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("rank", "value"))), 1, LISTED_VALUES)["value"].alias("firsts"),
+        F.count(F.lit(1)).alias("listed"),
     )
+    uniques = distinct_counts(distinct_sketches(df)) if approx else unique_counts(df)
+    if approx:
+        few = F.when(F.col("listed") <= LISTED_VALUES, F.col("listed"))
+        uniques = uniques.join(first, "column_name", "left").select("column_name", F.coalesce(few, "unique_count").alias("unique_count"))
+    first = first.drop("listed")
     joined = catalog.join(uniques, "column_name", "left").join(first, "column_name", "left")
     unique = F.coalesce("unique_count", F.lit(0))
     base = joined.withColumns(

@@ -66,6 +66,21 @@ def _(spark, sf):
     return rounded_frame(imputed(spark, sf, strategy="median"), ["total", "cust"])
 
 
+@query(
+    "impute_median_approx",
+    f"""SELECT column_name, round(10 * avg((v <= m)::INT))::BIGINT AS tenths FROM (SELECT 'total' AS column_name, total AS v,
+        (SELECT quantile_cont(total, 0.5) FROM {TRAIN_HOLES}) AS m FROM {TRAIN_HOLES} UNION ALL SELECT 'cust', cust,
+        (SELECT quantile_cont(cust, 0.5) FROM {TRAIN_HOLES}) FROM {TRAIN_HOLES}) WHERE v IS NOT NULL GROUP BY column_name""",
+)
+def _(spark, sf):
+    """Medians from sketches, compared by the tenths of the rows that lie at or below the fill."""
+    train = split_table(spark, sf, "orders", ORDER_KEY, HOLES).train
+    fills = Imputer("median", target="label", columns="total,cust", approx=True).fit(train).info(spark)
+    cells = train.selectExpr("stack(2, 'total', total, 'cust', CAST(cust AS DOUBLE)) AS (column_name, v)").where("v IS NOT NULL")
+    shares = cells.join(fills, "column_name").groupBy("column_name").agg(F.expr("round(10 * avg(CAST(v <= CAST(fill AS DOUBLE) AS INT))) AS tenths"))
+    return shares.selectExpr("column_name", "CAST(tenths AS BIGINT) AS tenths")
+
+
 def mode_sql(column: str) -> str:
     return (
         f"coalesce({column}, (SELECT {column} FROM {TRAIN_HOLES} WHERE {column} IS NOT NULL "

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from tablewright.functions.keep import persisted
 from tablewright.operators.correlation import correlation
 from tablewright.operators.distribution import distribution
@@ -230,6 +232,25 @@ def _(spark, sf):
     return distribution(table(spark, sf, "part")).categorical()
 
 
+PART_SIZES = "(SELECT 'size' AS column_name, p_size::DOUBLE AS v FROM part UNION ALL SELECT 'price', p_retailprice FROM part)"
+
+
+@query(
+    "distribution_approx",
+    f"""SELECT column_name, count(v) AS count, round(avg(v), 4) AS mean, {", ".join(f"round(4 * avg((v <= q{i})::INT))::BIGINT AS quarter{i}" for i in (1, 2, 3))}
+        FROM {PART_SIZES} JOIN (SELECT column_name, {", ".join(f"quantile_cont(v, {i / 4}) AS q{i}" for i in (1, 2, 3))}
+        FROM {PART_SIZES} GROUP BY column_name) USING (column_name) GROUP BY column_name""",
+)
+def _(spark, sf):
+    """Quartiles from sketches, compared by the quarters of the rows that lie at or below them."""
+    df = project(spark, sf, "part", ["CAST(p_size AS DOUBLE) AS size", "p_retailprice AS price"])
+    found = distribution(df, approx=True).numeric().select("column_name", "count", "mean", "q25", "q50", "q75")
+    cells = df.selectExpr("stack(2, 'size', size, 'price', price) AS (column_name, v)").join(found, "column_name")
+    quarters = [f"round(4 * avg(CAST(v <= q{q} AS INT))) AS quarter{i}" for i, q in ((1, 25), (2, 50), (3, 75))]
+    shares = cells.groupBy("column_name", "count", "mean").agg(*[F.expr(q) for q in quarters])
+    return shares.selectExpr("column_name", "count", "mean", *[f"CAST(quarter{i} AS BIGINT) AS quarter{i}" for i in (1, 2, 3)])
+
+
 def top_sql(source: str, names: list[str]) -> str:
     return (
         f"SELECT column_name, rank, value, count, round(count / (SELECT count(*) FROM {source})::DOUBLE, 4) AS pct FROM ("
@@ -243,6 +264,25 @@ def _(spark, sf):
     return distribution(table(spark, sf, "part")).top_values()
 
 
+@query(
+    "distribution_top_values_approx",
+    f"SELECT column_name, rank, value, count, pct FROM ({top_sql('part', ['p_brand', 'p_type'])})",
+)
+def _(spark, sf):
+    """Frequent values from a sketch that follows more values than the columns have, so their counts are exact."""
+    return distribution(table(spark, sf, "part"), columns="p_brand,p_type", approx=True).top_values()
+
+
+@query(
+    "distribution_categorical_approx",
+    f"SELECT column_name, sum(count)::BIGINT AS count, round(count(*) / sum(count), 1)::DOUBLE AS share, count(*) > 20 AS high_cardinality "
+    f"FROM ({counts_sql('customer', ['c_name', 'c_mktsegment'])}) GROUP BY column_name",
+)
+def _(spark, sf):
+    found = distribution(table(spark, sf, "customer"), approx=True).categorical()
+    return found.selectExpr("column_name", "count", "round(cardinality / count, 1) AS share", "high_cardinality")
+
+
 @query("distribution_top_values_unique", top_sql("customer", ["c_name", "c_mktsegment"]))
 def _(spark, sf):
     return distribution(table(spark, sf, "customer")).top_values()
@@ -494,6 +534,26 @@ def _(spark, sf):
     return profile(project(spark, sf, "lineitem", MIXED)).select(*PROFILE_COLUMNS)
 
 
+ORDER_TYPES = {
+    "o_orderkey": ("bigint", "numeric"), "o_custkey": ("bigint", "numeric"), "o_orderstatus": ("string", "string"),
+    "o_totalprice": ("double", "numeric"), "o_orderdate": ("timestamp_ntz", "datetime"), "o_orderpriority": ("string", "string"),
+}
+
+
+@query(
+    "profile_approx",
+    f"""SELECT column_name, semantic_type, role, null_pct, round(unique_ratio, 1) AS unique_ratio,
+        CASE WHEN unique_count <= 20 THEN unique_count END AS few FROM ({profile_sql("orders", ORDER_TYPES)})""",
+)
+def _(spark, sf):
+    """Distinct counts from sketches: shares agree to a decimal, counts up to 20 are exact."""
+    found = profile(table(spark, sf, "orders"), approx=True)
+    return found.selectExpr(
+        "column_name", "semantic_type", "role", "null_pct", "round(unique_ratio, 1) AS unique_ratio",
+        "CASE WHEN unique_count <= 20 THEN unique_count END AS few",
+    )
+
+
 def samples_sql(source: str, columns: dict[str, str]) -> str:
     blocks = []
     for c, sort in columns.items():

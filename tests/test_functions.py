@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablewright.functions import ranking, stats
+from tablewright.functions import ranking, sketches, stats
 from tablewright.functions.column_ranks import (
     Ranked,
     _Blocks,
@@ -177,3 +177,40 @@ def test_rank_correlations_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     facts = {"a": {"rows": 1, "count": 0, "distinct": 0}, "b": {"rows": 1, "count": 1, "distinct": 1}}
     assert rank_correlations(df, {"a": F.col("a"), "b": F.col("b")}, [("a", "b")], facts) == {("a", "b"): None}
+
+
+def test_sketches_stay_within_their_errors(spark):
+    df = spark.range(60_000, numPartitions=6).selectExpr("id", "CAST(id % 7000 AS STRING) AS s", "sqrt(id) AS v", "CAST(NULL AS DOUBLE) AS none")
+    exact = {"id": 60_000, "s": 7000, "v": 60_000, "none": 0}
+    whole = dict(sketches.distinct_counts(sketches.distinct_sketches(df)).collect())
+    assert all(abs(whole[c] - n) <= sketches.DISTINCT_ERROR * n for c, n in exact.items())
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    found = sketches.approx_quantiles(df, {"v": F.col("v"), "none": F.col("none")}, probs)
+    assert found["none"] == [None] * 5
+    for p, q in zip(probs, found["v"], strict=True):
+        assert abs(q * q / 59_999 - p) <= sketches.QUANTILE_ERROR
+
+
+def test_sketches_of_parts_merge(spark):
+    low, high = spark.range(0, 30_000).selectExpr("id AS a"), spark.range(20_000, 50_000).selectExpr("id AS a")
+    both = sketches.distinct_sketches(low).unionAll(sketches.distinct_sketches(high))
+    assert abs(dict(sketches.distinct_counts(sketches.merged(both, "distinct")).collect())["a"] - 50_000) <= sketches.DISTINCT_ERROR * 50_000
+    values = {"a": F.col("a").cast("double")}
+    both = sketches.quantile_sketches(low, values).unionAll(sketches.quantile_sketches(high, values))
+    (median,) = sketches.sketched_quantiles(sketches.merged(both, "quantile"), [0.5]).first()["quantiles"]
+    assert abs(median - 25_000) <= 2 * sketches.QUANTILE_ERROR * 60_000 + 1
+    with pytest.raises(ValueError, match="unknown kind"):
+        sketches.merged(both, "mode")
+
+
+def test_equal_values_hash_alike(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (None,)], "v double")
+    hashes = [r[0] for r in df.select(sketches.hashed(df, "v")).collect()]
+    assert hashes[0] == hashes[1] and hashes[2:] == [None, None]
+
+
+def test_approx_top_values_match_exact_ones(spark):
+    df = spark.createDataFrame([(f"v{min(i % 40, 25)}", None if i % 3 else "x") for i in range(4000)], "a string, b string")
+    found = {(r[0], r[1]): r[2] for r in sketches.approx_top_values(df, ["a", "b"], 5).collect()}
+    exact = {("a", r[0]): r[1] for r in df.groupBy("a").count().collect()} | {("b", "x"): 1334}
+    assert found == exact

@@ -10,7 +10,7 @@ from tablewright.operators.correlation import correlation, pearson_pairs
 from tablewright.operators.distribution import distribution
 from tablewright.operators.missing import missing_values
 from tablewright.operators.outliers import outliers
-from tablewright.operators.schema import cast_by_profile, profile
+from tablewright.operators.schema import cast_by_profile, profile, smallest_values, unique_counts
 from tablewright.operators.suggest import Suggestions, correlation_section
 
 
@@ -227,3 +227,47 @@ def test_infinite_values_have_no_pearson(spark):
     assert found["pearson", "a", "b"] is None
     assert found["pearson", "b", "c"] == pytest.approx(np.corrcoef([2, 3, 1], [1, 2, 7])[0, 1], abs=1e-6)
     assert found["spearman", "a", "c"] == pytest.approx(0.4)
+
+
+def profile_case(spark):
+    rows = [(i, float(i % 9) if i % 4 else float("nan"), ("x" * 2000 + str(i % 300)), i % 2 == 0, f"{(i * 7) % 50 - 20}.5") for i in range(900)]
+    df = spark.createDataFrame(rows, "key long, real double, body string, flag boolean, price string").repartition(5)
+    return df.withColumn("price", F.col("price").cast("decimal(9,1)"))
+
+
+def test_profile_counts_and_smallest_values(spark):
+    df = profile_case(spark)
+    found = {r["column_name"]: r for r in profile(df).collect()}
+    assert {c: r["unique_count"] for c, r in found.items()} == {"key": 900, "real": 9, "body": 300, "flag": 2, "price": 50}
+    assert list(found["key"]["samples"]) == ["0", "1", "2", "3", "4"] and found["key"]["all_values"] is None
+    assert list(found["real"]["all_values"]) == [str(float(i)) for i in range(9)]
+    assert list(found["body"]["samples"]) == sorted("x" * 2000 + str(i) for i in range(300))[:5]
+    assert list(found["price"]["samples"]) == [f"{i}.5" for i in (-20, -19, -18, -17, -16)]
+    assert list(found["flag"]["all_values"]) == ["false", "true"]
+
+
+def test_profile_shuffles_hashes_not_texts(spark):
+    df = profile_case(spark)
+    told = unique_counts(df)._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in told.splitlines() if "Exchange hashpartitioning" in line]
+    assert sent and all("body" not in line and "text" not in line for line in sent)
+    assert smallest_values(df, 4).count() == 4 * 4 + 2
+
+
+def test_profile_by_sketches(spark):
+    df = profile_case(spark)
+    found = {r["column_name"]: r for r in profile(df, approx=True).collect()}
+    exact = {r["column_name"]: r for r in profile(df).collect()}
+    for name, r in exact.items():
+        assert abs(found[name]["unique_count"] - r["unique_count"]) <= 0.03 * r["unique_count"]
+        assert found[name]["samples"] == r["samples"] and found[name]["all_values"] == r["all_values"]
+        assert r["unique_count"] > 20 or found[name]["unique_count"] == r["unique_count"]
+
+
+def test_distribution_by_sketches(spark):
+    df = profile_case(spark)
+    exact, found = distribution(df), distribution(df, approx=True)
+    for a, b in zip(exact.categorical().orderBy("column_name").collect(), found.categorical().orderBy("column_name").collect(), strict=True):
+        assert a["count"] == b["count"] and abs(a["cardinality"] - b["cardinality"]) <= 0.03 * a["cardinality"]
+    assert found.top_values().exceptAll(exact.top_values()).count() == 0
+    assert found.numeric().select("column_name", "count", "mean").exceptAll(exact.numeric().select("column_name", "count", "mean")).count() == 0
