@@ -14,8 +14,8 @@ from tablewright.plans.inputs import GAP_COLUMNS, GAPS, project, subquery, table
 from tablewright.plans.registry import query
 from tablewright.plans.report_queries import GAP_SQL, gaps_per_column
 from tablewright.session import scratch_dir
-from tablewright.sources.readers import read_csv, read_parquet
-from tablewright.sources.sinks import preview, write_csv, write_parquet, write_report
+from tablewright.sources.readers import read_csv, read_excel, read_excel_sheets, read_parquet
+from tablewright.sources.sinks import preview, write_csv, write_excel, write_parquet, write_report
 from tablewright.streaming.apply import apply_to_stream, file_stream, write_available
 
 
@@ -48,6 +48,23 @@ def _(spark, sf):
     return read_csv(spark, path, separator="\t", schema=schema)
 
 
+@query("excel_read", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def _(spark, sf):
+    """Workbooks written from a table, one per task, and the folder read back by columns in another order."""
+    path = scratch_dir(spark, "excel")
+    write_excel(table(spark, sf, "customer").repartition(3), path)
+    return read_excel(spark, path, "c_name string, c_acctbal double, c_custkey long, c_nationkey int, c_mktsegment string")
+
+
+@query("excel_read_sheets", "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def _(spark, sf):
+    """Every sheet of every workbook through the data source, with days and times."""
+    path = scratch_dir(spark, "excel")
+    write_excel(table(spark, sf, "orders").drop("o_custkey"), path)
+    kinds = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    return read_excel_sheets(spark, path, kinds)
+
+
 @query("csv_read_no_header", 'SELECT s_suppkey::INT AS "0", s_name AS "1", s_nationkey AS "2", s_acctbal AS "3" FROM supplier')
 def _(spark, sf):
     path = scratch_dir(spark, "csv")

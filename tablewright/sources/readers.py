@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import col, parse_columns
+from tablewright.session import importable
 from tablewright.sources import workbook
+from tablewright.sources.excel import ALL_SHEETS, ExcelSource
 
 
 def _require(path: str) -> str:
@@ -81,11 +83,33 @@ def read_excel(
     return cells.select(*[_typed_cell(f).alias(f.name) for f in schema.fields])
 
 
+def read_excel_sheets(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    sheet: str | None = ALL_SHEETS,
+    header_row: int = 0,
+    skip_rows: int = 0,
+) -> DataFrame:
+    """All sheets (or one) of all workbooks below a mounted folder or object-store address, one sheet per task.
+
+    Through the data source of ``sources/excel.py``, which streams workbooks of any size. ``sheet=None`` is the first.
+    """
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    importable(spark)
+    spark.dataSource.register(ExcelSource)
+    text = T.StructType([T.StructField(n, T.StringType()) for n in schema.fieldNames()])
+    reader = spark.read.format(ExcelSource.name()).schema(text).option("sheet", sheet or "")
+    cells = reader.option("header_row", header_row).option("skip_rows", skip_rows).load(_require(path))
+    return cells.select(*[_typed_cell(f).alias(f.name) for f in schema.fields])
+
+
 def _typed_cell(field: T.StructField) -> Column:
     """The text of a cell as the wanted type; days and times are stored as days since the end of 1899."""
     text = F.when(col(field.name) != "", col(field.name))
     if isinstance(field.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return text.try_cast("double").cast(field.dataType)
+        return F.coalesce(text.try_cast(field.dataType), text.try_cast("double").cast(field.dataType))
     if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         days = text.try_cast("double")
         midnight = F.date_add(F.lit("1899-12-30").cast("date"), F.floor(days).cast("int")).cast("timestamp_ntz")

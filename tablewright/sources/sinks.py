@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 
 from tablewright.functions.columns import parse_columns, quoted, resolve_columns
 from tablewright.functions.stats import local_frame
+from tablewright.session import importable
+from tablewright.sources.excel import ExcelSource, workbooks_below
 
 PREVIEW_ROWS = 10
 
@@ -23,6 +25,20 @@ def write_csv(df: DataFrame, path: str, separator: str = ",", header: bool = Tru
     writer.option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_excel(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Workbooks with a header, one per task; modes are errorifexists, append and overwrite.
+
+    Values are numbers, booleans or text; days and times are ISO text, which the readers understand.
+    """
+    if mode not in ("errorifexists", "append", "overwrite"):
+        raise ValueError(f"unknown mode {mode!r}")
+    importable(df.sparkSession)
+    df.sparkSession.dataSource.register(ExcelSource)
+    if mode == "errorifexists" and workbooks_below(path):
+        raise FileExistsError(f"{path} already holds workbooks")
+    df.write.format(ExcelSource.name()).mode("overwrite" if mode == "overwrite" else "append").save(path)
+
+
 def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A report as JSON lines."""
     report.write.mode(mode).json(path)

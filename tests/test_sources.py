@@ -1,4 +1,6 @@
 import zipfile
+from datetime import date, datetime
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -8,8 +10,9 @@ from tablewright.operators.dates import DatetimeEncoder
 from tablewright.operators.encode import Encoder
 from tablewright.operators.scale import Scaler
 from tablewright.session import CHECKPOINT_CONF, checkpoint_root
-from tablewright.sources.readers import read_csv, read_excel, read_parquet
-from tablewright.sources.sinks import preview, write_csv, write_parquet, write_report
+from tablewright.sources import workbook as sheets
+from tablewright.sources.readers import read_csv, read_excel, read_excel_sheets, read_parquet
+from tablewright.sources.sinks import preview, write_csv, write_excel, write_parquet, write_report
 from tablewright.sources.workbook import column_number
 from tablewright.streaming.apply import apply_to_stream, file_stream, write_available
 
@@ -169,3 +172,76 @@ def test_checkpoint_folder_comes_from_the_session(spark):
     assert checkpoint_root(Session(**{CHECKPOINT_CONF: "hdfs:///shared", "spark.master": "yarn"})) == "hdfs:///shared"
     with pytest.raises(ValueError, match="every executor can reach"):
         checkpoint_root(Session(**{"spark.master": "yarn"}))
+
+
+ODD_TEXTS = ["", " lead and trail ", "a<b & c>d \"q\"", "line\nbreak\ttab", "\x01\x1f", "_x0041_ stays", "_x", "ünï 中 \U0001f600", "\r\n", None]
+
+
+def odd_table(spark):
+    rows = [
+        (i, t, [1.5, -0.1, 1e300, float("nan"), float("inf"), None][i % 6], 2**62 + i, i % 2 == 0, date(2024, 2, 1 + i), datetime(2024, 2, 3, 4, 5, i, 250000), Decimal(f"{i}.25"))
+        for i, t in enumerate(ODD_TEXTS)
+    ]
+    schema = "k int, t string, v double, big long, flag boolean, day date, moment timestamp_ntz, price decimal(9,2)"
+    return spark.createDataFrame([*rows, (None,) * 8], schema)
+
+
+def plain_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("reader", [read_excel, read_excel_sheets])
+def test_excel_round_trip(spark, tmp_path, reader):
+    df = odd_table(spark)
+    write_excel(df.repartition(4), str(tmp_path / "t"))
+    files = sorted(f.name for f in (tmp_path / "t").iterdir())
+    assert files and all(f.startswith("part-") and f.endswith(".xlsx") for f in files)
+    assert plain_rows(reader(spark, str(tmp_path / "t"), df.schema)) == plain_rows(df)
+
+
+def test_excel_modes(spark, tmp_path):
+    path, kind = str(tmp_path / "t"), "id long"
+    write_excel(spark.range(5), path)
+    with pytest.raises(FileExistsError):
+        write_excel(spark.range(5), path)
+    write_excel(spark.range(5, 7), path, mode="append")
+    assert sorted(r.id for r in read_excel_sheets(spark, path, kind).collect()) == list(range(7))
+    write_excel(spark.range(3), path, mode="overwrite")
+    assert sorted(r.id for r in read_excel_sheets(spark, path, kind).collect()) == [0, 1, 2]
+    write_excel(spark.range(0), str(tmp_path / "none"))
+    assert read_excel_sheets(spark, str(tmp_path / "none"), kind).count() == 0
+    with pytest.raises(ValueError, match="unknown mode"):
+        write_excel(spark.range(1), path, mode="replace")
+
+
+def test_excel_failed_write_leaves_nothing(spark, tmp_path):
+    bad = spark.range(100, numPartitions=4).selectExpr("id", "CASE WHEN id = 99 THEN raise_error('bad') ELSE 'x' END AS t")
+    with pytest.raises(Exception, match="bad"):
+        write_excel(bad, str(tmp_path / "t"))
+    assert [f.name for f in (tmp_path / "t").iterdir() if not f.name.startswith(".")] == []
+    with pytest.raises(Exception, match="nested"):
+        write_excel(spark.range(1).selectExpr("array(id) AS a"), str(tmp_path / "u"))
+
+
+def test_excel_sheets_are_partitions(spark, tmp_path):
+    lines = [("name", "age"), ("Alice", 30)]
+    workbook(tmp_path / "a.xlsx", {"first": lines, "second": [lines[0], ("Dora", 41)]})
+    workbook(tmp_path / "b.xlsx", {"first": [lines[0], ("Eve", 22), ("Finn", 5)]})
+    df = read_excel_sheets(spark, str(tmp_path), "age int, name string")
+    assert df.rdd.getNumPartitions() == 3
+    assert sorted(map(tuple, df.collect())) == [(5, "Finn"), (22, "Eve"), (30, "Alice"), (41, "Dora")]
+    assert read_excel_sheets(spark, str(tmp_path), "name string", sheet=None).count() == 3
+    loaded = spark.read.format("workbooks").load(str(tmp_path))
+    assert loaded.columns == ["name", "age"] and loaded.count() == 3
+    with pytest.raises(Exception, match="need a string type"):
+        spark.read.format("workbooks").schema("age int").load(str(tmp_path)).collect()
+
+
+def test_workbook_goes_on_in_a_next_sheet(tmp_path):
+    with open(tmp_path / "a.xlsx", "wb") as file:
+        sheets.write(file, ["n"], ([i] for i in range(7)), sheet_rows=4)
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as book:
+        names = sheets.sheet_names(book)
+    content = (tmp_path / "a.xlsx").read_bytes()
+    found = [[r[0] for b in sheets.batches(content, n, 0, 0, ["n"], "a") for r in b] for n in names]
+    assert found == [["0", "1", "2"], ["3", "4", "5"], ["6"]]
