@@ -7,22 +7,23 @@ complete, do not change with partitioning, and are recomputed identically after
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import FLOAT_TYPES, as_text, col, dtype, require_target, resolve_columns
-from tablewright.functions.hashing import digits_below, key_digits, key_hash
+from tablewright.functions.hashing import HASH_BITS, HASH_RANGE, digits_below, key_digits, key_hash
 from tablewright.functions.keep import lookup, stored
+from tablewright.functions.selection import class_totals, count_cells, positions
 from tablewright.functions.stats import local_frame
 from tablewright.splits import Splits
 
-#: Rows of one class that may be ranked by one task when looking for its cut.
+#: Rows next to one cut that may be ranked by one task.
 ROWS_PER_RANKING = 1_000_000
-#: Bits resolved per counting round beyond that size: at most 4096 counters per class.
-RADIX_BITS = 12
+#: Equal rows that are laid out from one list.
+COPIES = 65_536
 MIN_CLASS_ROWS = 3
 #: Too small classes that an error message names.
 LISTED_CLASSES = 20
@@ -78,12 +79,7 @@ def random_split(
             .otherwise("train")
         )
         return Assignment(df.withColumn("split", part))
-    hashed = key_hash(df, _key(df, key), seed)
-    n_test, n_val = exact_sizes(df.count(), test_size, val_size)
-    counts = local_frame(
-        df.sparkSession, [("", n_test, n_test + n_val)], "_class string, cut_test long, cut_val long"
-    )
-    return _cut(df, F.lit(""), hashed, counts, exact=True)
+    return _exact(df, key_hash(df, _key(df, key), seed), lambda n: exact_sizes(n, test_size, val_size))
 
 
 def exact_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int]:
@@ -96,17 +92,19 @@ def exact_sizes(n: int, test_size: float, val_size: float) -> tuple[int, int]:
 
 def _sequential(df: DataFrame, order_by: str, test_size: float, val_size: float) -> Assignment:
     """First rows to train, then validation, last rows to test, in the order of a column; rows without a value are last."""
-    n = df.count()
-    n_test, n_val = exact_sizes(n, test_size, val_size)
     position = _order_code(df, order_by)
-    last = df.agg(F.max(position)).first()[0]
-    position = F.coalesce(position, F.lit(0 if last is None else last + 1).cast("long"))  # rows without a value come last
+    n, low, last = df.agg(F.count(F.lit(1)), F.min(position), F.max(position)).first()
+    low, last = (0, -1) if last is None else (low, last)
+    position = F.coalesce(position, F.lit(last + 1).cast("long"))  # rows without a value come last
+    n_test, n_val = exact_sizes(n, test_size, val_size)
+    codes = df.select(F.lit("").alias("_class"), position.alias("_code"))
+    cells = count_cells(codes, low, last + 1)
     counts = local_frame(
         df.sparkSession,
         [("", n - n_test - n_val, n - n_test)],
         "_class string, cut_test long, cut_val long",
     )
-    return _cut(df, F.lit(""), position, counts, parts=("train", "val", "test"))
+    return _cut(df, F.lit(""), position, cells, counts, (low, last + 1), parts=("train", "val", "test"))
 
 
 def _order_code(df: DataFrame, name: str) -> Column:
@@ -126,132 +124,107 @@ def _class_of(df: DataFrame, target: str) -> Column:
     return F.coalesce(as_text(df, target), F.lit("\\N"))
 
 
-def _by_class(df, target, val_size, test_size, seed, key) -> Assignment:
-    """Per-class cut positions, each share rounded to the nearest row."""
-    label = _class_of(df, target)
-    counts = df.groupBy(label.alias("_class")).count()
+def _by_class(df, target, val_size, test_size, seed, key, least: int = 0) -> Assignment:
+    """Per-class cut positions, each share rounded to the nearest row. One scan counts, one finds the cuts, one places rows."""
+    label, code = _class_of(df, target), key_hash(df, key, seed)
+    cells = count_cells(df.select(label.alias("_class"), code.alias("_code")), 0, HASH_RANGE - 1)
+    counts = class_totals(cells)
+    if least:
+        _refuse_small(counts.where(F.col("count") < least).withColumnRenamed("_class", "label"))
     n_test = F.floor(F.col("count") * test_size + 0.5)
     n_val = F.floor(F.col("count") * val_size + 0.5)
     cuts = counts.select("_class", n_test.alias("cut_test"), (n_test + n_val).alias("cut_val"))
-    return _cut(df, label, key_hash(df, key, seed), cuts)
+    return _cut(df, label, code, cells, cuts, (0, HASH_RANGE - 1))
+
+
+def _wanted(cuts: DataFrame) -> DataFrame:
+    """Positions to look for; a position of 0 is none."""
+    pair = [F.struct(F.lit(t).alias("which"), F.col(c).alias("rank")) for t, c in (("t_test", "cut_test"), ("t_val", "cut_val"))]
+    return cuts.select("_class", F.explode(F.array(*pair)).alias("w")).select("_class", "w.which", "w.rank").where("rank > 0")
 
 
 def _cut(
     df: DataFrame,
     label: Column,
     code: Column,
+    cells: DataFrame,
     cuts: DataFrame,
+    ends: tuple[int, int],
     parts: tuple[str, str, str] = ("test", "val", "train"),
-    exact: bool = False,
 ) -> Assignment:
     """Place rows by comparing their code with two thresholds of their class.
 
     Only (class, code) pairs are looked at to find the thresholds; the rows themselves meet
     a table of one line per class, which is broadcast unless there are very many classes.
-    With ``exact``, rows that share the code at a threshold are numbered, so that just as many of them as needed go to
-    each side; only these rows are shuffled.
+    Rows that share the code at a threshold stay together, on the side below it.
     """
     codes = df.select(label.alias("_class"), code.alias("_code"))
-    sizes = class_sizes(codes)
-    thresholds = lookup(class_thresholds(codes, cuts, sizes), sizes.classes)
+    found = positions(codes, cells, _wanted(cuts), *ends, ROWS_PER_RANKING)
+    thresholds = found.groupBy("_class").agg(*[F.max(F.when(F.col("which") == t, F.col("code"))).alias(t) for t in ("t_test", "t_val")])
+    classes = cells.select("_class").distinct().count()
     placed = (
         F.when(F.col("_code") <= F.col("t_test"), parts[0])
         .when(F.col("_code") <= F.col("t_val"), parts[1])
         .otherwise(parts[2])
     )
-    rows = df.withColumns({"_class": label, "_code": code}).join(thresholds, "_class", "left")
-    names = [*[col(c) for c in df.columns], "split"]
-    if not exact:
-        return Assignment(rows.withColumn("split", placed).select(*names))
-    wanted = cuts.first()
-    edges = thresholds.first() or {"t_test": None, "t_val": None}
-    below = codes.agg(
-        F.count_if(F.col("_code") < F.lit(edges["t_test"])).alias("t_test"),
-        F.count_if(F.col("_code") < F.lit(edges["t_val"])).alias("t_val"),
-    ).first()
-    tie = F.coalesce(F.col("_code") == F.col("t_test"), F.lit(False)) | F.coalesce(F.col("_code") == F.col("t_val"), F.lit(False))
-    order = Window.partitionBy("_code").orderBy(F.xxhash64(*[col(c) for c in df.columns]))
-    place = F.row_number().over(order) + F.when(F.col("_code") == F.col("t_test"), below["t_test"]).otherwise(below["t_val"])
-    by_place = F.when(F.col("_place") <= wanted["cut_test"], parts[0]).when(F.col("_place") <= wanted["cut_val"], parts[1]).otherwise(parts[2])
-    tied = rows.where(tie).withColumn("_place", place).withColumn("split", by_place)
-    return Assignment(rows.where(~tie).withColumn("split", placed).select(*names).unionByName(tied.select(*names)))
-
-
-@dataclass(frozen=True)
-class ClassSizes:
-    classes: int
-    largest: int
+    rows = df.withColumns({"_class": label, "_code": code}).join(lookup(thresholds, classes), "_class", "left")
+    return Assignment(rows.withColumn("split", placed).select(*[col(c) for c in df.columns], "split"))
 
 
-def class_sizes(codes: DataFrame) -> ClassSizes:
-    found = codes.groupBy("_class").count().agg(F.count(F.lit(1)), F.max("count")).first()
-    return ClassSizes(found[0], found[1] or 0)
-
-
-def class_thresholds(
-    codes: DataFrame, cuts: DataFrame, sizes: ClassSizes, per_ranking: int | None = None
-) -> DataFrame:
-    """``(_class, t_test, t_val)``: codes of the rows at two positions of each class.
+def _exact(
+    df: DataFrame,
+    code: Column,
+    sizes: Callable[[int], tuple[int, int]],
+    parts: tuple[str, str, str] = ("test", "val", "train"),
+    by_content: bool = False,
+) -> Assignment:
+    """Exactly as many rows to each part as ``sizes`` says of their number, in the order of a code below ``HASH_RANGE``.
 
-    A position of 0 has no threshold (null). Classes small enough for one task are ranked
-    in a window. If any class is larger, codes are resolved bit group by bit group: each
-    round counts codes per leading bits (combined before the shuffle), keeps the group that
-    holds the wanted position and goes on inside it.
+    Rows that share the code at a cut are ordered by a hash of their content, and equal rows are told apart by number only.
     """
-    per_ranking = ROWS_PER_RANKING if per_ranking is None else per_ranking
-    wanted = cuts.select(
-        "_class",
-        F.explode(
-            F.array(
-                F.struct(F.lit("t_test").alias("which"), F.col("cut_test").alias("rank")),
-                F.struct(F.lit("t_val").alias("which"), F.col("cut_val").alias("rank")),
-            )
-        ).alias("w"),
-    ).select("_class", "w.which", "w.rank").where("rank > 0")
-    if sizes.largest <= per_ranking:
-        order = Window.partitionBy("_class").orderBy("_code")
-        ranked = codes.select("_class", "_code", F.row_number().over(order).cast("long").alias("rank"))
-        found = ranked.join(lookup(wanted, 2 * sizes.classes), ["_class", "rank"])
-    else:
-        found = _radix_selection(codes, wanted, sizes.classes)
-    return found.groupBy("_class").agg(
-        F.max(F.when(F.col("which") == "t_test", F.col("_code"))).alias("t_test"),
-        F.max(F.when(F.col("which") == "t_val", F.col("_code"))).alias("t_val"),
-    )
-
-
-def _radix_selection(codes: DataFrame, wanted: DataFrame, classes: int) -> DataFrame:
-    """Code at each wanted (class, rank), without ordering rows."""
-    low = codes.agg(F.min("_code"), F.max("_code")).first()
-    shift_by, span = low[0], low[1] - low[0]
-    bits = max(1, min(63, span.bit_length()))
-    work = codes.select("_class", (F.col("_code") - F.lit(shift_by)).alias("_code"))
-    state = wanted.withColumn("prefix", F.lit(0).cast("long"))
-    done = 0
-    while done < bits:
-        step = min(RADIX_BITS, bits - done)
-        rest = bits - done - step
-        open_groups = state.select("_class", "prefix").distinct()
-        counted = (
-            work.withColumn("prefix", F.shiftright("_code", rest + step))
-            .join(lookup(open_groups, 2 * classes), ["_class", "prefix"])
-            .groupBy("_class", "prefix", F.shiftright("_code", rest).alias("next"))
-            .count()
-        )
-        # At most 2^RADIX_BITS rows per class and open prefix.
-        over = Window.partitionBy("_class", "prefix").orderBy("next")
-        spans = counted.withColumn("upto", F.sum("count").over(over)).withColumn(
-            "before", F.col("upto") - F.col("count")
-        )
-        state = (
-            state.join(spans, ["_class", "prefix"])
-            .where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("upto")))
-            .select("_class", "which", (F.col("rank") - F.col("before")).alias("rank"), F.col("next").alias("prefix"))
-        )
-        # One line per class and cut; written so that later rounds do not repeat earlier ones.
-        state = stored(state, "split-cuts")
-        done += step
-    return state.select("_class", "which", (F.col("prefix") + F.lit(shift_by)).alias("_code"))
+    codes = df.select(F.lit("").alias("_class"), code.alias("_code"))
+    cells = count_cells(codes, 0, HASH_RANGE - 1)
+    n = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first, second = sizes(n)
+    cuts = local_frame(df.sparkSession, [("", first, first + second)], "_class string, cut_test long, cut_val long")
+    found = positions(codes, cells, _wanted(cuts), 0, HASH_RANGE - 1, ROWS_PER_RANKING).collect()
+    limits = {r["which"]: r["code"] for r in found}
+    split = F.when(code <= F.lit(limits.get("t_test", -1)), parts[0]).when(code <= F.lit(limits.get("t_val", -1)), parts[1]).otherwise(parts[2])
+    torn = {r["code"]: (r["before"], r["equal"]) for r in found if r["rank"] < r["before"] + r["equal"]}
+    if not torn:
+        return Assignment(df.withColumn("split", split))
+    content = F.shiftrightunsigned(F.xxhash64(*[col(c) for c in df.columns]), 64 - HASH_BITS)
+    tagged = df.where(~code.isin(list(torn))).withColumn("split", split)
+    for value, (before, equal) in torn.items():
+        cut = [min(max(at - before, 0), equal) for at in (first, first + second)]
+        tied = df.where(code == F.lit(value))
+        if by_content:
+            tagged = tagged.unionByName(_numbered(tied, *cut, parts))
+        else:
+            tagged = tagged.unionByName(_exact(tied, content, lambda _, cut=cut: (cut[0], cut[1] - cut[0]), parts, by_content=True).tagged)
+    return Assignment(tagged)
+
+
+def _numbered(df: DataFrame, first: int, second: int, parts: tuple[str, str, str]) -> DataFrame:
+    """Equal rows, the first ``first`` to one part, those up to ``second`` to the next, the rest to the last.
+
+    They are counted per task, and each count is laid out again as rows: no task holds them all. The running total over
+    tasks has one line per task and different row.
+    """
+    counted = df.withColumn("_task", F.spark_partition_id()).groupBy(*[col(c) for c in df.columns], "_task").agg(F.count(F.lit(1)).alias("_n"))
+    counted = stored(counted, "equal-rows")
+    upto = F.sum("_n").over(Window.orderBy("_task", F.xxhash64(*[col(c) for c in df.columns])))
+    placed = counted.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - F.col("_n"))
+    zero = F.lit(0).cast("long")
+    bounds = [(zero, F.lit(first).cast("long")), (F.lit(first).cast("long"), F.lit(second).cast("long")), (F.lit(second).cast("long"), F.col("_upto"))]
+    shares = [
+        F.struct(F.lit(part).alias("split"), F.greatest(zero, F.least("_upto", hi) - F.greatest("_before", lo)).alias("k"))
+        for part, (lo, hi) in zip(parts, bounds, strict=True)
+    ]
+    each = placed.withColumn("_share", F.explode(F.array(*shares))).where("_share.k > 0")
+    each = each.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_share.k - 1) div {COPIES})")))
+    copies = F.explode(F.expr(f"sequence(1L, least({COPIES}L, _share.k - _block * {COPIES}))"))
+    return each.withColumn("_copy", copies).select(*[col(c) for c in df.columns], F.col("_share.split").alias("split"))
 
 
 def stratified_split(
@@ -264,8 +237,8 @@ def stratified_split(
     key: str | Sequence[str] | None = None,
 ) -> Assignment:
     """Hold-out with the same class shares in every part, checked before it is built."""
-    check_stratified(df, target, train_ratio, val_ratio, test_ratio)
-    return _by_class(df, target, val_ratio, test_ratio, seed, _key(df, key))
+    _check_target(df, target, train_ratio + val_ratio + test_ratio)
+    return _by_class(df, target, val_ratio, test_ratio, seed, _key(df, key), MIN_CLASS_ROWS)
 
 
 def small_classes(df: DataFrame, target: str) -> DataFrame:
@@ -274,7 +247,12 @@ def small_classes(df: DataFrame, target: str) -> DataFrame:
 
 
 def check_stratified(df, target, train_ratio=0.7, val_ratio=0.15, test_ratio=0.15) -> None:
-    total = round(train_ratio + val_ratio + test_ratio, 10)
+    _check_target(df, target, train_ratio + val_ratio + test_ratio)
+    _refuse_small(small_classes(df, target))
+
+
+def _check_target(df: DataFrame, target: str | None, ratios: float) -> None:
+    total = round(ratios, 10)
     if abs(total - 1.0) > 1e-6:
         raise ValueError(f"the three ratios must sum to 1, not {total}")
     require_target(df, target)
@@ -282,7 +260,9 @@ def check_stratified(df, target, train_ratio=0.7, val_ratio=0.15, test_ratio=0.1
         broken = df.where(col(target).isNotNull() & (col(target) != F.floor(col(target)))).limit(1).count()
         if broken:
             raise ValueError(f"target {target!r} is continuous; bin it before a stratified split")
-    few = small_classes(df, target)
+
+
+def _refuse_small(few: DataFrame) -> None:
     shown = few.orderBy("label").limit(LISTED_CLASSES + 1).collect()
     if shown:
         listed = {row["label"]: row["count"] for row in shown[:LISTED_CLASSES]}

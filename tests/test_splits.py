@@ -1,10 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.functions import selection
 from tablewright.operators.split import (
     check_stratified,
-    class_sizes,
-    class_thresholds,
     exact_sizes,
     random_split,
     stratified_split,
@@ -73,19 +74,58 @@ def test_null_class_is_kept(spark):
     assert sum(sizes(stratified_split(df, "y", key="i").splits())) == 100
 
 
-def test_thresholds_by_bits_equal_thresholds_by_rank(spark):
-    df = spark.range(3000).select(
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), (F.col("id") % 7).cast("string"))).alias("_class"),
-        F.abs(F.xxhash64("id")).alias("_code"),
-    )
-    cuts = df.groupBy("_class").count().select(
-        "_class", F.floor(F.col("count") * 0.2).alias("cut_test"), F.floor(F.col("count") * 0.5).alias("cut_val")
-    )
-    found = class_sizes(df)
-    assert (found.classes, found.largest) == (8, 1000)
-    a = sorted(map(tuple, class_thresholds(df, cuts, found).collect()))
-    b = sorted(map(tuple, class_thresholds(df, cuts, found, per_ranking=10).collect()))
-    assert a == b and len(a) == 8
+@pytest.mark.parametrize("per_ranking", [1, 30, 10**6])
+@pytest.mark.parametrize("bits", [2, 5, 16])
+def test_positions_of_codes(spark, monkeypatch, per_ranking, bits):
+    """Classes of any size, codes many rows share, ends of the range; refined level by level or ranked."""
+    monkeypatch.setattr(selection, "CELL_BITS", bits)
+    r = random.Random(bits)
+    rows = [("hot", r.choice([7, 7, r.randrange(4000)])) for _ in range(900)] + [(f"c{i % 5}", r.randrange(-50, 4000)) for i in range(300)]
+    rows += [("one", 3999)] * 40 + [(None, -50)]
+    df = spark.createDataFrame(rows, "_class string, _code long").repartition(3)
+    wanted = [(c, f"w{k}", k) for c, n in (("hot", 900), ("c0", 60), ("one", 40)) for k in (1, n // 3, n // 2, n)]
+    cells = selection.count_cells(df, -50, 3999)
+    asked = spark.createDataFrame(wanted, "_class string, which string, rank long")
+    found = {tuple(x[:3]): tuple(x[3:]) for x in selection.positions(df, cells, asked, -50, 3999, per_ranking).collect()}
+    for c, which, rank in wanted:
+        mine = sorted(code for name, code in rows if name == c)
+        code = mine[rank - 1]
+        assert found[c, which, rank] == (code, sum(x < code for x in mine), mine.count(code))
+    totals = {x["_class"]: x["count"] for x in selection.class_totals(cells).collect()}
+    assert totals == {"hot": 900, "one": 40, None: 1, **{f"c{i}": 60 for i in range(5)}}
+
+
+def test_exact_split_of_a_constant_key(spark):
+    """One key for all rows: still exact sizes, every row once, the same parts for any partitioning, no task with all rows."""
+    df = spark.range(2000).selectExpr("'same' AS k", "id % 700 AS v")
+    first = random_split(df.repartition(7), 0.2, 0.1, key="k", exact=True).tagged
+    assert {r["split"]: r["count"] for r in first.groupBy("split").count().collect()} == {"train": 1400, "val": 200, "test": 400}
+    assert first.drop("split").exceptAll(df).count() == 0 and df.exceptAll(first.drop("split")).count() == 0
+    second = random_split(df.repartition(3), 0.2, 0.1, key="k", exact=True).tagged
+    assert first.exceptAll(second).count() == 0
+
+
+def test_exact_split_numbers_equal_rows_per_task(spark, monkeypatch):
+    monkeypatch.setattr("tablewright.operators.split.COPIES", 9)
+    df = spark.range(1003).selectExpr("CAST(NULL AS STRING) AS k", "1.5D AS v").repartition(6)
+    tagged = random_split(df, 0.2, 0.1, exact=True).tagged
+    assert {r["split"]: r["count"] for r in tagged.groupBy("split").count().collect()} == {"train": 701, "val": 101, "test": 201}
+    assert tagged.drop("split").distinct().count() == 1
+    for n in (1, 2, 3):
+        small = random_split(df.limit(n), 0.2, 0.1, exact=True).tagged
+        assert small.count() == n and small.where("split = 'test'").count() == 1
+    assert random_split(df.limit(0), exact=True).tagged.count() == 0
+
+
+def test_splits_take_few_jobs(spark):
+    df = spark.range(5000).selectExpr("id", "id % 3 AS y")
+    tracker = spark.sparkContext.statusTracker()
+    for name, build in (("exact", lambda: random_split(df, exact=True, key="id")), ("by class", lambda: stratified_split(df, "y", key="id"))):
+        spark.sparkContext.setJobGroup(name, name)
+        tagged = build().tagged
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(tracker.getJobIdsForGroup(name)) <= 20
+        assert tagged.count() == 5000
 
 
 def test_stratified_checks(spark):
