@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.functions.keep import stored_while
+from tablewright.functions.keep import spread, stored_while
 from tablewright.functions.products import CELLS_AT_ONCE, masked_products, matrices, plain_columns
 from tablewright.session import importable
 
@@ -275,7 +275,7 @@ def rank_correlations(
     distinct = [max(1, facts[n]["distinct"]) * sum(r.column == at[n] for r in columns) for n in names]
     tabled = TABLED_VALUES if tabled is None else tabled
     moved = sum(d * 5 // 4 for d in distinct) > tabled
-    with stored_while(plain, "ranks") if moved else nullcontext(plain) as work:
+    with stored_while(spread(plain), "ranks") if moved else nullcontext(plain) as work:
         points = _points(work, rows, distinct, per_band or ROWS_PER_BAND, tabled)
         plan = _Plan(columns, k, points)
         plan.settle(_count_bands(work, plan))

@@ -12,6 +12,8 @@ from tablewright.session import remove_folder, scratch_dir
 
 #: Rows of a look-up table of a few numbers each that is sent to every task (some 30 MB).
 BROADCAST_ROWS = 500_000
+#: Bytes that a scan reads per partition (Spark's default).
+SCAN_BYTES = 128 << 20
 
 
 def lookup(table: DataFrame, rows: int) -> DataFrame:
@@ -32,12 +34,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 @contextmanager
 def stored_while(df: DataFrame, label: str):
-    """A table written to the shared scratch folder, and removed from it at the end of the block.
-
-    Like ``keep`` it is spread first if it has fewer partitions than there are cores.
-    """
+    """A table written to the shared scratch folder, and removed from it at the end of the block."""
     path = scratch_dir(df.sparkSession, label)
-    spread(df).write.parquet(path)
+    df.write.parquet(path)
     try:
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
@@ -45,9 +44,13 @@ def stored_while(df: DataFrame, label: str):
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The rows on at least as many partitions as there are cores; a scan that has them already is left as it is."""
+    """Small inputs on as many partitions as there are cores; anything larger is left as it is.
+
+    Spark's own estimate of the size decides, so nothing is run to find out. A scan of that size or more has enough partitions.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if estimate <= cores * SCAN_BYTES else df
 
 
 def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
