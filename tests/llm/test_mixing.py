@@ -1,4 +1,7 @@
+from itertools import combinations
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm import mixing
@@ -28,7 +31,7 @@ def test_rates_reach_the_targets_with_clipping(spark):
     targets = {"good": 0.90, "low": 0.08, "toxic": 0.02}
     fit = mixing.fit_rates(rows, targets)
     assert np.allclose(fit.reached, fit.wanted, rtol=1e-4)
-    rates = np.array([r[0] for r in rows.select(mixing.rate_column(fit.push)).collect()])
+    rates = np.array([r[0] for r in rows.select(mixing.rate_column(fit.steps)).collect()])
     assert (rates >= 0).all() and (rates == 0).any()
     mass = ((rates * tokens)[:, None] * p).sum(axis=0)
     assert np.allclose(mass, np.array([0.90, 0.08, 0.02]) * mass.sum(), rtol=1e-3)
@@ -42,7 +45,47 @@ def test_budget_and_unreachable_targets(spark):
     assert np.allclose(fit.reached[:2], [500, 400], rtol=1e-5) and fit.reached[2] == 0  # no toxic tokens to be had
     same = np.array([[0.5, 0.5, 0.0]] * 3)
     fit = mixing.fit_rates(table(spark, [10, 20, 30], same), {"good": 0.9, "low": 0.1, "toxic": 0.0})
-    assert all(x > 0 for x in fit.reached[:2]) and fit.rounds <= mixing.ROUNDS
+    assert np.allclose(fit.reached, [30, 30, 0], rtol=1e-4)  # the nearest point of the only ray there is
+    assert fit.off == pytest.approx(2 * 24**2 / 30, rel=1e-4)
+    none = mixing.fit_rates(table(spark, [10, 20], same[:2]), budget=0)
+    assert np.allclose(none.reached, 0, atol=1e-4)
+
+
+def least(tokens, p, wanted):
+    """The minimum of the objective, by trying every face of the cone of documents (three documents at most)."""
+    held = (tokens[:, None] * p).sum(axis=0)
+    scale = np.where(held > 0, 1 / np.maximum(held, 1e-12), 0)
+    columns, goal = (tokens[:, None] * p * np.sqrt(scale)).T, wanted * np.sqrt(scale)
+    best = (goal**2).sum()
+    for size in (1, 2, 3):
+        sets = np.array(list(combinations(range(len(tokens)), size)))
+        a = columns.T[sets].transpose(0, 2, 1)
+        x = (np.linalg.pinv(a) @ goal[:, None])[:, :, 0]
+        ok = (x >= -1e-9).all(axis=1)
+        best = min(best, (((a @ x[:, :, None])[:, :, 0] - goal)[ok] ** 2).sum(axis=1).min(initial=best))
+    return best
+
+
+@pytest.mark.parametrize(
+    "seed, many, spread, targets",
+    [
+        (1, 60, [3, 2, 1], (0.98, 0.01, 0.01)),
+        (2, 60, [3, 2, 1], (0.2, 0.1, 0.7)),
+        (3, 80, [1, 1, 1], (0.98, 0.01, 0.01)),
+        (4, 50, [9, 6, 3], (0.05, 0.9, 0.05)),
+        (5, 40, [0.4, 0.3, 0.2], (0.92, 0.07, 0.01)),
+        (6, 30, [20, 1, 1], (0.0, 0.5, 0.5)),
+    ],
+)
+def test_unreachable_targets_are_met_as_nearly_as_possible(spark, seed, many, spread, targets):
+    rng = np.random.default_rng(seed)
+    p, tokens = np.round(rng.dirichlet(spread, size=many), 6), rng.integers(1, 500, many).astype(float)
+    rows = table(spark, tokens, p)
+    fit = mixing.fit_rates(rows, dict(zip(mixing.DOMAINS, targets, strict=True)))
+    minimum = least(tokens, p, np.array(fit.wanted))
+    assert minimum * (1 - 1e-9) - 1e-6 <= fit.off <= minimum * (1 + 1e-4) + 1e-5 * tokens.sum()
+    rates = np.array([r[0] for r in rows.select(mixing.rate_column(fit.steps)).collect()])
+    assert (rates >= 0).all() and np.allclose(((rates * tokens)[:, None] * p).sum(axis=0), fit.reached, rtol=1e-5, atol=1e-3)
 
 
 def test_documents(spark):
