@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.keep import stored_while
 from tablewright.llm import packed
 from tablewright.llm.common import doc_bucket, pieces, release, stored, text_column
 from tablewright.llm.textops import mix, word_hashes
@@ -270,10 +271,10 @@ def _level_table(part: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatc
 
 
 def pair_levels(train: DataFrame, text: str, parts: int) -> DataFrame:
-    """Every word pair and its level, packed; written to the shared folder."""
+    """Every word pair and its level, packed."""
     plain = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = plain.mapInArrow(_count_pieces(parts, True), packed.SCHEMA)
-    return stored(packed.by_part(found, _level_table, KINDS, "size long, entries long, block binary"), "lm-levels")
+    return packed.by_part(found, _level_table, KINDS, "size long, entries long, block binary")
 
 
 def build_slices(words: DataFrame, pairs: DataFrame, parts: int = packed.PARTS) -> SlicedFilter:
@@ -336,7 +337,9 @@ def fit(train: DataFrame, text: str = "text", max_bits: int = MAX_BITS, parts: i
 def fit_whole(train: DataFrame, text: str = "text", parts: int = packed.PARTS) -> Model:
     """Count the training texts and build a filter of all words and pairs, as large as they need."""
     words = count_ngrams(train, text, False, 1, parts)
-    return Model(words, build_slices(words, pair_levels(train, text, parts), parts), *_totals(words), 1)
+    with stored_while(pair_levels(train, text, parts), "lm-levels") as pairs:  # needed only until the filter is written
+        filled = build_slices(words, pairs, parts)
+    return Model(words, filled, *_totals(words), 1)
 
 
 def _totals(words: DataFrame) -> tuple[int, int, int]:
