@@ -5,7 +5,8 @@ are. Running sums over it answer, for every context limit, how many tokens there
 truncation to the limit, and which length a given share of the documents reaches. Between two lengths that occur all
 answers are linear in the limit, so the rows of the histogram say everything.
 
-Running sums are taken per block of lengths and over the block totals, never over the whole histogram in one task.
+The histogram is written once, so every document is encoded once. Running sums are taken per block of lengths and over the
+block totals, never over the whole histogram in one task; there is one total per ``BLOCK`` lengths up to the longest text.
 
 Rules: null text counts as empty, length 0. Repeated rows count each. An empty table gives an empty histogram. Extra columns
 are not read.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.bpe import DEFAULT_FILE, tokenizer_of
-from tablewright.llm.common import pieces, text_column
+from tablewright.llm.common import pieces, stored, text_column
 
 #: Lengths in one block of the running sums.
 BLOCK = 4096
@@ -46,7 +47,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     """
     counted = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     counted = counted.withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
-    counted = counted.withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    counted = stored(counted.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "token-counts")
     blocks = counted.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
