@@ -284,6 +284,6 @@ def rank_correlations(
         found = {(a, b): s for a, b, s in lines.groupBy("a", "b").agg(F.sum("s")).collect()}
     result = {}
     for pair, (a, b) in zip(pairs, asked, strict=True):
-        spread = found.get((a, a), 0.0) * found.get((b, b), 0.0)
-        result[pair] = max(-1.0, min(1.0, found.get((a, b), 0.0) / spread**0.5)) if spread > 0 else None
+        squares = found.get((a, a), 0.0) * found.get((b, b), 0.0)
+        result[pair] = max(-1.0, min(1.0, found.get((a, b), 0.0) / squares**0.5)) if squares > 0 else None
     return result

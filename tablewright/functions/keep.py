@@ -49,7 +49,7 @@ def spread(df: DataFrame) -> DataFrame:
     Spark's own estimate of the size decides, so nothing is run to find out. A scan of that size or more has enough partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if estimate <= cores * SCAN_BYTES else df
 
 
@@ -74,3 +74,13 @@ def persisted(df: DataFrame):
         yield held
     finally:
         held.unpersist()
+
+
+@contextmanager
+def cached(df: DataFrame):
+    """A small grouped result that several look-ups share, as it is partitioned."""
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield held
+    finally:
+        held.unpersist()

@@ -13,6 +13,8 @@ from tablewright.functions.stats import local_frame
 
 #: How a missing label is written.
 NO_LABEL = "None"
+#: Labels of a dense matrix at most: four million cells.
+DENSE_LABELS = 2_000
 IMBALANCE = 3
 LOW_RECALL = 0.5
 
@@ -74,12 +76,18 @@ class ConfusionReport:
         return self._counts.select(F.explode(F.array("y_true", "y_pred")).alias("label")).distinct()
 
     def cells(self, dense: bool = True) -> DataFrame:
-        """``(y_true, y_pred, count, row_share)``; ``dense`` lists the cells without a row too, labels x labels in all."""
+        """``(y_true, y_pred, count, row_share)``; ``dense`` lists the cells without a row too, labels x labels in all.
+
+        More than ``DENSE_LABELS`` labels are refused unless ``dense`` is off, which gives one line per cell that has rows.
+        """
         schema = "y_true string, y_pred string, count long, row_share double"
         if self.absent:
             return local_frame(self.predictions.sparkSession, [], schema)
         counts = self._counts
         if dense:
+            many = self.labels.limit(DENSE_LABELS + 1).count()
+            if many > DENSE_LABELS:
+                raise ValueError(f"more than {DENSE_LABELS} labels; ask for dense=False")
             grid = self.labels.select(F.col("label").alias("y_true")).join(self.labels.select(F.col("label").alias("y_pred")))
             counts = grid.join(counts, ["y_true", "y_pred"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
         sums = counts.groupBy("y_true").agg(F.sum("count").alias("row_sum"))

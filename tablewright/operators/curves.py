@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, as_text, col, is_numeric
-from tablewright.functions.keep import lookup
+from tablewright.functions.keep import cached, lookup
 from tablewright.functions.ranking import grouped_cut_points, running_totals
 from tablewright.functions.stats import local_frame
 
 MAX_POINTS = 200
 PROB_PREFIX = "y_prob_"
+#: Labels without a probability column that are named.
+OTHER_LABELS = 1_000
 
 
 def probability_columns(df: DataFrame) -> list[str]:
@@ -93,31 +95,40 @@ class Curves:
         probs = probability_columns(df)
         if not probs:
             raise ValueError("curves need probabilities in y_prob_<class> columns, not only predicted labels")
-        # One line per class; there is a probability column for each, so they are a few at most.
         counted = df.where(col("y_true").isNotNull()).groupBy(label_text(df, "y_true").alias("label"))
-        rows = counted.agg(
+        grouped = counted.agg(
             F.count(F.lit(1)).alias("n"),
             *[F.approx_count_distinct(col(p)).alias(f"d{i}") for i, p in enumerate(probs)],
-        ).collect()
+        )
+        named = F.col("label").isin([p.removeprefix(PROB_PREFIX) for p in probs])
+        # Labels with a probability column are read; of the others, which may be as many as there are rows, only a few.
+        with cached(grouped) as held:
+            rows = held.where(named).collect()
+            others, more = held.where(~named).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+            if others <= OTHER_LABELS:
+                rows += held.where(~named).collect()
+                others = more = 0
         labels = sorted_labels(df, "y_true", [r["label"] for r in rows])
-        if len(labels) < 2:
+        if len(labels) + others < 2:
             raise ValueError(f"curves need at least 2 classes, found {labels}")
         distinct = {p: sum(r[f"d{i}"] for r in rows) for i, p in enumerate(probs)}
         return {
             "labels": labels,
             "sizes": {r["label"]: r["n"] for r in rows},
-            "total": sum(r["n"] for r in rows),
+            "total": sum(r["n"] for r in rows) + more,
+            "others": others,
             "distinct": distinct,
             "probs": probs,
         }
 
     @property
     def labels(self) -> list[str]:
+        """All labels; beyond ``OTHER_LABELS`` without a probability column, only those that have one."""
         return self._facts["labels"]
 
     @property
     def task(self) -> str:
-        return "binary" if len(self.labels) == 2 else "multiclass"
+        return "binary" if len(self.labels) == 2 and not self._facts["others"] else "multiclass"
 
     @cached_property
     def scored(self) -> dict[str, str]:

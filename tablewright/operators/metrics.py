@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import as_double, col, is_numeric, measured
+from tablewright.functions.keep import cached
 from tablewright.functions.ranking import grouped_cut_points
 from tablewright.functions.stats import local_frame
 from tablewright.operators.confusion import label_scores, pair_counts, ratio
@@ -67,14 +68,22 @@ def split_areas(splits: Splits) -> DataFrame:
     empty = local_frame(df.sparkSession, [], "split string, auc double")
     if not probs:
         return empty
-    groups = (
+    grouped = (
         df.where(F.col("y_true").isNotNull())
         .groupBy("split", label_text(df, "y_true").alias("label"))
         .agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(col(p)).alias(f"d{i}") for i, p in enumerate(probs)])
-        .collect()  # one line per part and class
     )
+    named = F.col("label").isin([p.removeprefix(PROB_PREFIX) for p in probs])
+    line = F.struct(*[F.col(c) for c in grouped.columns])
+    # Labels with a probability column are read. Of the others, however many, the number and two per part: more than two
+    # labels of which one has no column give no area.
+    with cached(grouped) as held:
+        groups = held.where(named).collect()
+        others = held.where(~named).groupBy("split").agg(F.count(F.lit(1)).alias("k"), F.min(line).alias("lo"), F.max(line).alias("hi")).collect()
+    groups += [r["lo"] for r in others] + [r["hi"] for r in others if r["k"] > 1]
+    barred = {r["split"] for r in others if r["k"] > 2}
     cells, distinct, positives, negatives = [], {}, {}, {}
-    for part in sorted({g["split"] for g in groups}):
+    for part in sorted({g["split"] for g in groups} - barred):
         mine = [g for g in groups if g["split"] == part]
         labels = sorted_labels(df, "y_true", [g["label"] for g in mine])
         named = {c: f"{PROB_PREFIX}{c}" for c in labels}

@@ -6,7 +6,9 @@ import json
 import math
 from contextlib import nullcontext
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -39,6 +41,8 @@ NORMAL_SOLVER_FEATURES = 4096
 MAX_CLASSES = 1_000
 #: The iterative solver goes on until it agrees with the exact one.
 LBFGS_ROUNDS, LBFGS_TOLERANCE = 5_000, 1e-12
+#: Boosters of different classes that are fitted at the same time.
+PARALLEL_BOOSTERS = 4
 LABEL, FEATURES = "_label", "_features"
 
 
@@ -393,10 +397,14 @@ def gradient_boosting(
     reg_alpha: float = 0.0,
     reg_lambda: float = 1.0,
     max_bins: int = MAX_BINS,
+    parallelism: int = PARALLEL_BOOSTERS,
     kind: str = "gradient_boosting",
 ) -> TrainedModel:
     """Boosted trees; several classes get one booster each, probabilities scaled to sum to one.
 
+    Boosters of several classes are fitted side by side, ``parallelism`` at a time, from the same kept rows, so that the tasks of
+    one fill the cores that the others leave idle.
+
     Early stopping needs ``val``: rounds are added in doubling steps until the validation
     loss has not improved for ``early_stopping_rounds`` rounds, then the best number of
     rounds is kept. ``colsample`` applies per tree node. L1 and L2 leaf penalties do not
@@ -417,8 +425,14 @@ def gradient_boosting(
     stages, history, rounds = [], [], []
     keep_val = persisted(ready.assembled(val)) if stop else nullcontext()
     with persisted(ready.assembled(train)) as work, keep_val as held:
-        for index, label in _boosted_labels(ready):
-            model, found, used = _boost(work, held, index, settings, n_estimators, stop)
+        labels = _boosted_labels(ready)
+
+        def boost(index):
+            return _boost(work, held, index, settings, n_estimators, stop)
+
+        with ThreadPool(max(1, min(parallelism, len(labels)))) as pool:
+            boosters = pool.map(inheritable_thread_target(train.sparkSession)(boost), [index for index, _ in labels])
+        for (_, label), (model, found, used) in zip(labels, boosters, strict=True):
             stages.append(model)
             history += [(label, *row) for row in found]
             if stop:

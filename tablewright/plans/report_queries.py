@@ -630,9 +630,9 @@ def _(spark, sf):
     return cast_by_profile(df, edited_profile(spark, df))[0]
 
 
-@query("role_drop", "SELECT event_type, value, user_id, ts FROM events")
+@query("role_drop", "SELECT event_type, value, user_id, ts, props FROM events")
 def _(spark, sf):
-    df = table(spark, sf, "events").drop("props")
+    df = table(spark, sf, "events")
     return drop_by_role(df, profile(df))
 
 

@@ -31,11 +31,11 @@ def _(spark, sf):
 @query(
     "split_random_whole_row",
     "SELECT c_custkey, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.5 THEN 'val' ELSE 'train' END AS split FROM "
-    f"(SELECT c_custkey, {hash_sql(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment'], 7)} / 1152921504606846976.0::DOUBLE AS u FROM customer)",
+    f"(SELECT c_custkey, {hash_sql(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment'], 7)} / 1152921504606846976.0::DOUBLE AS u FROM customer)",
 )
 def _(spark, sf):
     """Without a key the whole row is the key."""
-    df = table(spark, sf, "customer").drop("c_acctbal")
+    df = table(spark, sf, "customer")
     return random_split(df, 0.2, 0.3, seed=7).tagged.select("c_custkey", "split")
 
 

@@ -6,7 +6,7 @@ import pytest
 from tablewright.operators.comparison import compare_predictions, pick_target
 from tablewright.operators.confusion import confusion
 from tablewright.operators.curves import Curves, curves
-from tablewright.operators.metrics import classification_metrics, prediction_summary, regression_metrics
+from tablewright.operators.metrics import classification_metrics, prediction_summary, regression_metrics, split_areas
 from tablewright.operators.tasks import detect_task
 from tablewright.splits import Splits
 
@@ -190,3 +190,34 @@ def test_many_classes_in_small_buckets(spark):
     assert len(whole.labels) == 40
     areas = [{r["class"]: (r["roc_auc"], r["average_precision"]) for r in x.areas().collect()} for x in (whole, cut)]
     assert len(areas[0]) == 40 and all(areas[0][c] == pytest.approx(areas[1][c]) for c in areas[0])
+
+
+def test_labels_without_a_column_are_not_collected(spark, monkeypatch):
+    """A continuous y_true by mistake: only labels with a probability column are read, all rows still count."""
+    monkeypatch.setattr("tablewright.operators.curves.OTHER_LABELS", 10)
+    rows = [(f"{i}.5" if i % 2 else "ab"[i // 2 % 2], (i % 10) / 10, 1 - (i % 10) / 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "y_true string, y_prob_a double, y_prob_b double")
+    found = curves(df)
+    assert found.labels == ["a", "b"] and found.task == "multiclass" and set(found.scored) == {"a", "b"}
+    assert found._facts["total"] == 400
+    tagged = Splits(df, None, df.where("length(y_true) = 1"))
+    areas = split_areas(tagged)
+    assert [r["split"] for r in areas.collect()] == ["test"]
+    exact = curves(df.where("length(y_true) = 1"))
+    assert exact.task == "binary"
+
+
+def test_two_labels_without_their_columns(spark):
+    df = spark.createDataFrame([(i % 2, i / 50) for i in range(50)], "y_true int, y_prob_yes double")
+    found = curves(df)
+    assert found.task == "binary" and found.labels == ["0", "1"] and list(found.scored.values()) == ["y_prob_yes"]
+    assert split_areas(Splits(df, None, None)).count() == 1
+
+
+def test_dense_confusion_is_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(i, (i + 1) % 30) for i in range(30)], "y_true int, y_pred int")
+    assert confusion(df).cells().count() == 900 and confusion(df).cells(dense=False).count() == 30
+    monkeypatch.setattr("tablewright.operators.confusion.DENSE_LABELS", 29)
+    with pytest.raises(ValueError, match="dense=False"):
+        confusion(df).cells()
+    assert confusion(df).cells(dense=False).count() == 30
