@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -62,8 +63,11 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def release() -> None:
-    """Give memory that Arrow holds in reserve back to the system; a worker process lives on after its task."""
+    """Give memory that Arrow and the C library hold in reserve back to the system; a worker process lives on after its task."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
