@@ -7,9 +7,11 @@ words), and dynamic programming over segments (numbers of at most ``MAX_TOKENS``
 weight for each pair of neighbouring types. Base spans stay; a segment that touches one is no candidate. A segment is added
 if it beats leaving its tokens out by ``MARGIN`` (log odds).
 
-Training maximises the conditional likelihood on surroundings taken from about ``SAMPLE_DOCS`` documents chosen by a hash of
-their id (base spans are the truth there) and on a fixed number of examples made by rule, with the variants that the patterns
-miss and numbers that are no personal data.
+Training maximises the conditional likelihood on two bounded sets. The first are ``EXAMPLES`` texts made by rule: variants that
+the patterns miss, after cue words or alone, and things that look like them but are no personal data, prose around host names
+included. The second are at most ``TRAINING_WINDOWS`` surroundings of at most ``LONGEST_WINDOW`` characters, from about
+``SAMPLE_DOCS`` documents chosen by a hash of their id. Base spans are true there; what the patterns leave out is not taken for
+false: a candidate that may well be personal data (``_uncertain``) is left out of the training window, neither right nor wrong.
 
 Offsets are code points, end exclusive. Rules: null text counts as empty; rows are treated one by one, so repeated rows,
 ties and null ids need no rule; extra columns are not read. Work is linear in the length of a text.
@@ -37,9 +39,10 @@ from tablewright.llm.common import byte_view, pieces, text_column
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 3000
 TRAINING_WINDOWS = 2000
-EXAMPLES = 600
+EXAMPLES = 2400
 MAX_TOKENS = 26
 AROUND = 40
+LONGEST_WINDOW = 400
 MARGIN = 2.0
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -98,11 +101,19 @@ _WRITTEN = re.compile(
 #: What follows the local part of an address; every match of ``_WRITTEN`` has one of these in it.
 _AFTER_LOCAL = re.compile(rf"{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,5}}", re.IGNORECASE)
 _AT_MARK = re.compile(r"@| ?[\[({] ?at ?[\])}]| at(?= )", re.IGNORECASE)
+_DOT_WORD = re.compile(r" dot |[\[({] ?dot ?[\])}]", re.IGNORECASE)
 _LONGEST_LOCAL = 64
+#: Words that announce a kind, the more usual top-level domains, and words that stand before "at" in prose.
 _CUES = {
     "mail": 0, "email": 0, "contact": 0, "write": 0, "ip": 1, "address": 1, "server": 1, "host": 1, "card": 2, "visa": 2,
-    "mastercard": 2, "account": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3,
+    "mastercard": 2, "account": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3, "dial": 3, "ring": 3, "telephone": 3,
 }
+_TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io dev app de uk fr es it nl eu ch at us ca au jp cn in br ru example".split())
+_BEFORE_AT = frozenset(
+    "us me him her them you it page pages site look looked looking met meet arrive arrived arrives stay stayed live lives work works "
+    "worked is was are were be been here there available visit found hosted located stop stopped start started online store docs".split()
+)
+_CUE_REACH = 3
 _SEPARATORS = frozenset(" -./()_")
 
 
@@ -155,16 +166,20 @@ def _features(kind: int, span: str, left: str, right: str) -> list[str]:
     digits = "".join(groups)
     between = "".join(sorted({c for c in span if not c.isalnum()}))
     told = ["bias", f"left={_side(left[-1:])}", f"right={_side(right[:1])}", f"marks={between[:6]}"]
-    cue = next((_CUES[w] for w in re.findall(r"[a-z]+", left.lower())[-2:] if w in _CUES), None)
-    told.append(f"cue={'own' if cue == kind else 'other' if cue is not None else 'none'}")
+    cue = next((_CUES[w] for w in re.findall(r"[a-z]+", left.lower())[: -_CUE_REACH - 1 : -1] if w in _CUES), None)
+    cue = "own" if cue == kind else "other" if cue is not None else "none"
+    told.append(f"cue={cue}")
     if kind == 0:
         tail = re.split(r"\W+", span.strip())[-1]
-        told += [f"at={'sign' if '@' in span else 'word' if ' at ' in span.lower() else 'bracket'}", f"tail={min(len(tail), 5)}", f"alpha={tail.isalpha()}"]
-        told.append(f"spaces={min(span.count(' '), 5)}")
-        told.append(f"dot={'word' if 'dot' in span.lower() else 'sign'}")
+        at = "sign" if "@" in span else "word" if " at " in span.lower() else "bracket"
+        dot = "word" if _DOT_WORD.search(span) else "sign"
+        local = re.split(r"[ @\[({]", span, maxsplit=1)[0].lower()
+        told += [f"at={at}", f"tail={min(len(tail), 5)}", f"alpha={tail.isalpha()}", f"top={tail.lower() in _TOP_DOMAINS}"]
+        told += [f"spaces={min(span.count(' '), 5)}", f"dot={dot}", f"shape={at}/{dot}", f"told={at}/{dot}/{tail.lower() in _TOP_DOMAINS}/{local in _BEFORE_AT}"]
     else:
+        form = re.sub(r"[0-9]+", "#", span)
         told += [f"digits={len(digits)}", f"groups={'-'.join(str(len(g)) for g in groups[:6])}", f"plus={span[0] == '+'}", f"zeros={digits[:2] == '00'}"]
-        told.append(f"round={span.count('(') == span.count(')')}")
+        told += [f"round={span.count('(') == span.count(')')}", f"open={span[0] == '('}", f"form={cue}/{form}", f"sizes={form}/{len(digits)}"]
         if kind == 1:
             told += [f"small={all(map(_small, groups))}", f"dots={span.count('.')}"]
         if kind == 2:
@@ -185,12 +200,17 @@ def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def _touches(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    before = bisect_left(taken[0], b) - 1  # the last taken span that starts before the end
+    return before >= 0 and taken[1][before] > a
+
+
 def lattice(
-    text: str, start: int, end: int, taken: tuple[list[int], list[int]] = ((), ()), weights: dict[str, float] | None = None
+    text: str, start: int, end: int, taken: tuple[list[int], list[int]] = ((), ()), model: SemiMarkov | None = None
 ) -> tuple[list[int], list[Segment]]:
     """Token borders of a window and its candidate segments, none of which touches a ``taken`` span.
 
-    With ``weights`` segments are scored at once; those below the margin can never be chosen and are left out.
+    With ``model`` segments are scored at once; those that by themselves do not beat other text by the margin are left out.
     """
     borders = [start + m.start() for m in _TOKEN.finditer(text[start:end])] + [end]
     at = {b: i for i, b in enumerate(borders)}
@@ -199,13 +219,12 @@ def lattice(
     def add(kind: int, a: int, b: int) -> None:
         if a not in at or b not in at or (kind and at[b] - at[a] > MAX_TOKENS):  # addresses are bounded by their pattern
             return
-        before = bisect_left(taken[0], b) - 1  # the last taken span that starts before the end
-        if before >= 0 and taken[1][before] > a:
+        if _touches(taken, a, b):
             return
         told = _features(kind, text[a:b], text[max(0, a - 24) : a], text[b : b + 1])
-        if weights is None:
+        if model is None:
             found.setdefault((kind, a, b), Segment(at[a], at[b], kind, told))
-        elif (score := sum(weights.get(f, 0.0) for f in told)) >= MARGIN:
+        elif (score := sum(model.weights.get(f, 0.0) for f in told)) + model.moves[_OUT][kind] + model.moves[kind][_OUT] >= MARGIN:
             found.setdefault((kind, a, b), Segment(at[a], at[b], kind, score=score))
 
     for m in _WRITTEN.finditer(text, start, end):
@@ -248,7 +267,7 @@ def _log_sum(xs: list[float]) -> float:
 
 
 class SemiMarkov:
-    """Weights of whole-span features and of pairs of neighbouring types; tokens outside of entities score 0."""
+    """Weights of whole-span features and of pairs of neighbouring types; tokens outside of entities, and pairs of them, score 0."""
 
     def __init__(self):
         self.weights: dict[str, float] = defaultdict(float)
@@ -332,7 +351,7 @@ class SemiMarkov:
             place, before = (place + 1, y) if s is None else (s.last, y)
         return features, moves
 
-    def train(self, windows: list[tuple[int, list[Segment], set]], rounds: int = 6, rate: float = 0.5, decay: float = 1e-4) -> SemiMarkov:
+    def train(self, windows: list[tuple[int, list[Segment], set]], rounds: int = 10, rate: float = 0.5, decay: float = 1e-4) -> SemiMarkov:
         """Adaptive gradient steps, one window at a time, in a fixed order."""
         seen: dict[str, float] = defaultdict(lambda: 1e-6)
         seen_moves = [[1e-6] * _LABELS for _ in range(_LABELS)]
@@ -347,6 +366,8 @@ class SemiMarkov:
                     self.weights[f] += rate * g / math.sqrt(seen[f])
                 for b in range(_LABELS):
                     for y in range(_LABELS):
+                        if b == y == _OUT:  # the level all else is measured from, whatever the number of tokens
+                            continue
                         g = moves[b][y] - decay * self.moves[b][y]
                         seen_moves[b][y] += g * g
                         self.moves[b][y] += rate * g / math.sqrt(seen_moves[b][y])
@@ -354,9 +375,24 @@ class SemiMarkov:
         return self
 
 
-def _window(text: str, start: int, end: int, truth: list[tuple[int, int, int]]) -> tuple[int, list[Segment], set] | None:
-    """A training window; true spans must be candidates, others that touch them are wrong."""
+def _uncertain(segment: Segment) -> bool:
+    """May a candidate be personal data, though no pattern matches it?"""
+    has = {f.partition(":")[2] for f in segment.features}
+    kind = segment.kind
+    return kind == 0 or "cue=own" in has or (kind == 1 and "small=True" in has) or (kind == 2 and "luhn=True" in has) or (
+        kind == 3 and bool(has & {"plus=True", "zeros=True", "open=True"})
+    )
+
+
+def _window(text: str, start: int, end: int, truth: list[tuple[int, int, int]], partial: bool = False) -> tuple[int, list[Segment], set] | None:
+    """A training window; true spans must be candidates, others that touch them are wrong.
+
+    With ``partial`` the truth may lack spans: uncertain candidates away from true spans are left out.
+    """
     borders, segments = lattice(text, start, end)
+    if partial:
+        told = _merged([(a, b) for _, a, b in truth])
+        segments = [s for s in segments if _touches(told, borders[s.first], borders[s.last]) or not _uncertain(s)]
     at = {b: i for i, b in enumerate(borders)}
     known = {(s.kind, s.first, s.last) for s in segments}
     true, upto = set(), 0
@@ -381,29 +417,78 @@ def examples(n: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
     def fours(x: str, mark: str) -> str:
         return mark.join(x[i : i + 4] for i in range(0, 16, 4))
 
-    def one(i: int) -> tuple[int | None, str]:
+    def host() -> str:
+        return r.choice(["", "www.", "docs.", f"{word()}."]) + word()
+
+    def top() -> str:
+        return r.choice(["com", "org", "net", "edu", "de", "io", "example"])
+
+    def address() -> str:
+        at, dot = r.choice(
+            [("@", "."), (" @ ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("@", " dot "), ("(at)", "."), (" [at] ", "."), (" at ", " (dot) ")]
+        )
+        return f"{word()}{r.choice(['', '.', '_'])}{word()}{at}{r.choice(['', word() + dot])}{word()}{dot}{top()}"
+
+    def told_phone() -> str:
+        """Shapes that are numbers of any sort unless a cue word says otherwise."""
         a, b, c = number(3), number(3), number(4)
-        at, dot = r.choice([("@", "."), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), ("@", " dot "), ("(at)", ".")])
-        ip = [str(r.randint(0, 255)) for _ in range(4)]
+        mark = r.choice(["-", " ", ".", "/"])
+        return r.choice([f"{a}{mark}{b}{mark}{c}", f"0{a}{mark}{number(7)}", f"{a}{b}{c}", f"0{number(2)}{mark}{number(3)}{mark}{number(4)}", f"0{number(4)}{mark}{number(6)}"])
+
+    def plain_phone() -> str:
+        a, b, c = number(3), number(3), number(4)
+        return r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"001 {a} {b} {c}", f"001-{a}-{b}-{c}", f"+{number(2)} {a} {b}{c}", f"+1 {a}/{b}-{c}", f"({a}) {b} {c}", f"(0{number(2)}) {number(7)}"])
+
+    def no_card() -> str:
         bad = number(15)
         bad += next(x for x in "0123456789" if not luhn(bad + x))
-        return [
-            (0, f"{word()}{r.choice(['', '.', '_'])}{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'example', 'de'])}"),
-            (1, r.choice([".", " . ", "."]).join(ip)),
-            (2, fours(card(), r.choice([" ", "-", ".", "/", ""]))),
-            (3, r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"001 {a} {b} {c}", f"001-{a}-{b}-{c}", f"+{number(2)} {a} {b}{c}", f"+1 {a}/{b}-{c}"])),
-            (None, r.choice([fours(bad, r.choice([" ", "-", ""])), bad[:14], bad + number(4)])),
-            (None, r.choice([number(40), f"{number(6)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}:{number(2)}", f"{number(2)}.{number(2)}.20{number(2)}"])),
-            (None, r.choice([f"{number(1)}.{number(1)}.{number(1)}", f"{number(3)} {number(4)} {number(2)}", f"9{number(2)}.{number(3)}.{number(3)}.{number(3)}", f"{number(9)}", f"{number(5)}-{number(4)}", f"{number(3)} {number(3)} {number(4)}"])),
-            (None, r.choice([f"{word()} at {word()} {number(2)}.", f"{word()} @ {number(3)} {word()}", f"{word()} dot {word()} {number(4)}", f"look at {word()}. {word()} {number(1)}"])),
-            (None, "".join(r.choice("0123456789abcdef") for _ in range(40))),
-        ][i % 9]
+        return r.choice([fours(bad, r.choice([" ", "-", ""])), bad[:14], bad + number(4)])
+
+    def prose() -> str:
+        before = r.choice([word(), r.choice(sorted(_BEFORE_AT))])
+        known = r.choice(sorted(_BEFORE_AT))
+        return r.choice(
+            [
+                f"{before} at {host()}.{top()}", f"{before} at {word()}.{word().title()}", f"{known} at {host()} dot {top()}",
+                f"{before} at {word()} dot {r.choice(['one', 'two', 'three', 'four', 'five', word() + 'ing'])}",
+                f"{before} at {word()} {number(2)}.", f"{before} @ {number(3)} {word()}", f"{word()} dot {word()} {number(4)}",
+                f"{before} at {word()}. {word()} {number(1)}",
+            ]
+        )
+
+    def digits() -> str:
+        return r.choice(
+            [
+                number(40), f"{number(6)}.{number(2)}", f"20{number(2)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}:{number(2)}",
+                f"{number(2)}.{number(2)}.20{number(2)}", f"{number(1)}.{number(1)}.{number(1)}", f"{number(3)} {number(4)} {number(2)}",
+                f"9{number(2)}.{number(3)}.{number(3)}.{number(3)}", f"{number(9)}", f"{number(5)}-{number(4)}", f"({number(4)}) {number(4)}-{number(4)}",
+            ]
+        )
+
+    def cue(*kinds: int) -> str:
+        """A cue word of one of the kinds, and at most two words between it and what it announces."""
+        words = r.choice([c for c, k in _CUES.items() if k in kinds])
+        return r.choice([words, words.title()]) + r.choice(["", "", " " + r.choice(["me", "us", "is", "at", "on", "to", "number"]), f" {word()} {r.choice(['at', 'on', 'is'])}"])
+
+    ip = lambda: r.choice([".", " . ", "."]).join(str(r.randint(0, 255)) for _ in range(4))
+    made = [
+        (0, address, "any"), (1, ip, "any"), (2, lambda: fours(card(), r.choice([" ", "-", ".", "/", ""])), "any"), (3, plain_phone, "any"),
+        (3, told_phone, "own"), (3, told_phone, "own"), (None, told_phone, "not"), (None, told_phone, "not"), (None, no_card, "any"), (None, digits, "none"),
+        (None, digits, "none"), (None, prose, "none"), (None, prose, "none"), (None, lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), "none"),
+    ]
 
     found = []
     for i in range(n):
-        kind, span = one(i)
-        lead = " ".join(word() for _ in range(r.randint(1, 4))) + r.choice([" ", ". ", ": ", " | ", "\n"])
-        text = lead + span + r.choice([" ", ", ", " | ", "\n"]) + word()
+        kind, make, led = made[i % len(made)]
+        span = make()
+        lead = " ".join(word() for _ in range(r.randint(1, 4)))
+        own = KINDS.index("phone") if kind is None else kind
+        if led == "own" or (led == "any" and r.random() < 0.4):
+            lead += " " + (cue(own) if make is not no_card else cue(2))
+        elif led == "not" and r.random() < 0.3:
+            lead += " " + cue(*(k for k in range(len(KINDS)) if k != own))
+        lead += r.choice([" ", " ", ": ", "\n"] if led == "own" else [" ", ". ", ": ", " | ", "\n"])
+        text = lead + span + r.choice([" ", ", ", " | ", "\n", ". "]) + word()
         found.append((text, [] if kind is None else [(kind, len(lead), len(lead) + len(span))]))
     return found
 
@@ -417,12 +502,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample_docs
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [x[a:b] for x in text_column(batch, "text").to_pylist() for a, b in windows(x) if b - a <= 10 * AROUND]
+            near = [x[a:b] for x in text_column(batch, "text").to_pylist() for a, b in windows(x) if b - a <= LONGEST_WINDOW]
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["near"])
 
     near = picked.select("text").mapInArrow(cut, "near string").distinct().orderBy(F.xxhash64("near"), "near")
-    texts = [(r["near"], base_spans(r["near"])) for r in near.limit(TRAINING_WINDOWS).collect()] + examples(EXAMPLES)
-    made = [_window(t, 0, len(t), spans) for t, spans in texts]
+    near = [r["near"] for r in near.limit(TRAINING_WINDOWS).collect()]
+    made = [_window(t, 0, len(t), base_spans(t), partial=True) for t in near] + [_window(t, 0, len(t), s) for t, s in examples(EXAMPLES)]
     return SemiMarkov().train([w for w in made if w])
 
 
@@ -431,7 +516,7 @@ def added_spans(model: SemiMarkov, text: str, base: list[tuple[int, int, int]])
     found = []
     taken = _merged([(s, e) for _, s, e in base])
     for start, end in windows(text):
-        borders, segments = lattice(text, start, end, taken, model.weights)
+        borders, segments = lattice(text, start, end, taken, model)
         if segments:
             found += [(s.kind, borders[s.first], borders[s.last]) for s in model.best(len(borders) - 1, segments)]
     return found
