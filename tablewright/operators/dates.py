@@ -57,24 +57,13 @@ class DatetimeEncoder:
             names = self._detected(train)
             if not names:
                 raise ValueError("no date or time column found; name one")
-        values = {}
+        kinds = {}
         for name in names:
             kind = dtype(train, name)
-            if isinstance(kind, STRING_TYPES):
-                values[name] = F.try_to_timestamp(col(name))
-            elif isinstance(kind, DATETIME_TYPES):
-                values[name] = col(name).cast("timestamp_ntz") if kind.simpleString() == "date" else col(name)
-            else:
+            if not isinstance(kind, (*STRING_TYPES, *DATETIME_TYPES)):
                 raise ValueError(f"column {name!r} is {kind.simpleString()}, not a date or time")
-        added = {f"{n}_{p}": component(values[n], p) for n in names for p in parts}
-        step = Projection(
-            added=added,
-            dropped=tuple(names) if self.drop_original else (),
-            rows=tuple((n, ",".join(parts)) for n in names),
-            schema="column_name string, components string",
-        )
-        parsed = {n: values[n] for n in names if isinstance(dtype(train, n), STRING_TYPES)}
-        fitted = FittedDates(step, parsed)
+            kinds[name] = "text" if isinstance(kind, STRING_TYPES) else "date" if kind.simpleString() == "date" else "time"
+        fitted = date_parts(kinds, parts, self.drop_original)
         fitted.check(train)
         return fitted
 
@@ -87,10 +76,25 @@ class DatetimeEncoder:
         return found
 
 
+def date_parts(kinds: dict[str, str], parts: Sequence[str], drop_original: bool) -> FittedDates:
+    """The step for columns of kind ``text``, ``date`` or ``time``."""
+    read = {"text": F.try_to_timestamp, "date": lambda c: c.cast("timestamp_ntz"), "time": lambda c: c}
+    values = {n: read[kind](col(n)) for n, kind in kinds.items()}
+    step = Projection(
+        added={f"{n}_{p}": component(value, p) for n, value in values.items() for p in parts},
+        dropped=tuple(kinds) if drop_original else (),
+        rows=tuple((n, ",".join(parts)) for n in kinds),
+        schema="column_name string, components string",
+    )
+    parsed = {n: values[n] for n, kind in kinds.items() if kind == "text"}
+    return FittedDates(step, parsed, {"kinds": kinds, "parts": list(parts), "drop_original": drop_original})
+
+
 @dataclass(frozen=True)
 class FittedDates(Fitted):
     step: Projection
     parsed: dict[str, Column]
+    recipe: dict
 
     def check(self, df: DataFrame) -> None:
         """Raise when a text column holds something that is no timestamp."""

@@ -24,7 +24,8 @@ class Fitted:
 class Projection(Fitted):
     """Replaced, added and dropped columns, all in one ``select``.
 
-    ``rows`` describes the fit, one line per column, with ``schema``.
+    ``rows`` describes the fit, one line per column, with ``schema``. ``recipe`` names what builds the same projection again,
+    and its arguments; it is what ``stored_steps`` writes.
     """
 
     replaced: dict[str, Column] = field(default_factory=dict)
@@ -32,6 +33,7 @@ class Projection(Fitted):
     dropped: tuple[str, ...] = ()
     rows: tuple = ()
     schema: str = "column_name string, note string"
+    recipe: tuple[str, dict] | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         kept = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,16 @@ STRATEGIES = ("mean", "median", "mode", "constant")
 MODE_VALUES = 10_000
 
 
+def fill_nulls(strategy: str, fills: Sequence[tuple[str, str | None, Any]]) -> Projection:
+    """The projection for ``(column, type it is cast to if any, fill)``."""
+    return Projection(
+        replaced={n: F.coalesce(col(n).cast(cast) if cast else col(n), F.lit(fill)) for n, cast, fill in fills},
+        rows=tuple((n, strategy, str(fill)) for n, _, fill in fills),
+        schema="column_name string, strategy string, fill string",
+        recipe=("fill", {"strategy": strategy, "fills": fills}),
+    )
+
+
 @dataclass(frozen=True)
 class Imputer:
     """Fills null only; NaN is a value here.
@@ -66,19 +77,13 @@ class Imputer:
             else:
                 usable.append(name)
         fills = getattr(self, f"_{self.strategy}")(train, usable, facts)
-        replaced = {}
+        casts = {}
         for name, fill in fills.items():
-            value, kind = col(name), dtype(train, name)
-            if isinstance(fill, float):
-                value = value.cast("double") if isinstance(kind, INTEGER_TYPES) else value
+            if isinstance(fill, float) and isinstance(dtype(train, name), INTEGER_TYPES):
+                casts[name] = "double"
             elif isinstance(fill, str) and is_numeric(train, name):
-                value = value.cast("string")
-            replaced[name] = F.coalesce(value, F.lit(fill))
-        return Projection(
-            replaced=replaced,
-            rows=tuple((n, self.strategy, str(v)) for n, v in fills.items()),
-            schema="column_name string, strategy string, fill string",
-        )
+                casts[name] = "string"
+        return fill_nulls(self.strategy, [(n, casts.get(n), v) for n, v in fills.items()])
 
     def _mean(self, train, names, facts):
         found = column_stats(train, {n: as_double(train, n) for n in names}, {"mean": F.avg}) if names else {}

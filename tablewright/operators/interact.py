@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, require_distinct_names, resolve_columns
+from tablewright.functions.columns import col, require_distinct_names, resolve_columns
 from tablewright.operators.fitted import Projection
 
 # The middle part of a new column's name.
@@ -32,6 +32,23 @@ def parse_pairs(pairs: str | Sequence[tuple[str, str]] | None) -> list[tuple[str
     return found
 
 
+def combine_pairs(operation: str, pairs: Sequence[tuple[str, str]]) -> Projection:
+    """The projection that adds a column per pair."""
+    combine = {
+        "multiply": lambda x, y: x * y,
+        "ratio": F.try_divide,
+        "add": lambda x, y: x + y,
+        "subtract": lambda x, y: x - y,
+    }[operation]
+    added = {f"{a}_{LABELS[operation]}_{b}": combine(col(a).cast("double"), col(b).cast("double")) for a, b in pairs}
+    return Projection(
+        added=added,
+        rows=tuple((name, "double", "continuous", "feature") for name in added),
+        schema="column_name string, dtype string, semantic_type string, role string",
+        recipe=("pairs", {"operation": operation, "pairs": pairs}),
+    )
+
+
 @dataclass(frozen=True)
 class Interactions:
     """A ratio is null wherever its denominator is 0."""
@@ -45,17 +62,4 @@ class Interactions:
         require_distinct_names(train)
         pairs = parse_pairs(self.pairs)
         resolve_columns(train, [name for pair in pairs for name in pair], on_missing="error")
-        added, rows = {}, []
-        for a, b in pairs:
-            x, y = as_double(train, a), as_double(train, b)
-            name = f"{a}_{LABELS[self.operation]}_{b}"
-            added[name] = {
-                "multiply": lambda: x * y,
-                "ratio": lambda: F.try_divide(x, y),
-                "add": lambda: x + y,
-                "subtract": lambda: x - y,
-            }[self.operation]()
-            rows.append((name, "double", "continuous", "feature"))
-        return Projection(
-            added=added, rows=tuple(rows), schema="column_name string, dtype string, semantic_type string, role string"
-        )
+        return combine_pairs(self.operation, pairs)

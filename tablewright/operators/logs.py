@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import as_double, log, numeric_columns, require_distinct_names, resolve_columns
+from tablewright.functions.columns import as_double, col, log, numeric_columns, require_distinct_names, resolve_columns
 from tablewright.functions.keep import persisted
 from tablewright.functions.stats import collect_aggregates, column_stats
 from tablewright.operators.fitted import Projection
@@ -105,6 +105,25 @@ def _likelihood(variance: float | None, lam: float, n: int, slope: float) -> flo
     return -n / 2 * math.log(variance) + (lam - 1) * slope
 
 
+def take_logs(rows: Sequence[tuple]) -> Projection:
+    """The projection for ``(column, method, status, exponent, negatives, auto_selected)``; skipped columns stay."""
+    replaced = {}
+    for name, method, status, exponent, _, _ in rows:
+        value = col(name).cast("double")
+        if status == "skipped":
+            continue
+        if method == "yeo_johnson":
+            replaced[name] = yeo_johnson(value, exponent)
+        else:
+            replaced[name] = (signed_log if method == "signed_log" else log1p)(value)
+    return Projection(
+        replaced=replaced,
+        rows=tuple(tuple(r) for r in rows),
+        schema="column_name string, method string, status string, exponent double, negatives long, auto_selected boolean",
+        recipe=("logs", {"rows": rows}),
+    )
+
+
 @dataclass(frozen=True)
 class LogTransform:
     method: str = "signed_log"
@@ -135,16 +154,6 @@ class LogTransform:
             for name, count in negatives.items():
                 if count:
                     log.warning("column %s has %d negative values; those below -1 become NaN", name, count)
-        replaced = {}
-        for name in names:
-            if self.method == "yeo_johnson":
-                replaced[name] = yeo_johnson(values[name], exponents[name])
-            else:
-                replaced[name] = (signed_log if self.method == "signed_log" else log1p)(values[name])
         rows = [(n, self.method, "transformed", exponents.get(n), negatives.get(n), not self.columns) for n in names]
         rows += [(n, self.method, "skipped", None, None, not self.columns) for n in numeric if n not in names]
-        return Projection(
-            replaced=replaced,
-            rows=tuple(rows),
-            schema="column_name string, method string, status string, exponent double, negatives long, auto_selected boolean",
-        )
+        return take_logs(rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import (
     as_double,
+    col,
     is_numeric,
     log,
     measured,
@@ -23,6 +24,16 @@ from tablewright.operators.fitted import Projection
 METHODS = ("StandardScaler", "MinMaxScaler", "RobustScaler")
 
 
+def rescale(method: str, found: Sequence[tuple[str, float, float]]) -> Projection:
+    """The projection for ``(column, shift, spread)``."""
+    return Projection(
+        replaced={n: (col(n).cast("double") - F.lit(shift)) / F.lit(spread) for n, shift, spread in found},
+        rows=tuple((n, method, shift, spread) for n, shift, spread in found),
+        schema="column_name string, method string, shift double, spread double",
+        recipe=("rescale", {"method": method, "found": found}),
+    )
+
+
 @dataclass(frozen=True)
 class Scaler:
     """(x - shift) / spread per column; columns without spread are left alone."""
@@ -46,16 +57,13 @@ class Scaler:
             names = numeric_columns(train)
         names = [name for name in names if name != self.target]
         values = {name: as_double(train, name) for name in names}
-        rows, replaced = [], {}
+        found = []
         for name, (shift, spread) in self._parameters(train, values).items():
             if not spread:
                 log.warning("column %s has no spread and is not scaled", name)
                 continue
-            rows.append((name, self.method, shift, spread))
-            replaced[name] = (values[name] - F.lit(shift)) / F.lit(spread)
-        return Projection(
-            replaced=replaced, rows=tuple(rows), schema="column_name string, method string, shift double, spread double"
-        )
+            found.append((name, shift, spread))
+        return rescale(self.method, found)
 
     def _parameters(self, train, values):
         if not values:

@@ -8,10 +8,11 @@ from contextlib import nullcontext
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     RandomForestClassifier,
@@ -113,8 +114,9 @@ class TrainedModel:
         """Method and one weight per feature: tree importances or coefficient sizes."""
         trees = [s for s in self.pipeline.stages if hasattr(s, "featureImportances")]
         if trees:
-            found = [t.featureImportances.toArray() for t in trees]
-            return "tree_importance", [float(sum(f[i] for f in found) / len(found)) for i in range(len(self.features))]
+            # A shortened booster's vector ends with the last feature that it uses.
+            found = [dict(enumerate(t.featureImportances.toArray())) for t in trees]
+            return "tree_importance", [float(sum(f.get(i, 0.0) for f in found) / len(found)) for i in range(len(self.features))]
         last = self.pipeline.stages[-1]
         if hasattr(last, "coefficientMatrix"):
             matrix = last.coefficientMatrix.toArray()
@@ -406,8 +408,8 @@ def gradient_boosting(
     one fill the cores that the others leave idle.
 
     Early stopping needs ``val``: rounds are added in doubling steps until the validation
-    loss has not improved for ``early_stopping_rounds`` rounds, then the best number of
-    rounds is kept. ``colsample`` applies per tree node. L1 and L2 leaf penalties do not
+    loss has not improved for ``early_stopping_rounds`` rounds, then the trees of the best
+    number of rounds are kept, without another fit. ``colsample`` applies per tree node. L1 and L2 leaf penalties do not
     exist in MLlib, so other values than the defaults are refused.
     """
     if reg_alpha != 0.0 or reg_lambda != 1.0:
@@ -502,6 +504,21 @@ def _boost(work, held, index, settings, n_estimators, patience):
     on_train = losses(model, work)
     history = [(i, "train", metric, on_train[i]) for i in range(shown)]
     history += [(i, "val", metric, on_val[i]) for i in range(shown)]
-    if best + 1 < rounds:
-        model = fit(best + 1)
-    return model, history, best + 1
+    return (_first_trees(model, best + 1) or fit(best + 1)) if best + 1 < rounds else model, history, best + 1
+
+
+def _first_trees(model, count: int):
+    """The booster of the first ``count`` rounds: rounds add one tree each and change none, so nothing need be fitted again.
+
+    None where none of these trees splits, as MLlib then finds no feature to weigh.
+    """
+    if all(tree.numNodes == 1 for tree in model.trees[:count]):
+        return None
+    context, java = SparkContext.getOrCreate(), model._java_obj
+    ml = context._jvm.org.apache.spark.ml
+    made = ml.classification.GBTClassificationModel if isinstance(model, GBTClassificationModel) else ml.regression.GBTRegressionModel
+    trees = context._gateway.new_array(ml.regression.DecisionTreeRegressionModel, count)
+    weights = context._gateway.new_array(context._jvm.double, count)
+    for i in range(count):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    return model._copyValues(type(model)(made(f"{java.uid()}_first{count}", trees, weights)))

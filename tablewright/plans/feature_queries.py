@@ -12,8 +12,12 @@ from tablewright.operators.interact import Interactions
 from tablewright.operators.logs import LogTransform, log1p, yeo_johnson
 from tablewright.operators.scale import Scaler
 from tablewright.operators.select import FeatureSelector
+from tablewright.operators.stored_steps import load_steps, save_steps
+from tablewright.plans.flow import prepare
 from tablewright.plans.inputs import LINE_KEY, project, split_sql, split_table, subquery, table, union_sql
 from tablewright.plans.registry import query
+from tablewright.session import scratch_dir
+from tablewright.splits import Splits
 
 ORDER_KEY = ["o_orderkey"]
 
@@ -467,3 +471,30 @@ def _(spark, sf):
 def _(spark, sf):
     parts = split_table(spark, sf, "lineitem", LINE_KEY, CANDIDATES)
     return FeatureSelector("variance_threshold", 1e-6, "y").fit(parts.train).apply(parts).tagged()
+
+
+# --- stored steps ----------------------------------------------------------------------
+
+STORED = [
+    "o_orderkey", "o_orderpriority AS priority", "CAST(o_custkey AS STRING) AS cust",
+    "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS total", "o_orderdate AS ordered",
+]
+
+
+@query(
+    "steps_save_load",
+    f"""WITH f AS (SELECT o_orderkey, priority, cust, ordered, coalesce(total, avg(total) OVER ()) AS total FROM {subquery("orders", STORED)})
+    SELECT o_orderkey, dense_rank() OVER (ORDER BY priority) - 1 AS priority, dense_rank() OVER (ORDER BY cust) - 1 AS cust,
+        round((total - min(total) OVER ()) / (max(total) OVER () - min(total) OVER ()), 6) + 0.0 AS total,
+        CAST(year(ordered) AS INT) AS ordered_year, CAST(weekday(ordered) + CASE WHEN weekday(ordered) = 0 THEN 7 ELSE 0 END AS INT) AS ordered_weekday
+    FROM f""",
+)
+def _(spark, sf):
+    """Steps fitted on the orders, written, read again, and applied to them: few categories as literals, many as a stored table."""
+    orders = project(spark, sf, "orders", STORED)
+    steps = [Imputer("mean", columns="total"), Encoder("label", "priority,cust", literal_categories=10), DatetimeEncoder("ordered", "year,weekday"), Scaler("MinMaxScaler", "total")]
+    path = scratch_dir(spark, "steps")
+    save_steps(spark, prepare(Splits(orders), steps)[1], path)
+    for step in load_steps(spark, path):
+        orders = step.transform(orders)
+    return rounded_frame(orders, ["total"])

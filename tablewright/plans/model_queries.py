@@ -47,6 +47,11 @@ NUMBER = [
 
 #: A class that one cut decides, and a number that few cuts give exactly: every part is predicted without an error.
 STEP = ["l_quantity AS qty", "l_discount AS disc", "CAST(l_quantity > 25 AS INT) AS y"]
+#: A class that takes several cuts on both features, and two leaves of the same class apart.
+CUTS = [
+    "l_quantity AS qty", "l_discount AS disc",
+    "CASE WHEN l_quantity <= 10 THEN 'a' WHEN l_discount > 0.05 THEN 'b' WHEN l_quantity <= 30 THEN 'c' ELSE 'a' END AS y",
+]
 TWICE = ["l_quantity AS qty", "l_discount AS disc", "l_quantity * 2 AS y"]
 
 
@@ -54,6 +59,7 @@ def no_error_sql(exprs: list[str], scores: str) -> str:
     return f"SELECT split, count(*)::BIGINT AS rows, {scores} FROM {split_sql('lineitem', LINE_KEY, exprs)} GROUP BY split"
 
 
+ALL_CUTS = no_error_sql(CUTS, "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS prob_sum")
 ALL_RIGHT = no_error_sql(STEP, "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS prob_sum")
 ONLY_QTY = """SELECT 1::BIGINT AS rank, 'qty' AS feature, 1.0::DOUBLE AS importance, 1.0::DOUBLE AS raw_importance
     UNION ALL SELECT 2, 'disc', 0.0, 0.0 WHERE EXISTS (SELECT 1 FROM lineitem)"""
@@ -93,14 +99,35 @@ def _(spark, sf):
     return fitted_and_scored(spark, sf, TWICE, lambda train: decision_tree(train, "y", criterion="squared_error"))
 
 
+@query("decision_tree_cuts", ALL_CUTS)
+def _(spark, sf):
+    return fitted_and_scored(spark, sf, CUTS, lambda train: decision_tree(train, "y"))
+
+
+@query("decision_tree_entropy", ALL_CUTS)
+def _(spark, sf):
+    return fitted_and_scored(spark, sf, CUTS, lambda train: decision_tree(train, "y", criterion="entropy"))
+
+
+@query("decision_tree_criterion", no_error_sql(TWICE, "0.0::DOUBLE AS mae"))
+def _(spark, sf):
+    """A criterion for classes on a number is replaced."""
+    return fitted_and_scored(spark, sf, TWICE, lambda train: decision_tree(train, "y", criterion="gini"))
+
+
+@query("random_forest_cuts", ALL_CUTS)
+def _(spark, sf):
+    return fitted_and_scored(spark, sf, CUTS, lambda train: random_forest(train, "y"))
+
+
 @query("random_forest", ALL_RIGHT)
 def _(spark, sf):
     return fitted_and_scored(spark, sf, STEP, lambda train: random_forest(train, "y"))
 
 
-@query("random_forest_classes")
+@query("random_forest_classes", no_error_sql(THREE, "1.0::DOUBLE AS accuracy, 1.0::DOUBLE AS prob_sum"))
 def _(spark, sf):
-    return fitted_and_scored(spark, sf, THREE, lambda train: random_forest(train, "y", n_estimators=20, max_depth=6))
+    return fitted_and_scored(spark, sf, THREE, lambda train: random_forest(train, "y"))
 
 
 @query("logistic_regression")
@@ -110,7 +137,7 @@ def _(spark, sf):
 
 @query("logistic_regression_classes")
 def _(spark, sf):
-    return fitted_and_scored(spark, sf, THREE, lambda train: logistic_regression(train, "y", max_iter=200))
+    return fitted_and_scored(spark, sf, THREE, lambda train: logistic_regression(train, "y"))
 
 
 @query("gradient_boosting")
@@ -118,6 +145,12 @@ def _(spark, sf):
     return fitted_and_scored(spark, sf, YES_NO, lambda train: gradient_boosting(train, "y", n_estimators=10, max_depth=4))
 
 
+@query("gradient_boosting_defaults", ALL_RIGHT)
+def _(spark, sf):
+    """All rounds of the default settings."""
+    return fitted_and_scored(spark, sf, STEP, lambda train: gradient_boosting(train, "y"))
+
+
 @query("gradient_boosting_classes")
 def _(spark, sf):
     return fitted_and_scored(spark, sf, THREE, lambda train: gradient_boosting(train, "y", n_estimators=5, max_depth=4))
@@ -247,7 +280,7 @@ def _(spark, sf):
     with persisted(splits(spark, sf, YES_NO).tagged()) as tagged:
         parts = Splits.of(tagged)
         models = {
-            "tree": decision_tree(parts.train, "y", max_depth=5),
+            "tree": decision_tree(parts.train, "y"),
             "logistic": logistic_regression(parts.train, "y"),
         }
         return settled(compare_models(models, parts.test).table())
@@ -285,7 +318,7 @@ def whole_job(spark, sf):
         DatetimeEncoder("shipped", "year,month,weekday"),
         Scaler("StandardScaler", "qty,price,disc", target="y"),
     ]
-    outcome = run(parts, steps, logistic_regression, "y", max_iter=50)
+    outcome = run(parts, steps, logistic_regression, "y")
     metrics = settled(outcome.metrics())
     outcome.release()
     return metrics

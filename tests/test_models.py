@@ -7,6 +7,7 @@ from tablewright.operators.comparison import compare_models
 from tablewright.operators.importance import feature_importance
 from tablewright.operators.training import (
     TrainedModel,
+    _first_trees,
     best_round,
     decision_tree,
     gradient_boosting,
@@ -112,6 +113,26 @@ def test_early_stopping_keeps_the_best_round(spark, line):
         gradient_boosting(line.train, "target", reg_alpha=0.1)
 
 
+def test_shortened_boosters_are_those_of_fewer_rounds(spark, line, classes):
+    """The first trees of an ensemble against a fit of as many rounds."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    features = [c for c in line.train.columns if c != "target"]
+    df = VectorAssembler(inputCols=features, outputCol="f").transform(line.train)
+    df = df.withColumn("yes", (F.col("target") > df.agg(F.avg("target")).first()[0]).cast("double")).cache()
+    number = lambda k: GBTRegressor(featuresCol="f", labelCol="target", maxIter=k, subsamplingRate=0.8, seed=1).fit(df)
+    yes_no = lambda k: GBTClassifier(featuresCol="f", labelCol="yes", maxIter=k, subsamplingRate=0.8, seed=1).setProbabilityCol("p").fit(df)
+    for fit, column in ((number, "prediction"), (yes_no, "p")):
+        short, want = _first_trees(fit(6), 3), fit(3)
+        assert short.getNumTrees == 3 and short.getFeaturesCol() == "f"
+        got = [str(r[0]) for r in short.transform(df).select(column).collect()]
+        assert got == [str(r[0]) for r in want.transform(df).select(column).collect()]
+        assert short.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray()[: len(short.featureImportances)])
+    df.unpersist()
+
+
 def test_patience():
     assert best_round([5, 4, 3, 3.5, 3.6, 2], 2) == (2, True)
     assert best_round([5, 4, 3], 2) == (2, False)
