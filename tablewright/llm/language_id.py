@@ -5,8 +5,9 @@ of five letters; if none of them is known, to four, and so on down to single let
 of the best language over the sum of its words.
 
 Training reads a sample of the labelled documents chosen by a hash of their id (about ``SAMPLE_DOCS``, all if there are
-fewer); the model holds at most ``MODEL_ENTRIES`` words and as many n-grams of each length, the most frequent ones, so
-what is broadcast is bounded by six such tables times the number of languages. Words are runs of letters, lower-cased.
+fewer). Of every language the model holds the ``MODEL_ENTRIES`` most frequent words and as many n-grams of each length, with
+their counts in all languages, so a language with few documents keeps its words beside a large one, and what is broadcast is
+bounded by six tables of that many lines per language. Words are runs of letters, lower-cased.
 
 Rules: text that is null or has no letter is ``und`` with score 0; so is everything if nothing could be learned. Ties go to
 the language that sorts first. Rows with a null id are never learned from and not held out. Repeated rows are treated alike;
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import doc_bucket, pieces, stored, text_column
@@ -151,28 +152,24 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text: str = "text", lang: s
     totals = counts.groupBy("level", "lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()
     languages = sorted({r["lang"] for r in totals})
     at = {name: k for k, name in enumerate(languages)}
+    by_count = Window.partitionBy("level", "lang").orderBy(F.desc("n"), "key")
+    frequent = counts.withColumn("place", F.row_number().over(by_count)).filter(F.col("place") <= entries).select("level", "key").distinct()
+    # Arrow columns: a line is three numbers here, not a row object.
+    code = F.array_position(F.array(*(F.lit(x) for x in languages)), F.col("lang")) - 1 if languages else F.lit(0)
+    found = counts.join(frequent, ["level", "key"]).select("level", "key", code.cast("int").alias("code"), "n").toArrow()
+    level_of, key, code, n = (found.column(c).to_numpy() for c in ("level", "key", "code", "n"))
     keys, logs = [], []
     for level in range(LONGEST + 1):
-        top = (
-            counts.filter(F.col("level") == level)
-            .groupBy("key")
-            .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-            .orderBy(F.desc("total"), "key")
-            .limit(entries)
-            .collect()
-        )
-        table = np.zeros((len(top), len(languages)))
-        for i, r in enumerate(top):
-            for name, n in r["by"].items():
-                table[i, at[name]] = n
+        here = np.flatnonzero(level_of == level)
+        hashes, row = np.unique(key[here].view(np.uint64), return_inverse=True)
+        table = np.zeros((len(hashes), len(languages)))
+        table[row, code[here]] = n[here]
         size, kinds = np.zeros(len(languages)), np.zeros(len(languages))
         for r in totals:
             if r["level"] == level:
                 size[at[r["lang"]]], kinds[at[r["lang"]]] = r["n"], r["kinds"]
-        hashes = np.array([r["key"] for r in top], np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        keys.append(hashes[order])
-        logs.append(np.log((table[order] + _SMOOTHING) / (size + _SMOOTHING * (kinds.max(initial=0) + 1))))
+        keys.append(hashes)
+        logs.append(np.log((table + _SMOOTHING) / (size + _SMOOTHING * (kinds.max(initial=0) + 1))))
     words = np.array([sum(r["n"] for r in totals if r["level"] == 0 and r["lang"] == x) for x in languages], float)
     return Model(languages, np.log((words + 1) / (words.sum() + len(languages))), keys, logs)
 
