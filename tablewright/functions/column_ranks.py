@@ -30,8 +30,9 @@ from tablewright.session import importable
 
 #: Values of all columns with few values together, as tables in every task (8 bytes each, twice per set of gaps).
 TABLED_VALUES = 200_000
-#: Rows of a band that one task sorts, as far as ``MAX_POINTS`` allows.
-ROWS_PER_BAND = 500_000
+#: Rows of a band, as far as ``MAX_POINTS`` allows, and rows that one task sorts.
+ROWS_PER_BAND = 100_000
+ROWS_PER_TASK = 250_000
 MIN_POINTS, MAX_POINTS = 64, 4_000
 
 
@@ -187,9 +188,13 @@ def _products_in_place(work: DataFrame, plan: _Plan, blocks: _Blocks) -> DataFra
     return work.mapInArrow(run, LINE)
 
 
-def _products_by_exchange(work: DataFrame, plan: _Plan, blocks: _Blocks) -> DataFrame:
-    """Open cells go to the task of their band, are ranked there, and meet the known ranks of their row again."""
+def _products_by_exchange(work: DataFrame, plan: _Plan, blocks: _Blocks, rows: int = 0, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Open cells go to the task of their band, are ranked there, and meet the known ranks of their row again.
+
+    The number of tasks grows with the rows, so that what a task sorts does not.
+    """
     k, many = plan.width, len(plan.ranked)
+    tasks = max(work.sparkSession.sparkContext.defaultParallelism, 1 + rows * len(plan.open) // per_task)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,13 +241,14 @@ def _products_by_exchange(work: DataFrame, plan: _Plan, blocks: _Blocks) -> Data
 
     numbered = work.withColumn("row", F.monotonically_increasing_id())
     sent = numbered.mapInArrow(cells, "row long, v int, band long, value double, base double, known array<double>")
+    sent = sent.repartition(tasks, "v", "band")
     band = Window.partitionBy("v", "band")
     rank = F.rank().over(band.orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy("v", "band", "value")) - 1) / 2
     ranked = sent.select("row", "known", F.struct("v", (F.col("base") + rank).alias("x")).alias("cell"))
     if len(plan.open) == 1:  # every row is one line, with all that is known of it
         together = ranked.select("known", F.array("cell").alias("cells"))
     else:
-        together = ranked.groupBy("row").agg(F.max("known").alias("known"), F.collect_list("cell").alias("cells"))
+        together = ranked.repartition(tasks, "row").groupBy("row").agg(F.max("known").alias("known"), F.collect_list("cell").alias("cells"))
     return together.select("known", "cells").mapInArrow(products, LINE)
 
 
@@ -253,6 +259,7 @@ def rank_correlations(
     facts: dict[str, dict],
     per_band: int | None = None,
     tabled: int | None = None,
+    per_task: int | None = None,
 ) -> dict[tuple[str, str], float | None]:
     """Pearson r of average ranks per pair; null where a side is constant among the rows the pair shares.
 
@@ -280,7 +287,10 @@ def rank_correlations(
         plan = _Plan(columns, k, points)
         plan.settle(_count_bands(work, plan))
         blocks = _Blocks(asked, [r.gaps if r.gaps >= 0 else gaps[r.column] for r in columns], columns)
-        lines = (_products_by_exchange if plan.open else _products_in_place)(work, plan, blocks)
+        if plan.open:
+            lines = _products_by_exchange(work, plan, blocks, rows, ROWS_PER_TASK if per_task is None else per_task)
+        else:
+            lines = _products_in_place(work, plan, blocks)
         found = {(a, b): s for a, b, s in lines.groupBy("a", "b").agg(F.sum("s")).collect()}
     result = {}
     for pair, (a, b) in zip(pairs, asked, strict=True):

@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -173,6 +174,17 @@ def test_rank_correlations_move_rows_twice(spark):
     assert plan.points[0][at] == 7.0 and not np.isnan(plan.known[0][2 * at + 1])
 
 
+def test_rank_tasks_grow_with_the_rows(spark):
+    """However few partitions a shuffle has and however they are merged, a task ranks a bounded number of rows."""
+    frame = spearman_case(5, 3000)[["hot", "wide"]]
+    work = plain_columns(spark.createDataFrame(frame), {n: F.col(n) for n in frame})
+    plan = _Plan([Ranked(0, -1), Ranked(1, -1)], 2, _points(work, 3000, [9999] * 2, 100, 0))
+    plan.settle(_count_bands(work, plan))
+    lines = _products_by_exchange(work, plan, _Blocks([(0, 1)], [-1, -1], plan.ranked), 3000, 100)
+    told = lines._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", told) == [str(1 + 3000 * len(plan.open) // 100)] * 2
+
+
 def test_rank_correlations_of_nothing(spark):
     df = spark.createDataFrame([(None, 1.0)], "a double, b double")
     facts = {"a": {"rows": 1, "count": 0, "distinct": 0}, "b": {"rows": 1, "count": 1, "distinct": 1}}
