@@ -12,8 +12,8 @@ from tablewright.session import remove_folder, scratch_dir
 
 #: Rows of a look-up table of a few numbers each that is sent to every task (some 30 MB).
 BROADCAST_ROWS = 500_000
-#: Bytes that a scan reads per partition (Spark's default).
-SCAN_BYTES = 128 << 20
+#: Estimated bytes per core up to which a table may have come as too few tasks and is worth a shuffle of all its columns.
+SPREAD_BYTES = 32 << 20
 
 
 def lookup(table: DataFrame, rows: int) -> DataFrame:
@@ -46,11 +46,12 @@ def stored_while(df: DataFrame, label: str):
 def spread(df: DataFrame) -> DataFrame:
     """Small inputs on as many partitions as there are cores; anything larger is left as it is.
 
-    Spark's own estimate of the size decides, so nothing is run to find out. A scan of that size or more has enough partitions.
+    Spark's own estimate of the size decides, so nothing is run to find out. What is shuffled is bounded by ``SPREAD_BYTES`` a core,
+    whatever the size of the input.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate <= cores * SCAN_BYTES else df
+    return df.repartition(cores) if estimate <= cores * SPREAD_BYTES else df
 
 
 def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:

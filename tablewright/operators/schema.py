@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -138,18 +139,25 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 def unique_counts(df: DataFrame) -> DataFrame:
-    """``(column_name, unique_count)``: exact but for collisions of 128-bit hashes.
+    """``(column_name, unique_count)``: exact for numbers; exact but for collisions of 128-bit hashes for all else.
 
-    A cell is sent as its column and two 64-bit hashes, combined before the shuffle; the length of texts does not matter.
+    A cell is sent as its column and one or two 64-bit hashes, combined before the shuffle; the length of texts does not matter.
+    Spark's hash of eight bytes is one to one, so a number needs no second hash to be told from all others.
     """
     cells = _cells(df)
-    hashes = [
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("id"), F.xxhash64(c).alias("h"), F.xxhash64(F.lit(i + 1), c).alias("g")))
-        for i, c in enumerate(cells.columns)
-    ]
     names = F.array(*[F.lit(c) for c in df.columns])
-    single = cells.select(F.explode(F.array(*hashes)).alias("cell")).where("cell is not null").select("cell.*").distinct()
-    return single.groupBy("id").agg(F.count(F.lit(1)).alias("unique_count")).select(names[F.col("id")].alias("column_name"), "unique_count")
+    numbers = [isinstance(f.dataType, (T.LongType, T.DoubleType)) for f in cells.schema.fields]
+    counts = []
+    for number in (True, False):
+        hashes = []
+        for i, c in enumerate(cells.columns):
+            if numbers[i] == number:
+                second = [] if number else [F.xxhash64(F.lit(i + 1), c).alias("g")]
+                hashes.append(F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("id"), F.xxhash64(c).alias("h"), *second)))
+        if hashes:
+            single = cells.select(F.explode(F.array(*hashes)).alias("cell")).where("cell is not null").select("cell.*").distinct()
+            counts.append(single.groupBy("id").agg(F.count(F.lit(1)).alias("unique_count")))
+    return reduce(DataFrame.unionByName, counts).select(names[F.col("id")].alias("column_name"), "unique_count")
 
 
 def smallest_values(df: DataFrame, limit: int) -> DataFrame:

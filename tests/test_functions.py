@@ -18,6 +18,7 @@ from tablewright.functions.column_ranks import (
     rank_correlations,
 )
 from tablewright.functions.columns import parse_columns, require_distinct_names, resolve_columns
+from tablewright.functions.keep import spread
 from tablewright.functions.products import plain_columns
 from tablewright.operators.correlation import correlation, spearman_pairs
 
@@ -191,6 +192,13 @@ def test_rank_correlations_of_nothing(spark):
     assert rank_correlations(df, {"a": F.col("a"), "b": F.col("b")}, [("a", "b")], facts) == {("a", "b"): None}
 
 
+def test_only_small_tables_are_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    large, small = spark.range(cores * (8 << 20)), spark.range(1000)
+    assert spread(large) is large
+    assert "Repartition" in spread(small)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sketches_stay_within_their_errors(spark):
     df = spark.range(60_000, numPartitions=6).selectExpr("id", "CAST(id % 7000 AS STRING) AS s", "sqrt(id) AS v", "CAST(NULL AS DOUBLE) AS none")
     exact = {"id": 60_000, "s": 7000, "v": 60_000, "none": 0}

@@ -271,3 +271,17 @@ def test_distribution_by_sketches(spark):
         assert a["count"] == b["count"] and abs(a["cardinality"] - b["cardinality"]) <= 0.03 * a["cardinality"]
     assert found.top_values().exceptAll(exact.top_values()).count() == 0
     assert found.numeric().select("column_name", "count", "mean").exceptAll(exact.numeric().select("column_name", "count", "mean")).count() == 0
+
+
+def test_unique_counts_of_numbers_take_one_hash(spark):
+    """Spark's hash of eight bytes is one to one: numbers are sent as one hash, all else as two."""
+    df = spark.createDataFrame(
+        [(1, 0.0, "a", 7), (2, -0.0, "b", 7), (2, float("nan"), None, None), (None, 1.5, "b", 8)], "a long, b double, c string, d int"
+    )
+    counted = unique_counts(df)
+    assert dict(counted.collect()) == {"a": 2, "b": 2, "c": 2, "d": 2}
+    assert dict(unique_counts(df.select("a", "b")).collect()) == {"a": 2, "b": 2}
+    told = unique_counts(df.select("a", "b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS g#" not in told and "g:bigint" not in told
+    told = unique_counts(df.select("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(1, " in told
