@@ -15,6 +15,8 @@ from tablewright.functions.ranking import bucket_of
 #: Aggregates per job: the methods generated for wider ones grow too long for the JIT
 #: compiler. A job reads only its own columns, so narrow jobs read no more in total.
 AGGREGATES_PER_JOB = 64
+#: Moments and shapes take long expressions each: at 64 of them the methods already run uncompiled.
+MEASURES_PER_JOB = 24
 #: Columns whose cells are exploded and counted by one job, for the same reason.
 COLUMNS_PER_JOB = 10
 #: Up to this many values per column the built-in exact percentile is used. Its state is
@@ -44,7 +46,7 @@ def column_stats(
     measures: dict[str, Callable[[Column], Column]],
 ) -> dict[str, dict[str, Any]]:
     """``{column: {measure: value}}`` from one wide aggregate (chunked by column)."""
-    per_job = max(1, AGGREGATES_PER_JOB // max(1, len(measures)))
+    per_job = max(1, MEASURES_PER_JOB // max(1, len(measures)))
     result: dict[str, dict[str, Any]] = {}
     for names in batched(list(values), per_job):
         exprs = [

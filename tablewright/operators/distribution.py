@@ -30,6 +30,7 @@ HIGH_CARDINALITY = 20
 MODERATE_SKEW, STRONG_SKEW = 0.5, 1.0
 IMBALANCE_RATIO = 3
 MAX_CLASSES = 20
+QUARTILES = [0.25, 0.5, 0.75]
 
 NUMERIC_SCHEMA = (
     "column_name string, count long, mean double, median double, std double, min double, max double, "
@@ -78,6 +79,18 @@ class DistributionReport:
         values = {name: measured(self.df, name) for name in self.numeric_names}
         return column_stats(self.df, values, {**shape_moments(), "rows": lambda _: F.count(F.lit(1))})
 
+    @cached_property
+    def _cuts(self) -> dict[str, list]:
+        """Quartiles of every numeric column."""
+        values = {name: measured(self.df, name) for name in self.numeric_names}
+        if self.approx:
+            return approx_quantiles(self.df, values, QUARTILES)
+        return quantiles(self.df, values, QUARTILES, {n: self._stats[n]["count"] for n in values})
+
+    def facts(self, name: str) -> dict:
+        """Moments, rows and quartiles of a numeric column, for reports on the same table."""
+        return {**self._stats[name], "quartiles": self._cuts[name]}
+
     @cached_property
     def rows(self) -> int:
         if self.numeric_names:
@@ -86,13 +99,7 @@ class DistributionReport:
 
     def numeric(self) -> DataFrame:
         """One row per numeric column, from two passes: moments, then quantiles."""
-        stats = self._stats
-        values = {name: measured(self.df, name) for name in self.numeric_names}
-        probs = [0.25, 0.5, 0.75]
-        if self.approx:
-            cuts = approx_quantiles(self.df, values, probs)
-        else:
-            cuts = quantiles(self.df, values, probs, {n: stats[n]["count"] for n in values})
+        stats, cuts = self._stats, self._cuts
         rows = []
         for name in self.numeric_names:
             s, (q25, q50, q75) = stats[name], cuts[name]

@@ -19,6 +19,7 @@ from tablewright.functions.stats import (
     moments,
     quantiles,
 )
+from tablewright.operators.distribution import QUARTILES, DistributionReport
 
 METHODS = ("iqr", "zscore", "both")
 HIGH_RATE = 0.01
@@ -38,14 +39,20 @@ class OutlierReport:
     method: str
     multiplier: float
     threshold: float
+    known: DistributionReport | None = None
 
     @cached_property
     def _facts(self) -> dict[str, dict]:
         """Moments and, for the fences and the extremes, exact quartiles of each column."""
         values = {name: measured(self.df, name) for name in self.names}
-        facts = column_stats(self.df, values, {**moments(), "rows": lambda _: F.count(F.lit(1))})
-        kept = {name: value for name, value in values.items() if facts[name]["count"] > 0}
-        cuts = quantiles(self.df, kept, [0.25, 0.5, 0.75], {n: facts[n]["count"] for n in kept})
+        if self.known is not None:
+            facts = {name: self.known.facts(name) for name in values}
+            kept = {name: value for name, value in values.items() if facts[name]["count"] > 0}
+            cuts = {name: facts[name]["quartiles"] for name in kept}
+        else:
+            facts = column_stats(self.df, values, {**moments(), "rows": lambda _: F.count(F.lit(1))})
+            kept = {name: value for name, value in values.items() if facts[name]["count"] > 0}
+            cuts = quantiles(self.df, kept, QUARTILES, {n: facts[n]["count"] for n in kept})
         found = {}
         for name in kept:
             q1, median, q3 = cuts[name]
@@ -181,11 +188,17 @@ def outliers(
     iqr_multiplier: float = 1.5,
     zscore_threshold: float = 3.0,
     columns: str | Sequence[str] | None = None,
+    known: DistributionReport | None = None,
 ) -> OutlierReport:
-    """Outlier report; the extreme-value flag is given for "iqr" and for "both"."""
+    """Outlier report; the extreme-value flag is given for "iqr" and for "both".
+
+    ``known`` is an exact distribution of the same table: its moments and quartiles are then not worked out again.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}; choose one of {METHODS}")
     names = numeric_columns(df)
     if columns:
         names = [name for name in resolve_columns(df, columns) if name in names]
-    return OutlierReport(df, names, method, float(iqr_multiplier), float(zscore_threshold))
+    if known is not None and (known.df is not df or known.approx or not set(names) <= set(known.numeric_names)):
+        raise ValueError("the known distribution is not an exact one of these columns of this table")
+    return OutlierReport(df, names, method, float(iqr_multiplier), float(zscore_threshold), known)

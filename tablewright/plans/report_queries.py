@@ -664,11 +664,12 @@ MIXED_NUMBERS = [c for c, t in MIXED_TYPES.items() if t[1] == "numeric"]
 )
 def _(spark, sf):
     with persisted(project(spark, sf, "lineitem", MIXED)) as df:
+        shape = distribution(df)
         return Suggestions(
             profile(df),
-            distribution=distribution_section(distribution(df)),
+            distribution=distribution_section(shape),
             missing=missing_section(missing_values(df)),
-            outliers=outlier_section(outliers(df)),
+            outliers=outlier_section(outliers(df, known=shape)),
         ).table()
 
 

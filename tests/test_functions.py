@@ -20,6 +20,7 @@ from tablewright.functions.column_ranks import (
 from tablewright.functions.columns import parse_columns, require_distinct_names, resolve_columns
 from tablewright.functions.keep import spread
 from tablewright.functions.products import plain_columns
+from tablewright.functions.stats import MEASURES_PER_JOB, column_stats, shape_moments
 from tablewright.operators.correlation import correlation, spearman_pairs
 
 
@@ -199,6 +200,22 @@ def test_only_small_tables_are_spread(spark):
     assert "Repartition" in spread(small)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_moments_are_worked_out_in_narrow_jobs(spark):
+    """Wide aggregates of moments run uncompiled; each job takes a few columns, with the same results."""
+    df = spark.range(100).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(7)])
+    values = {c: F.col(c) for c in df.columns}
+    asked = []
+
+    class Told:
+        def agg(self, *exprs):
+            asked.append(len(exprs))
+            return df.agg(*exprs)
+
+    found = column_stats(Told(), values, shape_moments())
+    assert max(asked) <= MEASURES_PER_JOB < len(values) * len(shape_moments())
+    assert [found[c]["mean"] for c in df.columns] == [49.5 * (i + 1) for i in range(7)]
+
+
 def test_sketches_stay_within_their_errors(spark):
     df = spark.range(60_000, numPartitions=6).selectExpr("id", "CAST(id % 7000 AS STRING) AS s", "sqrt(id) AS v", "CAST(NULL AS DOUBLE) AS none")
     exact = {"id": 60_000, "s": 7000, "v": 60_000, "none": 0}

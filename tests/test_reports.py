@@ -285,3 +285,20 @@ def test_unique_counts_of_numbers_take_one_hash(spark):
     assert "AS g#" not in told and "g:bigint" not in told
     told = unique_counts(df.select("c"))._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64(1, " in told
+
+
+def test_outliers_take_over_a_known_distribution(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 17), i * i, None) for i in range(200)], "a double, b long, empty double").persist()
+    alone = outliers(df).columns().collect()
+    shape = distribution(df)
+    shape.numeric()
+
+    def again(*_):
+        raise AssertionError("worked out again")
+
+    monkeypatch.setattr("tablewright.operators.outliers.quantiles", again)
+    monkeypatch.setattr("tablewright.operators.outliers.column_stats", again)
+    monkeypatch.setattr("tablewright.operators.distribution.quantiles", again)
+    assert outliers(df, known=shape).columns().collect() == alone
+    with pytest.raises(ValueError, match="known distribution"):
+        outliers(df.select("a"), known=shape)
