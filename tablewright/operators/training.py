@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-from contextlib import nullcontext
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager, nullcontext
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pyarrow as pa
 from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -15,9 +18,10 @@ from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import NUMERIC_TYPES, col, dtype, log, missing, require_target
-from tablewright.functions.keep import persisted
-from tablewright.functions.stats import local_frame
+from tablewright.functions.keep import cached, persisted
+from tablewright.functions.stats import collect_aggregates, local_frame, quantiles
 from tablewright.operators.curves import PROB_PREFIX
 from tablewright.operators.tasks import detect_task
-from tablewright.session import ensure_checkpoint_dir
+from tablewright.session import ensure_checkpoint_dir, importable
 from tablewright.splits import Splits
 
 SEED = 42
@@ -44,7 +48,15 @@ MAX_CLASSES = 1_000
 LBFGS_ROUNDS, LBFGS_TOLERANCE = 5_000, 1e-12
 #: Boosters of different classes that are fitted at the same time.
 PARALLEL_BOOSTERS = 4
-LABEL, FEATURES = "_label", "_features"
+#: Trees of a forest of counted cells that are fitted at the same time.
+PARALLEL_TREES = 8
+#: Rows up to which MLlib's own copies are small, so that fits on the rows are quicker than counting cells first.
+DIRECT_ROWS = 1_000_000
+#: Rows per cell of cut features and class, at least, for training on counted cells.
+ROWS_PER_CELL = 20
+#: Cells that one task of a fit reads.
+CELLS_PER_TASK = 100_000
+LABEL, FEATURES, WEIGHT = "_label", "_features", "_weight"
 
 
 @dataclass(frozen=True)
@@ -221,6 +233,82 @@ class _Prepared:
             return estimator.fit(held)
 
 
+@dataclass(frozen=True)
+class _Cells:
+    """Training rows of a classification, counted by what a tree can tell apart: the bins of all features, and the class.
+
+    Columns ``_label``, one double per feature (``x0``...) and ``_weight``, the number of rows. A feature of at most
+    ``max_bins`` values keeps them. Others are cut at quantiles of all rows, as MLlib cuts them at those of a sample, and are
+    replaced by the number of the bin; ``binner`` does the same to the rows to be predicted.
+    """
+
+    counted: DataFrame
+    binner: Bucketizer | None
+    assembler: VectorAssembler
+    cells: int
+
+    @property
+    def stages(self) -> list:
+        return [self.assembler] if self.binner is None else [self.binner, self.assembler]
+
+    @property
+    def names(self) -> list[str]:
+        return [f"x{i}" for i in range(len(self.assembler.getInputCols()))]
+
+    def tasks(self) -> int:
+        return 1 + self.cells // CELLS_PER_TASK
+
+    def vectors(self, df: DataFrame, weight: Column) -> DataFrame:
+        assembler = VectorAssembler(inputCols=self.names, outputCol=FEATURES)
+        return assembler.transform(df).select(LABEL, FEATURES, weight.cast("double").alias(WEIGHT))
+
+
+def _feature_cuts(ready: _Prepared, max_bins: int) -> list[tuple[int, list[float] | None]] | None:
+    """Per feature its number of bins and, if it has more values than bins, its cuts; None where cells would not be few."""
+    room = ready.rows / ROWS_PER_CELL / len(ready.classes)
+    values = {c: col(c).cast("double") for c in ready.features}
+    if ready.rows <= DIRECT_ROWS or room < 1:
+        return None
+    estimates = collect_aggregates(ready.train, {c: F.approx_count_distinct(v) for c, v in values.items()})
+    # An estimate is off by a few per cent, so this only turns away what has no chance.
+    if math.prod(min(max_bins, n * 0.8) for n in estimates.values()) > room:
+        return None
+    few = [c for c in ready.features if estimates[c] <= 2 * max_bins]
+    sizes = collect_aggregates(ready.train, {c: F.size(F.collect_set(values[c] + F.lit(0.0))) for c in few})
+    wide = {c: values[c] for c in ready.features if sizes.get(c, max_bins + 1) > max_bins}
+    if math.prod(min(max_bins, sizes.get(c, max_bins)) for c in ready.features) > room:
+        return None
+    shares = [(i + 1) / max_bins for i in range(max_bins - 1)]
+    cuts = quantiles(ready.train, wide, shares, {c: ready.rows for c in wide}) if wide else {}
+    return [(max_bins, sorted(set(cuts[c]))) if c in wide else (sizes[c], None) for c in ready.features]
+
+
+@contextmanager
+def _counted_cells(ready: _Prepared, max_bins: int):
+    """The cells of a large classification with few of them, else None.
+
+    The bins bound the cells whatever the values are: fits then take the time of the cells, not of the rows.
+    """
+    found = _feature_cuts(ready, max_bins) if ready.task == "classification" else None
+    if found is None:
+        yield None
+        return
+    wide = [(c, cuts) for c, (_, cuts) in zip(ready.features, found, strict=True) if cuts is not None]
+    binner, inputs = None, list(ready.features)
+    train = ready.train
+    if wide:
+        names = {c: f"_bin_{c}" for c, _ in wide}
+        # A cut goes with the bin below it, as in MLlib's trees; the Bucketizer puts it above.
+        edges = [[-math.inf, *[math.nextafter(x, math.inf) for x in cuts], math.inf] for _, cuts in wide]
+        binner = Bucketizer(splitsArray=edges, inputCols=list(names), outputCols=list(names.values()))
+        train, inputs = binner.transform(train), [names.get(c, c) for c in ready.features]
+    plain = train.select(ready.label(train).alias(LABEL), *[(col(c).cast("double") + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(inputs)])
+    counted = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias(WEIGHT))
+    with cached(counted) as held:
+        assembler = VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error")
+        yield _Cells(held, binner, assembler, held.count())
+
+
 def _literal_type(class_type: str) -> str:
     return class_type if class_type in ("string", "boolean") else "double" if class_type in ("float", "double") else "bigint"
 
@@ -256,10 +344,11 @@ def _prepare(train: DataFrame, target: str | None, task: str | None = None, rule
     return _Prepared(train, assembler, features, task, classes, class_type, rows, target)
 
 
-def _trained(kind: str, ready: _Prepared, stages: list, params: dict, **extra) -> TrainedModel:
+def _trained(kind: str, ready: _Prepared, stages: list, params: dict, first: list | None = None, **extra) -> TrainedModel:
+    """``first``: the stages that make the features, if not the assembler alone."""
     return TrainedModel(
         kind, ready.task, ready.target, ready.features, ready.classes, ready.class_type,
-        PipelineModel([ready.assembler, *stages]), params, ready.rows, **extra,
+        PipelineModel([*(first or [ready.assembler]), *stages]), params, ready.rows, **extra,
     )
 
 
@@ -317,17 +406,75 @@ def random_forest(
     min_samples_split: int = 2,
     max_bins: int = MAX_BINS,
 ) -> TrainedModel:
+    """Trees on bootstrapped rows, a random choice of features at every node.
+
+    MLlib keeps one number per row and tree while it fits. Large classifications with few cells (``_counted_cells``) are
+    counted first, and every tree draws how often it takes the rows of a cell.
+    """
     ready = _prepare(train, target)
     kind = RandomForestClassifier if ready.task == "classification" else RandomForestRegressor
-    estimator = kind(
-        featuresCol=FEATURES, labelCol=LABEL, numTrees=n_estimators, maxDepth=_depth(max_depth),
-        minInstancesPerNode=_leaf_rows(min_samples_split), seed=SEED, maxBins=max_bins,
-    )
-    model = ready.fit(estimator)
+    common = dict(featuresCol=FEATURES, labelCol=LABEL, maxDepth=_depth(max_depth), maxBins=max_bins)
     params = {"n_estimators": n_estimators, "max_depth": max_depth, "min_samples_split": min_samples_split}
+    leaf = _leaf_rows(min_samples_split)
+    few = _counted_cells(ready, max_bins) if n_estimators > 1 and 2 * leaf < ready.rows else nullcontext()
+    with few as cells:
+        if cells is not None:
+            model = _forest_of_cells(ready, cells, n_estimators, leaf, common)
+            return _trained("random_forest", ready, [model], params, cells.stages)
+    model = ready.fit(kind(numTrees=n_estimators, minInstancesPerNode=leaf, seed=SEED, **common))
     return _trained("random_forest", ready, [model], params)
 
 
+def _draws(cells: _Cells, trees: int) -> DataFrame:
+    """How often each tree's bootstrap takes the rows of each cell: n rows taken Poisson(1) times each are taken Poisson(n) times.
+
+    The numbers depend on the cell and the seed alone.
+    """
+    importable(cells.counted.sparkSession)
+    names = [LABEL, *cells.names]
+    schema = ", ".join(f"{c} double" for c in names) + ", draws array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, key = (batch.column(c).to_numpy() for c in (WEIGHT, "_key"))
+            drawn = np.array([np.random.default_rng([SEED, k & (2**64 - 1)]).poisson(m, trees) for m, k in zip(n.tolist(), key.tolist())])
+            offsets = np.arange(0, drawn.size + 1, trees, dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(drawn.ravel().astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], lists], [*names, "draws"])
+
+    keyed = cells.counted.withColumn("_key", F.xxhash64(*names))
+    return keyed.coalesce(cells.tasks()).mapInArrow(run, schema)
+
+
+def _forest_of_cells(ready: _Prepared, cells: _Cells, trees: int, leaf: int, common: dict) -> RandomForestClassificationModel:
+    """One tree a fit, side by side, each with its own weights; then all of them as one forest."""
+    # Weights, not cells, are the rows of a leaf; half a row less, so that rounding does not matter.
+    settings = dict(
+        numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", weightCol=WEIGHT,
+        minWeightFractionPerNode=(leaf - 0.5) / ready.rows, **common,
+    )
+    with cached(_draws(cells, trees)) as drawn:
+
+        def grow(i):
+            return RandomForestClassifier(seed=SEED + i, **settings).fit(cells.vectors(drawn, F.col("draws")[i]))
+
+        with ThreadPool(PARALLEL_TREES) as pool:
+            grown = pool.map(inheritable_thread_target(ready.train.sparkSession)(grow), range(trees), chunksize=1)
+    context = SparkContext.getOrCreate()
+    ml = context._jvm.org.apache.spark.ml.classification
+    array = context._gateway.new_array(ml.DecisionTreeClassificationModel, trees)
+    for i, one in enumerate(grown):
+        array[i] = one._java_obj.trees()[0]
+    first = grown[0]
+    model = ml.RandomForestClassificationModel(f"{first._java_obj.uid()}_all", array, first.numFeatures, first.numClasses)
+    whole = first._copyValues(RandomForestClassificationModel(model))
+    whole._set(numTrees=trees)
+    whole._transfer_params_to_java()
+    return whole
+
+
 # --- linear ----------------------------------------------------------------------------
 
 
@@ -405,7 +552,8 @@ def gradient_boosting(
     """Boosted trees; several classes get one booster each, probabilities scaled to sum to one.
 
     Boosters of several classes are fitted side by side, ``parallelism`` at a time, from the same kept rows, so that the tasks of
-    one fill the cores that the others leave idle.
+    one fill the cores that the others leave idle. Large classifications with few cells (``_counted_cells``) are counted first:
+    rounds on all rows then read the cells, with their numbers of rows as weights.
 
     Early stopping needs ``val``: rounds are added in doubling steps until the validation
     loss has not improved for ``early_stopping_rounds`` rounds, then the trees of the best
@@ -426,7 +574,16 @@ def gradient_boosting(
     stop = early_stopping_rounds if val is not None and early_stopping_rounds > 0 and not val.isEmpty() else 0
     stages, history, rounds = [], [], []
     keep_val = persisted(ready.assembled(val)) if stop else nullcontext()
-    with persisted(ready.assembled(train)) as work, keep_val as held:
+    # Rounds on a part of the rows, and losses, need the rows themselves.
+    leaf = settings["minInstancesPerNode"]
+    whole = subsample >= 1.0 and not stop and 2 * leaf < ready.rows
+    with _counted_cells(ready, max_bins) if whole else nullcontext() as cells, ExitStack() as kept:
+        held = kept.enter_context(keep_val)
+        if cells is None:
+            work = kept.enter_context(persisted(ready.assembled(train)))
+        else:
+            work = kept.enter_context(cached(cells.vectors(cells.counted, F.col(WEIGHT)).coalesce(cells.tasks())))
+            settings.update(weightCol=WEIGHT, minInstancesPerNode=1, minWeightFractionPerNode=(leaf - 0.5) / ready.rows)
         labels = _boosted_labels(ready)
 
         def boost(index):
@@ -443,7 +600,8 @@ def gradient_boosting(
         learning_rate=learning_rate, n_estimators=n_estimators, max_depth=max_depth, subsample=subsample,
         early_stopping_rounds=early_stopping_rounds, colsample=colsample, min_child_weight=min_child_weight, gamma=gamma,
     )
-    return _trained(kind, ready, stages, params, history_rows=history, best_rounds=rounds)
+    first = None if cells is None else cells.stages
+    return _trained(kind, ready, stages, params, first, history_rows=history, best_rounds=rounds)
 
 
 def xgboost_style(train: DataFrame, target: str | None, val: DataFrame | None = None, **overrides) -> TrainedModel:

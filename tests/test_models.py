@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
+from tablewright.operators import training
 from tablewright.operators.comparison import compare_models
 from tablewright.operators.importance import feature_importance
 from tablewright.operators.training import (
@@ -195,3 +197,68 @@ def test_model_comparison(classes):
     models = {"tree": decision_tree(df, "target", max_depth=2), "line": logistic_regression(df, "target")}
     table = compare_models(models, df, "target").table()
     assert table.where("metric = 'accuracy' and is_best").first()["model"] == "line"
+
+
+def few_valued(spark, rows=6000, **more):
+    r = np.random.default_rng(5)
+    frame = pd.DataFrame({"a": r.integers(0, 12, rows) / 4.0, "b": r.integers(0, 5, rows)})
+    score = 4 * frame.a + 2 * frame.b + r.integers(0, 3, rows)
+    frame["target"] = np.select([score < 8, score < 14], ["low", "mid"], "top")
+    for name, make in more.items():
+        frame[name] = make(r, rows)
+    return spark.createDataFrame(frame)
+
+
+def test_boosting_on_counted_cells_is_that_on_rows(spark, monkeypatch):
+    df = few_valued(spark).persist()
+    on_rows = gradient_boosting(df, "target", n_estimators=3, max_depth=3, min_child_weight=20)
+    monkeypatch.setattr(training, "DIRECT_ROWS", 0)
+    ready = training._prepare(df, "target")
+    with training._counted_cells(ready, 256) as cells:
+        assert cells.cells <= 12 * 5 * 3
+        assert cells.counted.agg(F.sum("_weight")).first()[0] == 6000
+    on_cells = gradient_boosting(df, "target", n_estimators=3, max_depth=3, min_child_weight=20)
+    assert on_cells.pipeline.stages[-1].getWeightCol() == "_weight"
+    probs = [f"y_prob_{c}" for c in ("low", "mid", "top")]
+    single = df.select("a", "b").distinct().orderBy("a", "b").withColumn("target", F.lit("low"))
+    one, other = (m.predict(single).select(*probs).toPandas().to_numpy() for m in (on_rows, on_cells))
+    assert np.allclose(one, other, atol=1e-9)
+
+
+def test_cells_of_a_feature_with_many_values(spark, monkeypatch, tmp_path):
+    """Cut at quantiles of all rows; the stored model cuts new rows the same way."""
+    monkeypatch.setattr(training, "DIRECT_ROWS", 0)
+    df = few_valued(spark, wide=lambda r, n: r.normal(size=n)).withColumn("target", (F.col("wide") > 0.25).cast("int")).drop("a").persist()
+    model = gradient_boosting(df, "target", n_estimators=2, max_depth=3, max_bins=16)
+    assert model.pipeline.stages[0].getInputCols() == ["wide"]
+    out = model.predict(df)
+    assert out.where("y_true = y_pred").count() > 0.96 * 6000
+    model.save(spark, str(tmp_path / "m"))
+    again = TrainedModel.load(spark, str(tmp_path / "m")).predict(df)
+    assert again.exceptAll(out).count() == 0
+    monkeypatch.setattr(training, "ROWS_PER_CELL", 1000)
+    assert training._feature_cuts(training._prepare(df, "target"), 16) is None
+
+
+def test_forest_on_counted_cells(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(training, "DIRECT_ROWS", 0)
+    df = few_valued(spark).persist()
+    ready = training._prepare(df, "target")
+    with training._counted_cells(ready, 256) as cells:
+        drawn = training._draws(cells, 200)
+        sums = drawn.select(F.posexplode("draws")).groupBy("pos").agg(F.sum("col").alias("n")).toPandas()["n"]
+        # every tree's bootstrap is of about as many rows as there are, with the spread of a Poisson number
+        assert len(sums) == 200 and abs(sums.mean() - 6000) < 5 * (6000 / 200) ** 0.5
+        assert 0.8 * 6000**0.5 < sums.std() < 1.2 * 6000**0.5
+        assert drawn.exceptAll(training._draws(cells, 200)).count() == 0
+    model = random_forest(df, "target", n_estimators=12, min_samples_split=40)
+    forest = model.pipeline.stages[-1]
+    assert forest.getNumTrees == 12 and forest.numClasses == 3 and forest.getWeightCol() == "_weight"
+    assert len({t.toDebugString for t in forest.trees}) > 1
+    on_rows = RandomForestClassifier(numTrees=12, maxDepth=10, seed=42, featuresCol="_features", labelCol="_label", maxBins=256)
+    plain = ready.fit(on_rows).transform(ready.assembled(df)).where("prediction = _label").count()
+    mine = model.predict(df).where("y_true = y_pred").count()
+    assert abs(mine - plain) < 0.02 * 6000
+    assert sum(model.raw_importances()[1]) == pytest.approx(1.0)
+    model.save(spark, str(tmp_path / "forest"))
+    assert TrainedModel.load(spark, str(tmp_path / "forest")).predict(df).exceptAll(model.predict(df)).count() == 0
