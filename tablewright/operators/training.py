@@ -555,7 +555,7 @@ def gradient_boosting(
     one fill the cores that the others leave idle. Large classifications with few cells (``_counted_cells``) are counted first:
     rounds on all rows then read the cells, with their numbers of rows as weights.
 
-    Early stopping needs ``val``: rounds are added in doubling steps until the validation
+    Early stopping needs ``val``: rounds are added in doubling steps (four times the patience first) until the validation
     loss has not improved for ``early_stopping_rounds`` rounds, then the trees of the best
     number of rounds are kept, without another fit. ``colsample`` applies per tree node. L1 and L2 leaf penalties do not
     exist in MLlib, so other values than the defaults are refused.
@@ -650,7 +650,8 @@ def _boost(work, held, index, settings, n_estimators, patience):
         metric = "logloss"
     if not patience:
         return fit(n_estimators), [], n_estimators
-    rounds = min(n_estimators, 2 * patience)
+    # A fit begins anew, so a first step that is too short costs its rounds twice.
+    rounds = min(n_estimators, 4 * patience)
     while True:
         model = fit(rounds)
         on_val = losses(model, held)

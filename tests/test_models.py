@@ -262,3 +262,10 @@ def test_forest_on_counted_cells(spark, monkeypatch, tmp_path):
     assert sum(model.raw_importances()[1]) == pytest.approx(1.0)
     model.save(spark, str(tmp_path / "forest"))
     assert TrainedModel.load(spark, str(tmp_path / "forest")).predict(df).exceptAll(model.predict(df)).count() == 0
+
+
+def test_early_stopping_does_not_fit_short_steps_twice(spark, line, monkeypatch):
+    fits = []
+    monkeypatch.setattr(training, "best_round", lambda losses, patience: fits.append(len(losses)) or best_round(losses, patience))
+    xgboost_style(line.train, "target", line.val, n_estimators=8, early_stopping_rounds=2, max_depth=2)
+    assert fits == [8]
