@@ -68,6 +68,12 @@ def keep(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> D
     return held
 
 
+def widened(df: DataFrame) -> DataFrame:
+    """On at least as many partitions as there are cores, like ``keep``, but not kept."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @contextmanager
 def persisted(df: DataFrame):
     held = keep(df)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import NUMERIC_TYPES, col, dtype, log, missing, require_target
-from tablewright.functions.keep import cached, persisted
+from tablewright.functions.keep import cached, persisted, widened
 from tablewright.functions.stats import collect_aggregates, local_frame, quantiles
 from tablewright.operators.curves import PROB_PREFIX
 from tablewright.operators.tasks import detect_task
@@ -513,7 +513,8 @@ def logistic_regression(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=max_iter, standardization=False,
         regParam=0.0 if free else 1.0 / (C * ready.rows), elasticNetParam=1.0 if penalty == "l1" else 0.0,
     )
-    model = ready.fit(estimator)
+    # MLlib keeps the rows itself, as blocks, and reads the input only twice: a second copy would push them out of memory.
+    model = estimator.fit(ready.assembled(widened(train)))
     return _trained("logistic_regression", ready, [model], {"C": C, "max_iter": max_iter, "penalty": penalty})
 
 

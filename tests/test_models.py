@@ -269,3 +269,12 @@ def test_early_stopping_does_not_fit_short_steps_twice(spark, line, monkeypatch)
     monkeypatch.setattr(training, "best_round", lambda losses, patience: fits.append(len(losses)) or best_round(losses, patience))
     xgboost_style(line.train, "target", line.val, n_estimators=8, early_stopping_rounds=2, max_depth=2)
     assert fits == [8]
+
+
+def test_logistic_regression_keeps_no_second_copy(classes, monkeypatch):
+    def twice(_):
+        raise AssertionError("kept besides MLlib's own copy")
+
+    monkeypatch.setattr(training, "persisted", twice)
+    model = logistic_regression(classes.drop("name"), "target")
+    assert model.predict(classes).where("y_true = y_pred").count() > 220
