@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import os
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from tablewright.session import scratch_dir
 #: executor outside its heap and in the worker, and the C library keeps much of that afterwards.
 BATCH_BYTES = 4 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's setting that removes the shuffle files of a query at its end instead of when the driver's garbage is collected.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +36,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Tables written within the block leave no shuffle files behind, unless the session has a setting of its own."""
+    if CLEANUP_CONF in spark.conf.getAll:
+        yield
+        return
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP_CONF)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read again: lineage is cut, and a lost executor costs only its own tasks."""
     path = scratch_dir(df.sparkSession, label)

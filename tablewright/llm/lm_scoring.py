@@ -9,7 +9,8 @@ word frequency, both from probes alone.
 The query fits with ``fit_whole``: every word and every pair is entered, pairs seen once included, and the filter has at least
 ``BITS_PER_ENTRY`` bits per entry at any size. It is cut into at most ``packed.PARTS`` slices of the hash range and stays
 distributed: texts ask each slice for their distinct n-grams, the levels found go back to the texts. Only what a task holds is
-bounded (one slice, or one piece of text), and all shuffled data grows in line with the texts.
+bounded (one slice, or one piece of text), and all shuffled data grows in line with the texts. Keys travel as gaps, levels and
+places of tokens compressed, and shuffle files of the training go when the filter is written.
 
 ``fit`` makes one filter of at most ``max_bits`` bits that is broadcast, for callers who want that bound: words are all entered,
 pairs from ``MIN_PAIR_COUNT`` on; if they do not fit, the smallest larger count that fits is taken, from the exact histogram of
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.keep import stored_while
 from tablewright.llm import packed
-from tablewright.llm.common import doc_bucket, pieces, release, stored, text_column
+from tablewright.llm.common import doc_bucket, pieces, release, shuffles_removed, stored, text_column
 from tablewright.llm.textops import mix, word_hashes
 
 BLOCK_BITS = 1 << 19
@@ -180,10 +181,10 @@ def _count_pieces(parts: int, pairs: bool):
                 keys, counts = _summed(*map(np.concatenate, zip(*held, strict=True)))
                 held, size = [(keys, counts)], len(keys)
                 if size > packed.HELD_KEYS // 2:
-                    yield packed.blocks([*_split_counts(keys, counts)], parts)
+                    yield packed.blocks([*_split_counts(keys, counts)], parts, packed.pack_close)
                     held, size = [], 0
         if held:
-            found = packed.blocks([*_split_counts(*_summed(*map(np.concatenate, zip(*held, strict=True))))], parts)
+            found = packed.blocks([*_split_counts(*_summed(*map(np.concatenate, zip(*held, strict=True))))], parts, packed.pack_close)
             if found is not None:
                 yield found
 
@@ -205,7 +206,7 @@ def count_ngrams(train: DataFrame, text: str, pairs: bool, least: int, parts: in
     """key and count of every word, or of every word pair with a count of at least ``least``; written to the shared folder."""
     plain = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = plain.mapInArrow(_count_pieces(parts, pairs), packed.SCHEMA)
-    return stored(packed.by_part(found, _table(least), KINDS, "key long, n long"), "lm-counts")
+    return stored(packed.by_part(found, _table(least), KINDS, "key long, n long", packed.unpack_close), "lm-counts")
 
 
 def build_filter(words: DataFrame, pairs: DataFrame, max_bits: int = MAX_BITS) -> tuple[LogFrequencyFilter, int]:
@@ -260,11 +261,21 @@ class SlicedFilter:
     blocks: int
 
 
+def _pack_short(columns: list[np.ndarray]) -> bytes:
+    """Sorted keys, without the bits a sliced filter does not use, and their levels."""
+    return packed.pack_close([columns[0] >> SHORT, columns[1]])
+
+
+def _unpack_short(sizes: list[int], bodies: list[pa.Buffer], kinds: list[np.dtype]) -> list[np.ndarray]:
+    keys, level = packed.unpack_close(sizes, bodies, kinds)
+    return [keys << SHORT, level]
+
+
 def _level_table(part: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """All keys of a part and their levels, packed in one row, with the number of filter entries they make."""
+    """All keys of a part, shortened, and their levels, packed in one row, with the number of filter entries they make."""
     keys, counts = _summed(*columns)
     level = levels(counts).astype(np.uint8)
-    body = keys.tobytes() + level.tobytes()
+    body = _pack_short([keys, level])
     yield pa.RecordBatch.from_arrays(
         [pa.array([len(keys)], pa.int64()), pa.array([int(level.sum())], pa.int64()), pa.array([body], pa.binary())], ["size", "entries", "block"]
     )
@@ -274,7 +285,7 @@ def pair_levels(train: DataFrame, text: str, parts: int) -> DataFrame:
     """Every word pair and its level, packed."""
     plain = train.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = plain.mapInArrow(_count_pieces(parts, True), packed.SCHEMA)
-    return packed.by_part(found, _level_table, KINDS, "size long, entries long, block binary")
+    return packed.by_part(found, _level_table, KINDS, "size long, entries long, block binary", packed.unpack_close)
 
 
 def build_slices(words: DataFrame, pairs: DataFrame, parts: int = packed.PARTS) -> SlicedFilter:
@@ -289,15 +300,14 @@ def build_slices(words: DataFrame, pairs: DataFrame, parts: int = packed.PARTS)
         for batch in batches:
             keys, counts = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
             order = np.argsort(keys)
-            found = packed.blocks([keys[order] >> SHORT << SHORT, levels(counts[order]).astype(np.uint8)], slices)
+            found = packed.blocks([keys[order], levels(counts[order]).astype(np.uint8)], slices, _pack_short)
             if found is not None:
                 yield found
 
     def pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for size, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys, level = packed.unpack([size], [body.as_buffer()], LEVEL_KINDS)
-                found = packed.blocks([keys >> SHORT << SHORT, level], slices)
+                found = packed.blocks(_unpack_short([size], [body.as_buffer()], LEVEL_KINDS), slices, _pack_short)
                 if found is not None:
                     yield found
 
@@ -313,7 +323,7 @@ def build_slices(words: DataFrame, pairs: DataFrame, parts: int = packed.PARTS)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
 
     both = words.select("key", "n").mapInArrow(pack_words, packed.SCHEMA).unionByName(pairs.select("size", "block").mapInArrow(pack_pairs, packed.SCHEMA))
-    return SlicedFilter(stored(packed.by_part(both, fill, LEVEL_KINDS, "slice int, bits binary"), "lm-filter"), slices, slices * each)
+    return SlicedFilter(stored(packed.by_part(both, fill, LEVEL_KINDS, "slice int, bits binary", _unpack_short), "lm-filter"), slices, slices * each)
 
 
 @dataclass
@@ -336,9 +346,10 @@ def fit(train: DataFrame, text: str = "text", max_bits: int = MAX_BITS, parts: i
 
 def fit_whole(train: DataFrame, text: str = "text", parts: int = packed.PARTS) -> Model:
     """Count the training texts and build a filter of all words and pairs, as large as they need."""
-    words = count_ngrams(train, text, False, 1, parts)
-    with stored_while(pair_levels(train, text, parts), "lm-levels") as pairs:  # needed only until the filter is written
-        filled = build_slices(words, pairs, parts)
+    with shuffles_removed(train.sparkSession):
+        words = count_ngrams(train, text, False, 1, parts)
+        with stored_while(pair_levels(train, text, parts), "lm-levels") as pairs:  # needed only until the filter is written
+            filled = build_slices(words, pairs, parts)
     return Model(words, filled, *_totals(words), 1)
 
 
@@ -387,21 +398,35 @@ def _interpolated(held: np.ndarray, pair: np.ndarray, offsets: np.ndarray, n_tok
 
 
 def _pack_texts(tokens: np.ndarray, offsets: np.ndarray) -> bytes:
-    """The tokens of a piece of text: sizes, offsets, distinct tokens, and the place of each token among these."""
-    distinct, places = np.unique(tokens, return_inverse=True)
-    kind = np.uint16 if len(distinct) <= 1 << 16 else np.uint32
-    sizes = np.array([len(offsets), len(distinct), len(tokens)], np.int64)
-    return zlib.compress(b"".join(x.tobytes() for x in (sizes, offsets.astype(np.int64), distinct, places.astype(kind))), 1)
+    """The tokens of a piece of text: sizes, distinct tokens from the most frequent on, offsets, and the place of each token among these.
+
+    Tokens that occur once come last, in the order of the text, and their place is 0. Places are kept byte by byte, lowest first.
+    """
+    distinct, first, places, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
+    order = np.lexsort((first, -times))
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    again = int((times > 1).sum())
+    place = np.where(rank < again, rank + 1, 0).astype(np.uint32)[places]
+    width = (again.bit_length() + 7) // 8
+    planes = np.ascontiguousarray(place.view(np.uint8).reshape(-1, 4).T[:width])
+    sizes = np.array([len(offsets), len(distinct), len(tokens), again], np.int64)
+    return sizes.tobytes() + distinct[order].tobytes() + zlib.compress(offsets.astype(np.int64).tobytes() + planes.tobytes(), 1)
 
 
 def _unpack_texts(body: pa.Buffer) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and offsets."""
-    body = zlib.decompress(body)
-    rows, kinds, size = np.frombuffer(body, np.int64, 3).tolist()
-    offsets = np.frombuffer(body, np.int64, rows, 24)
-    distinct = np.frombuffer(body, np.uint64, kinds, 24 + 8 * rows)
-    places = np.frombuffer(body, np.uint16 if kinds <= 1 << 16 else np.uint32, size, 24 + 8 * (rows + kinds))
-    return distinct[places], offsets
+    rows, kinds, size, again = np.frombuffer(body, np.int64, 4).tolist()
+    distinct = np.frombuffer(body, np.uint64, kinds, 32)
+    rest = zlib.decompress(memoryview(body)[32 + 8 * kinds :])
+    offsets = np.frombuffer(rest, np.int64, rows)
+    width = (again.bit_length() + 7) // 8
+    place = np.zeros((size, 4), np.uint8)
+    place[:, :width] = np.frombuffer(rest, np.uint8, width * size, 8 * rows).reshape(width, size).T
+    place = place.view(np.uint32).reshape(-1).astype(np.int64) - 1
+    once = place < 0
+    place[once] = np.arange(again, kinds)
+    return distinct[place], offsets
 
 
 def _asked(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -410,22 +435,6 @@ def _asked(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.unique(keys, return_inverse=True)
 
 
-def _pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as their gaps, if these fit 32 bits."""
-    keys = keys >> SHORT
-    gaps = np.diff(keys)
-    if gaps.max(initial=0) < 1 << 32:
-        return b"\1" + keys[:1].tobytes() + gaps.astype(np.uint32).tobytes()
-    return b"\0" + keys.tobytes()
-
-
-def _unpack_keys(body: bytes) -> np.ndarray:
-    if body[0]:
-        first, gaps = np.frombuffer(body, np.uint64, 1, 1), np.frombuffer(body, np.uint32, -1, 9)
-        return np.cumsum(np.concatenate([first, gaps.astype(np.uint64)]), dtype=np.uint64) << SHORT
-    return np.frombuffer(body, np.uint64, -1, 1) << SHORT
-
-
 def _probe_slices(texts: DataFrame, bloom: SlicedFilter, n_tokens: int, kinds: int, ends: int) -> DataFrame:
     """row and score of all rows of ``texts`` (first row, packed tokens of a piece), by asking each slice once per piece."""
     slices, blocks = bloom.slices, bloom.blocks
@@ -438,7 +447,7 @@ def _probe_slices(texts: DataFrame, bloom: SlicedFilter, n_tokens: int, kinds: i
                 keys, _ = _asked(tokens, offsets)
                 part = packed.part_of(keys, slices)
                 first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                bodies = pa.array([_pack_keys(x) for x in np.split(keys, first[1:])], pa.binary())
+                bodies = pa.array([packed.pack_keys(x >> SHORT) for x in np.split(keys, first[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(np.full(len(first), chunk)), bodies], ["slice", "chunk", "body"])
         release()
 
@@ -451,7 +460,7 @@ def _probe_slices(texts: DataFrame, bloom: SlicedFilter, n_tokens: int, kinds: i
             keys = np.concatenate(asked)
             level = part_filter.held(keys) if part_filter is not None else np.zeros(len(keys), np.int64)
             bodies = np.split(level.astype(np.uint8), np.cumsum([len(x) for x in asked])[:-1])
-            out = [pa.array(chunks, pa.int64()), pa.array([now] * len(chunks), pa.int32()), pa.array([x.tobytes() for x in bodies], pa.binary())]
+            out = [pa.array(chunks, pa.int64()), pa.array([now] * len(chunks), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in bodies], pa.binary())]
             chunks.clear()
             asked.clear()
             return pa.RecordBatch.from_arrays(out, ["chunk", "slice", "body"])
@@ -469,7 +478,7 @@ def _probe_slices(texts: DataFrame, bloom: SlicedFilter, n_tokens: int, kinds: i
                     part_filter = LogFrequencyFilter(bits, blocks, part * each)
                 else:
                     chunks.append(chunk)
-                    asked.append(_unpack_keys(body.as_py()))
+                    asked.append(packed.unpack_keys(body.as_buffer())[0] << SHORT)
                     size += len(asked[-1])
         if chunks:
             yield told()
@@ -481,7 +490,7 @@ def _probe_slices(texts: DataFrame, bloom: SlicedFilter, n_tokens: int, kinds: i
         def summed() -> pa.RecordBatch:
             tokens, offsets = _unpack_texts(texts)
             keys, places = _asked(tokens, offsets)
-            level = np.concatenate([np.frombuffer(x, np.uint8) for x in got])
+            level = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in got])
             if len(level) != len(keys):
                 raise ValueError(f"{len(level)} levels for {len(keys)} n-grams")
             count = LEVEL_COUNT[level][places]

@@ -4,9 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablewright.llm import lm_scoring as lm
+from tablewright.llm.common import CLEANUP_CONF
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -137,3 +139,56 @@ def test_query_learns_from_pairs_seen_once(spark):
     rows = [(once[0], "red fox runs"), (once[1], "blue whale sings"), (once[2], "old owl sleeps"), (held[0], "red fox"), (held[1], "red whale")]
     found = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[held[0]] > found[held[1]] + 0.3
+
+
+SORTED_KEYS = [[], [0], [2**64 - 1], [5] * 9, [0, 2**64 - 1], [0] * 50 + [2**64 - 1], [0, 0, 7, 2**63, 2**63, 2**64 - 1]]
+
+
+@pytest.mark.parametrize("keys", SORTED_KEYS + [sorted(int(k) for k in np.random.default_rng(bits).integers(0, 2**bits, 999)) for bits in (1, 8, 13, 44, 63)])
+def test_close_blocks_lose_nothing(keys):
+    keys = np.array(keys, np.uint64)
+    counts = np.array([1, 1, 2, 255, 256, 1, 2**32 - 1], np.uint32)[np.arange(len(keys)) % 7]
+    body = pa.py_buffer(lm.packed.pack_close([keys, counts]))
+    found = lm.packed.unpack_close([len(keys)], [body], lm.KINDS)
+    assert [x.dtype for x in found] == lm.KINDS
+    assert np.array_equal(found[0], keys) and np.array_equal(found[1], counts)
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 255, 256, 70_000])
+def test_packed_texts_lose_nothing(kinds):
+    tokens = lm.mix(np.r_[np.arange(kinds), np.arange(kinds // 2), [7, 7], kinds + np.arange(5)].astype(np.uint64))
+    offsets = np.array([0, 1, 3, len(tokens)])
+    found = lm._unpack_texts(pa.py_buffer(lm._pack_texts(tokens, offsets)))
+    assert np.array_equal(found[0], tokens) and np.array_equal(found[1], offsets)
+
+
+def test_shuffled_counts_and_texts_are_small():
+    """Pairs, nearly all seen once, take half of 12 bytes each; tokens of the usual spread of words a byte and a half, beside 8 for each word."""
+    rng = np.random.default_rng(3)
+    words = np.char.mod("%d", rng.integers(0, 30_000, 300_000))
+    texts = pa.RecordBatch.from_arrays([pa.array([" ".join(words)], pa.large_string())], ["text"])
+    sent = list(lm._count_pieces(1024, True)(iter([texts])))
+    assert sum(x.column(2).nbytes for x in sent) < 6.7 * sum(x.column(1).to_numpy().sum() for x in sent)
+    tokens = lm.mix(np.minimum(rng.zipf(1.2, 300_000), 1 << 20).astype(np.uint64))
+    kinds = len(np.unique(tokens))
+    assert len(lm._pack_texts(tokens, np.array([0, len(tokens)]))) < 1.5 * len(tokens) + 8 * kinds
+
+
+def test_training_leaves_no_shuffle_files(spark, documents, monkeypatch):
+    """Each table that training writes is written with Spark's clean-up on; the session's settings are as before afterwards."""
+    seen, written = [], lm.stored
+
+    def noted(df, label):
+        seen.append((label, spark.conf.get(CLEANUP_CONF)))
+        return written(df, label)
+
+    before = spark.conf.getAll
+    monkeypatch.setattr(lm, "stored", noted)
+    lm.fit_whole(documents, parts=16)
+    assert seen == [("lm-counts", "true"), ("lm-filter", "true")] and spark.conf.getAll == before
+    spark.conf.set(CLEANUP_CONF, "false")
+    try:
+        lm.fit_whole(documents.limit(5), parts=4)
+        assert seen[2:] == [("lm-counts", "false"), ("lm-filter", "false")] and spark.conf.get(CLEANUP_CONF) == "false"
+    finally:
+        spark.conf.unset(CLEANUP_CONF)
